@@ -15,40 +15,56 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
 
+#: Byte-level spelling of bytes (fixed values of byte-level BPE vocabularies): printable Latin-1 stands for itself, the rest follows from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_LATIN_END = "\u0250"
+
+
+class _Known(dict):
+    """Word bytes to id bytes; a word that is not there yet is encoded."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(_PUNCTUATION)
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < _LATIN_END and "\u0130" not in text:
+            lower = text.lower()
+            spelt = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_SPELT)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelt)])
+            if len(core) < len(word):
+                found += self[word[len(core) :]]
+        else:
+            found = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizers file, with a cache of words.
+    """Ids of whole texts by the tokenizers library, for a lower-case byte-level BPE file whose pieces end with words (as
+    `word_bpe_49k.json`), with a cache of words.
 
-    The file must drop white space and never let a token reach over it (as `word_bpe_49k.json` does), so that a text's
-    ids are those of its words, one after another. Words are cut at ASCII blanks only, which every tokenizer counts as
-    white space.
+    Such a file drops white space and no id reaches over it, so a text's ids are those of its words, one after another;
+    words are cut at ASCII blanks. Letters of Latin scripts before ASCII punctuation go to the file's merges at once, as
+    they are composed already and make one token and the punctuation another; all other words take the file's whole way.
     """
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.MOST_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self.known = _Known(Tokenizer.from_file(path))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        distinct = set().union(*words)
-        if new := distinct.difference(self.known):
-            self.learn(list(new))
-            if missing := distinct.difference(self.known):  # the cache was emptied meanwhile
-                self.learn(list(missing))
+        if len(self.known) > self.MOST_WORDS:
+            self.known.clear()
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
