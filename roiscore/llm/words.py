@@ -67,8 +67,8 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         return np.empty(0, np.uint64)
     count = len(words) - n + 1
-    out, factor = words[:count].copy(), np.uint64(1)
+    out, factor = words[:count].copy(), 1
     for k in range(1, n):
-        factor = factor * _STEP
-        out += words[k : k + count] * factor
+        factor = factor * int(_STEP) % (1 << 64)
+        out += words[k : k + count] * np.uint64(factor)
     return mix(out)
