@@ -12,6 +12,7 @@ from roiscore.llm.common import read_table
 from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.packing import pack_documents
 from roiscore.llm.pieces import encode_decode
+from roiscore.llm.repeats import remove_repeats
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +27,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(read_table(spark, sf_dir, "documents"), PIECE_TOKENIZER)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -34,6 +40,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op8_jaccard": op8_jaccard,
+    "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}
