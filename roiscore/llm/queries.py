@@ -13,6 +13,7 @@ from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.packing import pack_documents
 from roiscore.llm.pieces import encode_decode
 from roiscore.llm.repeats import remove_repeats
+from roiscore.llm.toxicity import fit, learnable, score_documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +24,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels").where(learnable())))
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op5_toxicity": op5_toxicity,
     "op8_jaccard": op8_jaccard,
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,

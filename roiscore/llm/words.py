@@ -39,9 +39,9 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each document and the number of words) for documents lying end to end in data."""
-    word = ~_BLANK[data]
+    word = ~blank[data]
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(bounds), np.int64)
     inner = bounds[(bounds > 0) & (bounds < len(data))]
