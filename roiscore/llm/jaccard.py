@@ -13,13 +13,12 @@ from pyspark.sql.window import Window
 from roiscore.llm import words
 from roiscore.llm.common import cut, id_and_text, staged, text_slices
 from roiscore.llm.components import connected
+from roiscore.llm.sums import COLUMNS, added, parts
 
 #: Size of the table of shingle counts by hash, one byte each once it is finished; the only table that every task gets.
 COUNT_BITS = 20
-_PART_BITS = 12
 #: Class ids that may be broadcast (8 bytes each); above it, the same join shuffles.
 MOST_BROADCAST = 1_000_000
-_ONE = np.uint64(1)
 
 
 def _shingles(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +56,8 @@ def _rare_first(owner: np.ndarray, value: np.ndarray, level: np.ndarray) -> np.n
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: (doc_id, n, cls) of every document, and the counts of shingles by hash in parts of 4096."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    """One pass: (doc_id, n, cls) of every document, and the task's counts of shingles by hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
@@ -67,32 +66,22 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 owner, value = _shingles(data, bounds, n)
                 counts += np.bincount((value >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
                 size, cls = _signatures(owner, value, stop - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(size), pa.array(cls), pa.nulls(stop - first, pa.int32()), pa.nulls(stop - first, pa.binary())], schema=schema)
-        used = [(p, c.tobytes()) for p, c in enumerate(counts.reshape(-1, 1 << _PART_BITS)) if c.any()]
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([p for p, _ in used], pa.int32()), pa.array([c for _, c in used], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(size), pa.array(cls), pa.nulls(stop - first, pa.int32()), *[pa.nulls(stop - first, pa.binary())] * 2], schema=schema)
+        part, places, sums = parts(counts)
+        none = pa.nulls(len(part), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part, pa.int32()), pa.array(places, pa.binary()), pa.array(sums, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(scan, "doc_id long, n long, cls long, part int, counts binary")
+    return docs.mapInArrow(scan, f"doc_id long, n long, cls long, {COLUMNS}")
 
 
 def _levels(scanned: DataFrame) -> bytes:
-    """The counts of all partitions added up and put on a logarithmic scale, one byte for each hash value; a table of fixed size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
-        level = [np.minimum(np.rint(4 * np.log2(s + 1.0)), 255).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array(level, pa.binary())], names=["part", "level"])
-
-    parts = scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, level binary").collect()
-    found = dict((r.part, bytes(r.level)) for r in parts)
-    return b"".join(found.get(p, bytes(1 << _PART_BITS)) for p in range(1 << (COUNT_BITS - _PART_BITS)))
+    """The counts of all tasks on a logarithmic scale, one byte for each hash value; a table of fixed size."""
+    counts = added(scanned.where("part is not null").select("part", "places", "counts"), 1 << COUNT_BITS)
+    return np.minimum(np.rint(4 * np.log2(counts + 1.0)), 255).astype(np.uint8).tobytes()
 
 
 def _index(docs: DataFrame, n: int, percent: int, level) -> DataFrame:
-    """(v, cls, info): the shingles in the prefix of every document's set, with the set's size and the shingle's place as info."""
+    """(v, cls, info): the shingles in the prefix of every document's set, with the shingle's place (upper bits) and the set's size (31 bits) as info."""
     schema = pa.schema([("v", pa.int64()), ("cls", pa.int64()), ("info", pa.int64())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,15 +96,15 @@ def _index(docs: DataFrame, n: int, percent: int, level) -> DataFrame:
                 place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
                 keep = np.repeat(np.where(sent, size - -(-size * percent // 100) + 1, 0), size) > place
                 owner_kept = owner[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(_rare_first(owner, value, table)[keep]), pa.array(cls[owner_kept]), pa.array(size[owner_kept] << 24 | np.minimum(place[keep], (1 << 24) - 1))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(_rare_first(owner, value, table)[keep]), pa.array(cls[owner_kept]), pa.array(place[keep] << 31 | size[owner_kept])], schema=schema)
 
     return docs.select("text").mapInArrow(index, "v long, cls long, info long")
 
 
 def _could_link(percent: int):
     """Length filter, and positional filter: what is left of both sets from this shingle on must reach the overlap needed."""
-    size = {s: F.shiftright(f"{s}_info", 24) for s in "xy"}
-    left = {s: size[s] - F.col(f"{s}_info").bitwiseAND((1 << 24) - 1) for s in "xy"}
+    size = {s: F.col(f"{s}_info").bitwiseAND((1 << 31) - 1) for s in "xy"}
+    left = {s: size[s] - F.shiftright(f"{s}_info", 31) for s in "xy"}
     need = F.ceil((size["x"] + size["y"]) * percent / (100 + percent))
     return (F.least(size["x"], size["y"]) * 100 >= F.greatest(size["x"], size["y"]) * percent) & (F.least(left["x"], left["y"]) >= need)
 
@@ -172,8 +161,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     1. A scan counts shingles by hash over all documents and names the class of each set; equal sets are one class.
     2. Every set's prefix, rarest shingles first, is indexed: sets that link share a prefix shingle. Shingles that one
        class alone has are dropped.
-    3. In each list of classes, neighbours and the first are compared, which is linear in the list; groups of
-       near copies come together here.
+    3. Each list of classes has a hub, the class in which the shingle comes first: of near copies, the one with the fewest
+       rare shingles of its own, as a rule the original. All are compared with it, which is linear in the list.
     4. All pairs of classes in a list whose components still differ follow, so no link that could join two components
        is left out; length, positional and suffix filters come first, and a pair is verified once, on the whole sets.
 
@@ -189,13 +178,13 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     level = spark.sparkContext.broadcast(_levels(scanned))
 
     by_list = Window.partitionBy("v").orderBy("info", "cls")
-    listed = _index(docs, n, percent, level).repartition("v").select("v", "cls", "info", *(F.lag(c).over(by_list).alias(f"last_{c}") for c in ("cls", "info")), F.lead("cls").over(by_list).alias("next"), *(F.first(c).over(by_list.rowsBetween(Window.unboundedPreceding, 0)).alias(f"first_{c}") for c in ("cls", "info")))
+    listed = _index(docs, n, percent, level).repartition("v").select("v", "cls", "info", F.lag("cls").over(by_list).alias("last"), F.lead("cls").over(by_list).alias("next"), *(F.first(c).over(by_list.rowsBetween(Window.unboundedPreceding, 0)).alias(f"hub_{c}") for c in ("cls", "info")))
     # equal sets lie side by side: one of them stays, unless it is alone in its list
-    listed = staged(listed.where("last_cls <> cls or (last_cls is null and next is not null)").drop("next"))
+    listed = staged(listed.where("last <> cls or (last is null and next is not null)").drop("last", "next"))
 
     could = _could_link(percent)
-    near = [listed.select(F.col("cls").alias("x"), F.col("info").alias("x_info"), F.col(f"{k}_cls").alias("y"), F.col(f"{k}_info").alias("y_info")) for k in ("last", "first")]
-    tried = cut(_pairs(near[0].unionAll(near[1]).where((F.col("x") != F.col("y")) & could)))
+    to_hub = listed.select(F.col("cls").alias("x"), F.col("info").alias("x_info"), F.col("hub_cls").alias("y"), F.col("hub_info").alias("y_info"))
+    tried = cut(_pairs(to_hub.where((F.col("x") != F.col("y")) & could)))
     links = cut(_verified(tried, docs, classes, n, percent))
     roots = cut(connected(links))
 
