@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roiscore.session import ship
 
@@ -47,10 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator needs, under names that no extra column can clash with; null text is empty."""
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] | None = None) -> DataFrame:
+    """Only the columns an operator needs, under names that no extra column can clash with; null text is empty.
+
+    carry: further columns that go along untouched, as fields of the struct column `carried`.
+    """
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    more = [] if carry is None else [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
+
+
+def with_carried(schema: str, df: DataFrame) -> T.StructType:
+    """The schema, and df's carried column if it has one."""
+    return T.StructType([*T._parse_datatype_string(schema).fields, *(f for f in df.schema.fields if f.name == "carried")])
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

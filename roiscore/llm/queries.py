@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roiscore.llm.common import read_table
 from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.packing import pack_documents
+from roiscore.llm.pii import Policy, replace_entities
 from roiscore.llm.pieces import encode_decode
 from roiscore.llm.repeats import remove_repeats
 from roiscore.llm.toxicity import fit, learnable, score_documents
@@ -18,12 +19,19 @@ from roiscore.llm.toxicity import fit, learnable, score_documents
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
+#: The key of the registered query; a real run brings its own.
+SURROGATE_POLICY = Policy(b"roiscore registered query")
+
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(read_table(spark, sf_dir, "documents"), SURROGATE_POLICY)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels").where(learnable())))
@@ -46,6 +54,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
     "op8_jaccard": op8_jaccard,
     "op9_repeats": op9_repeats,

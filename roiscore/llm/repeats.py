@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roiscore.llm import words
-from roiscore.llm.common import id_and_text, text_slices
+from roiscore.llm.common import id_and_text, text_slices, with_carried
 
 #: Windows that a task gathers before it sends them on, and that one range of hashes should get in all.
 FLUSH_WINDOWS = 1_000_000
@@ -194,7 +194,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"key": np.concatenate([key[first], _joined(table["sure_docs"], np.int64)]), "start": np.concatenate([start[first].astype(np.int32), _joined(table["sure_starts"], np.int32)]), "length": np.concatenate([length.astype(np.int32), _joined(table["sure_lengths"], np.int32)])})
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every word covered by a window of words that starts earlier, too, is removed.
 
     A window is `window` consecutive words of one document; earlier means a smaller id, or the same id and an earlier
@@ -210,24 +210,26 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     found by about 40 bits of hash, which only adds candidates; windows are compared by 64.
 
     Null or empty texts have no words and keep an empty text. Rows that share an id count as one document (the same start
-    is not earlier); null ids count as one that comes last. An empty table gives no rows; extra columns are not read.
+    is not earlier); null ids count as one that comes last. An empty table gives no rows; extra columns are not read, but
+    those in `carry` go along as the struct column `carried`, and the text as it was as `text`.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     block = window // 2
-    docs = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("key"), "text")
+    docs = id_and_text(docs, id_col, text_col, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumnRenamed("doc_id", "key")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, size / 6 / RANGE_WINDOWS)))))
     schema = "key long, block int"
-    blocks = _anchors(docs, block, ranges).groupBy("range").applyInArrow(_hit_blocks, schema).groupBy("key").agg(F.collect_set("block").alias("blocks"))
-    found = _candidates(docs.join(blocks, "key").select("key", "text", "blocks"), block, window, ranges)
+    blocks = _anchors(docs.select("key", "text"), block, ranges).groupBy("range").applyInArrow(_hit_blocks, schema).groupBy("key").agg(F.collect_set("block").alias("blocks"))
+    # the carried column is read here only to have the texts dealt out once: both joins use one exchange
+    found = _candidates(docs.join(blocks, "key").select("key", "text", "blocks", *docs.columns[2:]), block, window, ranges)
     stretches = found.groupBy("range").applyInArrow(_repeated, "key long, start int, length int")
     removed = stretches.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            begin, length = batch.column(2), batch.column(3)
+            begin, length, given = batch.column(2), batch.column(3), {k: batch.column(k) for k in ("text", "carried") if "carried" in batch.schema.names}
             for first, stop, data, bounds in text_slices(batch.column(1)):
                 raw = data.tobytes()
                 for i, a, b in zip(range(first, stop), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -241,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                     left = np.cumsum(gone[:-1]) == 0
                     n_removed.append(len(found) - int(left.sum()))
                     kept.append(b" ".join(found if not n_removed[-1] else [w for w, x in zip(found, left.tolist()) if x]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *given.values()], names=["key", "n_words", "n_removed", "kept", *given])
 
-    left = docs.join(removed, "key", "left").select("key", "text", "starts", "lengths").mapInArrow(remove, "key long, n_words long, n_removed long, kept string")
-    return left.select(F.nullif("key", F.lit(_NULL_ID)).alias("doc_id"), "n_words", "n_removed", "kept")
+    left = docs.join(removed, "key", "left").select("key", "text", "starts", "lengths", *docs.columns[2:]).mapInArrow(remove, with_carried("key long, n_words long, n_removed long, kept string" + ", text string" * (carry is not None), docs))
+    return left.withColumn("key", F.nullif("key", F.lit(_NULL_ID))).withColumnRenamed("key", "doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roiscore.llm import words
-from roiscore.llm.common import cut, id_and_text, text_slices
+from roiscore.llm.common import cut, id_and_text, text_slices, with_carried
 from roiscore.llm.sums import COLUMNS, added, parts
 
 #: Labelled rows that the model is fitted on, at most (as expected under hashing of their ids).
@@ -196,13 +196,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, score, passages): the probability that a document is toxic, and every significant toxic passage as start and end
     (bytes of the UTF-8 text), its score and the natural logarithm of how many such passages clean text of this length would have.
 
     Whole texts are scored row by row, without a shuffle. Null or empty texts have no passage and the score of a text of
-    length 0. Rows with equal or null ids are kept; an empty table gives no rows; extra columns are not read.
+    length 0. Rows with equal or null ids are kept; an empty table gives no rows; extra columns are not read, but those in
+    `carry` go along as the struct column `carried`.
     """
+    docs = id_and_text(docs, id_col, text_col, carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("log_expected", pa.float64())]))
 
@@ -220,9 +222,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                     features.append(model.features(found, n))
                     level = [(f, e, s, np.log(model.scale * n) - model.rate * s) for f, e, s in found]
                     passages.append([{"start": int(starts[a + f] - bounds[k]), "end": int(ends[a + e - 1] - bounds[k]), "score": s, "log_expected": float(x)} for f, e, s, x in level if x < np.log(EXPECTED)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(model.score(np.array(features).reshape(-1, 3)), pa.float64()), pa.array(passages, passage)], names=["doc_id", "score", "passages"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(model.score(np.array(features).reshape(-1, 3)), pa.float64()), pa.array(passages, passage), *(c.slice(first, stop - first) for c in batch.columns[2:])], names=["doc_id", "score", "passages", *batch.schema.names[2:]])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double, passages array<struct<start: long, end: long, score: double, log_expected: double>>")
+    return docs.mapInArrow(score, with_carried("doc_id long, score double, passages array<struct<start: long, end: long, score: double, log_expected: double>>", docs))
 
 
 def learnable(id_col: str = "doc_id"):
