@@ -13,6 +13,7 @@ from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.packing import pack_documents
 from roiscore.llm.pii import Policy, replace_entities
 from roiscore.llm.pieces import encode_decode
+from roiscore.llm.quality import quality
 from roiscore.llm.repeats import remove_repeats
 from roiscore.llm.toxicity import fit, learnable, score_documents
 
@@ -28,6 +29,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(read_table(spark, sf_dir, "documents"), SURROGATE_POLICY)
 
@@ -54,6 +59,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_quality": op2_quality,
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
     "op8_jaccard": op8_jaccard,
