@@ -17,6 +17,8 @@ from roiscore.llm.sums import COLUMNS, added, parts
 
 #: Size of the table of shingle counts by hash, one byte each once it is finished; the only table that every task gets.
 COUNT_BITS = 20
+#: Parts of the hash range in a set's sketch, which holds the number of shingles in each (up to 255).
+SKETCH = 128
 #: Class ids that may be broadcast (8 bytes each); above it, the same join shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -49,6 +51,11 @@ def _signatures(owner: np.ndarray, value: np.ndarray, docs: int) -> tuple[np.nda
     return size, np.where(size > 0, words.mix(total + size.astype(np.uint64)), 0).astype(np.uint64).view(np.int64)
 
 
+def _sketches(owner: np.ndarray, value: np.ndarray, docs: int) -> list[bytes]:
+    part = owner * SKETCH + (value & np.uint64(SKETCH - 1)).astype(np.int64)
+    return [x.tobytes() for x in np.minimum(np.bincount(part, minlength=docs * SKETCH), 255).astype(np.uint8).reshape(docs, SKETCH)]
+
+
 def _rare_first(owner: np.ndarray, value: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The shingles in one order for all documents: the level of the count in the top byte, then 56 bits of the hash."""
     out = (level[(value >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | ((value & np.uint64((1 << 44) - 1)) << np.uint64(11)) | (value >> np.uint64(53))
@@ -56,8 +63,8 @@ def _rare_first(owner: np.ndarray, value: np.ndarray, level: np.ndarray) -> np.n
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: (doc_id, n, cls) of every document, and the task's counts of shingles by hash."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+    """One pass: (doc_id, n, cls, sketch) of every document, and the task's counts of shingles by hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
@@ -66,12 +73,12 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 owner, value = _shingles(data, bounds, n)
                 counts += np.bincount((value >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
                 size, cls = _signatures(owner, value, stop - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(size), pa.array(cls), pa.nulls(stop - first, pa.int32()), *[pa.nulls(stop - first, pa.binary())] * 2], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(size), pa.array(cls), pa.array(_sketches(owner, value, stop - first), pa.binary()), pa.nulls(stop - first, pa.int32()), *[pa.nulls(stop - first, pa.binary())] * 2], schema=schema)
         part, places, sums = parts(counts)
         none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part, pa.int32()), pa.array(places, pa.binary()), pa.array(sums, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), pa.array(part, pa.int32()), pa.array(places, pa.binary()), pa.array(sums, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(scan, f"doc_id long, n long, cls long, {COLUMNS}")
+    return docs.mapInArrow(scan, f"doc_id long, n long, cls long, sketch binary, {COLUMNS}")
 
 
 def _levels(scanned: DataFrame) -> bytes:
@@ -113,14 +120,27 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: the pairs whose sketches do not differ by more than linked sets may.
+
+    A sketch cuts both sets, rare prefix and suffix alike, at the same places; what their counts differ by in every
+    part is a lower bound of what the sets differ by. No pair that links is lost.
+    """
+    side = {s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in (4, 5))
+            most = n_a + n_b - 2 * -(-(n_a + n_b) * percent // (100 + percent))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]).filter(pa.array(np.abs(x - y).sum(axis=1) <= most))
+
+    joined = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return joined.mapInArrow(compare, "a long, b long")
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link; the suffix filter compares how many values fall between cuts of the larger before they are intersected."""
-    need = -(-(len(a) + len(b)) * percent // (100 + percent))
-    if len(b) >= 32:
-        at = np.arange(0, len(b), max(1, len(b) // 16))
-        inside = np.diff(np.searchsorted(a, b[at]), prepend=0, append=len(a))
-        if np.abs(inside - np.diff(at, prepend=0, append=len(b))).sum() > len(a) + len(b) - 2 * need:
-            return False
+    """Whether two sets link."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -162,9 +182,10 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     2. Every set's prefix, rarest shingles first, is indexed: sets that link share a prefix shingle. Shingles that one
        class alone has are dropped.
     3. Each list of classes has a hub, the class in which the shingle comes first: of near copies, the one with the fewest
-       rare shingles of its own, as a rule the original. All are compared with it, which is linear in the list.
+       rare shingles of its own, as a rule the original. Each class is compared with the hub of most of its lists,
+       then with its other hubs as far as their components differ; this is linear in the list.
     4. All pairs of classes in a list whose components still differ follow, so no link that could join two components
-       is left out; length, positional and suffix filters come first, and a pair is verified once, on the whole sets.
+       is left out. Length, positional and suffix filters come first, and a pair is verified once, on the whole sets.
 
     Nothing is capped. Classes and shingles are told apart by 64 and 55 bits of hash. Rows with equal ids or equal texts
     stay separate rows with one component; a null id takes the smallest other id of its component, or null; an empty
@@ -174,7 +195,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     docs = id_and_text(docs, id_col, text_col)
     scanned = staged(_scan(docs, n))
     rows = scanned.where("part is null").select("doc_id", "n", "cls")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    classes = scanned.where("part is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     level = spark.sparkContext.broadcast(_levels(scanned))
 
     by_list = Window.partitionBy("v").orderBy("info", "cls")
@@ -184,20 +205,33 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
 
     could = _could_link(percent)
     to_hub = listed.select(F.col("cls").alias("x"), F.col("info").alias("x_info"), F.col("hub_cls").alias("y"), F.col("hub_info").alias("y_info"))
-    tried = cut(_pairs(to_hub.where((F.col("x") != F.col("y")) & could)))
-    links = cut(_verified(tried, docs, classes, n, percent))
-    roots = cut(connected(links))
-
-    placed = listed.select("v", "cls", "info").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("v", "cls", "info", F.coalesce("root", "cls").alias("root"))
-    mixed = cut(placed.join(placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v"), "v", "left_semi"))
-    x, y = (mixed.select("v", F.col("cls").alias(s), F.col("info").alias(f"{s}_info"), F.col("root").alias(f"{s}_root")) for s in "xy")
-    rest = cut(_pairs(x.join(y, "v").where((F.col("x_root") < F.col("y_root")) & could)).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut(_verified(rest, docs, classes, n, percent))
-        if not more.isEmpty():
-            roots = cut(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)))
-
-    rooted = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    hubs = cut(to_hub.where((F.col("x") != F.col("y")) & could).groupBy("x", "y").agg(F.count("*").alias("n")))
+    main = hubs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
+    tried = cut(_plausible(_pairs(main), classes, percent))
+    roots = cut(connected(_verified(tried, docs, classes, n, percent)))
+
+    def apart(df: DataFrame, *sides: str) -> DataFrame:
+        """The rows with the components that the sides' classes have so far."""
+        for s in sides:
+            df = df.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root")), s, "left").withColumn(f"{s}_root", F.coalesce(f"{s}_root", s))
+        return df
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal roots, tried
+        new = cut(_plausible(_pairs(pairs).join(tried, ["a", "b"], "left_anti"), classes, percent))
+        if new.isEmpty():
+            return
+        tried = tried.unionAll(new)
+        links = cut(_verified(new, docs, classes, n, percent))
+        if not links.isEmpty():
+            roots = cut(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links)))
+
+    compared(apart(hubs, "x", "y").where("x_root <> y_root"))
+    placed = apart(listed.select("v", F.col("cls").alias("x"), F.col("info").alias("x_info")), "x")
+    mixed = cut(placed.join(placed.groupBy("v").agg(F.min("x_root").alias("lo"), F.max("x_root").alias("hi")).where("lo <> hi").select("v"), "v", "left_semi"))
+    compared(mixed.join(mixed.select("v", F.col("x").alias("y"), F.col("x_info").alias("y_info"), F.col("x_root").alias("y_root")), "v").where((F.col("x_root") < F.col("y_root")) & could))
+
+    rooted = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
