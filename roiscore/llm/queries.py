@@ -16,6 +16,7 @@ from roiscore.llm.pieces import encode_decode
 from roiscore.llm.quality import quality
 from roiscore.llm.repeats import remove_repeats
 from roiscore.llm.toxicity import fit, learnable, score_documents
+from roiscore.llm.warc import archive
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,6 +44,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive(read_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read_table(spark, sf_dir, "documents"))
 
@@ -62,8 +68,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
+    "op7_archives": op7_archives,
     "op8_jaccard": op8_jaccard,
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_archives": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest from p),
+        r as (select *, max(case when payload_bytes >= 1000 then page_id end) over (partition by payload_digest) as first from d)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and first <> page_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and first <> page_id then first end as refers_to
+        from r
+    """,
+    "op9_repeats": r"""
+        with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+        w as (select doc_id, unnest(words) as word, unnest(range(len(words))) as pos from t),
+        g as (select doc_id, pos, string_agg(word, ' ') over (partition by doc_id order by pos rows between current row and 19 following) as run,
+                     count(*) over (partition by doc_id order by pos rows between current row and 19 following) as n from w),
+        f as (select doc_id, pos, row_number() over (partition by run order by doc_id, pos) > 1 as late from g where n = 20),
+        c as (select w.doc_id, w.pos, w.word,
+                     coalesce(bool_or(f.late) over (partition by w.doc_id order by w.pos rows between 19 preceding and current row), false) as gone
+              from w left join f using (doc_id, pos)),
+        k as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by pos) filter (where not gone), '') as kept from c group by doc_id)
+        select t.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from t left join k using (doc_id)
+    """,
+}
