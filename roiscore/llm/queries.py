@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roiscore.llm.common import read_table
 from roiscore.llm.jaccard import similar_documents
+from roiscore.llm.neighbours import nearest
 from roiscore.llm.packing import pack_documents
 from roiscore.llm.pii import Policy, replace_entities
 from roiscore.llm.pieces import encode_decode
@@ -34,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(read_table(spark, sf_dir, "documents"), SURROGATE_POLICY)
 
@@ -66,6 +71,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
+    "op3_neighbours": op3_neighbours,
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
     "op7_archives": op7_archives,
