@@ -16,6 +16,7 @@ from roiscore.llm.pii import Policy, replace_entities
 from roiscore.llm.pieces import encode_decode
 from roiscore.llm.quality import quality
 from roiscore.llm.repeats import remove_repeats
+from roiscore.llm.secrets import find_secrets
 from roiscore.llm.toxicity import fit, learnable, score_documents
 from roiscore.llm.warc import archive
 
@@ -49,6 +50,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents"), F.col("source"))
+
+
 def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = archive(read_table(spark, sf_dir, "pages"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
     "op7_archives": op7_archives,
     "op8_jaccard": op8_jaccard,
     "op9_repeats": op9_repeats,
