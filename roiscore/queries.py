@@ -3,8 +3,536 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roiscore.config import PARAMS
+from roiscore.functions.text import roi_name
+from roiscore.jobs import export
+from roiscore.operators import pixels, rasters, scoring, selection, summary, windows
+from roiscore.sources import catalogue, fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL of the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Catalogue and grid
+
+_CATALOGUE = f"""
+    select slide_key, wsi_path, slide_w0, slide_h0, level_downsamples,
+        case when stem = '' then 'unnamed_slide' else stem end as slide_id,
+        case when mpp_x is null or mpp_y is null then 0.25e0 else mpp_x end as base_mpp_x,
+        case when mpp_x is null or mpp_y is null then 0.25e0 else mpp_y end as base_mpp_y
+    from (select *, regexp_replace(regexp_replace(regexp_extract(wsi_path, '[^/]*$'), '(.)\\.[^.]+$', '\\1'), '[<>:"/\\\\|?*]', '_', 'g') as stem
+          from ({fx.SLIDES}) where lower(regexp_extract(wsi_path, '[^/](\\.[^./]+)$', 1)) in ('.tif', '.tiff', '.svs', '.ndpi', '.mrxs'))"""
+
+
+def _slides(spark, sf_dir) -> DataFrame:
+    return catalogue.with_resolution(catalogue.with_ids(fx.slides(spark, sf_dir)))
+
+
+@query(f"select slide_key, wsi_path, slide_id, base_mpp_x, base_mpp_y from ({_CATALOGUE})")
+def slide_catalogue(spark, sf_dir):
+    return catalogue.first_of_id(_slides(spark, sf_dir)).select("slide_key", "wsi_path", "slide_id", "base_mpp_x", "base_mpp_y")
+
+
+_GRID = f"""
+    select slide_key, slide_w0, slide_h0, grid_x, xs[grid_x + 1] as x0_level0, grid_y, ys[grid_y + 1] as y0_level0, w_level0, h_level0, len(xs) as n_columns
+    from (select *, unnest(range(len(xs))) as grid_x from (select *, unnest(range(len(ys))) as grid_y from (
+        select slide_key, slide_w0, slide_h0, w_level0, h_level0,
+            list_sort(case when slide_w0 > w_level0 then list_distinct(list_concat(range(0, slide_w0 - w_level0 + 1, w_level0), [slide_w0 - w_level0])) else [0::bigint] end) as xs,
+            list_sort(case when slide_h0 > h_level0 then list_distinct(list_concat(range(0, slide_h0 - h_level0 + 1, h_level0), [slide_h0 - h_level0])) else [0::bigint] end) as ys
+        from (select *, cast(round_even(2048e0 * 0.25e0 / base_mpp_x, 0) as bigint) as w_level0, cast(round_even(2048e0 * 0.25e0 / base_mpp_y, 0) as bigint) as h_level0 from ({_CATALOGUE})))))"""
+_WINDOW = ("slide_key", "grid_x", "grid_y", "x0_level0", "y0_level0", "w_level0", "h_level0")
+
+
+@query(f"select {', '.join(_WINDOW)} from ({_GRID})")
+def window_grid(spark, sf_dir):
+    return windows.candidate_windows(_slides(spark, sf_dir)).select(*_WINDOW)
+
+
+@query(f"select {', '.join(_WINDOW)} from ({_GRID}) where grid_y * n_columns + grid_x < 20")
+def window_cap(spark, sf_dir):
+    return windows.candidate_windows(_slides(spark, sf_dir), replace(PARAMS, max_windows=20)).select(*_WINDOW)
+
+
+_PLAN = f"""
+    select slide_key, slide_w0, slide_h0, region_w0, region_h0, level, cast(ceil(region_w0 / level_downsamples[level + 1]) as bigint) as read_w, cast(ceil(region_h0 / level_downsamples[level + 1]) as bigint) as read_h,
+        region_w0 * base_mpp_x / 2048e0 as effective_mpp_x, region_h0 * base_mpp_y / 2048e0 as effective_mpp_y,
+        cast(round_even(slide_w0 * (3000e0 / greatest(slide_w0, slide_h0)), 0) as bigint) as thumb_w, cast(round_even(slide_h0 * (3000e0 / greatest(slide_w0, slide_h0)), 0) as bigint) as thumb_h
+    from (select *, cast(list_position(off, list_min(off)) - 1 as int) as level from (
+        select *, cast(round_even(2048e0 * 0.25e0 / base_mpp_x, 0) as bigint) as region_w0, cast(round_even(2048e0 * 0.25e0 / base_mpp_y, 0) as bigint) as region_h0,
+            list_transform(level_downsamples, lambda d: abs(cast(d as float) - cast(0.25e0 / base_mpp_x as float))) as off from ({_CATALOGUE})))"""
+_PLANNED = ("slide_key", "region_w0", "region_h0", "level", "read_w", "read_h", "effective_mpp_x", "effective_mpp_y", "thumb_w", "thumb_h")
+
+
+@query(f"select {', '.join(_PLANNED)} from ({_PLAN})")
+def read_plan(spark, sf_dir):
+    return windows.read_plan(_slides(spark, sf_dir)).select(*_PLANNED)
+
+
+@query(f"""
+    with s as (select slide_key, slide_w0 % 1000 + 100 as width, slide_h0 % 1000 + 100 as height from ({fx.SLIDES})),
+    a as (select *, case when height > 256 then list_distinct(list_concat(range(0, height - 256 + 1, 192), [height - 256])) else [0::bigint] end as ys,
+                 case when width > 256 then list_distinct(list_concat(range(0, width - 256 + 1, 192), [width - 256])) else [0::bigint] end as xs from s),
+    t as (select *, unnest(xs) as tile_x from (select *, unnest(ys) as tile_y from a))
+    select slide_key, tile_y, tile_x, least(256, height - tile_y) as valid_h, least(256, width - tile_x) as valid_w from t""")
+def tile_plan(spark, sf_dir):
+    sizes = fx.slides(spark, sf_dir).select("slide_key", (F.col("slide_w0") % 1000 + 100).alias("width"), (F.col("slide_h0") % 1000 + 100).alias("height"))
+    return windows.tile_plan(sizes).select("slide_key", "tile_y", "tile_x", "valid_h", "valid_w")
+
+
+def _span(start: str, size: str, whole: str, mask: str, first: str, after: str) -> str:
+    low = f"least(greatest(floor({start} / {whole} * {mask}), 0), {mask} - 1)"
+    return f"cast({low} as bigint) as {first}, cast(least(greatest(ceil(({start} + {size}) / {whole} * {mask}), {low} + 1), {mask}) as bigint) as {after}"
+
+
+@query(f"""
+    select slide_key, grid_x, grid_y, {_span('x0_level0', 'w_level0', 'g.slide_w0', 'thumb_w', 'mx0', 'mx1')}, {_span('y0_level0', 'h_level0', 'g.slide_h0', 'thumb_h', 'my0', 'my1')}
+    from ({_GRID}) g join (select slide_key, thumb_w, thumb_h from ({_PLAN})) using (slide_key)""")
+def thumb_rects(spark, sf_dir):
+    planned = windows.read_plan(_slides(spark, sf_dir))
+    return windows.thumbnail_rects(windows.candidate_windows(planned)).select("slide_key", "grid_x", "grid_y", "mx0", "mx1", "my0", "my1")
+
+
+# Selection
+
+_SCORED = f"""
+    select *, least(greatest(0.4e0 * peritumoral_stroma_fraction + 0.25e0 * stroma_fraction + 0.2e0 * least(interface_density / 0.01e0, 1e0) + 0.1e0 * tissue_fraction + 0.05e0 * tumor_stroma_balance, 0e0), 1e0) as roi_score
+    from (select *, 2e0 * least(tumor_fraction, stroma_fraction) as tumor_stroma_balance from ({fx.ROI_FEATURES}))"""
+_DECIDED = f"""
+    select *, case when tissue_fraction >= 0.6e0 and stroma_fraction >= 0.1e0 and tumor_fraction >= 0.01e0 and interface_density >= 0.0003e0 and roi_score >= 0.8e0 then 'direct_accept'
+        when tissue_fraction >= 0.6e0 and stroma_fraction >= 0.3e0 and tumor_fraction < 0.01e0 and roi_score >= 0.45e0 then 'stroma_waiting_for_neighbor' else 'discard' end as initial_decision
+    from ({_SCORED})"""
+_FINAL = f"""
+    with d as ({_DECIDED}),
+    n as (select a.slide_key, a.grid_x, a.grid_y, max(b.tumor_fraction) as t, max(b.interface_density) as i, bool_or(b.tumor_fraction >= 0.03e0 or b.interface_density >= 0.0003e0) as ok
+          from d a join d b on a.slide_key = b.slide_key and abs(a.grid_x - b.grid_x) <= 1 and abs(a.grid_y - b.grid_y) <= 1 and (a.grid_x <> b.grid_x or a.grid_y <> b.grid_y)
+          where a.initial_decision = 'stroma_waiting_for_neighbor' group by all)
+    select d.*, coalesce(t, 0e0) as best_neighbor_tumor_fraction, coalesce(i, 0e0) as best_neighbor_interface_density,
+        case when initial_decision = 'direct_accept' then 'direct_accept' when coalesce(ok, false) then 'neighbor_associated_stroma' else 'discard' end as final_decision
+    from d left join n using (slide_key, grid_x, grid_y)"""
+_SELECTED = f"""
+    select *, row_number() over (partition by slide_key order by roi_score desc, grid_y, grid_x) as rank
+    from ({_FINAL}) where final_decision in ('direct_accept', 'neighbor_associated_stroma')"""
+
+
+def _scored(spark, sf_dir):
+    return selection.with_raw_score(fx.roi_features(spark, sf_dir))
+
+
+@query(f"select slide_key, grid_x, grid_y, tumor_stroma_balance, roi_score from ({_SCORED})")
+def roi_raw_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("slide_key", "grid_x", "grid_y", "tumor_stroma_balance", "roi_score")
+
+
+@query(f"select slide_key, grid_x, grid_y, initial_decision from ({_DECIDED})")
+def roi_initial_decision(spark, sf_dir):
+    return _scored(spark, sf_dir).select("slide_key", "grid_x", "grid_y", selection.initial_decision().alias("initial_decision"))
+
+
+_RESCUE = ("slide_key", "grid_x", "grid_y", "initial_decision", "final_decision", "best_neighbor_tumor_fraction", "best_neighbor_interface_density")
+
+
+@query(f"select {', '.join(_RESCUE)} from ({_FINAL})")
+def neighbor_rescue(spark, sf_dir):
+    return selection.classified(_scored(spark, sf_dir)).select(*_RESCUE)
+
+
+@query(f"select slide_key, grid_x, grid_y, final_decision, roi_score, rank from ({_SELECTED})")
+def selected_rank(spark, sf_dir):
+    return selection.selected(selection.classified(_scored(spark, sf_dir))).select("slide_key", "grid_x", "grid_y", "final_decision", "roi_score", F.col("rank").cast("long").alias("rank"))
+
+
+# Scores
+
+_TIL = f"""
+    select *, least(roi_tils_score_raw_fraction, 0.9e0) as roi_tils_score_fraction, least(roi_tils_score_raw_fraction, 0.9e0) * 100e0 as roi_tils_score_percent, roi_tils_score_raw_fraction > 0.9e0 as roi_tils_score_was_capped
+    from (select *, num_tils_inside_stroma * ((8e0 / effective_mpp_x) * (8e0 / effective_mpp_y)) / (stroma_area_px + 1e-7) as roi_tils_score_raw_fraction
+          from ({_SELECTED}) join ({fx.ROI_COUNTS}) using (o_orderkey))"""
+
+
+def _til_scores(spark, sf_dir):
+    chosen = selection.selected(selection.classified(_scored(spark, sf_dir)))
+    return scoring.with_object_score(chosen.join(fx.roi_counts(spark, sf_dir), "o_orderkey"))
+
+
+@query(f"select slide_key, grid_x, grid_y, stroma_area_px, num_tils_inside_stroma, roi_tils_score_raw_fraction, roi_tils_score_fraction, roi_tils_score_percent, roi_tils_score_was_capped from ({_TIL})")
+def roi_til_score(spark, sf_dir):
+    return _til_scores(spark, sf_dir).select("slide_key", "grid_x", "grid_y", "stroma_area_px", "num_tils_inside_stroma", "roi_tils_score_raw_fraction", "roi_tils_score_fraction", "roi_tils_score_percent", "roi_tils_score_was_capped")
+
+
+_SUMS = ("num_selected_rois", "num_direct_selected_rois", "num_neighbor_selected_rois", "total_selected_stroma_area_px", "total_tils_inside_stroma_count")
+_MEANS = ("mean", "stroma_weighted_mean", "median")
+
+
+@query(f"""
+    with x as (select *, case when score_missing then 0e0 else least(greatest(roi_tils_score_fraction, 0e0), 0.9e0) end as v from ({_TIL})),
+    a as (select slide_key, count(*) as num_selected_rois, count(*) filter (where final_decision = 'direct_accept') as num_direct_selected_rois,
+            count(*) filter (where final_decision = 'neighbor_associated_stroma') as num_neighbor_selected_rois, cast(sum(stroma_area_px) as bigint) as total_selected_stroma_area_px,
+            cast(sum(num_tils_inside_stroma) as bigint) as total_tils_inside_stroma_count, avg(v) as mean,
+            coalesce(sum(v * stroma_area_px) filter (where stroma_area_px > 0) / nullif(sum(cast(stroma_area_px as double)) filter (where stroma_area_px > 0), 0), avg(v)) as stroma_weighted_mean, median(v) as median
+          from x group by 1),
+    p as (select slide_key, count(*) as num_passing from ({fx.ROI_FEATURES}) where slide_key % 7 <> 3 group by 1)
+    select slide_key, wsi_path, case when coalesce(num_passing, 0) = 0 then 'NO_TISSUE_ROIS' when coalesce(num_selected_rois, 0) = 0 then 'NO_SELECTED_ROIS' else 'OK' end as status,
+        {', '.join(f'coalesce({c}, 0) as {c}' for c in _SUMS)}, {', '.join(f'round(coalesce({m}, 0e0) * 100e0, 6) as score_{m}_percent' for m in _MEANS)}
+    from (select slide_key, wsi_path from ({_CATALOGUE})) left join p using (slide_key) left join (select * from a where slide_key % 7 <> 3) using (slide_key)""")
+def slide_scores(spark, sf_dir):
+    """All slides with their scores; every seventh is taken to have no foreground."""
+    here = F.col("slide_key") % 7 != 3
+    scored = _scored(spark, sf_dir).where(here)
+    rois = scoring.with_object_score(selection.selected(selection.classified(scored)).join(fx.roi_counts(spark, sf_dir), "o_orderkey"))
+    rois = rois.withColumn("roi_tils_score_fraction", F.when(~F.col("score_missing"), F.col("roi_tils_score_fraction")))
+    passed = scored.groupBy("slide_key").agg(F.count("*").alias("num_passing"))
+    out = scoring.with_status(_slides(spark, sf_dir), passed, scoring.slide_scores(rois))
+    return out.select("slide_key", "wsi_path", "status", *_SUMS, *(F.round(f"score_{m}_percent", 6).alias(f"score_{m}_percent") for m in _MEANS))
+
+
+@query(f"""
+    select slide_key, r as rank, 'selected_TILs_scoring_ROI_' || lpad(cast(r as varchar), greatest(3, len(cast(r as varchar)))::int, '0') as id,
+        'r' || lpad(cast(rank as varchar), greatest(3, len(cast(rank as varchar)))::int, '0') || (case when final_decision = 'direct_accept' then '_D' else '_N' end) || '_gx' || grid_x || '_gy' || grid_y as raster_name,
+        cast(grid_x * 2048 + 2048 as double) as right_edge, cast(grid_y * 2048 + 2048 as double) as lower_edge, case when score_missing then 7 else 9 end as n_measurements, final_decision
+    from (select *, row_number() over (partition by slide_key order by s desc nulls last, grid_y, grid_x) as r from (select *, case when not score_missing then roi_tils_score_fraction end as s from ({_TIL})))""")
+def geojson_features(spark, sf_dir):
+    rois = _til_scores(spark, sf_dir).withColumns({"x0_level0": F.col("grid_x") * 2048, "y0_level0": F.col("grid_y") * 2048, "w_level0": F.lit(2048), "h_level0": F.lit(2048), "effective_mpp_x_for_scoring": F.col("effective_mpp_x")})
+    missing = {c: F.when(~F.col("score_missing"), F.col(c)) for c in ("roi_tils_score_fraction", "roi_tils_score_percent")}
+    rois = rois.withColumns(missing)
+    names = rois.select("slide_key", "grid_x", "grid_y", roi_name(F.col("rank"), F.col("final_decision"), F.col("grid_x"), F.col("grid_y")).alias("raster_name"))
+    f = export.geojson_features(rois).select("slide_key", F.col("rank").cast("long").alias("rank"), "feature.id", F.col("feature.properties.grid_x").cast("long").alias("grid_x"), F.col("feature.properties.grid_y").cast("long").alias("grid_y"), F.element_at(F.get("feature.geometry.coordinates", F.lit(0)), 3).alias("corner"), F.size("feature.properties.measurements").alias("n_measurements"), "feature.properties.final_decision")
+    return f.join(names, ["slide_key", "grid_x", "grid_y"]).select("slide_key", "rank", "id", "raster_name", F.get("corner", F.lit(0)).alias("right_edge"), F.get("corner", F.lit(1)).alias("lower_edge"), "n_measurements", "final_decision")
+
+
+# Bookkeeping
+
+_ALL_IDS = "select distinct 'S' || user_id as slide_id from events"
+
+
+def _ids(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("slide_id")).distinct()
+
+
+@query(f"select slide_id from ({_ALL_IDS}) where slide_id not in (select slide_id from ({fx.OLD_ROWS}) where status <> 'FAILED')")
+def skip_finished(spark, sf_dir):
+    return summary.unfinished(_ids(spark, sf_dir), fx.summary_rows(spark, sf_dir, new=False))
+
+
+@query(f"select slide_id, status, score_mean_percent, event_id from ({fx.OLD_ROWS}) where status <> 'FAILED' and slide_id in ({_ALL_IDS})")
+def reemit_finished(spark, sf_dir):
+    return summary.finished(_ids(spark, sf_dir), fx.summary_rows(spark, sf_dir, new=False)).select("slide_id", "status", "score_mean_percent", "event_id")
+
+
+_LATEST_NEW = f"select * exclude (n) from (select *, row_number() over (partition by slide_id order by ts desc, event_id desc) as n from ({fx.NEW_ROWS})) where n = 1"
+_UPSERT = f"""
+    select slide_id, status, score_mean_percent, event_id, null::varchar as error_message from ({fx.OLD_ROWS}) where slide_id not in (select slide_id from ({fx.NEW_ROWS}))
+    union all select slide_id, status, score_mean_percent, event_id, error_message from ({_LATEST_NEW})"""
+_ROW = ("slide_id", "status", "score_mean_percent", "event_id", "error_message")
+
+
+@query(_UPSERT)
+def summary_upsert(spark, sf_dir):
+    return summary.upserted(fx.summary_rows(spark, sf_dir, False), fx.summary_rows(spark, sf_dir, True), ["ts", "event_id"]).select(*_ROW)
+
+
+@query(f"""
+    with f as (select * from ({_LATEST_NEW}) where status = 'FAILED'), o as (select * from ({fx.OLD_ROWS}) where status = 'FAILED')
+    select slide_id, status, 0e0 as score_mean_percent, event_id, null::varchar as error_message from o where slide_id not in (select slide_id from f)
+    union all select slide_id, status, 0e0, event_id, error_message from f""")
+def failed_table(spark, sf_dir):
+    """Failed slides of all runs: one that succeeds later stays, as the table is a history."""
+    old = summary.failures(fx.summary_rows(spark, sf_dir, False))
+    new = summary.failures(summary.latest(fx.summary_rows(spark, sf_dir, True), ["ts", "event_id"]))
+    return summary.upserted(old, new).select(*_ROW)
+
+
+@query(f"""
+    with n as ({_LATEST_NEW}), s as (select * from ({fx.OLD_ROWS}) where status <> 'FAILED' and slide_id not in (select slide_id from n))
+    select slide_id, status, score_mean_percent, null::varchar as error_message from s union all
+    select slide_id, status, case when status = 'FAILED' then 0e0 else score_mean_percent end, error_message from n""")
+def summary_union(spark, sf_dir):
+    new = summary.latest(fx.summary_rows(spark, sf_dir, True), ["ts", "event_id"])
+    skipped = summary.unfinished(fx.summary_rows(spark, sf_dir, False).where("status <> 'FAILED'"), new.select("slide_id", F.lit("OK").alias("status")))
+    return summary.batch_summary(skipped, new.where("status <> 'FAILED'").drop("error_message"), summary.failures(new)).select("slide_id", "status", "score_mean_percent", "error_message")
+
+
+_FORMATTED = "case when {0} < 60 then printf('%.2f sec', {0}) when {0} < 3600 then printf('%.2f min', {0} / 60) else printf('%.2f hr', {0} / 3600) end"
+
+
+@query(f"""
+    with s as (select slide_id, stage, sum(seconds) as d from ({fx.STAGE_TIMES}) group by all),
+    t as (select * from s union all select slide_id, 'total_pipeline_time', sum(d) from s group by 1)
+    select slide_id, stage, cast(d as double) as seconds, case when d < 60 then 'sec' when d < 3600 then 'min' else 'hr' end as unit from t""")
+def stage_totals(spark, sf_dir):
+    """The totals with the unit of their text; the digits of the text are rounded differently by each engine on exact halves."""
+    out = summary.stage_totals(fx.stage_times(spark, sf_dir))
+    return out.select("slide_id", "stage", F.col("seconds").cast("double").alias("seconds"), F.element_at(F.split("formatted", " "), -1).alias("unit"))
+
+
+@query(f"select count(distinct slide_id) as num_slides, cast(sum(seconds) as double) as batch_seconds, printf('%.2f hr', cast(sum(seconds) as double) / 3600) as formatted from ({fx.STAGE_TIMES})")
+def batch_report(spark, sf_dir):
+    return summary.batch_report(fx.stage_times(spark, sf_dir)).withColumn("batch_seconds", F.col("batch_seconds").cast("double"))
+
+
+# Thumbnails
+
+_HSV = f"""
+    select slide_key, y, x, r, g, b, v, cast(((v - lo) * (case when v > 0 then cast(round_even(1044480e0 / v, 0) as bigint) else 0 end) + 2048) >> 12 as int) as s
+    from (select *, cast(greatest(r, g, b) as int) as v, least(r, g, b) as lo from ({fx.THUMB_PX}))"""
+_OTSU = f"""
+    select slide_key, arg_max(s, {{'a': between, 'b': -s}}) as otsu from (
+        select *, case when q < n_all then (m_all * q - n_all * m)::double * (m_all * q - n_all * m)::double / (q * (n_all - q)) else 0e0 end as between from (
+            select slide_key, s, cast(sum(n) over w as bigint) as q, cast(sum(n * s) over w as bigint) as m, cast(sum(n) over (partition by slide_key) as bigint) as n_all, cast(sum(n * s) over (partition by slide_key) as bigint) as m_all
+            from (select slide_key, s, count(*) as n from ({_HSV}) group by all) window w as (partition by slide_key order by s rows unbounded preceding)))
+    group by 1"""
+_TISSUE = f"""
+    select slide_key, y, x, s, v, case when s > greatest(20, cast(trunc(0.8e0 * otsu) as int)) and v < 245 then 1 else 0 end as tissue
+    from ({_HSV}) join ({_OTSU}) using (slide_key)"""
+
+
+def _hsv(spark, sf_dir):
+    s, v = pixels.saturation_value(F.col("r"), F.col("g"), F.col("b"))
+    return fx.thumb_px(spark, sf_dir).select("slide_key", "y", "x", s.alias("s"), v.alias("v"))
+
+
+@query(f"select slide_key, y, x, s, v from ({_HSV})")
+def thumb_hsv(spark, sf_dir):
+    return _hsv(spark, sf_dir)
+
+
+@query(f"select slide_key, otsu, greatest(20, cast(trunc(0.8e0 * otsu) as int)) as threshold from ({_OTSU})")
+def otsu_threshold(spark, sf_dir):
+    return pixels.otsu_thresholds(pixels.saturation_histogram(_hsv(spark, sf_dir)))
+
+
+@query(f"select slide_key, y, x, tissue from ({_TISSUE})")
+def tissue_px(spark, sf_dir):
+    px = _hsv(spark, sf_dir)
+    limit = pixels.otsu_thresholds(pixels.saturation_histogram(px)).select("slide_key", "threshold")
+    return px.join(limit, "slide_key").select("slide_key", "y", "x", pixels.is_tissue(F.col("s"), F.col("v"), F.col("threshold")).cast("int").alias("tissue"))
+
+
+def _morph(source: str, value: str, pick: str) -> str:
+    """SQL for a separable 5 x 5 minimum or maximum that leaves out what lies outside."""
+    row = f"select slide_key, y, x, {pick}({value}) over (partition by slide_key, y order by x rows between 2 preceding and 2 following) as {value} from ({source})"
+    return f"select slide_key, y, x, {pick}({value}) over (partition by slide_key, x order by y rows between 2 preceding and 2 following) as {value} from ({row})"
+
+
+_CLEAN = _morph(_morph(_morph(_morph(f"select slide_key, y, x, tissue from ({_TISSUE})", "tissue", "min"), "tissue", "max"), "tissue", "max"), "tissue", "min")
+_ERODED = f"""
+    select slide_key, y, x, case when count(*) over w = 5 then min(a) over w else 0 end as eroded from (
+        select slide_key, y, x, case when count(*) over v = 5 then min(tissue) over v else 0 end as a from ({_CLEAN}) window v as (partition by slide_key, y order by x rows between 2 preceding and 2 following))
+    window w as (partition by slide_key, x order by y rows between 2 preceding and 2 following)"""
+
+
+def _masks(spark, sf_dir):
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    return rasters.tissue_masks(thumbs)
+
+
+@query(f"select slide_key, y, x, tissue as mask from ({_CLEAN})")
+def tissue_open_close(spark, sf_dir):
+    return rasters.to_pixels(_masks(spark, sf_dir), ["slide_key"], ["mask"])
+
+
+@query(f"select slide_key, y, x, eroded from ({_ERODED})")
+def tissue_eroded(spark, sf_dir):
+    return rasters.to_pixels(_masks(spark, sf_dir), ["slide_key"], ["eroded"])
+
+
+_STATS = ("filter_global_tissue_fraction", "filter_center_tissue_fraction", "filter_grid_pass_cells", "filter_min_grid_tissue_fraction", "filter_mean_saturation_tissue", "filter_mean_value_tissue")
+_ZONAL = f"""
+    with p as (select slide_key, x // 16 as grid_x, y // 16 as grid_y, x % 16 as i, y % 16 as j, eroded, tissue, s, v from ({_ERODED}) join ({_CLEAN}) using (slide_key, y, x) join (select slide_key, y, x, s, v from ({_HSV})) using (slide_key, y, x)),
+    c as (select slide_key, grid_x, grid_y, count(*) filter (where f >= 0.25e0) as filter_grid_pass_cells, min(f) as filter_min_grid_tissue_fraction
+          from (select slide_key, grid_x, grid_y, i // 4 as a, j // 4 as b, avg(eroded) as f from p group by all) group by 1, 2, 3)
+    select slide_key, grid_x, grid_y, avg(eroded) as filter_global_tissue_fraction, coalesce(avg(eroded) filter (where i between 4 and 11 and j between 4 and 11), 0e0) as filter_center_tissue_fraction,
+        any_value(filter_grid_pass_cells) as filter_grid_pass_cells, any_value(filter_min_grid_tissue_fraction) as filter_min_grid_tissue_fraction,
+        coalesce(avg(s) filter (where tissue = 1), 0e0) as filter_mean_saturation_tissue, coalesce(avg(v) filter (where tissue = 1), 255e0) as filter_mean_value_tissue
+    from p join c using (slide_key, grid_x, grid_y) group by 1, 2, 3"""
+_REASON = """case when filter_global_tissue_fraction < 0.6e0 then 'low_global_tissue_fraction' when filter_center_tissue_fraction < 0.5e0 then 'low_center_tissue_fraction'
+    when filter_grid_pass_cells < 6 then 'insufficient_grid_tissue_coverage' when filter_mean_saturation_tissue < 15e0 then 'low_mean_saturation'
+    when filter_mean_value_tissue > 250e0 then 'high_mean_value_background_like' else 'pass' end"""
+
+
+def _zonal(spark, sf_dir):
+    grid = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")
+    rects = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("slide_key"), grid).selectExpr("slide_key", "cast(k % 4 as long) as grid_x", "cast(k div 4 as long) as grid_y")
+    rects = rects.selectExpr("*", "grid_x * 16 as mx0", "grid_x * 16 + 16 as mx1", "grid_y * 16 as my0", "grid_y * 16 + 16 as my1")
+    return rasters.zonal(_masks(spark, sf_dir), rects)
+
+
+@query(f"select slide_key, grid_x, grid_y, {', '.join(_STATS)} from ({_ZONAL})")
+def zonal_tissue(spark, sf_dir):
+    return _zonal(spark, sf_dir).select("slide_key", "grid_x", "grid_y", *(F.col(c).cast("long").alias(c) if "cells" in c else c for c in _STATS))
+
+
+@query(f"select slide_key, grid_x, grid_y, {_REASON} as filter_reason from ({_ZONAL})")
+def tissue_decision(spark, sf_dir):
+    return _zonal(spark, sf_dir).select("slide_key", "grid_x", "grid_y", rasters.tissue_reason().alias("filter_reason"))
+
+
+@query(f"select slide_key, grid_x, grid_y, filter_reason, 'discard_tissue_filter' as final_decision from (select *, {_REASON} as filter_reason from ({_ZONAL})) where filter_reason <> 'pass'")
+def tissue_rejected(spark, sf_dir):
+    return _zonal(spark, sf_dir).withColumn("filter_reason", rasters.tissue_reason()).where("filter_reason <> 'pass'").select("slide_key", "grid_x", "grid_y", "filter_reason", F.lit("discard_tissue_filter").alias("final_decision"))
+
+
+_INFER = replace(PARAMS, patch=32, patch_stride=24, batch_tiles=4)
+
+
+def toy_model():
+    """Answers with the colours of each pixel, so the answer does not depend on the tiling."""
+    return lambda tiles: tiles[..., [2, 0, 1]]
+
+
+@query(f"select slide_key, y, x, case when b >= r and b >= g then 0 when r >= g then 1 else 2 end as mask from ({fx.THUMB_PX})")
+def infer_ts(spark, sf_dir):
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    return rasters.to_pixels(rasters.segmented(thumbs, toy_model, ["slide_key", "height", "width"], _INFER), ["slide_key"], ["mask"])
+
+
+@query(f"select slide_key, y, x, case when r >= 128 then 1 else 0 end as mask from ({fx.THUMB_PX})")
+def infer_tils(spark, sf_dir):
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    return rasters.to_pixels(rasters.segmented(thumbs, toy_model, ["slide_key", "height", "width"], _INFER, objects=True), ["slide_key"], ["mask"])
+
+
+@query(f"""
+    select slide_key, y // 2 as y, x // 2 as x, cast(round_even(sum(r) / 4e0, 0) as int) as r, cast(round_even(sum(g) / 4e0, 0) as int) as g, cast(round_even(sum(b) / 4e0, 0) as int) as b
+    from ({fx.THUMB_PX}) group by 1, 2, 3""")
+def resize_px(spark, sf_dir):
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    half = rasters.resized(thumbs, 24, 32, ["slide_key"]).withColumns({"height": F.lit(24), "width": F.lit(32)})
+    px = rasters.to_pixels(half, ["slide_key"], ["rgb"], channels=3)
+    return px.select("slide_key", "y", "x", *(F.get("rgb", F.lit(k)).alias(c) for k, c in enumerate("rgb")))
+
+
+# Label rasters
+
+@query(f"""
+    select roi_id, count(*) as total_pixels, {', '.join(f"count(*) filter (where cls = {k}) as {n}_pixels, count(*) filter (where cls = {k}) / (count(*) + 1e-7) as {n}_fraction" for k, n in enumerate(('background', 'tumor', 'stroma')))}
+    from ({fx.LABEL_PX}) group by 1""")
+def class_fractions(spark, sf_dir):
+    return pixels.class_fractions(fx.label_px(spark, sf_dir))
+
+
+def _label_rasters(spark, sf_dir):
+    return rasters.from_pixels(fx.label_px(spark, sf_dir), ["roi_id"], {"mask": ["cls"], "objects": ["obj"]})
+
+
+@query(f"""
+    with n as (select roi_id, count(*) as n from (
+        select distinct a.roi_id, a.y, a.x from ({fx.LABEL_PX}) a join ({fx.LABEL_PX}) b on a.roi_id = b.roi_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and ((a.cls = 1 and b.cls = 2) or (a.cls = 2 and b.cls = 1))) group by 1)
+    select roi_id, coalesce(n, 0) as interface_pixels, coalesce(n, 0) / (64 + 1e-7) as interface_density from (select distinct roi_id from ({fx.LABEL_PX})) left join n using (roi_id)""")
+def interface_px(spark, sf_dir):
+    rois = _label_rasters(spark, sf_dir).withColumn("mpp", F.lit(0.25))
+    return rasters.label_features(rois, ["roi_id"]).select("roi_id", "interface_pixels", "interface_density")
+
+
+@query(f"""
+    with n as (select roi_id, count(*) as n from (
+        select distinct a.roi_id, a.y, a.x from ({fx.LABEL_PX}) a join ({fx.LABEL_PX}) b on a.roi_id = b.roi_id and (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 5 and a.cls = 2 and b.cls = 1) group by 1),
+    s as (select roi_id, count(*) filter (where cls = 2) as s from ({fx.LABEL_PX}) group by 1)
+    select roi_id, coalesce(n, 0) as peritumoral_stroma_pixels, coalesce(n, 0) / (s + 1e-7) as peritumoral_stroma_fraction from s left join n using (roi_id)""")
+def peritumoral(spark, sf_dir):
+    rois = _label_rasters(spark, sf_dir).withColumn("mpp", F.lit(64.0))
+    return rasters.label_features(rois, ["roi_id"]).select("roi_id", "peritumoral_stroma_pixels", "peritumoral_stroma_fraction")
+
+
+@query(f"select roi_id, y, x, max(p[1]) as p0, max(p[2]) as p1, max(p[3]) as p2 from ({fx.TILE_PROBS}) group by 1, 2, 3")
+def tile_merge_max(spark, sf_dir):
+    return pixels.merged_tiles(fx.tile_probs(spark, sf_dir))
+
+
+@query(f"""
+    select roi_id, y, x, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as cls
+    from (select roi_id, y, x, max(p[1]) as p0, max(p[2]) as p1, max(p[3]) as p2 from ({fx.TILE_PROBS}) group by 1, 2, 3)""")
+def argmax_class(spark, sf_dir):
+    return pixels.merged_tiles(fx.tile_probs(spark, sf_dir)).select("roi_id", "y", "x", pixels.best_class().alias("cls"))
+
+
+@query(f"select roi_id, y, x, max(p[2]) as probability from ({fx.TILE_PROBS}) group by 1, 2, 3 having max(p[2]) >= 0.5e0")
+def til_threshold(spark, sf_dir):
+    fg = fx.tile_probs(spark, sf_dir).groupBy("roi_id", "y", "x").agg(F.max(pixels.foreground(F.col("p"))).alias("probability"))
+    return fg.where(F.col("probability") >= PARAMS.object_threshold)
+
+
+@query(f"select roi_id, y, x from ({fx.LABEL_PX}) where cls = 2 and obj = 1")
+def tils_in_stroma(spark, sf_dir):
+    px = fx.label_px(spark, sf_dir)
+    return pixels.inside_class(px.select("roi_id", "y", "x", "cls"), px.select("roi_id", "y", "x", "obj")).select("roi_id", "y", "x")
+
+
+_COMPONENTS = f"""
+    with recursive m as (select roi_id, y, x from ({fx.LABEL_PX}) where cls = 2 and obj = 1),
+    r as (select roi_id, y * 8 + x as root, y, x from m union select m.roi_id, r.root, m.y, m.x from r join m on m.roi_id = r.roi_id and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1),
+    l as (select roi_id, y, x, min(root) as label from r group by 1, 2, 3),
+    a as (select roi_id, label, count(*) as area from l group by 1, 2)
+    select i.roi_id, s as stroma_area_px, count(area) filter (where area >= 5) as num_tils_inside_stroma, cast(coalesce(sum(area) filter (where area >= 5), 0) as bigint) as tils_predicted_area_px_after_filtering,
+        count(area) filter (where area < 5) as removed_small_components
+    from (select roi_id, count(*) filter (where cls = 2) as s from ({fx.LABEL_PX}) group by 1) i left join a using (roi_id) group by 1, 2"""
+
+
+@query(_COMPONENTS)
+def til_components(spark, sf_dir):
+    counted = rasters.objects_in_class(_label_rasters(spark, sf_dir), ["roi_id"], replace(PARAMS, split_touching=False))
+    return counted.select("roi_id", "stroma_area_px", "num_tils_inside_stroma", "tils_predicted_area_px_after_filtering", "removed_small_components")
+
+
+@query()
+def watershed_split(spark, sf_dir):
+    """Objects of the thumbnails' blobs set apart; flooding has no form in SQL, so tests hold it against hand-drawn rasters."""
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    found = rasters.segmented(thumbs, toy_model, ["slide_key", "height", "width"], _INFER).drop("error")
+    rois = found.withColumn("objects", F.col("mask"))
+    out = rasters.objects_in_class(rois, ["slide_key"])
+    return out.select("slide_key", "tils_raw_components_before_watershed", "tils_components_after_watershed", "num_tils_inside_stroma", "error")
+
+
+@query(f"""
+    select roi_id, y, x, case cls when 1 then 255 else 0 end as r, case cls when 2 then 255 else 0 end as g, 0 as b from ({fx.LABEL_PX})""")
+def mask_colors(spark, sf_dir):
+    px = fx.label_px(spark, sf_dir).withColumn("rgb", pixels.class_color(F.col("cls")))
+    return px.select("roi_id", "y", "x", *(F.get("rgb", F.lit(k)).alias(c) for k, c in enumerate("rgb")))
+
+
+_BLEND = "cast(least(greatest(round_even({v} * (1e0 - {a}) + ({c}) * {a}, 0), 0), 255) as int)"
+_OVER = {"r": ("case cls when 1 then 255 else 0 end", "case obj when 1 then 255 else 0 end"), "g": ("case cls when 2 then 255 else 0 end", "case obj when 1 then 255 else 0 end"), "b": ("0", "0")}
+
+
+@query(f"""
+    select roi_id, y, x, {', '.join(_BLEND.format(v=f'{k}1', a='0.45e0', c=second) + f' as {k}' for k, (_, second) in _OVER.items())}
+    from (select *, {', '.join(_BLEND.format(v='base', a='0.3e0', c=first) + f' as {k}1' for k, (first, _) in _OVER.items())} from (select *, (roi_id * 7 + y * 13 + x * 29) % 256 as base from ({fx.LABEL_PX})))""")
+def overlay_px(spark, sf_dir):
+    """The classes and then the objects blended over a grey image."""
+    px = fx.label_px(spark, sf_dir).withColumn("base", (F.col("roi_id") * 7 + F.col("y") * 13 + F.col("x") * 29) % 256).withColumn("rgb", pixels.class_color(F.col("cls")))
+    mark = F.when(F.col("obj") == 1, F.array(*map(F.lit, pixels.OBJECT_RGB))).otherwise(F.array(F.lit(0), F.lit(0), F.lit(0)))
+    once = px.withColumn("mark", mark).withColumns({f"{c}1": pixels.blended(F.col("base"), F.get("rgb", F.lit(k)), 0.30) for k, c in enumerate("rgb")})
+    return once.select("roi_id", "y", "x", *(pixels.blended(F.col(f"{c}1"), F.get("mark", F.lit(k)), 0.45).alias(c) for k, c in enumerate("rgb")))
+
+
+@query(f"""
+    select round(1 - avg((2 * i + 1e-6) / (u + 1e-6)), 9) as dice_loss
+    from (select sample_id, class, sum(y_true * y_pred) as i, sum(y_true + y_pred) as u from ({fx.EVAL_PX}) group by all)""")
+def dice_loss(spark, sf_dir):
+    return pixels.dice_loss(fx.eval_px(spark, sf_dir)).select(F.round("dice_loss", 9).alias("dice_loss"))
+
+
+@query(f"""
+    with e as ({fx.EVAL_PX}), p as (select *, least(greatest(y_pred / sum(y_pred) over (partition by sample_id, y, x), 1e-7), 1 - 1e-7) as q from e),
+    d as (select 1 - avg((2 * i + 1e-6) / (u + 1e-6)) as dice from (select sample_id, class, sum(y_true * y_pred) as i, sum(y_true + y_pred) as u from e group by all))
+    select round((select sum(-y_true * ln(q)) / sum(y_true) from p where y_true > 0) + dice, 6) as loss from d""")
+def ce_dice_loss(spark, sf_dir):
+    px = fx.eval_px(spark, sf_dir)
+    return pixels.cross_entropy(px).select(F.round(F.col("cross_entropy") + pixels.dice_loss(px).scalar(), 6).alias("loss"))
