@@ -18,7 +18,7 @@ LEAST_RATIO = -0.6
 MOST_BROADCAST = 1_000_000
 
 _BLANKS = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def _words(text: Column) -> Column:
@@ -30,13 +30,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
+def _windows(words: Column) -> Column:
+    """Hashes of the windows of three words."""
+    return F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
 
 
-def _repeated(words: Column) -> Column:
-    """Words that lie in a window of three which the text holds twice or more."""
-    windows = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
+def _repeated(windows: Column) -> Column:
+    """Words that lie in a window which the text holds twice or more; windows is a column that has been computed before."""
 
     def covered(pairs: Column) -> Column:
         same = F.filter(pairs, lambda p, i: (F.get(pairs, i - 1)["h"] == p["h"]) | (F.get(pairs, i + 1)["h"] == p["h"]))
@@ -44,36 +44,33 @@ def _repeated(words: Column) -> Column:
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
 
-    def count(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(pairs, covered)).otherwise(0)
-
-    return _let(windows, count)
+    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(pairs, covered)).otherwise(0)
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); words lie between ASCII blanks. Null text is empty and has none of anything."""
-    docs = id_and_text(docs, id_col, text_col).select("doc_id", "text", _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "").alias("lines"))
+    """(doc_id, hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), with a hash of the text; words lie between ASCII blanks. Null text is empty and has none of anything."""
+    docs = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("hash"), _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "").alias("lines"), F.regexp_count("text", F.lit(_SYMBOLS)).alias("symbols"))
+    docs = docs.withColumn("windows", _windows(F.col("words")))
     counts = {
         "n_words": F.size("words"),
-        "word_chars": _without(F.col("text"), _BLANKS),
-        "n_symbols": F.char_length("text") - _without(F.col("text"), _SYMBOLS),
+        "word_chars": F.char_length(F.concat_ws("", "words")),
+        "n_symbols": F.col("symbols"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
-        "n_repeat_words": _repeated(F.col("words")),
+        "n_repeat_words": _repeated(F.col("windows")),
     }
-    return docs.select("doc_id", "text", *(v.cast("long").alias(k) for k, v in counts.items()))
-
+    return docs.select("doc_id", "hash", *(v.cast("long").alias(k) for k, v in counts.items()))
 
-def _buckets(text: Column) -> Column:
-    """Buckets of the text's unigrams and bigrams of words and of runs of signs."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
 
-    def grams(t: Column) -> Column:
-        one = F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-        two = F.transform(t, lambda x, i: F.pmod(F.xxhash64(x, F.get(t, i + 1)), F.lit(BUCKETS)).cast("int"))
-        return F.concat(one, F.slice(two, 1, F.greatest(F.size(t) - 1, F.lit(0))))
+def _exploded(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and the bucket of every unigram and bigram of words and of runs of signs; the last token's bigram has it alone.
 
-    return _let(tokens, grams)
+    One function runs over the tokens and gives both buckets of a place as one number.
+    """
+    tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
+    both = _let(tokens, lambda t: F.transform(t, lambda x, i: F.pmod(F.xxhash64(x), F.lit(BUCKETS)) * BUCKETS + F.pmod(F.xxhash64(x, F.get(t, i + 1)), F.lit(BUCKETS))))
+    places = docs.select(*keep, F.explode(both).alias("both"))
+    return places.select(*keep, F.explode(F.array((F.col("both") / BUCKETS).cast("int"), (F.col("both") % BUCKETS).cast("int"))).alias("bucket"))
 
 
 def ratio_model(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +82,7 @@ def ratio_model(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text
     trusted = cut(target.select(F.col(id_col).cast("long").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(1)))
     few = trusted.count() <= MOST_BROADCAST
     marked = id_and_text(docs, id_col, text_col).join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
-    grams = marked.select(F.explode(_buckets(F.col("text"))).alias("bucket"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    grams = _exploded(marked.withColumn("trusted", F.coalesce("trusted", F.lit(0))), "trusted")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     smooth = cut(every.select("bucket", *((F.coalesce(c, F.lit(0)) + SMOOTHING).alias(c) for c in ("raw", "good"))))
@@ -104,10 +101,10 @@ def quality(docs: DataFrame, target: DataFrame, least_ratio: float = LEAST_RATIO
     the target is the smoothing alone. Rows with equal or null ids are kept; an empty table gives no rows; extra columns are not read.
     """
     model = F.broadcast(ratio_model(docs, target, id_col, text_col))
-    counted = text_counts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    own = [c for c in counted.columns if c != "text"]
-    grams = counted.select(*own, F.explode_outer(_buckets(F.col("text"))).alias("bucket"))
-    # all rows of a document come from one task, so it leaves that task as one row
-    scored = grams.join(model, "bucket", "left").groupBy(*own).agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("ratio")).drop("row")
+    # all n-grams of a text come from one task, so it leaves that task as one row; equal rows have one ratio
+    grams = _exploded(id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")), "doc_id", "hash")
+    ratios = grams.join(model, "bucket").groupBy("doc_id", "hash").agg(F.avg("ratio").alias("found")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "found")
+    counted = text_counts(docs, id_col, text_col)
+    scored = counted.join(ratios, counted["doc_id"].eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").withColumn("ratio", F.coalesce("found", F.lit(0.0))).drop("hash", "_id", "_hash", "found")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least_ratio))
