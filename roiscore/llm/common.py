@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from roiscore.session import ship
 
 #: Text handed to numpy at a time; a longer document is handed over alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

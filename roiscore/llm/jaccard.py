@@ -162,8 +162,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            good = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)]
+            good = [_linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), percent) for pair in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     found = chosen.select("text").mapInArrow(sets, "cls long, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes"))
