@@ -18,13 +18,14 @@ class Params:
     """projections: sorted arrays of a block. threshold: share of them in which a vector must fall into the query's window
     to be verified. share: of a block's vectors that must reach it before the windows stop widening (and k more, and no
     fewer than least).
-    step: by which a round widens the windows. block, queries: vectors and queries that meet in one task."""
+    start, step: half of the first windows, in interquartile ranges of the projections, and by which a round widens them. block, queries: vectors and queries that meet in one task."""
 
     projections: int = 96
     threshold: float = 0.7
-    share: float = 0.1
+    share: float = 0.14
     least: int = 512
-    step: float = 1.15
+    start: float = 0.75
+    step: float = 1.12
     block: int = 8192
     queries: int = 1024
     seed: int = 7
@@ -47,7 +48,7 @@ class SortedProjections:
         self.order = np.argsort(values, axis=1)
         self.values = np.take_along_axis(values, self.order, 1)
         n = len(vectors)
-        middle = np.median(self.values[:, 3 * n // 4] - self.values[:, n // 4]) / 2
+        middle = np.median(self.values[:, 3 * n // 4] - self.values[:, n // 4]) * p.start
         self.width = float(middle) or float(np.abs(values).max()) or 1.0
 
     def candidates(self, queries: np.ndarray, k: int):
@@ -129,6 +130,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
             for first in range(0, len(q), 64):
                 for i, found in index.candidates(q[first : first + 64], k + 1):
                     found = found[ids[found] != own[first + i]]
+                    if len(found) > k:  # what can't be among the best by more than rounding goes before scores are added up in one order
+                        near = x[found] @ q[first + i]
+                        found = found[near >= np.partition(near, -k)[-k] - 1e-9 * longest**2]
                     score = (x[found] * q[first + i]).sum(axis=1)
                     best = np.lexsort((ids[found], -score))[:k]
                     for column, v in zip(out, (np.full(len(best), own[first + i]), ids[found][best], score[best])):
