@@ -100,7 +100,7 @@ def disc(shape, y, x, r):
 
 
 def test_touching_discs_are_set_apart():
-    mask = (disc((60, 90), 30, 30, 15) | disc((60, 90), 30, 59, 15)).astype(np.uint8)
+    mask = (disc((60, 90), 30, 30, 15) | disc((60, 90), 30, 60, 15)).astype(np.uint8)
     assert len(raster.components(mask)[1]) == 1
     apart = raster.split_touching(mask, 0.35, 2)
     assert len(raster.components(apart)[1]) == 2
