@@ -48,12 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Arrow batches between Spark and its Python workers, for which Spark's own default is 64 MB. Spark's default is lowered,
+#: as every worker and task holds several of them; a size that the session has chosen stays.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] | None = None) -> DataFrame:
     """Only the columns an operator needs, under names that no extra column can clash with; null text is empty.
 
     carry: further columns that go along untouched, as fields of the struct column `carried`.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     more = [] if carry is None else [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
