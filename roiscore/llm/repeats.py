@@ -14,7 +14,7 @@ from roiscore.llm.common import id_and_text, text_slices, with_carried
 
 #: Windows that a task gathers before it sends them on, and that one range of hashes should get in all.
 FLUSH_WINDOWS = 500_000
-RANGE_WINDOWS = 1_000_000
+RANGE_WINDOWS = 500_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -116,9 +116,9 @@ def _stretches(key: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[n
 
 
 def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFrame:
-    """Windows around hit blocks, by range of their smallest run of `block` words, so that neighbours stay together.
+    """Windows around hit blocks, by range of a hash of their smallest run of `block` words, so that neighbours stay together.
 
-    Equal windows have equal smallest runs. Each task sends the first of equal windows; the others repeat it for sure.
+    Equal windows have equal smallest runs; these are small numbers, which the hash spreads over the ranges. Each task sends the first of equal windows; the others repeat it for sure.
     """
 
     def send(parts: list) -> pa.RecordBatch:
@@ -165,7 +165,7 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
                 while size * 2 <= reach + 1:
                     run, size = np.minimum(run[:-size], run[size:]), size * 2
                 run = np.minimum(run[: len(run) - (reach + 1 - size)], run[reach + 1 - size :])
-                parts.append((value[chosen], names[first:stop][w.owner[chosen]], w.place[chosen].astype(np.int32), run[chosen]))
+                parts.append((value[chosen], names[first:stop][w.owner[chosen]], w.place[chosen].astype(np.int32), words.mix(run[chosen])))
                 n += len(chosen)
                 if n >= FLUSH_WINDOWS:
                     yield send(parts)
