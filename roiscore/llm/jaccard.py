@@ -231,6 +231,6 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     compared(mixed.join(mixed.select("v", F.col("x").alias("y"), F.col("x_info").alias("y_info"), F.col("x_root").alias("y_root")), "v").where((F.col("x_root") < F.col("y_root")) & could))
 
     rooted = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a table of its own, so that a large component can be split in the join
     named = rooted.join(smallest, "root").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
