@@ -95,6 +95,17 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes >= 1000 and first <> page_id then first end as refers_to
         from r
     """,
+    "op8_jaccard": r"""
+        with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from t),
+        n as (select doc_id, count(*) as n from s group by 1),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l),
+        r as (select doc_id, doc_id as reached from documents union select r.doc_id, e.b from r join e on e.a = r.reached)
+        select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.reached) as component_id
+        from documents d join r using (doc_id) left join n using (doc_id) group by 1
+    """,
     "op9_repeats": r"""
         with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
         w as (select doc_id, unnest(words) as word, unnest(range(len(words))) as pos from t),
