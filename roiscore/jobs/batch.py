@@ -14,6 +14,8 @@ from roiscore.operators import rasters, scoring, selection, summary, windows
 from roiscore.sources import catalogue
 
 KEY = ["slide_id", "grid_x", "grid_y"]
+#: Region keys with their numbers (some 100 bytes each) that may be sent to all rasters; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 @dataclass
@@ -26,6 +28,11 @@ class Selection:
     failed: DataFrame
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """df to be broadcast if its rows, which are counted, are few; then the rasters it is joined with stay where they are read."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def screened_windows(slides: DataFrame, thumbnails: DataFrame, p: Params = PARAMS) -> DataFrame:
     """Every candidate window with the statistics of the foreground in it and the reason that it passes or not.
 
@@ -49,8 +56,7 @@ def select_rois(slides: DataFrame, thumbnails: DataFrame, regions: DataFrame, mo
     screened = keep(screened_windows(slides, thumbnails, p))
     passed = screened.where("filter_reason = 'pass'")
     plan = passed.select(*KEY, "filter_global_tissue_fraction", "w_level0", "h_level0", "base_mpp_x", "base_mpp_y")
-    # only keys and numbers go to the regions; rasters stay where they are read, if the keys are few
-    rois = regions.join(plan, KEY).withColumns({f"effective_mpp_{a}": geometry.effective_mpp(F.col(f"{s}_level0"), F.col(f"base_mpp_{a}"), p.roi_px) for a, s in (("x", "w"), ("y", "h"))})
+    rois = regions.join(_sent(plan), KEY).withColumns({f"effective_mpp_{a}": geometry.effective_mpp(F.col(f"{s}_level0"), F.col(f"base_mpp_{a}"), p.roi_px) for a, s in (("x", "w"), ("y", "h"))})
     kept = [*KEY, "height", "width", "filter_global_tissue_fraction", "effective_mpp_x", "effective_mpp_y"]
     labels = keep(rasters.segmented(rois, model, kept, p))
     good = labels.where("error is null").drop("error").withColumn("mpp", (F.col("effective_mpp_x") + F.col("effective_mpp_y")) / 2)
@@ -63,9 +69,9 @@ def select_rois(slides: DataFrame, thumbnails: DataFrame, regions: DataFrame, mo
 def score_rois(chosen: Selection, regions: DataFrame, model: Callable[[], Callable], keep: Callable[[DataFrame], DataFrame], p: Params = PARAMS) -> tuple[DataFrame, DataFrame]:
     """(scores of the selected regions with their rasters, failures). Label rasters are those of the selection."""
     picked = selection.ranked(chosen.decisions.where(F.col("final_decision").isin(*selection.CHOSEN)), "roi_score", "rank", "slide_id")
-    rgb = regions.join(picked.select(*KEY), KEY, "left_semi")
+    rgb = regions.join(_sent(picked.select(*KEY)), KEY, "left_semi")
     objects = rasters.segmented(rgb, model, [*KEY, "height", "width"], p, objects=True)
-    labels = chosen.labels.where("error is null").select(*KEY, "mask")
+    labels = chosen.labels.where("error is null").join(_sent(picked.select(*KEY)), KEY, "left_semi").select(*KEY, "mask")
     good = objects.where("error is null").drop("error").withColumnRenamed("mask", "objects").join(labels, KEY)
     counted = keep(rasters.objects_in_class(good, [*KEY, "height", "width", "mask"], p))
     scored = scoring.with_object_score(counted.where("error is null").drop("error").join(picked, KEY), p)

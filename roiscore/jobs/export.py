@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roiscore.config import PARAMS, Params
+from roiscore.functions import raster
 from roiscore.functions.geometry import rectangle
 from roiscore.functions.text import roi_name
+from roiscore.operators import pixels, rasters
 from roiscore.operators.selection import ranked
+from roiscore.operators.summary import timing_lines
 
 MEASURES = ("roi_score", "tumor_fraction", "stroma_fraction", "interface_density", "stroma_area_px", "num_tils_inside_stroma", "roi_tils_score_fraction", "roi_tils_score_percent", "effective_mpp_x_for_scoring", "effective_mpp_y_for_scoring")
 
@@ -58,20 +62,21 @@ def write_tables(df: DataFrame, folder: str, slide: str = "slide_id", kind: str
     df.repartition(slide).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", kind == "csv").partitionBy(slide).format(kind).save(folder)
 
 
+def write_timings(totals: DataFrame, folder: str, slide: str = "slide_id") -> None:
+    """Stage totals as a table and as lines of text, one folder for each slide."""
+    write_tables(totals, f"{folder}/csv", slide, "csv")
+    timing_lines(totals, slide).repartition(slide).write.mode("overwrite").partitionBy(slide).text(f"{folder}/text")
+
+
 def raster_rows(rois: DataFrame, p: Params = PARAMS, slide: str = "slide_key") -> DataFrame:
     """(slide, kind, name, height, width, channels, data) of the rasters to keep, named after rank, decision and grid.
 
     Overlays blend the classes and then the objects over the image.
     """
-    from roiscore.functions import raster
-    from roiscore.operators import pixels, rasters
-
     kinds = ["image"] * p.save_images + ["label", "color", "objects", "stroma", "inside", "clean"] * p.save_masks + ["overlay"] * p.save_overlays
     keep = [slide, "name", "height", "width"]
 
     def work(row) -> dict:
-        import numpy as np
-
         shape = (row["height"], row["width"])
         rgb = np.frombuffer(row["rgb"], np.uint8).reshape(*shape, 3)
         label, found, inside, clean = (np.frombuffer(row[c], np.uint8).reshape(shape) for c in ("mask", "objects", "inside", "clean"))

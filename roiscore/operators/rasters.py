@@ -19,7 +19,8 @@ from roiscore.functions import raster
 from roiscore.session import ship
 
 
-def _array(row, name: str, channels: int = 1) -> np.ndarray:
+def band(row, name: str, channels: int = 1) -> np.ndarray:
+    """A row's raster as an array of its height and width."""
     a = np.frombuffer(row[name], np.uint8)
     return a.reshape(row["height"], row["width"], channels) if channels > 1 else a.reshape(row["height"], row["width"])
 
@@ -73,7 +74,7 @@ def tissue_masks(thumbnails: DataFrame, p: Params = PARAMS, key: list[str] = ("s
     """threshold, mask and eroded mask of each thumbnail (rgb)."""
 
     def work(row) -> dict:
-        s, v = raster.saturation_value(_array(row, "rgb", 3))
+        s, v = raster.saturation_value(band(row, "rgb", 3))
         threshold = max(20, int(0.8 * raster.otsu(np.bincount(s.reshape(-1), minlength=256))))
         mask = ((s > threshold) & (v < 245)).astype(np.uint8)
         mask = raster.closed(raster.opened(mask, p.open_close), p.open_close)
@@ -99,9 +100,9 @@ def zonal(masks: DataFrame, rects: DataFrame, p: Params = PARAMS, key: str = "sl
 
     def work(row) -> dict:
         r = {c: np.array([x[c] for x in row["rects"]], np.int64) for c in ("mx0", "mx1", "my0", "my1")}
-        mask = _array(row, "mask")
-        inside = _array(row, "eroded") if p.use_eroded else mask
-        s, v = raster.saturation_value(_array(row, "rgb", 3))
+        mask = band(row, "mask")
+        inside = band(row, "eroded") if p.use_eroded else mask
+        s, v = raster.saturation_value(band(row, "rgb", 3))
         count = raster.window_sums(inside > 0)
         height, width = r["my1"] - r["my0"], r["mx1"] - r["mx0"]
 
@@ -144,7 +145,7 @@ def label_features(rois: DataFrame, keep: list[str], p: Params = PARAMS) -> Data
     """Features of each label raster (mask; mpp is its mean resolution)."""
 
     def work(row) -> dict:
-        label, eps = _array(row, "mask"), 1e-7
+        label, eps = band(row, "mask"), 1e-7
         n = np.bincount(label.reshape(-1), minlength=3)
         rim = int(raster.interface(label).sum())
         near = int((raster.within(label == 1, p.radius_um, row["mpp"]) & (label == 2)).sum())
@@ -165,7 +166,7 @@ def segmented(rois: DataFrame, model_factory: Callable[[], Callable], keep: list
     def work(row) -> dict:
         if not made:
             made.append(model_factory())
-        rgb = _array(row, "rgb", 3)
+        rgb = band(row, "rgb", 3)
         if objects:
             out = raster.infer(rgb, made[0], p.patch, p.patch_stride, p.batch_tiles, raster.foreground)
             return {"mask": (out >= p.object_threshold).astype(np.uint8).tobytes()}
@@ -181,7 +182,7 @@ def objects_in_class(rois: DataFrame, keep: list[str], p: Params = PARAMS, cls:
     """Objects (objects) counted inside a class of the label raster (mask), touching ones set apart before; sizes out of bounds go."""
 
     def work(row) -> dict:
-        label, found = _array(row, "mask"), (_array(row, "objects") > 0).astype(np.uint8)
+        label, found = band(row, "mask"), (band(row, "objects") > 0).astype(np.uint8)
         apart = raster.split_touching(found, p.split_at, p.split_rounds) if p.split_touching else found
         inside = apart & (label == cls)
         shaped = raster.opened(inside, p.open_objects) if p.open_objects else inside
@@ -197,4 +198,4 @@ def objects_in_class(rois: DataFrame, keep: list[str], p: Params = PARAMS, cls:
 
 def resized(rasters: DataFrame, height: int, width: int, keep: list[str]) -> DataFrame:
     """rgb at another size."""
-    return each_raster(rasters, lambda row: {"rgb": raster.resized(_array(row, "rgb", 3), height, width).tobytes()}, "rgb binary", keep)
+    return each_raster(rasters, lambda row: {"rgb": raster.resized(band(row, "rgb", 3), height, width).tobytes()}, "rgb binary", keep)

@@ -54,9 +54,9 @@ def stage_totals(times: DataFrame, key: str = "slide_id") -> DataFrame:
     return stages.unionByName(whole).withColumn("formatted", duration(F.col("seconds").cast("double")))
 
 
-def timing_lines(totals: DataFrame) -> DataFrame:
+def timing_lines(totals: DataFrame, key: str = "slide_id") -> DataFrame:
     """The totals as lines of text."""
-    return totals.select("slide_id", F.format_string("%-60s %s", "stage", "formatted").alias("value"))
+    return totals.select(key, F.format_string("%-60s %s", "stage", "formatted").alias("value"))
 
 
 def batch_report(times: DataFrame, key: str = "slide_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roiscore.config import PARAMS
+from roiscore.functions import raster
 from roiscore.functions.text import roi_name
 from roiscore.jobs import export
 from roiscore.operators import pixels, rasters, scoring, selection, summary, windows
@@ -490,6 +491,23 @@ def til_components(spark, sf_dir):
     return counted.select("roi_id", "stroma_area_px", "num_tils_inside_stroma", "tils_predicted_area_px_after_filtering", "removed_small_components")
 
 
+@query(f"""
+    with recursive m as (select roi_id, y, x from ({fx.LABEL_PX}) where obj = 1),
+    r as (select roi_id, y * 8 + x as root, y, x from m union select m.roi_id, r.root, m.y, m.x from r join m on m.roi_id = r.roi_id and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1),
+    a as (select roi_id, label, count(*) as area from (select roi_id, y, x, min(root) as label from r group by 1, 2, 3) group by 1, 2)
+    select roi_id, count(*) as n_components, max(area) as largest, cast(coalesce(sum(area) filter (where area >= 5), 0) as bigint) as kept_px from a group by 1""")
+def object_components(spark, sf_dir):
+    """Eight-connected components of the object rasters, and what a filter by size leaves."""
+
+    def work(row) -> dict:
+        mask = rasters.band(row, "objects")
+        area = raster.components(mask)[1]
+        return {"n_components": len(area), "largest": int(area.max(initial=0)), "kept_px": int(raster.keep_components(mask, 5).sum())}
+
+    found = rasters.each_raster(_label_rasters(spark, sf_dir), work, "n_components long, largest long, kept_px long", ["roi_id"])
+    return found.where("n_components > 0").drop("error")
+
+
 @query()
 def watershed_split(spark, sf_dir):
     """Objects of the thumbnails' blobs set apart; flooding has no form in SQL, so tests hold it against hand-drawn rasters."""

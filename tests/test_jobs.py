@@ -10,7 +10,7 @@ from roiscore.config import PARAMS
 from roiscore.functions.text import duration
 from roiscore.jobs import batch, export
 from roiscore.operators import selection, summary, windows
-from roiscore.sources import catalogue
+from roiscore.sources import catalogue, images
 from roiscore.streaming.incremental import upsert_stream
 
 P = replace(PARAMS, roi_px=64, stride_px=64, patch=32, patch_stride=24, radius_um=4.0, thumbnail_max=64)
@@ -122,6 +122,30 @@ def test_sinks(spark, tmp_path):
         assert sorted((r.slide_id, int(r.n)) for r in back.collect()) == [("a", 9), ("b", 2)]
 
 
+def test_image_files(spark, tmp_path):
+    """A 24-bit bitmap of 2 x 2 pixels, lower row first, each row padded to four bytes."""
+    rows = [[(0, 0, 255), (10, 20, 30)], [(255, 0, 0), (0, 255, 0)]]  # blue, green, red
+    body = b"".join(b"".join(map(bytes, r)) + b"\0\0" for r in rows)
+    head = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little")
+    info = (40).to_bytes(4, "little") + (2).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    (tmp_path / "a.bmp").write_bytes(head + info + body)
+    out = images.read_images(spark, str(tmp_path)).first()
+    assert (out.height, out.width, out.error) == (2, 2, None)
+    assert bytes(out.rgb) == bytes([0, 0, 255, 0, 255, 0, 255, 0, 0, 30, 20, 10])
+    big = images.at_roi_size(images.read_images(spark, str(tmp_path)).drop("error"), ["path"], replace(PARAMS, roi_px=4)).first()
+    assert (big.height, big.width, len(big.rgb)) == (4, 4, 48)
+
+
+def test_timings_and_summaries_are_written_and_read(spark, tmp_path):
+    times = spark.createDataFrame([("a", "open", 1.0), ("a", "mask", 70.0), ("a", "mask", 20.0)], "slide_id string, stage string, seconds double")
+    export.write_timings(summary.stage_totals(times), str(tmp_path / "t"))
+    lines = sorted(r.value.split(maxsplit=1) for r in spark.read.text(str(tmp_path / "t/text")).collect())
+    assert lines == [["mask", "1.50 min"], ["open", "1.00 sec"], ["total_pipeline_time", "1.52 min"]]
+    one = spark.createDataFrame([("a", "/a.svs", "OK", None, None, 4, 2, 1, 1, 10, 3, 1.5, 2.0, 1.0)], catalogue.SUMMARY_SCHEMA)
+    one.write.csv(str(tmp_path / "s"), header=True)
+    assert catalogue.read_summary(spark, str(tmp_path / "s")).collect() == one.collect()
+
+
 def test_raster_rows(spark):
     px = np.zeros((4, 4), np.uint8)
     row = [("s", 0, 1, 1, "direct_accept", 4, 4, *(bytearray(x.tobytes()) for x in (np.full((4, 4, 3), 100, np.uint8), px + 2, px, px, px)))]
