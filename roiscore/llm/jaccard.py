@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     return joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+@dataclass
+class _Prepared:
+    """docs as doc_id and text; rows: (doc_id, n, cls); classes: one row for each class; listed: the prefix shingles that more classes have, each with the class where it comes first."""
+
+    docs: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    listed: DataFrame
+
+
+def _prepared(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> _Prepared:
+    spark = docs.sparkSession
+    docs = id_and_text(docs, id_col, text_col)
+    scanned = staged(_scan(docs, n))
+    rows = scanned.where("part is null").select("doc_id", "n", "cls")
+    classes = scanned.where("part is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    level = spark.sparkContext.broadcast(_levels(scanned))
+
+    by_list = Window.partitionBy("v").orderBy("info", "cls")
+    listed = _index(docs, n, percent, level).repartition("v").select("v", "cls", "info", F.lag("cls").over(by_list).alias("last"), F.lead("cls").over(by_list).alias("next"), *(F.first(c).over(by_list.rowsBetween(Window.unboundedPreceding, 0)).alias(f"hub_{c}") for c in ("cls", "info")))
+    # equal sets lie side by side: one of them stays, unless it is alone in its list
+    listed = staged(listed.where("last <> cls or (last is null and next is not null)").drop("last", "next"))
+    return _Prepared(docs, rows, classes, listed)
+
+
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents that link through Jaccard similarity of at least percent / 100.
 
@@ -190,18 +216,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     stay separate rows with one component; a null id takes the smallest other id of its component, or null; an empty
     table gives no rows; extra columns are not read.
     """
-    spark = docs.sparkSession
-    docs = id_and_text(docs, id_col, text_col)
-    scanned = staged(_scan(docs, n))
-    rows = scanned.where("part is null").select("doc_id", "n", "cls")
-    classes = scanned.where("part is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    level = spark.sparkContext.broadcast(_levels(scanned))
-
-    by_list = Window.partitionBy("v").orderBy("info", "cls")
-    listed = _index(docs, n, percent, level).repartition("v").select("v", "cls", "info", F.lag("cls").over(by_list).alias("last"), F.lead("cls").over(by_list).alias("next"), *(F.first(c).over(by_list.rowsBetween(Window.unboundedPreceding, 0)).alias(f"hub_{c}") for c in ("cls", "info")))
-    # equal sets lie side by side: one of them stays, unless it is alone in its list
-    listed = staged(listed.where("last <> cls or (last is null and next is not null)").drop("last", "next"))
-
+    p = _prepared(docs, n, percent, id_col, text_col)
+    docs, rows, classes, listed = p.docs, p.rows, p.classes, p.listed
     could = _could_link(percent)
     to_hub = listed.select(F.col("cls").alias("x"), F.col("info").alias("x_info"), F.col("hub_cls").alias("y"), F.col("hub_info").alias("y_info"))
     hubs = cut(to_hub.where((F.col("x") != F.col("y")) & could).groupBy("x", "y").agg(F.count("*").alias("n")))
@@ -234,3 +250,19 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     smallest = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a table of its own, so that a large component can be split in the join
     named = rooted.join(smallest, "root").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_pairs(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((a, b), (doc_id, representative)): every link between different sets, as their representatives' ids, and the membership.
+
+    The whole join, where similar_documents only finds components: rows grow with the links themselves, so a group of k
+    near copies may give k * k / 2. Documents with equal sets link, too, and have one representative, the smallest id. Documents without words have none.
+    """
+    p = _prepared(docs, n, percent, id_col, text_col)
+    x, y = (p.listed.select("v", F.col("cls").alias(s), F.col("info").alias(f"{s}_info")) for s in "xy")
+    pairs = cut(_plausible(_pairs(x.join(y, "v").where((F.col("x") < F.col("y")) & _could_link(percent))), p.classes, percent))
+    links = _verified(pairs, p.docs, p.classes, n, percent)
+    ids = p.classes.select("cls", "doc_id")
+    named = links.join(ids.withColumnsRenamed({"cls": "a", "doc_id": "i"}), "a").join(ids.withColumnsRenamed({"cls": "b", "doc_id": "j"}), "b")
+    members = p.rows.join(ids.withColumnRenamed("doc_id", "representative"), "cls", "left").select("doc_id", "representative")
+    return named.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")), members

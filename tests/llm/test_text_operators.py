@@ -182,6 +182,16 @@ def test_jaccard_beyond_the_broadcast(spark, docs, rows, monkeypatch):
     assert sorted(map(tuple, jaccard.similar_documents(docs).collect()), key=str) == brute_components(rows)
 
 
+def test_all_links(docs, rows):
+    links, members = jaccard.linked_pairs(docs)
+    own = dict(map(tuple, members.where("doc_id is not null").collect()))
+    by = {frozenset(s): own[i] for i, s in ((i, shingles(t)) for i, t in rows) if i is not None and s}
+    sets = list(by)
+    expected = {(min(by[a], by[b]), max(by[a], by[b])) for k, a in enumerate(sets) for b in sets[:k] if 100 * len(a & b) >= 75 * len(a | b)}
+    got = links.collect()
+    assert len(got) == len({*map(tuple, got)}) and {*map(tuple, got)} == expected and expected
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (None, 3), (30, 31), (31, 32), (32, 30), (2, 1)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
