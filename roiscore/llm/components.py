@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from roiscore.llm.common import cut
 
 
+#: Edges that one task handles at least; a small graph is not dealt out over more tasks than that.
+TASK_EDGES = 100_000
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the edges (a, b), the smallest node that it can reach.
 
     Alternating large and small stars: each round moves every node's neighbours to the smallest among them, first the
     greater neighbours, then the others, until nothing changes. Rounds grow with the logarithm of the longest path.
-    Minima are taken by partial aggregates and joined back, so a hub's neighbours never meet in one task. Null ends,
-    loops and repeated edges are ignored; a table without edges gives no rows.
+    Minima are taken by partial aggregates and joined back, so a hub's neighbours never meet in one task. A round writes
+    as many files as the number of edges needs. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
-    seen = None
+    tasks = max(1, -(-now.count() // TASK_EDGES))
+    now, seen = now.coalesce(tasks), None
     while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
-        now = cut(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        star = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(star.unionAll(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
