@@ -52,7 +52,7 @@ class WordTokenizer:
     they are composed already and make one token and the punctuation another; all other words take the file's whole way.
     """
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

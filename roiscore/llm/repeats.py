@@ -13,7 +13,7 @@ from roiscore.llm import words
 from roiscore.llm.common import id_and_text, text_slices, with_carried
 
 #: Windows that a task gathers before it sends them on, and that one range of hashes should get in all.
-FLUSH_WINDOWS = 500_000
+FLUSH_WINDOWS = 250_000
 RANGE_WINDOWS = 500_000
 _NULL_ID = (1 << 63) - 1
 
