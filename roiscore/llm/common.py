@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -72,6 +73,13 @@ def with_carried(schema: str, df: DataFrame) -> T.StructType:
     return T.StructType([*T._parse_datatype_string(schema).fields, *(f for f in df.schema.fields if f.name == "carried")])
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Spark reuses its Python workers, and what one task leaves adds to the next one's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, UTF-8 bytes, byte bounds of each row) of runs of rows of about `most` bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,3 +96,4 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
         yield at, stop, data[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at]
         at = stop
+    give_back()

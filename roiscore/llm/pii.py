@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiscore.llm.common import cut, id_and_text, with_carried
+from roiscore.llm.common import cut, give_back, id_and_text, with_carried
 
 #: Entities that needed a second try, at most, for which a table of tries is broadcast; above it they are joined.
 MOST_BROADCAST = 100_000
@@ -243,6 +243,8 @@ def replace_entities(docs: DataFrame, policy: Policy, id_col: str = "doc_id", te
             carried = [c for c in batch.schema.names if c == "carried"]
             rows = [_rewrite(t, policy, {(x["kind"], x["canonical"]): x["attempt"] for x in o} if o else known.value) for t, o in zip(batch.column(1).to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], span), *map(batch.column, carried)], names=["key", "text", "entities", *carried])
+            del rows
+            give_back()
 
     asked = docs
     if not few:

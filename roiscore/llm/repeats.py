@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roiscore.llm import words
-from roiscore.llm.common import id_and_text, text_slices, with_carried
+from roiscore.llm.common import give_back, id_and_text, text_slices, with_carried
 
 #: Windows that a task gathers before it sends them on, and that one range of hashes should get in all.
 FLUSH_WINDOWS = 250_000
@@ -90,6 +90,7 @@ def _anchors(docs: DataFrame, block: int, ranges: int) -> DataFrame:
                 if n >= FLUSH_WINDOWS:
                     yield send(*found)
                     found, n = ([], [], [], []), 0
+                    give_back()
         if n:
             yield send(*found)
 
@@ -170,6 +171,7 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
                 if n >= FLUSH_WINDOWS:
                     yield send(parts)
                     parts, n = [], 0
+                    give_back()
         if n:
             yield send(parts)
 
