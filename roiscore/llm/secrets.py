@@ -26,19 +26,25 @@ FEATURES = ["length", "digits", "capitals", "hex", "distinct", "transitions", "r
 
 
 def candidates(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, word, value, lead, before, after, path): words that hold 16 or more characters of keys, one of them a digit.
+    """(row, doc_id, word, value, lead, before, after, path): every run of 16 or more characters of keys, one of them a digit.
 
-    word is the word's number in the text, lead what stands before the value in its word, before the two words before,
-    after the next one. Only texts with such a run are cut into words.
+    A word may hold several such runs. word is the word's number in the text, lead what stands before the value in its word, from
+    the run before it on (so that the name before a sign of assignment is part of it), before the two words before, after
+    the next one. Only texts with such a run are cut into words.
     """
     docs = id_and_text(docs.withColumn("_path", path), id_col, text_col, ["_path"]).where(F.col("text").rlike(r"[A-Za-z0-9+/_\-]{16}"))
     words = docs.select("doc_id", F.col("carried._path").alias("path"), F.split("text", _BLANK).alias("words"))
-    holds = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("word"), w.alias("w"))), lambda x: (F.char_length(x["w"]) >= 16) & (F.regexp_extract(x["w"], _VALUE, 1).rlike("[0-9]")))
+    runs = lambda w: F.regexp_extract_all(w, F.lit(_VALUE), F.lit(1))
+    digit = lambda v: v.rlike("[0-9]")
+    holds = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("word"), w.alias("w"))), lambda x: (F.char_length(x["w"]) >= 16) & F.exists(runs(x["w"]), digit))
     found = words.select("doc_id", "path", "words", F.explode(holds).alias("x"))
     at = F.col("x.word")
     near = {"before": F.concat_ws(" ", F.get("words", at - 2), F.get("words", at - 1)), "after": F.coalesce(F.get("words", at + 1), F.lit(""))}
-    value = F.regexp_extract("x.w", _VALUE, 1)
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", at.cast("long").alias("word"), value.alias("value"), F.substr(F.col("x.w"), F.lit(1), F.position(value, F.col("x.w")) - 1).alias("lead"), *(v.alias(k) for k, v in near.items()), F.coalesce("path", F.lit("")).alias("path"))
+    # what lies between the runs: one more than there are runs, the first before all of them
+    parted = found.select("doc_id", "path", at.cast("long").alias("word"), *(v.alias(k) for k, v in near.items()), runs(F.col("x.w")).alias("runs"), F.split("x.w", _VALUE).alias("gaps"))
+    each = F.transform("runs", lambda v, i: F.struct(v.alias("value"), F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("gaps", i)).alias("lead")))
+    found = parted.select("doc_id", "path", "word", *near, F.explode(F.filter(each, lambda x: digit(x["value"]))).alias("x"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "word", "x.value", "x.lead", *near, F.coalesce("path", F.lit("")).alias("path"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,7 +94,7 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, path: Column, labels=rule_labels, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word, value, score, is_secret) of every candidate in every text.
+    """(doc_id, word, value, score, is_secret) of every candidate in every text; a word has a row for each of its candidates.
 
     labels: a function from the candidates to (row, secret) of the labelled ones. A share of these, chosen by hash and
     expected to be MOST_LABELLED at most, trains the forest; all candidates are scored by it.

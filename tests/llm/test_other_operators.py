@@ -80,6 +80,35 @@ def test_secrets_from_labelled_findings(spark):
     assert secrets.find_secrets(df.where("doc_id = 1002"), F.col("source")).count() == 0
 
 
+def test_secrets_behind_long_names(spark):
+    rng = random.Random(5)
+    a, b, c = ("9" + "".join(rng.choices("ABCDEFabcdef0123456789", k=39)) for _ in range(3))
+    token = "ghp_" + "".join(rng.choices("abcdef0123456789", k=36))
+    texts = {
+        1: f"export AWS_SECRET_ACCESS_KEY={a} done",
+        2: f"GITHUB_ACCESS_TOKEN={token}",
+        3: f'{{"client_secret_token":"{a}","other_long_password":"{b}","pwd":"{c}"}}',
+        4: f"see https://host/long/path/of/it?token={token} there",
+        5: f"AWS_SECRET_ACCESS_KEY='{a}';DATABASE_ROOT_PASSWORD='{a}'",
+        6: "AWS_SECRET_ACCESS_KEY= https://host/long/path/of/it",
+        7: f"{a} plain",
+    }
+    df = spark.createDataFrame([(i, t, None) for i, t in texts.items()], "doc_id long, text string, source string")
+    found = secrets.candidates(df, F.col("source"))
+    got = sorted((r.doc_id, r.word, r.lead, r.value) for r in found.collect())
+    assert got == sorted([
+        (1, 1, "AWS_SECRET_ACCESS_KEY=", a),
+        (2, 0, "GITHUB_ACCESS_TOKEN=", token),
+        (3, 0, 'client_secret_token":"', a), (3, 0, 'other_long_password":"', b), (3, 0, b + '","pwd":"', c),
+        (4, 1, "//host/long/path/of/it?token=", token),
+        (5, 0, "AWS_SECRET_ACCESS_KEY='", a), (5, 0, "DATABASE_ROOT_PASSWORD='", a),
+        (7, 0, "", a),
+    ])
+    labels = secrets.rule_labels(found).collect()
+    assert len(labels) == 8 and {r.secret for r in labels} == {1}
+    assert sorted(r.doc_id for r in secrets.find_secrets(df, F.col("source")).collect()) == [1, 2, 3, 3, 3, 4, 5, 5, 7]
+
+
 def test_secrets_need_no_python(spark):
     plan = __spark_entry__.queries()["op6_secrets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
