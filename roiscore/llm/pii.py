@@ -36,7 +36,14 @@ _DOMAIN = re.compile(r"@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[
 _LOCAL = re.compile(r"[\w.%+'-]+$")
 _TITLES = frozenset(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _TITLE = re.compile(r"\b(" + "|".join(sorted(_TITLES)) + r")\b\.?(?= +[^\W\d_])")
-_NAME = re.compile(r" +([^\W\d_](?:[\w'’-]*\w)?)(?!\w)")
+# A name word follows blanks, or the stop of an initial.
+_NAME = re.compile(r"(?: +|(?<=\b[^\W\d_]\.))([^\W\d_](?:[\w'’-]*\w)?)(?!\w)")
+_PREFIXED = re.compile(r"[^\W\d_]{1,5}['’-][^\W\d_]")  # d'Artagnan, al-Rashid
+# Particles within names; articles and contractions that prose has before nouns, too, only after another particle or right after the title.
+_PARTICLE = r"von|van|de|del|della|dello|degli|dei|di|da|dal|do|dos|du|af|av|zu|bin|bint|ibn|ben|abu|al|el|la|le|lo|ter|ten|te|y|e|i"
+_ARTICLE = r"der|den|dem|des|das|die|het|las|los|les|und|vom|zum|zur|['’]t"
+_PARTICLES = re.compile(rf"(?: +(?:{_PARTICLE})(?: +(?:{_PARTICLE}|{_ARTICLE}))*)(?= )")
+_FIRST_PARTICLES = re.compile(rf"(?: +(?:{_PARTICLE}|{_ARTICLE}))+(?= )")
 _GENDER = {t: g for g, titles in (("m", MALE_TITLES), ("f", FEMALE_TITLES)) for t in titles}
 
 Span = tuple[int, int, str, str]  # start, end, kind, canonical form
@@ -51,6 +58,23 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+def _name_words(text: str, at: int) -> list[tuple[re.Match, bool]]:
+    """The name words from here on to their end, and whether each is a surname wherever it stands: after a particle, or the third or later.
+
+    Scripts without case do not show where a name ends, so there no word after the third is taken.
+    """
+    tokens: list[tuple[re.Match, bool]] = []
+    while True:
+        particles = (_PARTICLES if tokens else _FIRST_PARTICLES).match(text, at)
+        t = _NAME.match(text, particles.end() if particles else at)
+        if not t or t[1] in _TITLES or not (t[1][0].isupper() or len(tokens) < 3 and unicodedata.category(t[1][0]) == "Lo" or (p := _PREFIXED.match(t[1])) and p[0][-1].isupper()):
+            return tokens
+        at = t.end()
+        initial = len(t[1]) == 1 and t[1].isupper() and text[at : at + 1] == "."
+        at += initial
+        tokens.append((t, bool(particles) or len(tokens) > 1 and not initial))
+
+
 def detect(text: str) -> list[Span]:
     """Entities in order of their places; of overlapping ones the first found of e-mail, IBAN, number, name stays."""
     found: list[Span] = []
@@ -69,18 +93,15 @@ def detect(text: str) -> list[Span]:
                 found.append((*m.span(), kind, m[0] if kind == "IP" else digits))
     surnames: dict[str, str] = {}
     for m in _TITLE.finditer(text):
-        tokens, at = [], m.end()
-        while len(tokens) < 3 and (t := _NAME.match(text, at)) and t[1] not in _TITLES and (t[1][0].isupper() or unicodedata.category(t[1][0]) == "Lo"):
-            tokens.append(t)
-            at = t.end()
+        tokens = _name_words(text, m.end())
         gender = _GENDER.get(m[1], "n")
-        for k, t in enumerate(tokens):
+        for k, (t, family) in enumerate(tokens):
             last = k == len(tokens) - 1
-            found.append((*t.span(1), "SURNAME" if last else f"GIVEN_{gender}", t[1].casefold()))
-            if last and len(t[1]) > 2:
+            found.append((*t.span(1), "SURNAME" if last or family else f"GIVEN_{gender}", t[1].casefold()))
+            if last or family:
                 surnames[t[1]] = t[1].casefold()
     if surnames:  # later mentions without a title
-        for m in re.finditer(r"(?<!\w)(" + "|".join(map(re.escape, surnames)) + r")(?!\w)", text):
+        for m in re.finditer(r"(?<!\w)(" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")(?!\w)", text):
             found.append((*m.span(), "SURNAME", surnames[m[0]]))
     kept: list[Span] = []
     for span in found:

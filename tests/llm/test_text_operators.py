@@ -314,6 +314,22 @@ def test_entities_are_found_and_replaced_in_kind(spark):
     assert pii.replace_entities(df.limit(0), POLICY).count() == 0
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("Señora Ana María García López llegó. García y López", ["GIVEN_f Ana", "GIVEN_f María", "SURNAME García", "SURNAME López", "SURNAME García", "SURNAME López"]),
+    ("Herr Otto von Bismarck sprach, und Bismarck ging", ["GIVEN_m Otto", "SURNAME Bismarck", "SURNAME Bismarck"]),
+    ("Herr von der Leyen; Sr. Juan de la Cruz Pérez", ["SURNAME Leyen", "GIVEN_m Juan", "SURNAME Cruz", "SURNAME Pérez"]),
+    ("Dr. Wei Li came. Li said; Lin did not", ["GIVEN_n Wei", "SURNAME Li", "SURNAME Li"]),
+    ("Prof. 王, Dr. 李 : 王 , 李 .", ["SURNAME 王", "SURNAME 李", "SURNAME 王", "SURNAME 李"]),
+    ("Prof. J. R. R. Tolkien wrote R. Tolkien", ["GIVEN_n J", "GIVEN_n R", "GIVEN_n R", "SURNAME Tolkien", "SURNAME Tolkien"]),
+    ("Dr. Ahmed bin Salem al-Rashid, Mr. d'Artagnan went", ["GIVEN_n Ahmed", "SURNAME Salem", "SURNAME al-Rashid", "SURNAME d'Artagnan"]),
+    ("weil Herr Müller das Auto von Frau Schmidt sah", ["SURNAME Müller", "SURNAME Schmidt"]),
+    ("Mr. Josef K. went", ["GIVEN_m Josef", "SURNAME K"]),
+    ("Mr. John Smith paid", ["GIVEN_m John", "SURNAME Smith"]),
+])
+def test_whole_names_are_found(text, expected):
+    assert [f"{kind} {text[a:b]}" for a, b, kind, _ in pii.detect(text)] == expected
+
+
 def test_replacements_stay_distinct(spark, monkeypatch):
     """With a drawing that often collides, every entity still gets its own replacement, and none that stands in the corpus."""
     entities = [("SSN", f"{i:09d}") for i in range(40)]
