@@ -147,11 +147,13 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of classes that link. Only the texts of one document for each class concerned are read again."""
+    """The pairs of classes that link. Only the texts of one document for each class concerned are read again, and those without an id if such a class is concerned."""
     asked = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls").select("cls", "doc_id")
     wanted = cut(asked.select("doc_id").distinct())
-    few = wanted.count() <= MOST_BROADCAST
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    ids = wanted.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    chosen = docs.join(F.broadcast(wanted) if ids.n <= MOST_BROADCAST else wanted, "doc_id", "left_semi")
+    if ids.named < ids.n:  # no id leads to the texts of classes in which all ids are null; all rows without an id are read, not dealt by it
+        chosen = chosen.unionAll(docs.where("doc_id is null"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +259,7 @@ def linked_pairs(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
 
     The whole join, where similar_documents only finds components: rows grow with the links themselves, so a group of k
     near copies may give k * k / 2. Documents with equal sets link, too, and have one representative, the smallest id. Documents without words have none.
+    A set all of whose documents have a null id has a null representative: its links have a null b (and a null a, where neither set has an id).
     """
     p = _prepared(docs, n, percent, id_col, text_col)
     x, y = (p.listed.select("v", F.col("cls").alias(s), F.col("info").alias(f"{s}_info")) for s in "xy")
@@ -265,4 +268,4 @@ def linked_pairs(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     ids = p.classes.select("cls", "doc_id")
     named = links.join(ids.withColumnsRenamed({"cls": "a", "doc_id": "i"}), "a").join(ids.withColumnsRenamed({"cls": "b", "doc_id": "j"}), "b")
     members = p.rows.join(ids.withColumnRenamed("doc_id", "representative"), "cls", "left").select("doc_id", "representative")
-    return named.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")), members
+    return named.select(F.least("i", "j").alias("a"), F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), F.greatest("i", "j")).alias("b")), members

@@ -177,6 +177,19 @@ def test_jaccard_of_many_near_copies(spark, seed):
     assert sorted(map(tuple, jaccard.similar_documents(df).collect()), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [jaccard.MOST_BROADCAST, -1])
+def test_jaccard_of_null_ids(spark, monkeypatch, most):
+    """A near copy with a null id, a chain over one, and two near copies without any id."""
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", most)
+    run = lambda c, at: " ".join(f"{c}{k}" for k in range(at, at + 50))
+    rows = [(7, run("a", 0)), (None, run("a", 3)), (10, run("b", 0)), (None, run("b", 4)), (12, run("b", 8)), (None, run("d", 0)), (None, run("d", 2)), (20, run("e", 0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, jaccard.similar_documents(df).collect()), key=str)
+    assert got == brute_components(rows) == sorted([(7, 46, 7), (None, 46, 7), (10, 46, 10), (None, 46, 10), (12, 46, 10), (None, 46, None), (None, 46, None), (20, 46, 20)], key=str)
+    links, _ = jaccard.linked_pairs(df)
+    assert sorted(map(tuple, links.collect()), key=str) == sorted([(7, None), (10, None), (12, None), (None, None)], key=str)
+
+
 def test_jaccard_beyond_the_broadcast(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_BROADCAST", -1)
     assert sorted(map(tuple, jaccard.similar_documents(docs).collect()), key=str) == brute_components(rows)
