@@ -75,22 +75,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal segments of positive total, as (first, after the last, total), by one scan over the scores.
 
     Each positive score starts a segment; it joins back to the latest kept segment that begins lower and ends lower, as
-    long as there is one. Scores that are not positive only move the running total.
+    long as there is one. Scores that are not positive only move the running total. Each kept segment knows the latest one
+    before it that begins lower, so what a search has passed over is not looked at again.
     """
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    kept: list[tuple[int, int, float, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []
     for at in np.flatnonzero(scores > 0).tolist():
         first, after, low, high = at, at + 1, float(total[at]), float(total[at + 1])
-        while True:
-            k = len(kept) - 1
-            while k >= 0 and kept[k][2] >= low:
-                k -= 1
-            if k < 0 or kept[k][3] >= high:
-                kept.append((first, after, low, high))
-                break
-            first, low = kept[k][0], kept[k][2]
+        k = len(kept) - 1
+        while k >= 0 and kept[k][2] >= low:
+            k = kept[k][4]
+        while k >= 0 and kept[k][3] < high:
+            first, _, low, _, lower = kept[k]
             del kept[k:]
-    return [(f, a, h - l) for f, a, l, h in kept]
+            k = lower
+        kept.append((first, after, low, high, k))
+    return [(f, a, h - l) for f, a, l, h, _ in kept]
 
 
 def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -279,6 +280,27 @@ def test_segments_against_brute_force():
         assert toxicity.segments(np.array(scores)) == split(0, len(scores))
 
 
+def test_segments_of_a_long_text_take_linear_steps():
+    """Starts that fall all along, as in ordinary text, in which nothing joins."""
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line" and frame.f_code is toxicity.segments.__code__
+        return count
+
+    n = 20_000
+    scores = np.where(np.arange(n) % 25 == 0, 1.0, -0.25)
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        found = toxicity.segments(scores)
+    finally:
+        sys.settrace(before)
+    assert found == [(i, i + 1, 1.0) for i in range(0, n, 25)]
+    assert 0 < steps < n
+
+
 def test_toxicity_learns_and_handles_odd_tables(spark, docs):
     rnd = random.Random(7)
     plain, bad = [f"word{i}" for i in range(80)], ["vile", "Scum!", "trash"]
