@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local one is set, in local mode alone."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -47,6 +49,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df) and the number of its rows, which are counted as the checkpoint is written."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return done, seen.get["rows"]
+
+
+#: A key that more than one in so many rows have, and no fewer rows than HOT_ROWS, is hot; so there are no more hot keys than HOT_SHARE.
+HOT_SHARE, HOT_ROWS = 1000, 100_000
+
+
+def hot_keys(counts: DataFrame, total: int) -> list[tuple]:
+    """[(key, parts)] of the hot keys among (key, rows); there are HOT_SHARE at most."""
+    most = max(HOT_ROWS, -(-total // HOT_SHARE))
+    return [(key, -(-rows // most)) for key, rows in counts.toDF("key", "rows").where(F.col("rows") > most).toLocalIterator()]
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple], by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key; a hot key's rows are dealt out by the column `by` over several tasks, and its row on the right goes to each."""
+    if not hot:
+        return left.join(right, key, how)
+    kind = next(t for c, t in right.dtypes if c == key)
+    parts = F.broadcast(left.sparkSession.createDataFrame(hot, f"_hot {kind}, _parts int"))
+    number = lambda df: df.join(parts, F.col(key) == F.col("_hot"), "left").drop("_hot")
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return number(left).withColumn("_salt", salt).drop("_parts").join(number(right).withColumn("_salt", copies).drop("_parts"), [key, "_salt"], how).drop("_salt")
+
+
 #: Arrow batches between Spark and its Python workers, for which Spark's own default is 64 MB. Spark's default is lowered,
 #: as every worker and task holds several of them; a size that the session has chosen stays.
 BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
@@ -70,7 +101,7 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str
 
 def with_carried(schema: str, df: DataFrame) -> T.StructType:
     """The schema, and df's carried column if it has one."""
-    return T.StructType([*T._parse_datatype_string(schema).fields, *(f for f in df.schema.fields if f.name == "carried")])
+    return T.StructType([*T._parse_datatype_string(schema).fields, *(T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name == "carried")])
 
 
 def give_back() -> None:

@@ -5,33 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiscore.llm.common import cut
+from roiscore.llm.common import cut, cut_counted
 
-
-#: Edges that one task handles at least; a small graph is not dealt out over more tasks than that.
+#: Edges that one file holds at least; a small graph is not dealt out over more tasks than that.
 TASK_EDGES = 100_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the edges (a, b), the smallest node that it can reach.
 
-    Alternating large and small stars: each round moves every node's neighbours to the smallest among them, first the
-    greater neighbours, then the others, until nothing changes. Rounds grow with the logarithm of the longest path.
-    Minima are taken by partial aggregates and joined back, so a hub's neighbours never meet in one task. A round writes
-    as many files as the number of edges needs. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
+    Rounds of contraction: every node moves to the node among itself and its neighbours that comes first in an order by
+    hash, drawn anew in each round, and edges whose ends have met are dropped. Nodes shrink by a constant factor a round, whatever
+    the graph's shape (a star takes two rounds), and only edges that are left are written. A round is one job; the number
+    of its edges is observed as they are written. The moves are then followed from round to round.
+
+    Minima are partial aggregates, so a hub's neighbours never meet in one task, and joins on a hub are left to the session's
+    splitting of skewed partitions. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
-    tasks = max(1, -(-now.count() // TASK_EDGES))
-    now, seen = now.coalesce(tasks), None
-    while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
-        star = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(star.unionAll(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    apart = edges.select("a", "b").where("a <> b")
+    now, left = cut_counted(apart.unionAll(apart.select("b", "a")).toDF("u", "v").distinct())
+    moves = []
+    while left:
+        order = {c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("node")) for c in "uv"}
+        move = now.groupBy("u").agg(F.min(order["v"]).alias("m")).select(F.col("u").alias("node"), F.least("m", order["u"])["node"].alias("to"))
+        moves.append(move)
+        for end in "uv":
+            now = now.join(move, F.col(end) == F.col("node")).withColumn(end, F.col("to")).drop("node", "to")
+        now, left = cut_counted(now.where("u <> v").distinct().coalesce(max(1, left // TASK_EDGES)))
+    if not moves:
+        return edges.sparkSession.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("b").alias("root")).schema)
+    found = moves[0].withColumnRenamed("to", "end")
+    for move in moves[1:]:
+        found = found.join(move.withColumnRenamed("node", "end"), "end", "left").select("node", F.coalesce("to", "end").alias("end"))
+    found = cut(found)
+    return found.join(found.groupBy("end").agg(F.min("node").alias("root")), "end").select("node", "root")

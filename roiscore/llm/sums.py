@@ -35,6 +35,6 @@ def added(sent: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["part", "sums"])
 
     total = np.zeros((size // PART, PART), np.float32)
-    for row in sent.repartition("part").mapInArrow(add, "part int, sums binary").toLocalIterator():
+    for row in sent.repartition("part").mapInArrow(add, "part int, sums binary").collect():  # of fixed size; an iterator would run a job for each partition
         total[row.part] = np.frombuffer(bytes(row.sums), np.float32)
     return total.reshape(-1)

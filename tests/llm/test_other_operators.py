@@ -193,6 +193,84 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert (now.count() > 0) == (table.count() > 0)
 
 
+def _groups(texts):
+    """Groups of near copies by brute force, as a list of group numbers."""
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    group = [*range(len(sets))]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a & sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("most", [corpus_pipeline.MOST_BROADCAST, -1])
+def test_near_duplicates_by_row(spark, monkeypatch, most):
+    """Rows that share an id, rows without one, repeated rows and clashing columns: of each group one row stays."""
+    monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST", most)
+    rnd = random.Random(5)
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = lambda t: t.replace(rnd.choice(t.split()[5:]), "other", 1)
+    rows = [(3, b), (5, a), (5, b), (7, near(a)), (None, b), (None, near(b)), (None, "alone " * 9), (None, "alone " * 9), (9, None), (9, ""), (9, " "), (4, "one two"), (4, "ONE two"), (8, near(near(a)))]
+    rows += [(7, rows[3][1])] * 2
+    rows = [(i, t, "en", "s", len(t or ""), k, k, k, k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id int, row int, carried int, component_id int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    got = [tuple(r) for r in got.collect()]
+    assert len({*got}) == len(got) and {*got} <= {*rows}
+    of = dict(zip((r[5] for r in rows), _groups([r[1] for r in rows])))
+    least = {}
+    for r in rows:
+        least[of[r[5]]] = min(least.get(of[r[5]], (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted((of[r[5]], (r[0] is None, r[0] or 0)) for r in got) == sorted(least.items())
+
+
+def test_pipeline_against_brute_force(spark):
+    """The whole pipeline on the smallest tables: which documents each stage keeps, what texts lose, and that nothing is lost in packing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    scored = {r.doc_id: r.predicted for r in __spark_entry__.queries()["op5_toxicity"](spark, SF).collect()}
+    clean = stages["toxicity"](spark, docs, SF).cache()
+    texts = {r.doc_id: r.text or "" for r in clean.collect()}
+    assert {*texts} == {i for i, toxic in scored.items() if not toxic}
+    order = sorted(texts)
+    group = _groups([texts[i] for i in order])
+    least = {}
+    for i, g in zip(order, group):
+        least.setdefault(g, i)
+    single = stages["near_duplicates"](spark, clean, SF).cache()
+    kept = {r.doc_id: r.text or "" for r in single.collect()}
+    assert kept == {i: texts[i] for i in least.values()}
+    seen, expected = set(), {}
+    for i in sorted(kept):
+        w, gone = kept[i].encode().split(), set()
+        for k in range(len(w) - 19):
+            run = tuple(w[k : k + 20])
+            gone.update(range(k, k + 20) if run in seen else ())
+            seen.add(run)
+        expected[i] = b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if gone else kept[i]
+    left = stages["repeated_passages"](spark, single, SF).cache()
+    assert {r.doc_id: r.text for r in left.collect()} == expected
+    named = stages["personal_data"](spark, left, SF).cache()
+    replaced = {r.doc_id: r.text for r in named.collect()}
+    from roiscore.llm import pii
+
+    assert {i for i in replaced if replaced[i] != expected[i]} == {i for i in expected if pii.detect(expected[i])}
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(corpus_pipeline.WORD_TOKENIZER)
+    pieces = {}
+    for r in stages["packing"](spark, named, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for i, text in replaced.items():
+        ids = [*model.encode(text, add_special_tokens=False).ids, 2]
+        assert b"".join(x for _, x in sorted(pieces[i])) == b"".join(t.to_bytes(4, "little") for t in ids)
+
+
 def test_registered_queries_match_their_sql(spark):
     import duckdb
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from roiscore.llm import jaccard, packing, pieces, pii, quality, repeats, toxicity, words
+from roiscore.llm import common, jaccard, packing, pieces, pii, quality, repeats, toxicity, words
 from roiscore.llm.components import connected
 
 WORD, PIECE = (public_tokenizers.path(p) for p in ("word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -196,6 +196,26 @@ def test_jaccard_beyond_the_broadcast(spark, docs, rows, monkeypatch):
     assert sorted(map(tuple, jaccard.similar_documents(docs).collect()), key=str) == brute_components(rows)
 
 
+def test_jaccard_with_hot_keys_dealt_out(spark, docs, rows, monkeypatch):
+    """Lists, hubs, components and copies of more than a few rows are dealt out over several tasks."""
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
+    more = docs.unionByName(docs.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 1000))
+    expected = brute_components(rows + [(i + 1000, t) for i, t in rows if i is not None and i < 10])
+    assert sorted(map(tuple, jaccard.similar_documents(more, longest=3).collect()), key=str) == expected
+
+
+def test_jaccard_of_a_long_chain_and_of_empty_tables(spark):
+    """Near copies of near copies, and a list in which the hub links with nothing."""
+    rows = [(i, " ".join(f"c{k}" for k in range(5 * i, 5 * i + 60))) for i in range(40)]
+    rows += [(100 + i, " ".join([f"own{i}w{k}" for k in range(4)] + [f"s{k}" for k in range(30 if i else 12)])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard.similar_documents(df).collect()), key=str) == brute_components(rows)
+    assert jaccard.similar_documents(df.where("doc_id < 0"), carry=["doc_id"]).collect() == []
+    assert jaccard.similar_documents(spark.createDataFrame([(1, None), (None, " ")], "doc_id long, text string")).collect() == [(1, 0, 1), (None, 0, None)]
+
+
 def test_all_links(docs, rows):
     links, members = jaccard.linked_pairs(docs)
     own = dict(map(tuple, members.where("doc_id is not null").collect()))
