@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roiscore.llm.common import cut, read_table, shared_dir
+from roiscore.llm.common import cut_counted, read_table, shared_dir, staged
 from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.packing import pack_documents
 from roiscore.llm.pii import replace_entities
@@ -27,7 +27,7 @@ TOXIC = 0.5
 ORACLE_SQL = None
 
 
-#: Ids of near copies that may be broadcast (8 bytes each); more are joined by a shuffle.
+#: Numbers of near copies that may be broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 
@@ -43,30 +43,55 @@ def _documents(df: DataFrame, docs: DataFrame, text, changed) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the score at which a document counts as toxic."""
+    """Documents below the score at which a document counts as toxic, as they are.
+
+    Null or empty texts are scored like any text without a toxic passage; rows with null or equal ids are judged one by one
+    (a null id has no label to learn from); columns of any name come back untouched; an empty table gives no rows.
+    """
     scored = score_documents(docs, fit(docs, read_table(spark, sf_dir, "labels").where(learnable())), carry=docs.columns)
     return scored.where(F.col("score") < TOXIC).select("carried.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id; documents without words are no copies of one another."""
-    others = cut(similar_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    few = others.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(others) if few else others, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of each group of rows that are near copies, the one with the smallest id, as it is.
+
+    Rows are numbered once, and groups and decisions go by that number: rows that share an id are different rows, of which
+    each stays or goes with its own text; of equal ids in one group one row stays; null ids come last. Rows with null or
+    empty texts, or texts without words, are copies of nothing and stay. Columns of any name come back untouched; an empty table gives no rows.
+    """
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried")))
+    found = similar_documents(numbered.select("row", "carried.doc_id", "carried.text"), id_col="row", carry=["doc_id"])
+    first = F.min(F.struct(F.col("carried.doc_id").isNull().alias("unnamed"), "carried.doc_id", F.col("doc_id").alias("row")))
+    stay = found.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    go, n = cut_counted(numbered.select("row").join(stay, "row", "left_anti"))
+    return numbered.join(F.broadcast(go) if n <= MOST_BROADCAST else go, "row", "left_anti").select("carried.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the word windows that occur earlier; a text that loses words has the others joined by spaces."""
-    return _documents(remove_repeats(docs, carry=_others(docs)), docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), F.col("n_removed") > 0)
+    """Texts without the word windows that occur earlier; a text that loses words has the others joined by spaces, all others stay as they are.
+
+    A null text comes back empty; rows that share an id count as one document, and null ids as one that comes
+    last; columns of any name come back untouched (but `n_chars`, which follows the text); an empty table gives no rows.
+    """
+    changed = F.col("n_removed") > 0
+    return _documents(remove_repeats(docs, carry=_others(docs)), docs, F.when(changed, F.col("kept")).otherwise(F.col("text")), changed)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates in place of personal data."""
+    """Texts with surrogates in place of personal data; texts without any stay as they are.
+
+    A null text comes back empty; rows with null or equal ids are rewritten one by one; columns of any name come back untouched
+    (but `n_chars`, which follows the text); an empty table gives no rows.
+    """
     return _documents(replace_entities(docs, SURROGATE_POLICY, carry=_others(docs)), docs, F.col("text"), F.size("entities") > 0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece, its end id; rows with null or equal ids are packed one by one; other columns are not
+    read; an empty table gives no rows.
+    """
     return pack_documents(docs, WORD_TOKENIZER)
 
 
