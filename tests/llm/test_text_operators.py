@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from roiscore.llm import common, jaccard, packing, pieces, pii, quality, repeats, toxicity, words
+from roiscore.llm import common, components, jaccard, packing, pieces, pii, quality, repeats, toxicity, words
 from roiscore.llm.components import connected
 
 WORD, PIECE = (public_tokenizers.path(p) for p in ("word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -226,10 +226,25 @@ def test_all_links(docs, rows):
     assert len(got) == len({*map(tuple, got)}) and {*map(tuple, got)} == expected and expected
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [components.TASK_EDGES, 3, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (None, 3), (30, 31), (31, 32), (32, 30), (2, 1)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 30: 30, 31: 30, 32: 30}
+    assert connected(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
+
+
+def test_components_of_drawn_graphs(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 10)
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(1, 40)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
 def brute_repeats(rows, n=20):
