@@ -22,10 +22,11 @@ class PieceTokenizer:
 
     The library gives the vocabulary, the normalisation and the decoder; the merges are done here. Symbols of all words
     lie in one flat array. A round finds the best pair of every word (segmented minimum of the pairs' ranks), merges its
-    occurrences from the left, and drops the merged symbols; words without a pair leave the array.
+    leftmost occurrence, with it every pair that is settled, and drops the merged symbols; words without a pair leave the array.
 
-    One round merges all occurrences of a word's best pair only where no longer piece that starts or ends with the
-    merged one ranks before it. Elsewhere a round merges the leftmost alone, so the order is always the library's.
+    A pair is settled where neither neighbour, however it grows, can take one of its symbols first, nor join the merged
+    piece at a better rank than the pair's own. So what it merges into does not depend on when, and the result is always the
+    library's, in few rounds for long words, too. Of a run of one symbol every second pair is settled, from the left.
     """
 
     MOST_WORDS = 300_000
@@ -55,12 +56,15 @@ class PieceTokenizer:
         pairs = [(symbols[p[:k]] * int(self.width) + symbols[p[k:]], order[score[i]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
         pairs.sort()
         self.key, self.rank, self.merged = (np.array(c, np.int64) for c in zip(*pairs))
-        longer = np.full(int(self.width), _NONE)  # the best rank of a piece that extends this one
-        np.minimum.at(longer, self.key // self.width, self.rank)
-        np.minimum.at(longer, self.key % self.width, self.rank)
-        own = np.full(int(self.width), _NONE)
-        own[[*score]] = [order[s] for s in score.values()]
-        self.at_once = longer > own
+        grown: dict[str, tuple[list, list]] = {"left": ([], []), "right": ([], [])}
+        for p, i in ids.items():
+            for k in range(1, len(p)):
+                if p[:k] in symbols and p[k:] in symbols:
+                    for side, key in (*(("left", symbols[p[j:k]] * int(self.width) + symbols[p[k:]]) for j in range(1, k) if p[j:k] in symbols), *(("right", symbols[p[:k]] * int(self.width) + symbols[p[k:j]]) for j in range(k + 1, len(p)) if p[k:j] in symbols)):
+                        grown[side][0].append(key)
+                        grown[side][1].append(order[score[i]])
+        # the best rank that a pair may reach once its left (right) symbol has grown to the left (right)
+        self.grown = {side: self._least(*map(np.array, v)) for side, v in grown.items()}
         alone = all(_MARK not in p.lstrip(_MARK) for p in ids) and all("\n" not in p for p in ids if len(p) > 1)
         self.word = re.compile(f"\n|{_MARK}*[^{_MARK}\n]+|{_MARK}+" if alone else r"(?s).+")
         self.known: dict[str, bytes] = {}
@@ -71,6 +75,54 @@ class PieceTokenizer:
         hit = self.key[at] == key
         return np.where(hit, self.rank[at], _NONE), self.merged[at]
 
+    @staticmethod
+    def _least(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and the least rank of each."""
+        order = np.lexsort((rank, key))
+        key, rank = key[order].astype(np.int64), rank[order].astype(np.int64)
+        first = np.append(True, key[1:] != key[:-1])[: len(key)]
+        return key[first], rank[first]
+
+    def later(self, side: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The best rank of left and right together once the symbol on that side has grown."""
+        keys, ranks = self.grown[side]
+        if not len(keys):
+            return np.full(len(left), _NONE)
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], _NONE)
+
+    def settled(self, flat: np.ndarray, rank: np.ndarray, merged: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places of settled pairs; first: where words begin. A word's last symbol has no rank."""
+        before, after = np.append(_NONE, rank[:-1]), np.append(rank[1:], _NONE)
+        at = np.flatnonzero((rank < _NONE) & (rank <= before) & (rank <= after))
+        if not len(at):
+            return at
+        begins = np.zeros(len(flat) + 1, bool)
+        begins[first] = begins[-1] = True
+        own, new, has_left, has_right = rank[at], merged[at], ~begins[at], ~begins[at + 2]
+        good = np.ones(len(at), bool)
+        for here, side, step in ((has_left, "left", -1), (has_right, "right", 1)):
+            k = np.flatnonzero(here & good)
+            near, far = (at[k], at[k] - 1) if step < 0 else (at[k] + 1, at[k] + 2)
+            turn = (lambda a, b: (a, b)) if step < 0 else (lambda a, b: (b, a))
+            takes, joins = (self.later(side, *turn(flat[far], x)) for x in (flat[near], new[k]))
+            good[k] = self.pair(*turn(flat[far], new[k]))[0] > own[k]
+            # a neighbour that grows into trouble does so by a pair of its own that comes first
+            risky = np.flatnonzero(good[k] & ((takes <= own[k]) | (joins <= own[k])))
+            f, r = far[risky], own[k[risky]]
+            inner = np.flatnonzero(~begins[f if step < 0 else f + 1])
+            f, r = f[inner], r[inner]
+            grows = np.minimum(rank[f - 1] if step < 0 else rank[f], self.later(side, *turn(flat[f + step], flat[f]))) <= r
+            good[k[risky[inner[grows]]]] = False
+        run = np.zeros(len(at), bool)  # the same pair stands one place before, too
+        run[1:] = (at[1:] == at[:-1] + 1) & (own[1:] == own[:-1]) & (new[1:] == new[:-1])
+        good &= run | (before[at] > own)
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(run, 0, place))
+        bad = np.maximum.accumulate(np.where(good, -1, place))
+        return at[(bad < start) & ((place - start) % 2 == 0)]
+
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of non-empty words."""
         size, more = int(self.width), {}
@@ -97,12 +149,10 @@ class PieceTokenizer:
                 first = np.cumsum(count) - count
             owner = np.repeat(np.arange(len(word)), count)
             hits = np.flatnonzero(rank == best[owner])
-            follows = np.zeros(len(hits), bool)
-            follows[1:] = hits[1:] == hits[:-1] + 1
-            run = np.arange(len(hits)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(hits))))
-            leftmost = np.ones(len(hits), bool)
-            leftmost[1:] = owner[hits[1:]] != owner[hits[:-1]]
-            hits = hits[leftmost | (self.at_once[merged[hits]] & self.at_once[merged[hits[np.maximum.accumulate(np.where(leftmost, np.arange(len(hits)), 0))]]] & (run % 2 == 0))]
+            chosen = np.zeros(len(flat), bool)
+            chosen[hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])]] = True
+            chosen[self.settled(flat, rank, merged, first)] = True
+            hits = np.flatnonzero(chosen)
             flat[hits] = merged[hits]
             keep = np.ones(len(flat), bool)
             keep[hits + 1] = False
