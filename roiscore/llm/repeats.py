@@ -15,6 +15,8 @@ from roiscore.llm.common import give_back, id_and_text, text_slices, with_carrie
 #: Windows that a task gathers before it sends them on, and that one range of hashes should get in all.
 FLUSH_WINDOWS = 250_000
 RANGE_WINDOWS = 500_000
+#: What it gathers at most, where there are very many ranges.
+MOST_FLUSHED = 2_000_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -33,10 +35,14 @@ class _Words:
         return run, self.owner[: len(run)] == self.owner[n - 1 :] if len(run) else np.empty(0, bool)
 
 
-def _cut(values: np.ndarray, ranges: int) -> np.ndarray:
-    """Bounds of each range of the top bits in sorted 64-bit hashes; ranges is a power of two."""
-    top = np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1)
-    return np.concatenate([[0], np.searchsorted(values, top), [len(values)]])
+def _range(values: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each 64-bit hash, by its top bits; ranges is a power of two."""
+    return (values >> np.uint64(65 - ranges.bit_length())).astype(np.int32) if ranges > 1 else np.zeros(len(values), np.int32)
+
+
+def _flush(ranges: int) -> int:
+    """Windows that a task gathers: more where there are so many ranges that each would get next to none of them."""
+    return max(FLUSH_WINDOWS, min(8 * ranges, MOST_FLUSHED))
 
 
 def _below(values: np.ndarray, ranges: int) -> np.ndarray:
@@ -44,8 +50,20 @@ def _below(values: np.ndarray, ranges: int) -> np.ndarray:
     return (values >> np.uint64(33 - ranges.bit_length())).astype(np.uint32)
 
 
-def _table(columns: dict[str, list], ints: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == ints else pa.binary()) for k, v in columns.items()], names=[*columns])
+def _rows(ranges: np.ndarray, **columns: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A row for each range, with its part of every column (values, bounds) as bytes; nothing is copied."""
+    packed = [pa.Array.from_buffers(pa.binary(), len(ranges), [None, pa.py_buffer((bounds * v.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))]) for v, bounds in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(ranges), *packed], names=["range", *columns])
+
+
+def _bounds(ranges: np.ndarray, occupied: np.ndarray) -> np.ndarray:
+    """Where each occupied range begins in sorted ranges, and the end."""
+    return np.append(np.searchsorted(ranges, occupied), len(ranges))
+
+
+def _dealt(n: int, rows: int) -> np.ndarray:
+    """Bounds that deal n values evenly over the rows."""
+    return np.arange(rows + 1) * n // rows
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -64,16 +82,12 @@ def _anchors(docs: DataFrame, block: int, ranges: int) -> DataFrame:
         order = np.argsort(b)
         b, key, place = b[order], key[order], place[order]
         sure = count[np.searchsorted(gram, b)] > 1
-        sure_key, sure_place = (np.array_split(x[sure], ranges) for x in (key, place))
+        sure_key, sure_place = key[sure], place[sure]
         b, key, place = b[~sure], key[~sure], place[~sure]
-        at, to, low, low_b = _cut(gram, ranges), _cut(b, ranges), _below(gram, ranges), _below(b, ranges)
-        out: dict[str, list] = {c: [] for c in ("range", "grams", "blocks", "docs", "places", "sure_docs", "sure_places")}
-        for r in range(ranges):
-            if at[r] < at[r + 1] or len(sure_key[r]):
-                x = slice(to[r], to[r + 1])
-                for c, v in zip(out, (r, low[at[r] : at[r + 1]], low_b[x], key[x], place[x], sure_key[r], sure_place[r])):
-                    out[c].append(v if c == "range" else v.tobytes())
-        return _table(out, "range")
+        of = _range(gram, ranges)
+        held = np.unique(of)  # a block is a run, too, so it lies in one of these
+        at, to, even = _bounds(of, held), _bounds(_range(b, ranges), held), _dealt(len(sure_key), len(held))
+        return _rows(held, grams=(_below(gram, ranges), at), blocks=(_below(b, ranges), to), docs=(key, to), places=(place, to), sure_docs=(sure_key, even), sure_places=(sure_place, even))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[list, list, list, list] = ([], [], [], [])
@@ -87,7 +101,7 @@ def _anchors(docs: DataFrame, block: int, ranges: int) -> DataFrame:
                 for part, x in zip(found, (run[inside], run[head], names[first:stop][w.owner[head]], (w.place[head] // block).astype(np.int32))):
                     part.append(x)
                 n += int(inside.sum())
-                if n >= FLUSH_WINDOWS:
+                if n >= _flush(ranges):
                     yield send(*found)
                     found, n = ([], [], [], []), 0
                     give_back()
@@ -130,22 +144,17 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
         moved = (key[order] != key[order][head]) | (start[order] != start[order][head])
         sure, kept = np.sort(order[moved]), order[~np.append(False, same)]
         s_first, s_len = _stretches(key[sure], start[sure])
-        s_key, s_start, s_len = (np.array_split(x, ranges) for x in (key[sure][s_first], start[sure][s_first], s_len.astype(np.int32)))
+        s_key, s_start, s_len = key[sure][s_first], start[sure][s_first], s_len.astype(np.int32)
         kept = np.sort(kept)
         first, length = _stretches(key[kept], start[kept], least[kept])
         by = np.argsort(least[kept][first], kind="stable")
         first, length = first[by], length[by]
         pos = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(len(kept))
-        at = _cut(least[kept][first], ranges)
-        window_at = np.concatenate([[0], np.cumsum(length)])[at]
-        value, f_key, f_start, length = value[kept][pos], key[kept][first], start[kept][first], length.astype(np.int32)
-        out: dict[str, list] = {c: [] for c in ("range", "hashes", "docs", "starts", "lengths", "sure_docs", "sure_starts", "sure_lengths")}
-        for r in range(ranges):
-            if at[r] < at[r + 1] or len(s_key[r]):
-                x = slice(at[r], at[r + 1])
-                for c, v in zip(out, (r, value[window_at[r] : window_at[r + 1]], f_key[x], f_start[x], length[x], s_key[r], s_start[r], s_len[r])):
-                    out[c].append(v if c == "range" else v.tobytes())
-        return _table(out, "range")
+        of = _range(least[kept][first], ranges)
+        held = np.unique(of)
+        at, even = _bounds(of, held), _dealt(len(s_key), len(held))
+        window_at = np.append(0, np.cumsum(length))[at]
+        return _rows(held, hashes=(value[kept][pos], window_at), docs=(key[kept][first], at), starts=(start[kept][first], at), lengths=(length.astype(np.int32), at), sure_docs=(s_key, even), sure_starts=(s_start, even), sure_lengths=(s_len, even))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -168,7 +177,7 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
                 run = np.minimum(run[: len(run) - (reach + 1 - size)], run[reach + 1 - size :])
                 parts.append((value[chosen], names[first:stop][w.owner[chosen]], w.place[chosen].astype(np.int32), words.mix(run[chosen])))
                 n += len(chosen)
-                if n >= FLUSH_WINDOWS:
+                if n >= _flush(ranges):
                     yield send(parts)
                     parts, n = [], 0
                     give_back()
@@ -207,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     2. Hit blocks are extended: all windows that hold one are compared by their hashes, stretch by stretch, and all but
        the first of equal ones become stretches to remove.
 
-    Hashes travel in packed arrays, one for each range and task. Within a task equal ones are sent once, so neither a
+    Hashes travel in packed arrays, one for each flush of a task and range that it holds. Within a task equal ones are sent once, so neither a
     passage nor a block of any frequency fills a range; the number of ranges follows the size of the text. Blocks are
     found by about 40 bits of hash, which only adds candidates; windows are compared by 64.
 
