@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from roiscore.llm.common import cut, give_back, id_and_text, with_carried
 
-#: Entities that needed a second try, at most, for which a table of tries is broadcast; above it they are joined.
+#: Given names and entities that needed a second try (some 50 bytes each), at most, which are broadcast; above it they are joined.
 MOST_BROADCAST = 100_000
 _NULL_ID = (1 << 63) - 1
 
@@ -24,6 +24,9 @@ MALE_TITLES = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta")
 OTHER_TITLES = ("Dr", "Prof", "Professor", "Professeur", "Doctor")
 
+# Country calling codes of one and of two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DIGITS = re.compile(
     rf"(?P<IP>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
@@ -33,7 +36,8 @@ _DIGITS = re.compile(
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DOMAIN = re.compile(r"@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
-_LOCAL = re.compile(r"[\w.%+'-]+$")
+_LOCAL = re.compile(r"[\w.%+'-]")
+_RUN = re.compile(r"\w+")
 _TITLES = frozenset(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _TITLE = re.compile(r"\b(" + "|".join(sorted(_TITLES)) + r")\b\.?(?= +[^\W\d_])")
 # A name word follows blanks, or the stop of an initial.
@@ -46,7 +50,7 @@ _PARTICLES = re.compile(rf"(?: +(?:{_PARTICLE})(?: +(?:{_PARTICLE}|{_ARTICLE}))*
 _FIRST_PARTICLES = re.compile(rf"(?: +(?:{_PARTICLE}|{_ARTICLE}))+(?= )")
 _GENDER = {t: g for g, titles in (("m", MALE_TITLES), ("f", FEMALE_TITLES)) for t in titles}
 
-Span = tuple[int, int, str, str]  # start, end, kind, canonical form
+Span = tuple[int, int, str, str, str]  # start, end, kind, canonical form, style (of names: s surname, or m, f, n given name)
 
 
 def _luhn(digits: str) -> int:
@@ -75,39 +79,84 @@ def _name_words(text: str, at: int) -> list[tuple[re.Match, bool]]:
         tokens.append((t, bool(particles) or len(tokens) > 1 and not initial))
 
 
+def _national(number: str) -> str:
+    """The digits of a phone number without country code and trunk zero, which are one in all its forms."""
+    digits = re.sub(r"\D", "", number)
+    if number.startswith("+"):
+        code = next((k for k in (1, 2) if digits[:k] in SHORT_CODES), 3)
+    else:  # a number before the brackets is a country code
+        code = len(re.sub(r"\D", "", number.partition("(")[0])) if "(" in number else 0
+    return digits[code:].lstrip("0") or digits[-1:]
+
+
+def _with(kept: list[Span], more: list[Span]) -> list[Span]:
+    """kept, and those of more that overlap none of it nor one another (of these the first stays); both by start."""
+    out: list[Span] = []
+    at, end = 0, 0
+    for span in more:
+        while at < len(kept) and kept[at][1] <= span[0]:
+            at += 1
+        if span[0] >= end and (at == len(kept) or span[1] <= kept[at][0]):
+            out.append(span)
+            end = span[1]
+    return sorted(kept + out)
+
+
+def _mentions(text: str, names: dict[str, tuple[str, str]]) -> list[Span]:
+    """Where names stand as whole words; the longest of those that start at one place."""
+    by_run: dict[str, list[str]] = {}
+    for name in sorted(names, key=len, reverse=True):
+        by_run.setdefault(_RUN.match(name)[0], []).append(name)
+    found, end = [], 0
+    for m in _RUN.finditer(text):
+        if m.start() >= end:
+            for name in by_run.get(m[0], ()):
+                end = m.start() + len(name)
+                if text.startswith(name, m.start()) and not (text[end : end + 1] == "_" or text[end : end + 1].isalnum()):
+                    found.append((m.start(), end, "NAME", *names[name]))
+                    break
+            else:
+                end = m.end()
+    return found
+
+
 def detect(text: str) -> list[Span]:
-    """Entities in order of their places; of overlapping ones the first found of e-mail, IBAN, number, name stays."""
-    found: list[Span] = []
+    """Entities in order of their places; of overlapping ones the first found of e-mail, IBAN, number, name stays. Linear in the text but for sorting."""
+    kept: list[Span] = []
     if "@" in text:
+        mails = []
         for m in _DOMAIN.finditer(text):
-            if local := _LOCAL.search(text, max(0, m.start() - 64), m.start()):
-                found.append((local.start(), m.end(), "EMAIL", text[local.start() : m.end()].lower()))
+            start = m.start()
+            while start and _LOCAL.match(text[start - 1]):
+                start -= 1
+            if start < m.start():
+                mails.append((start, m.end(), "EMAIL", text[start : m.end()].lower(), ""))
+        kept = _with(kept, mails)
     if re.search(r"\d", text):
+        ibans = []
         for m in _IBAN.finditer(text):
             plain = m[0].replace(" ", "")
             if 15 <= len(plain) <= 34 and plain.isascii() and _iban_rest(plain) == 1:
-                found.append((*m.span(), "IBAN", plain))
+                ibans.append((*m.span(), "IBAN", plain, ""))
+        kept = _with(kept, ibans)
+        numbers = []
         for m in _DIGITS.finditer(text):
             kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
             if kind != "CARD" or _luhn(digits) % 10 == 0 and digits.strip("0"):
-                found.append((*m.span(), kind, m[0] if kind == "IP" else digits))
-    surnames: dict[str, str] = {}
+                numbers.append((*m.span(), kind, m[0] if kind == "IP" else _national(m[0]) if kind == "PHONE" else digits, ""))
+        kept = _with(kept, numbers)
+    titled: list[Span] = []
+    names: dict[str, tuple[str, str]] = {}
     for m in _TITLE.finditer(text):
         tokens = _name_words(text, m.end())
-        gender = _GENDER.get(m[1], "n")
         for k, (t, family) in enumerate(tokens):
-            last = k == len(tokens) - 1
-            found.append((*t.span(1), "SURNAME" if last or family else f"GIVEN_{gender}", t[1].casefold()))
-            if last or family:
-                surnames[t[1]] = t[1].casefold()
-    if surnames:  # later mentions without a title
-        for m in re.finditer(r"(?<!\w)(" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")(?!\w)", text):
-            found.append((*m.span(), "SURNAME", surnames[m[0]]))
-    kept: list[Span] = []
-    for span in found:
-        if all(span[1] <= a or b <= span[0] for a, b, *_ in kept):
-            kept.append(span)
-    return sorted(kept)
+            style = "s" if family or k == len(tokens) - 1 else _GENDER.get(m[1], "n")
+            titled.append((*t.span(1), "NAME", t[1].casefold(), style))
+            if len(t[1]) > 1 or style == "s":  # an initial is no name elsewhere
+                names[t[1]] = (t[1].casefold(), style)
+    if titled:  # and later mentions without a title
+        kept = _with(_with(kept, titled), _mentions(text, names))
+    return kept
 
 
 class _Digits:
@@ -143,43 +192,49 @@ def _shaped(text: str, draw: _Digits) -> str:
     return "".join(str(draw.below(10)) if c.isdigit() else _letter(c, draw) if c.isalpha() else c for c in text)
 
 
-def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
-    """The canonical form of an entity's replacement; a later attempt gives another one."""
+#: Attempts after which a kind's own range counts as full, and a wider one is drawn from.
+NARROW_TRIES = 8
+
+
+def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0, style: str = "s") -> str:
+    """The canonical form of an entity's replacement; a later attempt gives another one. style: that of a name."""
     draw = _Digits(key, kind, canonical, str(attempt))
     if kind == "EMAIL":
         local, _, domain = canonical.rpartition("@")
         labels = domain.split(".")[:-1]
         own = [_shaped(x, _Digits(key, "DOMAIN", domain, str(i))) for i, x in enumerate(labels)]
         return f"{_shaped(local, draw)}{draw.below(10) if attempt else ''}@{'.'.join(own)}.example"
-    if kind == "IP":  # reserved addresses; private ones stay private
-        first = canonical.split(".")[0]
-        if canonical.startswith(("10.", "192.168.")) or first == "127":
-            return f"{'10' if first != '127' else '127'}.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
-        return f"{240 + draw.below(16)}.{draw.below(256)}.{draw.below(256)}.{draw.below(256)}"
+    if kind == "IP":  # reserved addresses; private ones stay in their private range
+        first, second = canonical.split(".")[:2]
+        fixed = [first] if first in ("10", "127") else ["192", "168"] if (first, second) == ("192", "168") else ["172", str(16 + draw.below(16))] if first == "172" and 16 <= int(second) < 32 else []
+        if not fixed or attempt >= NARROW_TRIES:
+            fixed = [str(240 + draw.below(16))]
+        return ".".join(fixed + [str(draw.below(256)) for _ in range(4 - len(fixed))])
     if kind == "SSN":  # area numbers from 900 on are never given out
         return f"9{draw.below(100):02d}{draw.below(10**6):06d}"
     if kind == "PHONE":
-        keep = len(canonical) - 10 if len(canonical) > 10 else 0
-        return canonical[:keep] + "".join(str(draw.below(10) if c == "0" else 1 + draw.below(9)) for c in canonical[keep:])
-    if kind == "CARD":
-        body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[2:])
+        return "".join(str(draw.below(10) if c == "0" else 1 + draw.below(9)) for c in canonical)
+    if kind == "CARD":  # five zeros after the network's digit: numbers as in documentation, not given out
+        zeros = 5 if attempt < NARROW_TRIES else 2
+        body = canonical[0] + "0" * zeros + "".join(str(draw.below(10)) for _ in canonical[2 + zeros :])
         return body + str(-_luhn(body + "0") % 10)
     if kind == "IBAN":
         body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in canonical[4:])
         return f"{canonical[:2]}{98 - _iban_rest(canonical[:2] + '00' + body):02d}{body}"
     if canonical.isalpha() and not all(unicodedata.name(c, "").startswith("LATIN") for c in canonical):
         return _shaped(canonical, draw) + "".join(_letter(canonical[-1], draw) for _ in range(attempt))
-    name = "".join(_CONSONANTS[draw.below(18)] + _VOWELS[draw.below(5)] for _ in range(2 + (kind == "SURNAME") + attempt))
-    ending = {"GIVEN_m": ("n", "rt", "s", "k"), "GIVEN_f": ("na", "la", "ria", "sa"), "GIVEN_n": ("l", "m", "r", "n")}.get(kind, ("ng", "rs", "lt", "nd", "ck", "ller", "tov", "mann"))
+    name = "".join(_CONSONANTS[draw.below(18)] + _VOWELS[draw.below(5)] for _ in range(2 + (style == "s") + attempt))
+    ending = {"m": ("n", "rt", "s", "k"), "f": ("na", "la", "ria", "sa"), "n": ("l", "m", "r", "n")}.get(style, ("ng", "rs", "lt", "nd", "ck", "ller", "tov", "mann"))
     return name + ending[draw.below(len(ending))]
 
 
 def _laid(surface: str, kind: str, new: str) -> str:
     """The replacement in the format of this mention: its separators, and its case for names."""
     if kind in ("PHONE", "CARD", "SSN", "IBAN"):
-        rest = iter(new)
+        before = sum(map(str.isalnum, surface)) - len(new)  # a phone number's country code and trunk zero stay
+        rest = iter([c for c in surface if c.isalnum()][:before] + [*new])
         return "".join(next(rest) if c.isalnum() else c for c in surface)
-    if kind == "SURNAME" or kind.startswith("GIVEN"):
+    if kind == "NAME":
         return new.upper() if len(surface) > 1 and surface.isupper() else new[:1].upper() + new[1:] if surface[:1].isupper() else new
     return new.upper() if kind == "EMAIL" and surface.isupper() else new
 
@@ -191,18 +246,26 @@ class Policy:
     key: bytes
 
 
-def _rewrite(text: str, policy: Policy, tries: dict[tuple[str, str], int]) -> tuple[str, list[dict]]:
+def _rewrite(text: str, policy: Policy, tries: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[dict]]:
     out, at, spans = [], 0, []
-    for start, end, kind, canonical in detect(text):
-        new = _laid(text[start:end], kind, surrogate(policy.key, kind, canonical, tries.get((kind, canonical), 0)))
+    for start, end, kind, canonical, _ in detect(text):
+        new = _laid(text[start:end], kind, surrogate(policy.key, kind, canonical, *tries.get((kind, canonical), (0, "s"))))
         out += [text[at:start], new]
         spans.append({"start": start, "end": end, "kind": kind, "surrogate": new})
         at = end
     return ("".join([*out, text[at:]]) if spans else text), spans
 
 
+def _styled(found: DataFrame) -> DataFrame:
+    """(kind, canonical, style): one row for each entity. A name that is anywhere a given name has that style everywhere, with a gender if all its gendered titles agree."""
+    has = {s: F.max((F.col("style") == s).cast("int")) == 1 for s in "mfn"}
+    style = F.when(has["m"] & ~has["f"], "m").when(has["f"] & ~has["m"], "f").when(has["m"] | has["n"], "n").otherwise("s")
+    return found.groupBy("kind", "canonical").agg(style.alias("style"))
+
+
 def _tries(entities: DataFrame, policy: Policy) -> DataFrame:
-    """(kind, canonical, attempt) of the entities whose first replacement is another entity's, or is an entity itself.
+    """(kind, canonical, attempt, style) of the entities that do not simply have their first replacement: given names, and those whose first
+    replacement is another entity's, or is an entity itself.
 
     Of entities with one replacement the smallest keeps it; the others, and those whose replacement stands in the corpus,
     draw again until every replacement is its entity's own.
@@ -210,19 +273,19 @@ def _tries(entities: DataFrame, policy: Policy) -> DataFrame:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, canonical, attempt = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(policy.key, *x) for x in zip(kind, canonical, attempt)], pa.string())], names=["kind", "canonical", "attempt", "new"])
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(policy.key, *x) for x in rows], pa.string())], names=["kind", "canonical", "attempt", "style", "new"])
 
-    schema = "kind string, canonical string, attempt int, new string"
-    now = cut(entities.select("kind", "canonical", F.lit(0).alias("attempt")).mapInArrow(draw, schema))
+    schema = "kind string, canonical string, attempt int, style string, new string"
+    now = cut(entities.select("kind", "canonical", F.lit(0).alias("attempt"), "style").mapInArrow(draw, schema))
     while True:
         taken = now.groupBy("kind", "new").agg(F.min("canonical").alias("owner"), F.count("*").alias("n")).where("n > 1").select("kind", "new", "owner")
         doubled = now.join(taken, ["kind", "new"]).where("canonical <> owner").select("kind", "canonical")
         real = now.join(entities.select("kind", F.col("canonical").alias("new")), ["kind", "new"]).select("kind", "canonical")
         again = cut(doubled.union(real).distinct())
         if again.isEmpty():
-            return now.where("attempt > 0").select("kind", "canonical", "attempt")
-        redrawn = now.join(again, ["kind", "canonical"], "left_semi").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
+            return now.where("attempt > 0 or style <> 's'").select("kind", "canonical", "attempt", "style")
+        redrawn = now.join(again, ["kind", "canonical"], "left_semi").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"), "style").mapInArrow(draw, schema)
         now = cut(now.join(again, ["kind", "canonical"], "left_anti").unionByName(redrawn))
 
 
@@ -230,13 +293,14 @@ def replace_entities(docs: DataFrame, policy: Policy, id_col: str = "doc_id", te
     """(doc_id, text, entities): texts with their personal data replaced, and where it stood (characters), its kind and its replacement.
 
     Kinds: e-mail addresses, phone numbers, IPv4 addresses, payment cards (valid check digit), IBANs (valid), social
-    security numbers, and names after a title. Replacements depend on the key, the kind and the canonical form alone, so
-    one entity has one replacement in all documents and formats (coreference; a surname also without its title), and
-    they keep separators, case, script, length where the kind has one, valid check digits, and the gender of the title. They lie in ranges
+    security numbers, and names after a title. Replacements depend on the key, the kind and the canonical form (and a name's style in the
+    corpus), so one entity has one replacement in all documents and formats: a phone number with and without its country
+    code, a name under any title and, in a text that has it with one, without. They keep separators, case, script, country codes, length
+    where the kind has one, valid check digits, and the gender that a given name's titles tell. They lie in ranges
     that are not given out, where the kind has such. No two entities share a replacement, and none is an entity of the corpus.
 
-    Texts are read twice, for the distinct entities and for the replacement, and are not shuffled as long as the entities with a
-    second draw are few. Null or empty texts stay empty, without entities; rows with equal or null ids are kept; texts without
+    Texts are read twice, for the distinct entities and for the replacement, and are not shuffled as long as given names and entities with a
+    second draw are few (counted). Null or empty texts stay empty, without entities; rows with equal or null ids are kept; texts without
     entities are returned as they are; an empty table gives no rows; extra columns are not read, but those in `carry` go
     along as the struct column `carried`.
     """
@@ -245,16 +309,16 @@ def replace_entities(docs: DataFrame, policy: Policy, id_col: str = "doc_id", te
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             distinct = {s[2:] for text in batch.column(0).to_pylist() for s in detect(text)}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in distinct], pa.string()), pa.array([c for _, c in distinct], pa.string())], names=["kind", "canonical"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in distinct], pa.string()) for i in range(3)], names=["kind", "canonical", "style"])
 
-    entities = cut(docs.select("text").mapInArrow(found, "kind string, canonical string").distinct())
+    entities = cut(_styled(docs.select("text").mapInArrow(found, "kind string, canonical string, style string")))
     tries = cut(_tries(entities, policy))
     few = tries.count() <= MOST_BROADCAST
-    known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canonical): r.attempt for r in tries.toLocalIterator()} if few else {})
+    known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.canonical): (r.attempt, r.style) for r in tries.toLocalIterator()} if few else {})
 
     def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(key, *s[2:]) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in detect(text)}
+            rows = {(key, *s[2:4]) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in detect(text)}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["key", "kind", "canonical"])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +326,7 @@ def replace_entities(docs: DataFrame, policy: Policy, id_col: str = "doc_id", te
         for batch in batches:
             own = batch.column("own").to_pylist() if not few else [None] * batch.num_rows
             carried = [c for c in batch.schema.names if c == "carried"]
-            rows = [_rewrite(t, policy, {(x["kind"], x["canonical"]): x["attempt"] for x in o} if o else known.value) for t, o in zip(batch.column(1).to_pylist(), own)]
+            rows = [_rewrite(t, policy, {(x["kind"], x["canonical"]): (x["attempt"], x["style"]) for x in o} if o else known.value) for t, o in zip(batch.column(1).to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], span), *map(batch.column, carried)], names=["key", "text", "entities", *carried])
             del rows
             give_back()
@@ -270,6 +334,6 @@ def replace_entities(docs: DataFrame, policy: Policy, id_col: str = "doc_id", te
     asked = docs
     if not few:
         own = docs.select("key", "text").mapInArrow(mentioned, "key long, kind string, canonical string").distinct().join(tries, ["kind", "canonical"])
-        asked = docs.join(own.groupBy("key").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("own")), "key", "left").select("key", "text", "own", *docs.columns[2:])
+        asked = docs.join(own.groupBy("key").agg(F.collect_list(F.struct("kind", "canonical", "attempt", "style")).alias("own")), "key", "left").select("key", "text", "own", *docs.columns[2:])
     done = asked.mapInArrow(rewrite, with_carried("key long, text string, entities array<struct<start: long, end: long, kind: string, surrogate: string>>", docs))
     return done.withColumn("key", F.nullif("key", F.lit(_NULL_ID))).withColumnRenamed("key", "doc_id")
