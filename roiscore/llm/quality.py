@@ -48,9 +48,9 @@ def _repeated(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(pairs, covered)).otherwise(0)
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), with a hash of the text; words lie between ASCII blanks. Null text is empty and has none of anything."""
-    docs = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("hash"), _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "").alias("lines"), F.regexp_count("text", F.lit(_SYMBOLS)).alias("symbols"))
+def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), and further columns made of the column `text`; words lie between ASCII blanks. Null text is empty and has none of anything."""
+    docs = id_and_text(docs, id_col, text_col).select("doc_id", *(v.alias(k) for k, v in more.items()), _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "").alias("lines"), F.regexp_count("text", F.lit(_SYMBOLS)).alias("symbols"))
     docs = docs.withColumn("windows", _windows(F.col("words")))
     counts = {
         "n_words": F.size("words"),
@@ -59,18 +59,26 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": _repeated(F.col("windows")),
     }
-    return docs.select("doc_id", "hash", *(v.cast("long").alias(k) for k, v in counts.items()))
+    return docs.select("doc_id", *(v.cast("long").alias(k) for k, v in counts.items()), *more)
 
 
-def _exploded(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` and the bucket of every unigram and bigram of words and of runs of signs; the last token's bigram has it alone.
-
-    One function runs over the tokens and gives both buckets of a place as one number.
-    """
+def _grams(of_place) -> Column:
+    """Of the column `text`: of_place(bucket of the unigram, bucket of the bigram) for every place of its words and runs of signs; the last bigram has its token alone."""
     tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
-    both = _let(tokens, lambda t: F.transform(t, lambda x, i: F.pmod(F.xxhash64(x), F.lit(BUCKETS)) * BUCKETS + F.pmod(F.xxhash64(x, F.get(t, i + 1)), F.lit(BUCKETS))))
-    places = docs.select(*keep, F.explode(both).alias("both"))
-    return places.select(*keep, F.explode(F.array((F.col("both") / BUCKETS).cast("int"), (F.col("both") % BUCKETS).cast("int"))).alias("bucket"))
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    return _let(tokens, lambda t: F.transform(t, lambda x, i: of_place(bucket(x), bucket(x, F.get(t, i + 1)))))
+
+
+def _exploded(docs: DataFrame, keep: str) -> DataFrame:
+    """The column `keep` and the bucket of every n-gram. One function runs over the tokens and gives both buckets of a place as one number."""
+    both = docs.select(keep, F.explode(_grams(lambda one, two: one.cast("long") * BUCKETS + two)).alias("both"))
+    return both.select(keep, F.explode(F.array((F.col("both") / BUCKETS).cast("int"), (F.col("both") % BUCKETS).cast("int"))).alias("bucket"))
+
+
+def _mean(ratios: Column) -> Column:
+    """Of the column `text`: the mean of its n-grams' ratios, 0 without any."""
+    of_places = _grams(lambda one, two: F.get(ratios, one) + F.get(ratios, two))
+    return _let(of_places, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, r: a + r) / (2 * F.size(x))).otherwise(0.0))
 
 
 def ratio_model(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,11 +108,9 @@ def quality(docs: DataFrame, target: DataFrame, least_ratio: float = LEAST_RATIO
     Null or empty texts have no words and fail; a document without n-grams has the ratio 0. Without trusted documents
     the target is the smoothing alone. Rows with equal or null ids are kept; an empty table gives no rows; extra columns are not read.
     """
-    model = F.broadcast(ratio_model(docs, target, id_col, text_col))
-    # all n-grams of a text come from one task, so it leaves that task as one row; equal rows have one ratio
-    grams = _exploded(id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")), "doc_id", "hash")
-    ratios = grams.join(model, "bucket").groupBy("doc_id", "hash").agg(F.avg("ratio").alias("found")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "found")
-    counted = text_counts(docs, id_col, text_col)
-    scored = counted.join(ratios, counted["doc_id"].eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").withColumn("ratio", F.coalesce("found", F.lit(0.0))).drop("hash", "_id", "_hash", "found")
+    # BUCKETS numbers at any size, so they go into the plan as one value and every text is scored where it is read
+    model = ratio_model(docs, target, id_col, text_col).orderBy("bucket").collect()
+    ratios = F.split(F.lit(",".join(repr(r.ratio) for r in model)), ",").cast("array<double>")
+    scored = text_counts(docs, id_col, text_col, ratio=_mean(ratios))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least_ratio))
