@@ -16,18 +16,16 @@ from roiscore.session import ship
 @dataclass(frozen=True)
 class Params:
     """projections: sorted arrays of a block. threshold: share of them in which a vector must fall into the query's window
-    to be verified. share: of a block's vectors that must reach it before the windows stop widening (and k more, and no
-    fewer than least).
+    to be verified. share: of a block's vectors that must reach it before the windows stop widening (and k more).
     start, step: half of the first windows, in interquartile ranges of the projections, and by which a round widens them. block, queries: vectors and queries that meet in one task."""
 
-    projections: int = 96
+    projections: int = 128
     threshold: float = 0.7
-    share: float = 0.14
-    least: int = 512
+    share: float = 0.16
     start: float = 0.75
     step: float = 1.12
     block: int = 8192
-    queries: int = 1024
+    queries: int = 8192
     seed: int = 7
 
 
@@ -52,12 +50,12 @@ class SortedProjections:
         self.width = float(middle) or float(np.abs(values).max()) or 1.0
 
     def candidates(self, queries: np.ndarray, k: int):
-        """(query's place, places of vectors) as soon as enough vectors have collided with the query; all vectors of a small block.
+        """(query's place, places of vectors) as soon as enough vectors have collided with the query; all of them where k is no fewer.
 
         A round widens every window around its query (virtual rehashing) and counts only what has come in.
         """
         n, p = len(self.vectors), self.p
-        need, want = int(np.ceil(p.threshold * p.projections)), max(k + int(p.share * n), p.least)
+        need, want = int(np.ceil(p.threshold * p.projections)), k + int(p.share * n)
         if want >= n:
             for q in range(len(queries)):
                 yield q, np.arange(n)
@@ -99,8 +97,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
 
     Rows are dealt out by hash into blocks, and each block meets each block of queries in one task, which builds the block's
     sorted projections, widens windows, verifies what has collided often enough and sends k rows a query. So work is
-    queries times rows over the projections, memory is one block, and no row is left out. Every block returns all its
-    rows where it has no more than it must verify.
+    queries times rows over the projections, memory is one block and one group of queries, and no row is left out. Rows are
+    copied once for every group of queries, and queries once for every block: both are large, so that copies are few.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids and vectors
     of another length than most. Rows with the query's id are its own; of rows that share an id one asks. Fewer than k other rows give fewer
