@@ -36,15 +36,15 @@ def candidates(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col:
     words = docs.select("doc_id", F.col("carried._path").alias("path"), F.split("text", _BLANK).alias("words"))
     runs = lambda w: F.regexp_extract_all(w, F.lit(_VALUE), F.lit(1))
     digit = lambda v: v.rlike("[0-9]")
+    at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     holds = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("word"), w.alias("w"))), lambda x: (F.char_length(x["w"]) >= 16) & F.exists(runs(x["w"]), digit))
-    found = words.select("doc_id", "path", "words", F.explode(holds).alias("x"))
-    at = F.col("x.word")
-    near = {"before": F.concat_ws(" ", F.get("words", at - 2), F.get("words", at - 1)), "after": F.coalesce(F.get("words", at + 1), F.lit(""))}
+    near = F.transform(holds, lambda x: F.struct(x["word"].cast("long").alias("word"), x["w"].alias("w"), F.concat_ws(" ", F.get("words", x["word"] - 2), F.get("words", x["word"] - 1)).alias("before"), at(x["word"] + 1).alias("after")))
+    found = words.select("doc_id", "path", F.explode(near).alias("x"))
     # what lies between the runs: one more than there are runs, the first before all of them
-    parted = found.select("doc_id", "path", at.cast("long").alias("word"), *(v.alias(k) for k, v in near.items()), runs(F.col("x.w")).alias("runs"), F.split("x.w", _VALUE).alias("gaps"))
+    parted = found.select("doc_id", "path", "x.word", "x.before", "x.after", runs(F.col("x.w")).alias("runs"), F.split("x.w", _VALUE).alias("gaps"))
     each = F.transform("runs", lambda v, i: F.struct(v.alias("value"), F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("gaps", i)).alias("lead")))
-    found = parted.select("doc_id", "path", "word", *near, F.explode(F.filter(each, lambda x: digit(x["value"]))).alias("x"))
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "word", "x.value", "x.lead", *near, F.coalesce("path", F.lit("")).alias("path"))
+    found = parted.select("doc_id", "path", "word", "before", "after", F.explode(F.filter(each, lambda x: digit(x["value"]))).alias("x"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "word", "x.value", "x.lead", "before", "after", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
