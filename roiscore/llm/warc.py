@@ -17,8 +17,10 @@ from roiscore.session import ship
 
 #: Digests of repeated payloads that may be broadcast (about 60 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 100_000
-#: Records in a file, and captures in a range of the merged index.
+#: Records in a file and captures in a range of the merged index, at most.
 FILE_RECORDS, RANGE_CAPTURES = 4096, 200_000
+#: Payloads of a file (bytes before compression) at most, but for a single larger one; payloads of LARGE_BYTES and more get files of their own.
+FILE_BYTES, LARGE_BYTES = 1 << 28, 1 << 18
 
 _END = "\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,7 +32,7 @@ def _lines(*lines: Column) -> Column:
 
 
 def records(pages: DataFrame, least_bytes: int = 1000, captured_at: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One WARC record as text for each page, without the blank lines that end it.
+    """One WARC record as text (value) for each page, without the blank lines that end it, and the bytes of its payload.
 
     Of equal payloads of at least least_bytes, the page with the largest id is the response and the others revisit it.
     Pages with a null id are responses; rows with equal ids and payloads have the same type. A null page is an empty payload, a null URL is named after the id.
@@ -56,12 +58,19 @@ def records(pages: DataFrame, least_bytes: int = 1000, captured_at: str = "2024-
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return pages.select(F.concat(head, F.lit(_END), block).alias("value"))
-
-
-def write_archives(pages: DataFrame, folder: str, **options) -> None:
-    """WARC files of up to FILE_RECORDS records each, compressed as a whole; an empty table leaves an empty file."""
-    records(pages, **options).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    return pages.select("bytes", F.concat(head, F.lit(_END), block).alias("value"))
+
+
+def write_archives(pages: DataFrame, folder: str, html_col: str = "html", **options) -> None:
+    """WARC files of up to FILE_RECORDS records and FILE_BYTES bytes each, compressed as a whole; an empty table leaves an empty file."""
+    size = F.coalesce(F.octet_length(F.col(f"`{html_col}`").cast("string")), F.lit(0))
+    longest = pages.agg(F.max(size)).first()[0] or 0
+    large = longest >= LARGE_BYTES
+    found = records(pages, html_col=html_col, **options)
+    for rows, most, mode in ((F.col("bytes") < LARGE_BYTES, min(longest, LARGE_BYTES), "error"), *([(F.col("bytes") >= LARGE_BYTES, longest, "append")] if large else [])):
+        written = found.where(rows) if large else found
+        per_file = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, most)))
+        written.select("value").write.mode(mode).option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def url_key(url: str) -> str:
