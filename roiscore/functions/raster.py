@@ -257,7 +257,7 @@ def foreground(answer: np.ndarray) -> np.ndarray:
 
 
 def resized(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear with half-pixel centres, edges repeated; a raster of that size stays as it is."""
+    """Bilinear with half-pixel centres, edges repeated and halves rounded up; a raster of that size stays as it is."""
     if rgb.shape[:2] == (height, width):
         return rgb
     out = rgb.astype(np.float64)
@@ -267,7 +267,7 @@ def resized(rgb: np.ndarray, height: int, width: int) -> np.ndarray:
         share = (at - low).reshape([-1 if a == axis else 1 for a in range(out.ndim)])
         last = rgb.shape[axis] - 1
         out = np.take(out, np.clip(low, 0, last), axis) * (1 - share) + np.take(out, np.clip(low + 1, 0, last), axis) * share
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
 def overlay(rgb: np.ndarray, color: np.ndarray, alpha: float) -> np.ndarray:

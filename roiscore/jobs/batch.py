@@ -36,14 +36,17 @@ def _sent(df: DataFrame) -> DataFrame:
 def screened_windows(slides: DataFrame, thumbnails: DataFrame, p: Params = PARAMS) -> DataFrame:
     """Every candidate window with the statistics of the foreground in it and the reason that it passes or not.
 
-    thumbnails: slide_id, height, width, rgb. A slide's windows go to its thumbnail, which is never copied.
+    thumbnails: slide_id, height, width, rgb. A slide's windows go to its thumbnail, which is never copied. A slide without
+    a thumbnail has one row, without a window but with an error.
     """
     masks = rasters.tissue_masks(thumbnails, p, ["slide_id"])
     sized = slides.join(thumbnails.select("slide_id", F.col("width").cast("long").alias("thumb_w"), F.col("height").cast("long").alias("thumb_h")), "slide_id")
     candidates = windows.thumbnail_rects(windows.candidate_windows(sized, p))
     stats = rasters.zonal(masks, candidates.select("slide_id", "grid_x", "grid_y", "mx0", "mx1", "my0", "my1"), p, "slide_id").drop("error")
     failed = masks.where("error is not null").select("slide_id", "error")
-    return candidates.join(stats, KEY, "left").join(failed, "slide_id", "left").withColumn("filter_reason", F.when(F.col("error").isNull(), rasters.tissue_reason(p)))
+    found = candidates.join(stats, KEY, "left").join(failed, "slide_id", "left").withColumn("filter_reason", F.when(F.col("error").isNull(), rasters.tissue_reason(p)))
+    missing = slides.join(thumbnails.select("slide_id"), "slide_id", "left_anti").withColumn("error", F.lit("no thumbnail"))
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def select_rois(slides: DataFrame, thumbnails: DataFrame, regions: DataFrame, model: Callable[[], Callable], keep: Callable[[DataFrame], DataFrame], p: Params = PARAMS) -> Selection:
@@ -51,7 +54,7 @@ def select_rois(slides: DataFrame, thumbnails: DataFrame, regions: DataFrame, mo
 
     slides: slide_id, wsi_path, slide_w0, slide_h0, base_mpp_x, base_mpp_y. regions: slide_id, grid_x, grid_y, height, width, rgb.
     keep: stores a table and gives it back read; it is used for what several later steps read (windows and label rasters), so that no raster is
-    segmented twice.
+    segmented twice. A slide without a thumbnail and a passing window without a raster are failures, as rasters that can't be read are.
     """
     screened = keep(screened_windows(slides, thumbnails, p))
     passed = screened.where("filter_reason = 'pass'")
@@ -62,7 +65,8 @@ def select_rois(slides: DataFrame, thumbnails: DataFrame, regions: DataFrame, mo
     good = labels.where("error is null").drop("error").withColumn("mpp", (F.col("effective_mpp_x") + F.col("effective_mpp_y")) / 2)
     features = rasters.label_features(good, [*KEY, "filter_global_tissue_fraction", "effective_mpp_x", "effective_mpp_y"], p)
     scored = selection.with_raw_score(features.where("error is null").drop("error").withColumnRenamed("filter_global_tissue_fraction", "tissue_fraction"), p)
-    failed = screened.where("error is not null").select("slide_id", "error").unionByName(labels.where("error is not null").select("slide_id", "error")).unionByName(features.where("error is not null").select("slide_id", "error"))
+    absent = plan.select(*KEY).join(regions.select(*KEY), KEY, "left_anti").select("slide_id", F.format_string("no raster of region %d, %d", "grid_x", "grid_y").alias("error"))
+    failed = screened.where("error is not null").select("slide_id", "error").distinct().unionByName(absent).unionByName(labels.where("error is not null").select("slide_id", "error")).unionByName(features.where("error is not null").select("slide_id", "error"))
     return Selection(screened, keep(selection.classified(scored, p, KEY)), labels, failed)
 
 
@@ -81,12 +85,12 @@ def score_rois(chosen: Selection, regions: DataFrame, model: Callable[[], Callab
 
 def summarize_slides(slides: DataFrame, chosen: Selection, scores: DataFrame, failed: DataFrame, p: Params = PARAMS) -> DataFrame:
     """One row for each slide, as it stands in the summary; a slide with any failure is FAILED."""
-    passed = chosen.windows.groupBy("slide_id").agg(F.count_if(F.col("filter_reason") == "pass").alias("num_passing"), F.count("*").alias("num_candidate_windows"))
+    passed = chosen.windows.groupBy("slide_id").agg(F.count_if(F.col("filter_reason") == "pass").alias("num_passing"), F.count("grid_x").alias("num_candidate_windows"))
     rows = scoring.with_status(slides.select("slide_id", "wsi_path"), passed, scoring.slide_scores(scores, p, "slide_id"), "slide_id")
     errors = failed.groupBy("slide_id").agg(F.min("error").alias("error_message"))
     bad = F.col("error_message").isNotNull()
     out = rows.join(errors, "slide_id", "left").withColumn("status", F.when(bad, "FAILED").otherwise(F.col("status")))
-    zero = {c: F.when(bad, 0.0).otherwise(F.col(c)) for c in out.columns if c.startswith("score_") and c.endswith("_percent")}
+    zero = {c: F.when(bad, F.lit(0).cast(kind)).otherwise(F.col(c)) for c, kind in out.dtypes if c.startswith(("score_", "num_", "total_"))}
     return out.withColumns(zero | {"num_candidate_windows": F.when(F.col("status") == "OK", F.col("num_candidate_windows")), "reason": F.when(~bad, F.col("reason"))}).drop("num_passing")
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roiscore.config import PARAMS
 from roiscore.functions import raster
 from roiscore.functions.text import roi_name
-from roiscore.jobs import export
+from roiscore.jobs import batch, export
 from roiscore.operators import pixels, rasters, scoring, selection, summary, windows
+from roiscore.session import new_path, stored
 from roiscore.sources import catalogue, fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,24 +114,37 @@ def thumb_rects(spark, sf_dir):
 
 # Selection
 
-_SCORED = f"""
+def _scored_sql(features: str) -> str:
+    return f"""
     select *, least(greatest(0.4e0 * peritumoral_stroma_fraction + 0.25e0 * stroma_fraction + 0.2e0 * least(interface_density / 0.01e0, 1e0) + 0.1e0 * tissue_fraction + 0.05e0 * tumor_stroma_balance, 0e0), 1e0) as roi_score
-    from (select *, 2e0 * least(tumor_fraction, stroma_fraction) as tumor_stroma_balance from ({fx.ROI_FEATURES}))"""
-_DECIDED = f"""
+    from (select *, 2e0 * least(tumor_fraction, stroma_fraction) as tumor_stroma_balance from ({features}))"""
+
+
+def _decided_sql(features: str) -> str:
+    return f"""
     select *, case when tissue_fraction >= 0.6e0 and stroma_fraction >= 0.1e0 and tumor_fraction >= 0.01e0 and interface_density >= 0.0003e0 and roi_score >= 0.8e0 then 'direct_accept'
         when tissue_fraction >= 0.6e0 and stroma_fraction >= 0.3e0 and tumor_fraction < 0.01e0 and roi_score >= 0.45e0 then 'stroma_waiting_for_neighbor' else 'discard' end as initial_decision
-    from ({_SCORED})"""
-_FINAL = f"""
-    with d as ({_DECIDED}),
+    from ({_scored_sql(features)})"""
+
+
+def _final_sql(features: str) -> str:
+    return f"""
+    with d as ({_decided_sql(features)}),
     n as (select a.slide_key, a.grid_x, a.grid_y, max(b.tumor_fraction) as t, max(b.interface_density) as i, bool_or(b.tumor_fraction >= 0.03e0 or b.interface_density >= 0.0003e0) as ok
           from d a join d b on a.slide_key = b.slide_key and abs(a.grid_x - b.grid_x) <= 1 and abs(a.grid_y - b.grid_y) <= 1 and (a.grid_x <> b.grid_x or a.grid_y <> b.grid_y)
           where a.initial_decision = 'stroma_waiting_for_neighbor' group by all)
     select d.*, coalesce(t, 0e0) as best_neighbor_tumor_fraction, coalesce(i, 0e0) as best_neighbor_interface_density,
         case when initial_decision = 'direct_accept' then 'direct_accept' when coalesce(ok, false) then 'neighbor_associated_stroma' else 'discard' end as final_decision
     from d left join n using (slide_key, grid_x, grid_y)"""
-_SELECTED = f"""
+
+
+def _selected_sql(features: str) -> str:
+    return f"""
     select *, row_number() over (partition by slide_key order by roi_score desc, grid_y, grid_x) as rank
-    from ({_FINAL}) where final_decision in ('direct_accept', 'neighbor_associated_stroma')"""
+    from ({_final_sql(features)}) where final_decision in ('direct_accept', 'neighbor_associated_stroma')"""
+
+
+_SCORED, _DECIDED, _FINAL, _SELECTED = (f(fx.ROI_FEATURES) for f in (_scored_sql, _decided_sql, _final_sql, _selected_sql))
 
 
 def _scored(spark, sf_dir):
@@ -188,14 +203,13 @@ _MEANS = ("mean", "stroma_weighted_mean", "median")
             cast(sum(num_tils_inside_stroma) as bigint) as total_tils_inside_stroma_count, avg(v) as mean,
             coalesce(sum(v * stroma_area_px) filter (where stroma_area_px > 0) / nullif(sum(cast(stroma_area_px as double)) filter (where stroma_area_px > 0), 0), avg(v)) as stroma_weighted_mean, median(v) as median
           from x group by 1),
-    p as (select slide_key, count(*) as num_passing from ({fx.ROI_FEATURES}) where slide_key % 7 <> 3 group by 1)
+    p as (select slide_key, count(*) as num_passing from ({fx.ROI_FEATURES}) group by 1)
     select slide_key, wsi_path, case when coalesce(num_passing, 0) = 0 then 'NO_TISSUE_ROIS' when coalesce(num_selected_rois, 0) = 0 then 'NO_SELECTED_ROIS' else 'OK' end as status,
         {', '.join(f'coalesce({c}, 0) as {c}' for c in _SUMS)}, {', '.join(f'round(coalesce({m}, 0e0) * 100e0, 6) as score_{m}_percent' for m in _MEANS)}
-    from (select slide_key, wsi_path from ({_CATALOGUE})) left join p using (slide_key) left join (select * from a where slide_key % 7 <> 3) using (slide_key)""")
+    from (select slide_key, wsi_path from ({_CATALOGUE})) left join p using (slide_key) left join a using (slide_key)""")
 def slide_scores(spark, sf_dir):
-    """All slides with their scores; every seventh is taken to have no foreground."""
-    here = F.col("slide_key") % 7 != 3
-    scored = _scored(spark, sf_dir).where(here)
+    """All slides with their scores; those beyond the ninetieth have no region."""
+    scored = _scored(spark, sf_dir)
     rois = scoring.with_object_score(selection.selected(selection.classified(scored)).join(fx.roi_counts(spark, sf_dir), "o_orderkey"))
     rois = rois.withColumn("roi_tils_score_fraction", F.when(~F.col("score_missing"), F.col("roi_tils_score_fraction")))
     passed = scored.groupBy("slide_key").agg(F.count("*").alias("num_passing"))
@@ -410,7 +424,7 @@ def infer_tils(spark, sf_dir):
 
 
 @query(f"""
-    select slide_key, y // 2 as y, x // 2 as x, cast(round_even(sum(r) / 4e0, 0) as int) as r, cast(round_even(sum(g) / 4e0, 0) as int) as g, cast(round_even(sum(b) / 4e0, 0) as int) as b
+    select slide_key, y // 2 as y, x // 2 as x, cast(floor(sum(r) / 4e0 + 0.5e0) as int) as r, cast(floor(sum(g) / 4e0 + 0.5e0) as int) as g, cast(floor(sum(b) / 4e0 + 0.5e0) as int) as b
     from ({fx.THUMB_PX}) group by 1, 2, 3""")
 def resize_px(spark, sf_dir):
     thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
@@ -554,3 +568,186 @@ def dice_loss(spark, sf_dir):
 def ce_dice_loss(spark, sf_dir):
     px = fx.eval_px(spark, sf_dir)
     return pixels.cross_entropy(px).select(F.round(F.col("cross_entropy") + pixels.dice_loss(px).scalar(), 6).alias("loss"))
+
+
+# Sinks and sources, written and read back
+
+@query("select unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) as slide_id, true as has_bytes")
+def file_listing(spark, sf_dir):
+    """The files of the tables' own folder, listed as images would be."""
+    return catalogue.list_slides(spark, sf_dir, replace(PARAMS, extensions=(".parquet",))).select("slide_id", (F.col("length") > 0).alias("has_bytes"))
+
+
+@query(f"select slide_id, status, score_mean_percent, event_id, kind from ({_UPSERT}), (values ('csv'), ('parquet')) k(kind)")
+def table_files(spark, sf_dir):
+    """The upserted summary in folders by slide, as both kinds of files."""
+    rows = summary_upsert(spark, sf_dir).select("slide_id", "status", "score_mean_percent", "event_id")
+    found = []
+    for kind in ("csv", "parquet"):
+        path = new_path(spark, "tables")
+        export.write_tables(rows, path, kind=kind)
+        found.append(spark.read.schema(rows.schema).option("header", kind == "csv").format(kind).load(path).select(*rows.columns, F.lit(kind).alias("kind")))
+    return found[0].unionByName(found[1])
+
+
+@query(f"select slide_id, status, score_mean_percent, error_message, null::bigint as num_selected_rois from ({_UPSERT})")
+def summary_files(spark, sf_dir):
+    """The summary as a batch leaves it, read by the next one."""
+    rows = summary_upsert(spark, sf_dir)
+    given = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (x.split() for x in catalogue.SUMMARY_SCHEMA.split(", "))]
+    path = new_path(spark, "summary")
+    rows.select(*given).write.option("header", True).csv(path)
+    return catalogue.read_summary(spark, path).select("slide_id", "status", "score_mean_percent", "error_message", "num_selected_rois")
+
+
+@query(f"""
+    with s as (select slide_id, stage, sum(seconds) as d from ({fx.STAGE_TIMES}) group by all),
+    t as (select * from s union all select slide_id, 'total_pipeline_time', sum(d) from s group by 1)
+    select slide_id, stage, cast(d as double) as seconds, case when d < 60 then 'sec' when d < 3600 then 'min' else 'hr' end as unit from t""")
+def timing_files(spark, sf_dir):
+    """Stage totals as tables and as lines of text."""
+    path = new_path(spark, "timings")
+    export.write_timings(summary.stage_totals(fx.stage_times(spark, sf_dir)), path)
+    table = spark.read.option("header", True).csv(f"{path}/csv").select("slide_id", "stage", F.col("seconds").cast("double").alias("seconds"))
+    words = F.split("value", " +")
+    lines = spark.read.text(f"{path}/text").select("slide_id", F.get(words, F.lit(0)).alias("stage"), F.element_at(words, -1).alias("unit"))
+    return table.join(lines, ["slide_id", "stage"])
+
+
+@query(f"""
+    select slide_key, count(*) as n_features, 'FeatureCollection' as type, max(len(r)) as longest, cast(sum(grid_x * 2048 + 2048) as double) as right_edges
+    from (select slide_key, grid_x, cast(row_number() over (partition by slide_key order by s desc nulls last, grid_y, grid_x) as varchar) as r from (select *, case when not score_missing then roi_tils_score_fraction end as s from ({_TIL}))) group by 1""")
+def geojson_files(spark, sf_dir):
+    """Feature collections written for viewers, read as JSON."""
+    rois = _til_scores(spark, sf_dir).withColumns({"x0_level0": F.col("grid_x") * 2048, "y0_level0": F.col("grid_y") * 2048, "w_level0": F.lit(2048), "h_level0": F.lit(2048)}).withColumn("roi_tils_score_fraction", F.when(~F.col("score_missing"), F.col("roi_tils_score_fraction")))
+    path = new_path(spark, "geojson")
+    export.write_geojson(rois, path)
+    kind = "type string, features array<struct<geometry: struct<coordinates: array<array<array<double>>>>, properties: struct<rank: int>>>"
+    found = spark.read.schema("value string, slide_key long").text(path).select("slide_key", F.from_json("value", kind).alias("c"))
+    edge = lambda f: F.element_at(F.element_at(f["geometry"]["coordinates"][0], 3), 1)
+    return found.select("slide_key", F.size("c.features").cast("long").alias("n_features"), "c.type", F.length(F.array_max(F.transform("c.features", lambda f: f["properties"]["rank"])).cast("string")).cast("long").alias("longest"), F.aggregate("c.features", F.lit(0.0), lambda a, f: a + edge(f)).alias("right_edges"))
+
+
+# Whole jobs
+
+_BATCH = replace(PARAMS, roi_px=16, stride_px=16, patch=32, patch_stride=24, batch_tiles=4, split_touching=False, object_diameter_um=1.0)
+
+
+def class_model():
+    """Classes by the green of each pixel: dark the first, middle the second, bright none."""
+
+    def model(tiles):
+        g = tiles[..., 1:2]
+        return np.concatenate([g >= 179.5 / 255, g < 99.5 / 255, (g >= 99.5 / 255) & (g < 179.5 / 255)], axis=-1).astype(np.float32)
+
+    return model
+
+
+def object_model():
+    """Objects by the red of each pixel."""
+    return lambda tiles: np.concatenate([tiles[..., :1] >= 179.5 / 255, tiles[..., :1] < 179.5 / 255], axis=-1).astype(np.float32)
+
+
+_BATCH_CTES = f"""
+    recursive slides as ({fx.BATCH_SLIDES}), todo as (select * from slides where s_acctbal < 9000),
+    pass as (select slide_key, grid_x, grid_y, filter_global_tissue_fraction as tissue_fraction from (select *, {_REASON} as filter_reason from ({_ZONAL})) where filter_reason = 'pass' and slide_key in (select slide_key from todo where s_acctbal >= 0)),
+    px as (select slide_key, x // 16 as grid_x, y // 16 as grid_y, y % 16 as y, x % 16 as x, case when g < 100 then 1 when g < 180 then 2 else 0 end as cls, case when r < 180 then 1 else 0 end as obj from ({fx.THUMB_PX})),
+    failed as (select slide_id, 'no thumbnail' as error from todo where s_acctbal < 0
+               union all select slide_id, 'no raster of region ' || grid_x || ', ' || grid_y from pass join todo using (slide_key) where s_nationkey = 3 and grid_x = 1 and grid_y = 1)"""
+
+
+@query(f"with {_BATCH_CTES} select slide_id, error from failed")
+def failed_rasters(spark, sf_dir):
+    """Slides without a thumbnail, and passing windows without a raster, as failures of region selection."""
+    slides, thumbs, regions, old = fx.batch_tables(spark, sf_dir)
+    todo = summary.unfinished(catalogue.with_resolution(catalogue.with_ids(slides)), old)
+    return batch.select_rois(todo, thumbs, regions, class_model, stored, _BATCH).failed
+
+
+_BATCH_MEANS = ("mean", "stroma_weighted_mean", "median")
+
+
+@query(f"""
+    with {_BATCH_CTES},
+    present as (select px.*, tissue_fraction from px join pass using (slide_key, grid_x, grid_y) join todo using (slide_key) where not (s_nationkey = 3 and grid_x = 1 and grid_y = 1)),
+    rim as (select a.slide_key, a.grid_x, a.grid_y, count(distinct a.y * 16 + a.x) as rim from present a join present b
+            on a.slide_key = b.slide_key and a.grid_x = b.grid_x and a.grid_y = b.grid_y and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and ((a.cls = 1 and b.cls = 2) or (a.cls = 2 and b.cls = 1)) group by all),
+    features as (select slide_key, grid_x, grid_y, tissue_fraction, count(*) filter (where cls = 1) / (256 + 1e-7) as tumor_fraction, count(*) filter (where cls = 2) / (256 + 1e-7) as stroma_fraction,
+                   coalesce(any_value(rim), 0) / (256 + 1e-7) as interface_density, case when count(*) filter (where cls = 1) > 0 then count(*) filter (where cls = 2) / (count(*) filter (where cls = 2) + 1e-7) else 0e0 end as peritumoral_stroma_fraction
+                 from present left join rim using (slide_key, grid_x, grid_y) group by 1, 2, 3, 4),
+    selected as ({_selected_sql('select * from features')}),
+    objects as (select slide_key, grid_x, grid_y, y, x from present join selected using (slide_key, grid_x, grid_y) where cls = 2 and obj = 1),
+    reach as (select slide_key, grid_x, grid_y, y * 16 + x as root, y, x from objects
+              union select o.slide_key, o.grid_x, o.grid_y, r.root, o.y, o.x from reach r join objects o on o.slide_key = r.slide_key and o.grid_x = r.grid_x and o.grid_y = r.grid_y and abs(o.x - r.x) <= 1 and abs(o.y - r.y) <= 1),
+    areas as (select slide_key, grid_x, grid_y, label, count(*) as area from (select slide_key, grid_x, grid_y, y, x, min(root) as label from reach group by all) group by all),
+    counts as (select slide_key, grid_x, grid_y, count(*) filter (where area >= 5) as n from areas group by 1, 2, 3),
+    scored as (select slide_key, final_decision, coalesce(n, 0) as n, s.stroma, least(coalesce(n, 0) * 16e0 / (s.stroma + 1e-7), 0.9e0) as v
+               from selected join (select slide_key, grid_x, grid_y, count(*) filter (where cls = 2) as stroma from present group by 1, 2, 3) s using (slide_key, grid_x, grid_y) left join counts using (slide_key, grid_x, grid_y)),
+    a as (select slide_key, count(*) as num_selected_rois, count(*) filter (where final_decision = 'direct_accept') as num_direct_selected_rois, cast(sum(n) as bigint) as total_tils_inside_stroma_count,
+            avg(v) as mean, coalesce(sum(v * stroma) / nullif(sum(stroma), 0), avg(v)) as stroma_weighted_mean, median(v) as median from scored group by 1),
+    p as (select slide_key, count(*) as num_passing from pass group by 1),
+    e as (select slide_id, min(error) as error_message from failed group by 1),
+    rows as (select slide_id, case when error_message is not null then 'FAILED' when coalesce(num_passing, 0) = 0 then 'NO_TISSUE_ROIS' when coalesce(num_selected_rois, 0) = 0 then 'NO_SELECTED_ROIS' else 'OK' end as status, *
+             from todo left join e using (slide_id) left join p using (slide_key) left join a using (slide_key))
+    select slide_id, status, error_message, {', '.join(f"case when status = 'FAILED' then 0 else coalesce({c}, 0) end as {c}" for c in ('num_selected_rois', 'num_direct_selected_rois', 'total_tils_inside_stroma_count'))},
+        {', '.join(f"case when status = 'FAILED' then 0e0 else round(coalesce({m}, 0e0) * 100e0, 6) end as score_{m}_percent" for m in _BATCH_MEANS)} from rows
+    union all select slide_id, 'OK', null, null, null, null, 1.5e0, null, null from slides where s_acctbal >= 9000""")
+def run_batch(spark, sf_dir):
+    """A batch from slides to its summary: finished slides are taken over, the others screened, segmented, selected and scored."""
+    slides, thumbs, regions, old = fx.batch_tables(spark, sf_dir)
+    whole, _ = batch.run_batch(slides, stored(thumbs), stored(regions), old, class_model, object_model, stored, _BATCH)
+    counts = ("num_selected_rois", "num_direct_selected_rois", "total_tils_inside_stroma_count")
+    return whole.select("slide_id", "status", "error_message", *counts, *(F.round(f"score_{m}_percent", 6).alias(f"score_{m}_percent") for m in _BATCH_MEANS))
+
+
+def _opened_sql(frames: tuple[str, str]) -> str:
+    """SQL for an opening by a 2 x 2 square, which has no middle."""
+    rows = f"select roi_id, y, x, min(v) over (partition by roi_id, y order by x rows between {frames[0]}) as v from (select roi_id, y, x, case when cls = 2 and obj = 1 then 1 else 0 end as v from ({fx.LABEL_PX}))"
+    both = f"select roi_id, y, x, min(v) over (partition by roi_id, x order by y rows between {frames[0]}) as v from ({rows})"
+    rows = f"select roi_id, y, x, max(v) over (partition by roi_id, y order by x rows between {frames[1]}) as v from ({both})"
+    return f"select roi_id, y, x, max(v) over (partition by roi_id, x order by y rows between {frames[1]}) as v from ({rows})"
+
+
+@query(f"""
+    with recursive m as (select roi_id, y, x from ({_opened_sql(('1 preceding and current row', 'current row and 1 following'))}) where v = 1),
+    r as (select roi_id, y * 8 + x as root, y, x from m union select m.roi_id, r.root, m.y, m.x from r join m on m.roi_id = r.roi_id and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1),
+    a as (select roi_id, label, count(*) as area from (select roi_id, y, x, min(root) as label from r group by 1, 2, 3) group by 1, 2)
+    select i.roi_id, count(area) filter (where area >= 5) as num_tils_inside_stroma, cast(coalesce(sum(area) filter (where area >= 5), 0) as bigint) as tils_predicted_area_px_after_filtering, count(area) filter (where area < 5) as removed_small_components
+    from (select distinct roi_id from ({fx.LABEL_PX})) i left join a using (roi_id) group by 1""")
+def opened_components(spark, sf_dir):
+    """Objects counted after an opening by an even square."""
+    counted = rasters.objects_in_class(_label_rasters(spark, sf_dir), ["roi_id"], replace(PARAMS, split_touching=False, open_objects=2))
+    return counted.select("roi_id", "num_tils_inside_stroma", "tils_predicted_area_px_after_filtering", "removed_small_components")
+
+
+_CLEAN_PX = f"""
+    with recursive m as (select roi_id, y, x from ({fx.LABEL_PX}) where cls = 2 and obj = 1),
+    r as (select roi_id, y * 8 + x as root, y, x from m union select m.roi_id, r.root, m.y, m.x from r join m on m.roi_id = r.roi_id and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1),
+    l as (select roi_id, y, x, min(root) as label from r group by 1, 2, 3), a as (select roi_id, label from l group by 1, 2 having count(*) >= 5)
+    select roi_id, y, x, 1 as clean from l join a using (roi_id, label)"""
+_WRITTEN = {"image": "base", "label": "cls", "objects": "obj * 255", "stroma": "case cls when 2 then 255 else 0 end", "inside": "case when cls = 2 and obj = 1 then 255 else 0 end", "clean": "clean * 255"}
+_WRITTEN_RGB = {k: (f"case cls when {c} then 255 else 0 end" if c else "0", "clean * 255" if m else "0") for k, c, m in (("r", 1, 1), ("g", 2, 1), ("b", 0, 0))}
+
+
+def _sum_sql(kind: str, channels: list[str]) -> str:
+    total = " + ".join(f"((y * 8 + x) * {len(channels)} + {k + 1}) * ({c})" for k, c in enumerate(channels))
+    return f"select roi_id, '{kind}' as kind, {len(channels)} as channels, cast(sum({total}) as bigint) as checksum from px group by 1"
+
+
+@query(f"""
+    with px as (select l.*, coalesce(clean, 0) as clean, (l.roi_id * 7 + l.y * 13 + l.x * 29) % 256 as base from ({fx.LABEL_PX}) l left join ({_CLEAN_PX}) c using (roi_id, y, x)),
+    s as ({' union all '.join([*(_sum_sql(k, [v] * (3 if k == 'image' else 1)) for k, v in _WRITTEN.items()), _sum_sql('color', [c for c, _ in _WRITTEN_RGB.values()]), _sum_sql('overlay', [_BLEND.format(v='(' + _BLEND.format(v='base', a='0.3e0', c=c) + ')', a='0.45e0', c=m) for c, m in _WRITTEN_RGB.values()])])})
+    select roi_id // 10 as slide_key, kind, 'r' || lpad(cast(roi_id % 10 + 1 as varchar), 3, '0') || (case when roi_id % 2 = 0 then '_D' else '_N' end) || '_gx' || roi_id || '_gy0' as name, 8 as height, 8 as width, channels, checksum from s""")
+def raster_files(spark, sf_dir):
+    """The rasters to keep of every region, each as a sum of its bytes by place."""
+    base = fx.label_px(spark, sf_dir).withColumn("base", (F.col("roi_id") * 7 + F.col("y") * 13 + F.col("x") * 29) % 256)
+    grey = {c: F.col("base") for c in "rgb"}
+    rois = rasters.from_pixels(base.withColumns(grey), ["roi_id"], {"mask": ["cls"], "objects": ["obj"], "rgb": [*grey]})
+    p = replace(PARAMS, split_touching=False)
+    counted = rasters.objects_in_class(rois, ["roi_id", "height", "width", "mask", "objects", "rgb"], p).drop("error")
+    named = counted.withColumns({"slide_key": F.floor(F.col("roi_id") / 10), "rank": (F.col("roi_id") % 10 + 1).cast("int"), "final_decision": F.when(F.col("roi_id") % 2 == 0, "direct_accept").otherwise("neighbor_associated_stroma"), "grid_x": F.col("roi_id"), "grid_y": F.lit(0).cast("long")})
+    rows = export.raster_rows(named, p)
+    place = F.explode(F.sequence(F.lit(1), F.octet_length("data"))).alias("i")
+    value = F.conv(F.hex(F.substr("data", F.col("i"), F.lit(1))), 16, 10).cast("long")
+    keys = ["slide_key", "kind", "name", "height", "width", "channels"]
+    return rows.select(*keys, "data", place).groupBy(*keys).agg(F.sum(F.col("i") * value).alias("checksum"))

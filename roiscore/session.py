@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -22,3 +23,25 @@ def ship(spark: SparkSession) -> None:
             z.write(source, Path(_ROOT.name) / source.relative_to(_ROOT))
     context.addPyFile(str(archive))
     context._roiscore_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; in local mode a local one where it names none."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roiscore-shared-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back."""
+    path = new_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

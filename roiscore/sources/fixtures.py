@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from roiscore.operators.rasters import from_pixels
 from roiscore.operators.summary import latest
 
 
@@ -42,9 +43,9 @@ SLIDES = """
 
 
 def roi_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of regions on grids of twelve columns, with all outcomes of the selection."""
+    """Features of regions of the first ninety slides on grids of twelve columns, with all outcomes of the selection."""
     o = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(o.cast("long").alias("o_orderkey")).withColumn("slide_key", o % 100)
+    rows = table(spark, sf_dir, "orders").select(o.cast("long").alias("o_orderkey")).withColumn("slide_key", o % 90)
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("slide_key").orderBy("o_orderkey")).cast("long") - 1)
     low = (F.col("slide_key") % 10 == 0) | (F.col("rn") % 3 == 0)
     return rows.select(
@@ -67,8 +68,8 @@ ROI_FEATURES = """
         (100 + (o_orderkey * 31) % 501) / 1000e0 as stroma_fraction,
         case when slide_key % 10 = 0 or rn % 3 = 0 then ((o_orderkey * 17) % 6) / 10000e0 else ((o_orderkey * 17) % 200) / 10000e0 end as interface_density,
         (700 + (o_orderkey * 101) % 301) / 1000e0 as peritumoral_stroma_fraction
-    from (select cast(o_orderkey as bigint) as o_orderkey, cast(o_orderkey % 100 as bigint) as slide_key,
-                 row_number() over (partition by o_orderkey % 100 order by o_orderkey) - 1 as rn from orders)"""
+    from (select cast(o_orderkey as bigint) as o_orderkey, cast(o_orderkey % 90 as bigint) as slide_key,
+                 row_number() over (partition by o_orderkey % 90 order by o_orderkey) - 1 as rn from orders)"""
 
 
 def roi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +105,10 @@ STAGE_TIMES = """
 
 
 def summary_rows(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
-    """Summary rows of an earlier run (one a slide), or of this one (several a slide, with a column of errors)."""
+    """Summary rows of an earlier run (one a slide), or of this one (several a slide, with a column of errors); the events' time tells them apart."""
     e = table(spark, sf_dir, "events")
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
-    rows = e.where((F.col("ts") >= cut) & (F.col("user_id") % 2 == 0)) if new else e.where((F.col("ts") < cut) & (F.col("user_id") % 3 != 0))
+    rows = e.where(F.col("ts") >= cut) if new else e.where(F.col("ts") < cut)
     failed = F.col("event_type") == "error"
     rows = rows.select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("slide_id"), F.when(failed, "FAILED").otherwise("OK").alias("status"), F.col("value").alias("score_mean_percent"), "ts", "event_id", *([F.when(failed, F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error_message")] if new else []))
     return rows if new else latest(rows, ["ts", "event_id"])
@@ -117,11 +118,11 @@ OLD_ROWS = """
     select * exclude (n) from (
         select 'S' || user_id as slide_id, case when event_type = 'error' then 'FAILED' else 'OK' end as status, value as score_mean_percent, ts, event_id,
             row_number() over (partition by user_id order by ts desc, event_id desc) as n
-        from events where ts < timestamp '2024-01-20' and user_id % 3 <> 0) where n = 1"""
+        from events where ts < timestamp '2024-01-20') where n = 1"""
 NEW_ROWS = """
     select 'S' || user_id as slide_id, case when event_type = 'error' then 'FAILED' else 'OK' end as status, value as score_mean_percent, ts, event_id,
         case when event_type = 'error' then 'event ' || event_id end as error_message
-    from events where ts >= timestamp '2024-01-20' and user_id % 2 = 0"""
+    from events where ts >= timestamp '2024-01-20'"""
 
 
 def label_px(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +156,9 @@ THUMB_PX = """
 
 
 def tile_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of three classes from nine overlapping 8 x 8 tiles (step 6) for each 20 x 20 raster."""
+    """Probabilities of three classes from nine overlapping 8 x 8 tiles (step 6) for each 20 x 20 raster; the last raster may have fewer."""
     e = table(spark, sf_dir, "embeddings")
-    most = e.agg((F.floor(F.count("*") / 9) * 9).alias("most"))
-    e = e.where(F.col("vec_id") < most.scalar()).select(F.col("vec_id").cast("long").alias("v"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
+    e = e.select(F.col("vec_id").cast("long").alias("v"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
     z = lambda step: F.least(F.greatest(F.rint((F.element_at("embedding", (F.col("i") + step) % 64 + 1 if step else F.col("i")).cast("double") + 0.5) * 1024), F.lit(0.0)), F.lit(1024.0)) / 1024.0
     return e.select(F.floor(F.col("v") / 9).alias("roi_id"), (F.col("v") % 9).alias("tile"), (F.floor((F.col("v") % 9) / 3) * 6 + F.floor((F.col("i") - 1) / 8)).alias("y"), ((F.col("v") % 9) % 3 * 6 + (F.col("i") - 1) % 8).alias("x"), F.array(z(0), z(20), z(41)).alias("p"))
 
@@ -167,7 +167,7 @@ TILE_PROBS = """
     select cast(vec_id // 9 as bigint) as roi_id, vec_id % 9 as tile, cast(((vec_id % 9) // 3) * 6 + (i - 1) // 8 as bigint) as y, cast(((vec_id % 9) % 3) * 6 + (i - 1) % 8 as bigint) as x,
         list_transform([embedding[i], embedding[(i + 20) % 64 + 1], embedding[(i + 41) % 64 + 1]],
             lambda z: least(greatest(round_even((cast(z as double) + 0.5e0) * 1024, 0), 0), 1024) / 1024.0e0) as p
-    from embeddings, range(1, 65) t(i) where vec_id < (select count(*) // 9 * 9 from embeddings)"""
+    from embeddings, range(1, 65) t(i)"""
 
 
 def eval_px(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,3 +187,23 @@ EVAL_PX = """
             list_transform([embedding[i], embedding[(i + 20) % 64 + 1], embedding[(i + 41) % 64 + 1]],
                 lambda z: least(greatest(round_even((cast(z as double) + 0.5e0) * 1024, 0), 1), 1024) / 1024.0e0) as p
           from embeddings, range(1, 65) t(i)), range(3) u(c)"""
+
+
+def batch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Slides, thumbnails, regions and an earlier summary of one batch. Slides are as large as their thumbnails, which are cut into regions of 16 x 16.
+
+    Suppliers with a negative balance have no thumbnail, those of nation 3 lack one region, those with a balance of 9000 or more are finished.
+    """
+    key = F.concat(F.lit("S"), F.lpad(F.col("slide_key").cast("string"), 6, "0"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("slide_key"), "s_acctbal", "s_nationkey").withColumn("slide_id", key)
+    slides = suppliers.select(F.concat(F.lit("/batch/"), "slide_id", F.lit(".svs")).alias("wsi_path"), F.lit(64).cast("long").alias("slide_w0"), F.lit(48).cast("long").alias("slide_h0"), F.lit(0.25).alias("mpp_x"), F.lit(0.25).alias("mpp_y"))
+    px = thumb_px(spark, sf_dir).join(suppliers, "slide_key")
+    thumbs = from_pixels(px.where("s_acctbal >= 0"), ["slide_id"], {"rgb": ["r", "g", "b"]})
+    tiles = px.selectExpr("slide_id", "s_nationkey", "x div 16 as grid_x", "y div 16 as grid_y", "x % 16 as x", "y % 16 as y", "r", "g", "b").where("s_nationkey <> 3 or grid_x <> 1 or grid_y <> 1")
+    regions = from_pixels(tiles, ["slide_id", "grid_x", "grid_y"], {"rgb": ["r", "g", "b"]})
+    old = suppliers.where("s_acctbal >= 9000").select("slide_id", F.lit("OK").alias("status"), F.lit(1.5).alias("score_mean_percent"))
+    return slides, thumbs, regions, old
+
+
+BATCH_SLIDES = """
+    select cast(s_suppkey as bigint) as slide_key, 'S' || lpad(cast(s_suppkey as varchar), 6, '0') as slide_id, s_acctbal, s_nationkey from supplier"""

@@ -66,6 +66,28 @@ def test_batch(spark, tables, tmp_path):
     assert again.where("status <> 'FAILED'").count() == 3
 
 
+def test_missing_rasters_fail_their_slide(spark, tables, tmp_path):
+    """A slide without a thumbnail and one without a passing window's region are failed and tried again, not finished."""
+    count = iter(range(1000))
+    model = lambda: lambda t: t[..., [2, 0, 1]]
+
+    def keep(df):
+        path = str(tmp_path / f"kept{next(count)}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    slides, thumbs, regions = tables
+    lost = (thumbs.where("slide_id <> 'old'"), regions.where("slide_id <> 'good' or grid_x = 0 or grid_y = 0"))
+    whole, failed = batch.run_batch(slides, *lost, None, model, model, keep, P)
+    rows = {r.slide_id: r for r in whole.collect()}
+    assert (rows["old"].status, rows["old"].error_message) == ("FAILED", "no thumbnail")
+    assert (rows["good"].status, rows["good"].error_message) == ("FAILED", "no raster of region 1, 1")
+    assert rows["good"].num_selected_rois == 0 and rows["good"].score_mean_percent == 0 and rows["blank"].status == "NO_TISSUE_ROIS"
+    assert {r.slide_id for r in failed.collect()} == {"old", "good", "broken"}
+    again, _ = batch.run_batch(*tables, whole, model, model, keep, P)
+    assert {r.slide_id for r in again.where("status = 'FAILED'").collect()} == {"broken"}
+
+
 def test_windows_stay_inside_and_cover(spark):
     slides = spark.createDataFrame([("a", 5000, 2048, 0.25, 0.25), ("b", 100, 90, 0.25, 0.25), ("c", 4097, 4096, 0.25, 0.25)], "slide_id string, slide_w0 long, slide_h0 long, base_mpp_x double, base_mpp_y double")
     rows = windows.candidate_windows(slides).collect()
@@ -136,6 +158,12 @@ def test_image_files(spark, tmp_path):
     assert (big.height, big.width, len(big.rgb)) == (4, 4, 48)
 
 
+def test_files_that_are_no_images_are_errors(spark, tmp_path):
+    (tmp_path / "a.bmp").write_bytes(b"no image")
+    out = images.read_images(spark, str(tmp_path)).first()
+    assert out.path.endswith("a.bmp") and out.rgb is None and "decoded" in out.error
+
+
 def test_timings_and_summaries_are_written_and_read(spark, tmp_path):
     times = spark.createDataFrame([("a", "open", 1.0), ("a", "mask", 70.0), ("a", "mask", 20.0)], "slide_id string, stage string, seconds double")
     export.write_timings(summary.stage_totals(times), str(tmp_path / "t"))
