@@ -1,5 +1,7 @@
 """Raster helpers on hand-drawn rasters and against brute force."""
 
+import heapq
+import itertools
 from math import sqrt
 
 import numpy as np
@@ -151,3 +153,71 @@ def test_otsu_takes_the_first_of_equals():
     counts = np.zeros(256, int)
     counts[10] = counts[200] = 50
     assert raster.otsu(counts) == 10
+
+
+def plain_split(mask, share, rounds):
+    """The same flooding pixel by pixel: distances by shortest paths, then a queue by change of shade and arrival."""
+    height, width = mask.shape
+    inside = lambda y, x: 0 <= y < height and 0 <= x < width
+    moves = {(dy, dx): c for dy in range(-2, 3) for dx in range(-2, 3) for s, c in (((0, 1), 65536), ((1, 1), 91750), ((1, 2), 143976)) if tuple(sorted((abs(dy), abs(dx)))) == s}
+    depth = {(y, x): 0 for y in range(height) for x in range(width) if not mask[y, x]}
+    line = [(0, p) for p in depth]
+    heapq.heapify(line)
+    while line:
+        d, (y, x) = heapq.heappop(line)
+        if d > depth[y, x]:
+            continue
+        for (dy, dx), c in moves.items():
+            q = (y + dy, x + dx)
+            if inside(*q) and mask[q] and d + c < depth.get(q, 1 << 60):
+                depth[q] = d + c
+                heapq.heappush(line, (d + c, q))
+    values = {p: np.float32(d / 65536) for p, d in depth.items()}
+    sure = {p for p, d in values.items() if d > np.float32(share) * max(values.values())}
+    seed, number = {}, 1
+    for p in sorted(sure):
+        if p not in seed:
+            number += 1
+            seed[p], line = number, [p]
+            while line:
+                y, x = line.pop()
+                for q in ((y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+                    if q in sure and q not in seed:
+                        seed[q] = number
+                        line.append(q)
+    around = {p for p in depth if mask[p]}
+    for _ in range(rounds):
+        around |= {(y + dy, x + dx) for y, x in around for dy in (-1, 0, 1) for dx in (-1, 0, 1) if inside(y + dy, x + dx)}
+    frame = {p for p in depth if p[0] in (0, height - 1) or p[1] in (0, width - 1)}
+    mark = {p: -1 if p in frame else seed.get(p, 0 if p in around else 1) for p in depth}
+    near = lambda y, x: ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1))
+    queue, queued, arrivals = [], set(), itertools.count()
+
+    def push(p):
+        queued.add(p)
+        heapq.heappush(queue, (min(abs(int(mask[p]) - int(mask[q])) for q in near(*p) if mark[q] > 0), next(arrivals), p))
+
+    for p in sorted(depth):
+        if mark[p] == 0 and any(mark[q] > 0 for q in near(*p)):
+            push(p)
+    while queue:
+        _, _, p = heapq.heappop(queue)
+        found = {mark[q] for q in near(*p) if mark[q] > 0}
+        mark[p] = found.pop() if len(found) == 1 else -1
+        if mark[p] > 0:
+            for q in near(*p):
+                if mark[q] == 0 and q not in queued:
+                    push(q)
+    return np.array([[mark[y, x] > 1 for x in range(width)] for y in range(height)], np.uint8)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_objects_are_set_apart_as_by_a_plain_flooding(seed):
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:26, :34]
+    mask = np.zeros((26, 34), np.uint8)
+    for _ in range(int(rng.integers(2, 7))):
+        cy, cx, r = rng.integers(2, 24), rng.integers(2, 32), rng.integers(2, 7)
+        mask |= ((y - cy) ** 2 + (x - cx) ** 2 <= r * r).astype(np.uint8)
+    share, rounds = (0.35, 2) if seed % 2 else (0.6, 1)
+    assert (raster.split_touching(mask, share, rounds) == plain_split(mask, share, rounds)).all()
