@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,9 @@ from roiscore.config import PARAMS, Params
 from roiscore.functions import raster
 from roiscore.session import ship
 
+#: Pixels in a batch of pixel rows.
+BATCH_PIXELS = 1 << 17
+
 
 def band(row, name: str, channels: int = 1) -> np.ndarray:
     """A row's raster as an array of its height and width."""
@@ -48,26 +52,73 @@ def each_raster(df: DataFrame, work: Callable, added: str, keep: list[str], catc
 
 
 def from_pixels(px: DataFrame, key: list[str], bands: dict[str, list[str]]) -> DataFrame:
-    """Raster rows from pixel rows on a dense grid; bands names each raster's columns. A raster must fit into one row."""
-    columns = [c for own in bands.values() for c in own]
-    grouped = px.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("y", "x", *(F.col(c).cast("short").alias(c) for c in columns)))).alias("px"), (F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
-
-    def pack(row) -> dict:
-        return {name: np.array([[p[c] for c in own] for p in row["px"]], np.uint8).tobytes() for name, own in bands.items()}
-
-    packed = each_raster(grouped, pack, ", ".join(f"{b} binary" for b in bands), [*key, "height", "width"], catch=False)
-    return packed.drop("error")
-
+    """Raster rows from pixel rows on a dense grid; bands names each raster's columns. A raster must fit into one row.
 
-def to_pixels(rasters: DataFrame, key: list[str], bands: list[str], channels: int = 1) -> DataFrame:
-    """One row a pixel: the bands' values, or with channels an array of them."""
-    flat = rasters.select(*key, "width", *bands, F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i"))
-
-    def value(band: str, c: int):
-        return F.conv(F.hex(F.substr(F.col(band), F.col("i") * channels + c + 1, F.lit(1))), 16, 10).cast("int")
-
-    values = {b: value(b, 0) if channels == 1 else F.array(*(value(b, c) for c in range(channels))) for b in bands}
-    return flat.select(*key, F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), *(v.alias(b) for b, v in values.items()))
+    Pixels may come in any order. A null place or value, or a value that is no byte, ends the job.
+    """
+    ship(px.sparkSession)
+    columns = [c for own in bands.values() for c in own]
+    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).cast("short").alias(c) for c in columns))
+    grouped = px.groupBy(*key).agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.collect_list(pixel).alias("px"))
+    kept = grouped.drop("px").columns
+    schema = T.StructType([*(grouped.schema[c] for c in kept), *(T.StructField(b, T.BinaryType()) for b in bands)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("px")
+            flat = dict(zip(("y", "x", *columns), lists.flatten().flatten()))
+            if any(v.null_count for v in flat.values()):
+                raise ValueError("a pixel has a null place or value")
+            place = flat["y"].to_numpy().astype(np.int64), flat["x"].to_numpy()
+            values = {name: np.stack([flat[c].cast(pa.uint8()).to_numpy() for c in own], axis=-1) for name, own in bands.items()}
+            out: dict[str, list[bytes]] = {name: [] for name in bands}
+            stop = 0
+            for size, width in zip(lists.value_lengths().to_pylist(), batch.column("width").to_pylist()):
+                own = slice(stop, stop := stop + size)
+                order = np.argsort(place[0][own] * width + place[1][own], kind="stable")
+                for name, value in values.items():
+                    out[name].append(value[own][order].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, pa.binary()) for v in out.values())], names=[*kept, *bands])
+
+    return grouped.mapInArrow(pack, schema)
+
+
+def to_pixels(rasters: DataFrame, key: list[str], bands: list[str], channels: int = 1, most: int = BATCH_PIXELS) -> DataFrame:
+    """One row a pixel: the bands' values, or with channels an array of them. Pixels that a band lacks, or all of a null one's, are null; batches hold `most` pixels."""
+    ship(rasters.sparkSession)
+    flat = rasters.select(*key, "height", "width", *bands)
+    value = T.IntegerType() if channels == 1 else T.ArrayType(T.IntegerType())
+    schema = T.StructType([*(flat.schema[c] for c in key), T.StructField("y", T.LongType()), T.StructField("x", T.LongType()), *(T.StructField(b, value) for b in bands)])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            height, width = (batch.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("height", "width"))
+            ends = np.cumsum(height * width)
+            total = int(ends[-1]) if len(ends) else 0
+            data = {b: _bytes_of(batch.column(b), ends * channels) for b in bands}
+            for first in range(0, total, most):
+                i = np.arange(first, min(first + most, total))
+                row = np.searchsorted(ends, i, "right")
+                y, x = np.divmod(i - (ends - height * width)[row], width[row])
+                out = [*(batch.column(c).take(pa.array(row)) for c in key), pa.array(y), pa.array(x)]
+                for found, missing in data.values():
+                    own = slice(first * channels, (first + len(i)) * channels)
+                    numbers = pa.array(found[own].astype(np.int32), mask=missing[own])
+                    out.append(numbers if channels == 1 else pa.ListArray.from_arrays(np.arange(len(i) + 1, dtype=np.int32) * channels, numbers))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return flat.mapInArrow(spread, schema)
+
+
+def _bytes_of(column: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows in one array, in which each row ends where `ends` says, and which of them a row lacks."""
+    total = int(ends[-1]) if len(ends) else 0
+    found, missing = np.zeros(total, np.uint8), np.ones(total, bool)
+    for raw, first, stop in zip(column, [0, *ends[:-1].tolist()], ends.tolist()):
+        own = np.frombuffer(raw.as_buffer() or b"", np.uint8)[: stop - first]
+        found[first : first + len(own)] = own
+        missing[first : first + len(own)] = False
+    return found, missing
 
 
 def tissue_masks(thumbnails: DataFrame, p: Params = PARAMS, key: list[str] = ("slide_key",)) -> DataFrame:

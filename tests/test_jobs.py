@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from roiscore.config import PARAMS
 from roiscore.functions.text import duration
 from roiscore.jobs import batch, export
-from roiscore.operators import selection, summary, windows
+from roiscore.operators import rasters, selection, summary, windows
 from roiscore.sources import catalogue, images
 from roiscore.streaming.incremental import upsert_stream
 
@@ -198,3 +198,26 @@ def test_stream_of_summaries(spark, tmp_path):
 
     upsert_stream(spark.readStream.schema(schema).parquet(str(source)), lambda: spark.read.parquet(last[-1]), write, str(tmp_path / "checkpoint"), ["seq"]).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(last[-1]).collect())) == [("a", 1, 1), ("b", 1, 1), ("z", 0, 0)]
+
+
+def test_pixels_to_rasters_and_back(spark):
+    px = spark.createDataFrame([(k, y, x, (40 * (k or 0) + 7 * y + x) % 256, 255 - x, y) for k in (1, 2, None) for y in range(3) for x in range(4 if k == 1 else 2)], "k long, y long, x long, r int, g int, b int").orderBy(F.rand(1))
+    packed = rasters.from_pixels(px, ["k"], {"rgb": ["r", "g", "b"], "blue": ["b"]})
+    assert packed.columns == ["k", "height", "width", "rgb", "blue"]
+    rgb = rasters.to_pixels(packed, ["k"], ["rgb"], channels=3, most=5).select("k", "y", "x", *(F.col("rgb")[i].alias(c) for i, c in enumerate("rgb")))
+    assert sorted(map(str, rgb.collect())) == sorted(map(str, px.collect()))
+    assert sorted(map(str, rasters.to_pixels(packed, ["k"], ["blue"]).collect())) == sorted(map(str, px.selectExpr("k", "y", "x", "b as blue").collect()))
+    assert rasters.to_pixels(rasters.from_pixels(px.limit(0), ["k"], {"blue": ["b"]}), ["k"], ["blue"]).count() == 0
+
+
+def test_pixels_of_null_and_short_rasters_are_null(spark):
+    rows = [("a", 1, 2, bytearray([9, 250])), ("b", 2, 1, None), ("c", 1, 2, bytearray([7])), ("d", 0, 3, bytearray()), ("e", None, 1, None)]
+    out = rasters.to_pixels(spark.createDataFrame(rows, "k string, height int, width int, mask binary"), ["k"], ["mask"])
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", 0, 0, 9), ("a", 0, 1, 250), ("b", 0, 0, None), ("b", 1, 0, None), ("c", 0, 0, 7), ("c", 0, 1, None)], key=str)
+
+
+@pytest.mark.parametrize("bad", [None, 256, -1])
+def test_values_that_are_no_bytes_end_the_job(spark, bad):
+    px = spark.createDataFrame([(1, 0, 0, bad)], "k long, y long, x long, v int")
+    with pytest.raises(Exception, match="null place or value|not in range"):
+        rasters.from_pixels(px, ["k"], {"v": ["v"]}).collect()
