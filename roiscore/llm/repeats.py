@@ -71,7 +71,7 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame, block: int, ranges: int) -> DataFrame:
-    """Hashes of all rolling runs of `block` words and of the blocks that start at multiples of `block`, by range.
+    """Hashes of all rolling runs of `block` words and of the blocks that start at multiples of `block`, by range; docs has row and text.
 
     Each task sends a run's hash once; a block whose run it has met twice is a hit already and is sent on as such.
     """
@@ -115,19 +115,28 @@ def _hit_blocks(table: pa.Table) -> pa.Table:
     """Blocks of one range whose run of words occurs elsewhere, too."""
     gram, count = np.unique(_joined(table["grams"], np.uint32), return_counts=True)
     hit = np.isin(_joined(table["blocks"], np.uint32), gram[count > 1])
-    key = np.concatenate([_joined(table["docs"], np.int64)[hit], _joined(table["sure_docs"], np.int64)])
+    row = np.concatenate([_joined(table["docs"], np.int64)[hit], _joined(table["sure_docs"], np.int64)])
     place = np.concatenate([_joined(table["places"], np.int32)[hit], _joined(table["sure_places"], np.int32)])
-    return pa.table({"key": key, "block": place})
+    return pa.table({"row": row, "block": place})
 
 
-def _stretches(key: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stretches(row: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, length) of stretches of windows that follow one another in a document (and are equal in `more`)."""
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
     for x in more:
         new[1:] |= x[1:] != x[:-1]
     first = np.flatnonzero(new)
-    return first, np.diff(first, append=len(key))
+    return first, np.diff(first, append=len(row))
+
+
+def _earliest(value: np.ndarray, key: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, late): windows by hash, id, row and start; whether each is the first of equal ones there, and whether another starts earlier."""
+    order = np.lexsort((start, row, key, value))
+    first = np.ones(len(order), bool)
+    first[1:] = value[order][1:] != value[order][:-1]
+    head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+    return order, first, (row[order] != row[head]) | (start[order] != start[head])
 
 
 def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFrame:
@@ -137,30 +146,26 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
     """
 
     def send(parts: list) -> pa.RecordBatch:
-        value, key, start, least = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, key, value))
-        same = value[order][1:] == value[order][:-1]
-        head = np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(order))))
-        moved = (key[order] != key[order][head]) | (start[order] != start[order][head])
-        sure, kept = np.sort(order[moved]), order[~np.append(False, same)]
-        s_first, s_len = _stretches(key[sure], start[sure])
-        s_key, s_start, s_len = key[sure][s_first], start[sure][s_first], s_len.astype(np.int32)
-        kept = np.sort(kept)
-        first, length = _stretches(key[kept], start[kept], least[kept])
+        value, key, row, start, least = (np.concatenate(x) for x in zip(*parts))
+        order, foremost, late = _earliest(value, key, row, start)
+        sure, kept = np.sort(order[late]), np.sort(order[foremost])
+        s_first, s_len = _stretches(row[sure], start[sure])
+        s_row, s_start, s_len = row[sure][s_first], start[sure][s_first], s_len.astype(np.int32)
+        first, length = _stretches(row[kept], start[kept], least[kept])
         by = np.argsort(least[kept][first], kind="stable")
         first, length = first[by], length[by]
         pos = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(len(kept))
         of = _range(least[kept][first], ranges)
         held = np.unique(of)
-        at, even = _bounds(of, held), _dealt(len(s_key), len(held))
+        at, even = _bounds(of, held), _dealt(len(s_row), len(held))
         window_at = np.append(0, np.cumsum(length))[at]
-        return _rows(held, hashes=(value[kept][pos], window_at), docs=(key[kept][first], at), starts=(start[kept][first], at), lengths=(length.astype(np.int32), at), sure_docs=(s_key, even), sure_starts=(s_start, even), sure_lengths=(s_len, even))
+        return _rows(held, hashes=(value[kept][pos], window_at), keys=(key[kept][first], at), docs=(row[kept][first], at), starts=(start[kept][first], at), lengths=(length.astype(np.int32), at), sure_docs=(s_row, even), sure_starts=(s_start, even), sure_lengths=(s_len, even))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
-            names, blocks = batch.column(0).to_numpy(), batch.column(2)
-            for first, stop, data, bounds in text_slices(batch.column(1)):
+            keys, names, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for first, stop, data, bounds in text_slices(batch.column(2)):
                 w = _Words(data, bounds)
                 value, inside = w.runs(window)
                 hit = blocks.slice(first, stop - first)
@@ -175,7 +180,8 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
                 while size * 2 <= reach + 1:
                     run, size = np.minimum(run[:-size], run[size:]), size * 2
                 run = np.minimum(run[: len(run) - (reach + 1 - size)], run[reach + 1 - size :])
-                parts.append((value[chosen], names[first:stop][w.owner[chosen]], w.place[chosen].astype(np.int32), words.mix(run[chosen])))
+                own = first + w.owner[chosen]
+                parts.append((value[chosen], keys[own], names[own], w.place[chosen].astype(np.int32), words.mix(run[chosen])))
                 n += len(chosen)
                 if n >= _flush(ranges):
                     yield send(parts)
@@ -184,25 +190,20 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
         if n:
             yield send(parts)
 
-    return hits.mapInArrow(scan, "range int, hashes binary, docs binary, starts binary, lengths binary, sure_docs binary, sure_starts binary, sure_lengths binary")
+    return hits.mapInArrow(scan, "range int, hashes binary, keys binary, docs binary, starts binary, lengths binary, sure_docs binary, sure_starts binary, sure_lengths binary")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Stretches of windows of one range that start earlier elsewhere."""
     length = _joined(table["lengths"], np.int32).astype(np.int64)
-    key = np.repeat(_joined(table["docs"], np.int64), length)
+    key, row = (np.repeat(_joined(table[c], np.int64), length) for c in ("keys", "docs"))
     start = np.repeat(_joined(table["starts"], np.int32) - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    value = _joined(table["hashes"], np.uint64)
-    order = np.lexsort((start, key, value))
-    value, key, start = value[order], key[order], start[order]
-    same = np.append(False, value[1:] == value[:-1])[: len(value)]
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(value)))) if len(value) else np.empty(0, np.int64)
-    late = (key != key[head]) | (start != start[head])
-    key, start = key[late], start[late]
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order]
-    first, length = _stretches(key, start)
-    return pa.table({"key": np.concatenate([key[first], _joined(table["sure_docs"], np.int64)]), "start": np.concatenate([start[first].astype(np.int32), _joined(table["sure_starts"], np.int32)]), "length": np.concatenate([length.astype(np.int32), _joined(table["sure_lengths"], np.int32)])})
+    order, _, late = _earliest(_joined(table["hashes"], np.uint64), key, row, start)
+    row, start = row[order][late], start[order][late]
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    first, length = _stretches(row, start)
+    return pa.table({"row": np.concatenate([row[first], _joined(table["sure_docs"], np.int64)]), "start": np.concatenate([start[first].astype(np.int32), _joined(table["sure_starts"], np.int32)]), "length": np.concatenate([length.astype(np.int32), _joined(table["sure_lengths"], np.int32)])})
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
@@ -220,22 +221,24 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     passage nor a block of any frequency fills a range; the number of ranges follows the size of the text. Blocks are
     found by about 40 bits of hash, which only adds candidates; windows are compared by 64.
 
-    Null or empty texts have no words and keep an empty text. Rows that share an id count as one document (the same start
-    is not earlier); null ids count as one that comes last. An empty table gives no rows; extra columns are not read, but
+    Null or empty texts have no words and keep an empty text. Rows that share an id are documents that follow one another in
+    the order of a hash of their texts (null ids come last); rows equal in id and text are one document and
+    keep or lose the same words. Rows are told apart by 64 bits of hash of both. An empty table gives no rows; extra columns are not read, but
     those in `carry` go along as the struct column `carried`, and the text as it was as `text`.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     block = window // 2
-    docs = id_and_text(docs, id_col, text_col, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumnRenamed("doc_id", "key")
+    docs = id_and_text(docs, id_col, text_col, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumnRenamed("doc_id", "key").withColumn("row", F.xxhash64("key", "text"))
+    carried = [c for c in docs.columns if c == "carried"]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, size / 6 / RANGE_WINDOWS)))))
-    schema = "key long, block int"
-    blocks = _anchors(docs.select("key", "text"), block, ranges).groupBy("range").applyInArrow(_hit_blocks, schema).groupBy("key").agg(F.collect_set("block").alias("blocks"))
+    schema = "row long, block int"
+    blocks = _anchors(docs.select("row", "text"), block, ranges).groupBy("range").applyInArrow(_hit_blocks, schema).groupBy("row").agg(F.collect_set("block").alias("blocks"))
     # the carried column is read here only to have the texts dealt out once: both joins use one exchange
-    found = _candidates(docs.join(blocks, "key").select("key", "text", "blocks", *docs.columns[2:]), block, window, ranges)
-    stretches = found.groupBy("range").applyInArrow(_repeated, "key long, start int, length int")
-    removed = stretches.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
+    found = _candidates(docs.join(blocks, "row").select("key", "row", "text", "blocks", *carried), block, window, ranges)
+    stretches = found.groupBy("range").applyInArrow(_repeated, "row long, start int, length int")
+    removed = stretches.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,5 +259,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                     kept.append(b" ".join(found if not n_removed[-1] else [w for w, x in zip(found, left.tolist()) if x]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *given.values()], names=["key", "n_words", "n_removed", "kept", *given])
 
-    left = docs.join(removed, "key", "left").select("key", "text", "starts", "lengths", *docs.columns[2:]).mapInArrow(remove, with_carried("key long, n_words long, n_removed long, kept string" + ", text string" * (carry is not None), docs))
+    left = docs.join(removed, "row", "left").select("key", "text", "starts", "lengths", *carried).mapInArrow(remove, with_carried("key long, n_words long, n_removed long, kept string" + ", text string" * (carry is not None), docs))
     return left.withColumn("key", F.nullif("key", F.lit(_NULL_ID))).withColumnRenamed("key", "doc_id")
