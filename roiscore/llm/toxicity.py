@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roiscore.llm import words
-from roiscore.llm.common import cut, id_and_text, text_slices, with_carried
+from roiscore.llm.common import cut, id_and_text, staged, text_slices, with_carried
 from roiscore.llm.sums import COLUMNS, added, parts
 
 #: Labelled rows that the model is fitted on, at most (as expected under hashing of their ids).
@@ -52,8 +52,8 @@ class Model:
 
     def token_scores(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
         clean, toxic = self.stems[0][stem], self.stems[1][stem]
-        expected = (toxic + STEM_PRIOR * self.share) / (clean + toxic + STEM_PRIOR)
-        toxic, clean = self.words[1][word] + WORD_PRIOR * expected, self.words[0][word] + WORD_PRIOR * (1 - expected)
+        both = WORD_PRIOR / (clean + toxic + STEM_PRIOR)  # neither share is taken as 1 less the other, which may round to 0
+        toxic, clean = self.words[1][word] + both * (toxic + STEM_PRIOR * self.share), self.words[0][word] + both * (clean + STEM_PRIOR * (1 - self.share))
         odds = np.log(toxic / clean) - np.log(self.share / (1 - self.share))
         return np.clip(odds - DOUBT * np.sqrt(1 / toxic + 1 / clean) - DRIFT, -DRIFT, TOP)
 
@@ -126,19 +126,21 @@ def _rate(scores: np.ndarray, weight: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model learnt from labelled documents: every label given, or a share chosen by hash of the id that is expected to be
-    MOST_LABELLED rows. Equal texts with equal labels count once. Only sums of fixed size and three figures of each
-    row in that sample reach the driver.
+    MOST_LABELLED rows. Equal texts with equal labels count once; where ids repeat so often that there are more texts
+    than that, a share of them is chosen by hash of the text. Only sums of fixed size and three figures of each
+    text in that sample reach the driver.
 
-    Null ids and labels are left out; of several labels of one id the larger counts. Without both labels, every score is the share of toxic labels.
+    Null ids and labels are left out; of several labels of one id the larger counts, for every row with that id. Without both labels, every score is the share of toxic labels.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = labels.count()
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, MOST_LABELLED / max(1, known)))
-    once = docs.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("hash"), "toxic").agg(F.min("doc_id").alias("doc_id"))
-    once = cut(once.select("doc_id", "toxic"))
-    train = docs.join(F.broadcast(once), "doc_id").select("text", "toxic")
+    labelled = docs.join(F.broadcast(sample), "doc_id").withColumn("hash", F.xxhash64("text"))
+    texts = labelled.select("hash", "toxic").distinct().count()
+    chosen = F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < (1 << 20) * min(1.0, MOST_LABELLED / max(1, texts))
+    train = staged(labelled.where(chosen).dropDuplicates(["hash", "toxic"]).select("text", "toxic"))
     by_word, by_stem = _counts(train)
     size = by_word.sum(axis=1)
     model = Model(by_word, by_stem, float(np.clip(size[1] / max(size.sum(), 1), 1e-6, 1 - 1e-6)))
