@@ -32,8 +32,9 @@ _DIGITS = re.compile(
     rf"(?P<IP>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
     r"|(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<PHONE>(?<![\w.+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<CARD>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
+_GROUP = re.compile(r"\d+")
+_GROUPS = re.compile(r"(?<![\w-])\d+(?:[ -]\d+)*(?![\w-])")  # of digits; a card may stand among others
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DOMAIN = re.compile(r"@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 _LOCAL = re.compile(r"[\w.%+'-]")
@@ -79,6 +80,45 @@ def _name_words(text: str, at: int) -> list[tuple[re.Match, bool]]:
         tokens.append((t, bool(particles) or len(tokens) > 1 and not initial))
 
 
+def _card_like(sizes: list[int], digits: str) -> bool:
+    """Whether groups of digits that stand beside others look like a card: 4-4-4-4 with a shorter or a further last group, 4-6-4, 4-6-5, or one group, from 3 to 6 on."""
+    fours = len(sizes) in (4, 5) and {*sizes[:-1]} == {4} and sizes[-1] <= 4
+    return digits[0] in "3456" and (len(sizes) == 1 or fours or sizes in ([4, 6, 4], [4, 6, 5]))
+
+
+def _cards(text: str, at: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, digits) of the valid card numbers in a run of groups of digits, from the left, the longest first: the whole run, or what looks like a card within it.
+
+    A card has 13 to 19 digits, so every group starts few attempts.
+    """
+    groups = [m.span() for m in _GROUP.finditer(text, at, end)]
+    i = 0
+    while i < len(groups):
+        ends, digits = [], ""
+        for j in range(i, len(groups)):
+            digits += text[slice(*groups[j])]
+            if len(digits) > 19:
+                break
+            whole = i == 0 and j == len(groups) - 1
+            if len(digits) >= 13 and (whole or _card_like([b - a for a, b in groups[i : j + 1]], digits)) and _luhn(digits) % 10 == 0 and digits.strip("0"):
+                ends.append((j, digits))
+        if ends:
+            j, digits = ends[-1]
+            yield groups[i][0], groups[j][1], digits
+            i = j
+        i += 1
+
+
+def _iban(text: str) -> str:
+    """The valid IBAN that a run of groups begins with, as it stands: words in capitals may follow. Empty if there is none."""
+    while text:
+        plain = text.replace(" ", "")
+        if 15 <= len(plain) <= 34 and plain.isascii() and _iban_rest(plain) == 1:
+            return text
+        text = text.rpartition(" ")[0]
+    return ""
+
+
 def _national(number: str) -> str:
     """The digits of a phone number without country code and trunk zero, which are one in all its forms."""
     digits = re.sub(r"\D", "", number)
@@ -121,7 +161,7 @@ def _mentions(text: str, names: dict[str, tuple[str, str]]) -> list[Span]:
 
 
 def detect(text: str) -> list[Span]:
-    """Entities in order of their places; of overlapping ones the first found of e-mail, IBAN, number, name stays. Linear in the text but for sorting."""
+    """Entities in order of their places; of overlapping ones the first found of e-mail, IBAN, address or phone or security number, card, name stays. Linear in the text but for sorting."""
     kept: list[Span] = []
     if "@" in text:
         mails = []
@@ -135,16 +175,15 @@ def detect(text: str) -> list[Span]:
     if re.search(r"\d", text):
         ibans = []
         for m in _IBAN.finditer(text):
-            plain = m[0].replace(" ", "")
-            if 15 <= len(plain) <= 34 and plain.isascii() and _iban_rest(plain) == 1:
-                ibans.append((*m.span(), "IBAN", plain, ""))
+            if own := _iban(m[0]):
+                ibans.append((m.start(), m.start() + len(own), "IBAN", own.replace(" ", ""), ""))
         kept = _with(kept, ibans)
         numbers = []
         for m in _DIGITS.finditer(text):
-            kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
-            if kind != "CARD" or _luhn(digits) % 10 == 0 and digits.strip("0"):
-                numbers.append((*m.span(), kind, m[0] if kind == "IP" else _national(m[0]) if kind == "PHONE" else digits, ""))
+            kind = m.lastgroup
+            numbers.append((*m.span(), kind, m[0] if kind == "IP" else _national(m[0]) if kind == "PHONE" else re.sub(r"\D", "", m[0]), ""))
         kept = _with(kept, numbers)
+        kept = _with(kept, [(a, b, "CARD", digits, "") for m in _GROUPS.finditer(text) for a, b, digits in _cards(text, *m.span())])
     titled: list[Span] = []
     names: dict[str, tuple[str, str]] = {}
     for m in _TITLE.finditer(text):
