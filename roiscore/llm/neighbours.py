@@ -101,7 +101,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
     copied once for every group of queries, and queries once for every block: both are large, so that copies are few.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids and vectors
-    of another length than most. Rows with the query's id are its own; of rows that share an id one asks. Fewer than k other rows give fewer
+    of another length than most. Rows with the query's id are its own; of rows that share an id the one with the smallest
+    vector asks, and all are found. They are dealt out by id and vector, so an id of many rows does not fill a block. Fewer than k other rows give fewer
     results; an empty table gives none; extra columns are not read.
     """
     ship(vectors.sparkSession)
@@ -113,10 +114,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
     blocks, groups = max(1, -(-n // params.block)), max(1, -(-asked // params.queries))
 
     def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        return df.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+        return df.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
 
     data = dealt(rows, "block", blocks, "group", groups)
-    asking = dealt(rows.where(queries).dropDuplicates(["vec_id"]), "group", groups, "block", blocks)
+    asking = dealt(rows.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "group", groups, "block", blocks)
 
     def search(block: pa.Table, group: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

@@ -70,6 +70,17 @@ def test_recall_of_small_blocks(spark, n):
 def test_repeated_ids_ask_once(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
     assert search(spark, [(*r, 1, "x") for r in rows]) == {0: [(1, 1.0), (2, 0.0)]}
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [0.0, 2.0])]  # the smallest vector asks, all answer
+    for order in (rows, rows[::-1]):
+        assert search(spark, [(*r, 1, "x") for r in order]) == {0: [(1, 3.0), (2, 2.0), (1, 0.0)]}
+    rng = np.random.default_rng(4)
+    vector = lambda: rng.normal(size=8).astype(np.float32).tolist()
+    hot = [(7, vector()) for _ in range(600)] + [(20 * i, vector()) for i in range(30)]
+    got = search(spark, [(*r, 1, "x") for r in hot], block=100, share=1.0)
+    assert len(got) == 30
+    for q, v in got.items():
+        own = next(x for i, x in hot if i == q)
+        assert [s for _, s in v] == pytest.approx(sorted((float(np.dot(own, x)) for i, x in hot if i != q), reverse=True)[:20])
 
 
 def test_secrets_from_labelled_findings(spark):
