@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roiscore.llm.common import cut, id_and_text, staged
 
-#: Labelled findings that the forest is grown on, at most (as expected under hashing of their places).
+#: Labelled findings that the forest is grown on, at most (as expected under hashing of their places and values).
 MOST_LABELLED = 20_000
 #: Most frequent words of the corpus that make up the dictionary; it is broadcast, so its size is fixed.
 DICTIONARY_WORDS = 10_000
@@ -112,7 +112,7 @@ def find_secrets(docs: DataFrame, path: Column, labels=rule_labels, threshold: f
         return rows.select(*out, F.lit(only).alias("score"), F.lit(only >= threshold).alias("is_secret"))
     share = min(1.0, MOST_LABELLED / sum(kinds.values()))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = rows.join(known, "row").where(F.pmod(F.xxhash64("doc_id", "word"), F.lit(1 << 20)) < int((1 << 20) * share))
+    sample = rows.join(known, "row").where(F.pmod(F.xxhash64("doc_id", "word", "value", "lead", "before"), F.lit(1 << 20)) < int((1 << 20) * share))
     sample = vectors.transform(sample.select("row", *FEATURES, F.col("secret").cast("double").alias("label"))).select("row", "features", "label").repartition(4, "row").sortWithinPartitions("row")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, cacheNodeIds=False).fit(cut(sample))
     scored = forest.transform(vectors.transform(rows)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
