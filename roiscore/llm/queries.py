@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roiscore.llm.common import read_table
+from roiscore.llm.divergence import divergences
 from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.neighbours import nearest
 from roiscore.llm.packing import pack_documents
@@ -73,6 +74,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
+    "op13_sources": op13_sources,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_archives": """
@@ -119,4 +125,27 @@ ORACLE_SQL: dict[str, str] = {
         select t.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from t left join k using (doc_id)
     """,
+    "op13_sources": r"""
+        with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+        t as (select doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        k as (select lang, term, count(*) as total from t group by 1, 2 having count(distinct doc) >= 3),
+        c as (select t.lang, source, term, count(*) as n from t join k using (lang, term) group by 1, 2, 3),
+        g as (select distinct lang, source from d),
+        v as (select lang, count(*) as v, sum(total) as total from k group by 1),
+        s as (select lang, source, sum(n) as own from c group by 1, 2),
+        p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                     1 + cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 1) // cast(coalesce(s.own, 0) + v.v as hugeint) as p,
+                     1 + cast(1000000000 as hugeint) * (k.total + 1) // cast(v.total + v.v as hugeint) as q
+              from g join k on k.lang = g.lang join v on v.lang = g.lang
+              left join s on s.lang = g.lang and s.source = g.source
+              left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        m as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+              from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by 1, 2, 3),
+        r as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(m.value, 0) as bigint) as value
+              from g a join g b on b.lang = a.lang and b.source <> a.source left join m on m.lang = a.lang and m.source = a.source and m.item = b.source
+              union all
+              select lang, source, 'term', term, cast((p - q) * (p - q) // q as bigint) from p where n > 0 and p > q),
+        o as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from r)
+        select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 200
+    """,
 }
