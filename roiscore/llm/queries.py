@@ -20,6 +20,7 @@ from roiscore.llm.repeats import remove_repeats
 from roiscore.llm.secrets import find_secrets
 from roiscore.llm.toxicity import fit, learnable, score_documents
 from roiscore.llm.warc import archive
+from roiscore.llm.webpages import extract
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,6 +75,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op13_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(read_table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
+    "op11_main_text": op11_main_text,
     "op13_sources": op13_sources,
 }
 ORACLE_SQL: dict[str, str] = {
