@@ -19,6 +19,7 @@ from roiscore.llm.quality import quality
 from roiscore.llm.repeats import remove_repeats
 from roiscore.llm.secrets import find_secrets
 from roiscore.llm.toxicity import fit, learnable, score_documents
+from roiscore.llm.trie import prefix_trie, shared_openings
 from roiscore.llm.warc import archive
 from roiscore.llm.webpages import extract
 
@@ -79,6 +80,10 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*shared_openings(read_table(spark, sf_dir, "conversations")))
+
+
 def op13_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(read_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_pieces": op10_pieces,
     "op11_main_text": op11_main_text,
+    "op12_prefixes": op12_prefixes,
     "op13_sources": op13_sources,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -131,6 +137,31 @@ ORACLE_SQL: dict[str, str] = {
         select t.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from t left join k using (doc_id)
     """,
+    "op12_prefixes": r"""
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as pos, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        c as (select conv_id, count(*) as n, conv_id - conv_id % 20 as base,
+                     xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: cast(ord(ch) as bigint))),
+                         lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 as h
+              from t group by conv_id),
+        l as (select c.*, least(h, coalesce(b.n, 0)) as opening from c left join (select conv_id as base, n from c) b using (base)),
+        r as (select t.conv_id, pos - h + opening as pos, role, text from t join l using (conv_id) where pos >= h
+              union all
+              select l.conv_id, t.pos, role, text from l join t on t.conv_id = l.base where t.pos < l.opening),
+        p as (select conv_id, pos + 1 as depth, md5(string_agg(md5(concat(length(role), ':', role, text)), ',') over (partition by conv_id order by pos)) as k,
+                     len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from r
+              union all select conv_id, 0, '', 0 from c),
+        n as (select depth, k, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(words) as own from p group by 1, 2),
+        u as (select n.depth, n.k, n.conv_id, p.k as up from n join p on p.conv_id = n.conv_id and p.depth = n.depth - 1),
+        x as (select n.depth, n.k, count(u.k) as n_children from n left join u on u.depth = n.depth + 1 and u.up = n.k group by 1, 2),
+        s as (select a.depth, a.k, sum(n.own) as saved_tokens, count(*) filter (where x.n_children = 0) as n_leaves
+              from n join x on x.depth = n.depth and x.k = n.k join p a on a.conv_id = n.conv_id and a.depth <= n.depth group by 1, 2),
+        e as (select q.depth, q.k, sha256(string_agg(cast(q.conv_id as varchar), ',' order by q.conv_id)) as ends
+              from (select *, row_number() over (partition by conv_id order by depth desc) as back from p) q where back = 1 group by 1, 2)
+        select n.conv_id, n.depth, case when n.depth > 0 then v.conv_id end as parent_conv_id, n.n_convs, x.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+        from n join x on x.depth = n.depth and x.k = n.k join s on s.depth = n.depth and s.k = n.k
+        left join e on e.depth = n.depth and e.k = n.k
+        left join u on u.depth = n.depth and u.k = n.k left join n v on v.depth = n.depth - 1 and v.k = u.up
+    """,
     "op13_sources": r"""
         with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
         t as (select doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
