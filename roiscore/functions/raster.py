@@ -29,13 +29,18 @@ def otsu(counts: np.ndarray) -> int:
 
 
 def _slide(mask: np.ndarray, k: int, pick: Callable, outside: int, first: int) -> np.ndarray:
+    """The extreme of each k x k window, by one pass down and one up in blocks of k along each axis, whatever k is."""
     for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (first, k - 1 - first)
-        wide = np.pad(mask, pad, constant_values=outside)
-        n = mask.shape[axis]
-        mask = pick.reduce([np.take(wide, range(i, i + n), axis) for i in range(k)])
-    return mask
+        lines = np.moveaxis(mask, axis, 0)
+        n = len(lines)
+        blocks = -(-(n + k - 1) // k)
+        wide = np.full((blocks * k, lines.shape[1]), outside, mask.dtype)
+        wide[first : first + n] = lines
+        wide = wide.reshape(blocks, k, -1)
+        down = pick.accumulate(wide, axis=1).reshape(blocks * k, -1)
+        up = pick.accumulate(wide[:, ::-1], axis=1)[:, ::-1].reshape(blocks * k, -1)
+        mask = np.moveaxis(pick(up[:n], down[k - 1 : k - 1 + n]), 0, axis)
+    return np.ascontiguousarray(mask)
 
 
 def erode(mask: np.ndarray, k: int, outside: int = 1) -> np.ndarray:

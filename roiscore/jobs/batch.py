@@ -33,37 +33,45 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def screened_windows(slides: DataFrame, thumbnails: DataFrame, p: Params = PARAMS) -> DataFrame:
-    """Every candidate window with the statistics of the foreground in it and the reason that it passes or not.
+_SLIDE = ["slide_id", "slide_w0", "slide_h0", "base_mpp_x", "base_mpp_y"]
 
-    thumbnails: slide_id, height, width, rgb. A slide's windows go to its thumbnail, which is never copied. A slide without
-    a thumbnail has one row, without a window but with an error.
+
+def screened_slides(slides: DataFrame, thumbnails: DataFrame, p: Params = PARAMS) -> DataFrame:
+    """(slide_id, sizes and resolutions, error, stats): each thumbnail masked once, with the statistics of every window of its slide's grid.
+
+    thumbnails: slide_id, height, width, rgb. The grid is arithmetic on a slide's columns, and slides are small rows; so
+    they go to the thumbnails, and no raster is shuffled (but where there are more slides than may be broadcast). A slide without a thumbnail has an error.
     """
-    masks = rasters.tissue_masks(thumbnails, p, ["slide_id"])
-    sized = slides.join(thumbnails.select("slide_id", F.col("width").cast("long").alias("thumb_w"), F.col("height").cast("long").alias("thumb_h")), "slide_id")
-    candidates = windows.thumbnail_rects(windows.candidate_windows(sized, p))
-    stats = rasters.zonal(masks, candidates.select("slide_id", "grid_x", "grid_y", "mx0", "mx1", "my0", "my1"), p, "slide_id").drop("error")
-    failed = masks.where("error is not null").select("slide_id", "error")
-    found = candidates.join(stats, KEY, "left").join(failed, "slide_id", "left").withColumn("filter_reason", F.when(F.col("error").isNull(), rasters.tissue_reason(p)))
-    missing = slides.join(thumbnails.select("slide_id"), "slide_id", "left_anti").withColumn("error", F.lit("no thumbnail"))
+    sizes = slides.select(*_SLIDE)
+    sized = thumbnails.join(_sent(sizes), "slide_id").withColumns({"thumb_w": F.col("width").cast("long"), "thumb_h": F.col("height").cast("long")})
+    sized = windows.with_window_array(sized, p)
+    found = rasters.window_stats(sized, F.col("windows"), [*_SLIDE, "thumb_w", "thumb_h"], p)
+    missing = sizes.join(thumbnails.select("slide_id"), "slide_id", "left_anti").withColumn("error", F.lit("no thumbnail"))
     return found.unionByName(missing, allowMissingColumns=True)
 
 
+def screened_windows(screened: DataFrame, p: Params = PARAMS) -> DataFrame:
+    """Every candidate window of the screened slides, with the statistics of the foreground in it and the reason that it passes or not; a slide that failed has one row, without a window."""
+    rows = windows.with_window_array(screened, p).withColumn("w", F.explode_outer(F.arrays_zip("windows", "stats")))
+    rows = rows.select(*_SLIDE, "w_level0", "h_level0", "error", "w.windows.*", "w.stats.*")
+    return rows.withColumn("filter_reason", F.when(F.col("error").isNull(), rasters.tissue_reason(p)))
+
+
 def select_rois(slides: DataFrame, thumbnails: DataFrame, regions: DataFrame, model: Callable[[], Callable], keep: Callable[[DataFrame], DataFrame], p: Params = PARAMS) -> Selection:
     """Slides to decided regions.
 
     slides: slide_id, wsi_path, slide_w0, slide_h0, base_mpp_x, base_mpp_y. regions: slide_id, grid_x, grid_y, height, width, rgb.
-    keep: stores a table and gives it back read; it is used for what several later steps read (windows and label rasters), so that no raster is
-    segmented twice. A slide without a thumbnail and a passing window without a raster are failures, as rasters that can't be read are.
+    keep: stores a table and gives it back read; it is used for all that is computed from rasters, so that each of them is masked,
+    segmented and measured once. A slide without a thumbnail and a passing window without a raster are failures, as rasters that can't be read are.
     """
-    screened = keep(screened_windows(slides, thumbnails, p))
+    screened = screened_windows(keep(screened_slides(slides, thumbnails, p)), p)
     passed = screened.where("filter_reason = 'pass'")
     plan = passed.select(*KEY, "filter_global_tissue_fraction", "w_level0", "h_level0", "base_mpp_x", "base_mpp_y")
     rois = regions.join(_sent(plan), KEY).withColumns({f"effective_mpp_{a}": geometry.effective_mpp(F.col(f"{s}_level0"), F.col(f"base_mpp_{a}"), p.roi_px) for a, s in (("x", "w"), ("y", "h"))})
     kept = [*KEY, "height", "width", "filter_global_tissue_fraction", "effective_mpp_x", "effective_mpp_y"]
     labels = keep(rasters.segmented(rois, model, kept, p))
     good = labels.where("error is null").drop("error").withColumn("mpp", (F.col("effective_mpp_x") + F.col("effective_mpp_y")) / 2)
-    features = rasters.label_features(good, [*KEY, "filter_global_tissue_fraction", "effective_mpp_x", "effective_mpp_y"], p)
+    features = keep(rasters.label_features(good, [*KEY, "filter_global_tissue_fraction", "effective_mpp_x", "effective_mpp_y"], p))
     scored = selection.with_raw_score(features.where("error is null").drop("error").withColumnRenamed("filter_global_tissue_fraction", "tissue_fraction"), p)
     absent = plan.select(*KEY).join(regions.select(*KEY), KEY, "left_anti").select("slide_id", F.format_string("no raster of region %d, %d", "grid_x", "grid_y").alias("error"))
     failed = screened.where("error is not null").select("slide_id", "error").distinct().unionByName(absent).unionByName(labels.where("error is not null").select("slide_id", "error")).unionByName(features.where("error is not null").select("slide_id", "error"))
@@ -74,7 +82,7 @@ def score_rois(chosen: Selection, regions: DataFrame, model: Callable[[], Callab
     """(scores of the selected regions with their rasters, failures). Label rasters are those of the selection."""
     picked = selection.ranked(chosen.decisions.where(F.col("final_decision").isin(*selection.CHOSEN)), "roi_score", "rank", "slide_id")
     rgb = regions.join(_sent(picked.select(*KEY)), KEY, "left_semi")
-    objects = rasters.segmented(rgb, model, [*KEY, "height", "width"], p, objects=True)
+    objects = keep(rasters.segmented(rgb, model, [*KEY, "height", "width"], p, objects=True))
     labels = chosen.labels.where("error is null").join(_sent(picked.select(*KEY)), KEY, "left_semi").select(*KEY, "mask")
     good = objects.where("error is null").drop("error").withColumnRenamed("mask", "objects").join(labels, KEY)
     counted = keep(rasters.objects_in_class(good, [*KEY, "height", "width", "mask"], p))

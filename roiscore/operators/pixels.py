@@ -40,6 +40,30 @@ def is_tissue(s: Column, v: Column, threshold: Column) -> Column:
     return (s > threshold) & (v < 245)
 
 
+def sliding(px: DataFrame, value: str, key: list[str], k: int, least: bool = True, outside: int | None = None) -> DataFrame:
+    """px with the extreme of `value` over the k x k square around each pixel of a dense grid, as frames of rows and then of columns.
+
+    What lies outside of the grid counts as `outside`, or is left out without it. An even square reaches one further up and left for the least,
+    and down and right for the greatest, as erosion and dilation do. A task holds the rows of one line.
+    """
+    before, after = (k // 2, k - 1 - k // 2) if least else (k - 1 - k // 2, k // 2)
+    for line, along in (("y", "x"), ("x", "y")):
+        frame = Window.partitionBy(*key, line).orderBy(along).rowsBetween(-before, after)
+        found = (F.min if least else F.max)(value).over(frame)
+        if outside is not None:
+            beyond = F.count(F.lit(1)).over(frame) < k
+            found = F.when(beyond, (F.least if least else F.greatest)(found, F.lit(outside))).otherwise(found)
+        px = px.withColumn(value, found)
+    return px
+
+
+def opened_closed(px: DataFrame, value: str, key: list[str], k: int) -> DataFrame:
+    """An opening and then a closing of a 0/1 value by a k x k square."""
+    for least in (True, False, False, True):
+        px = sliding(px, value, key, k, least)
+    return px
+
+
 def class_fractions(px: DataFrame, key: str = "roi_id") -> DataFrame:
     """Pixels and fractions of the classes 0, 1, 2 by raster."""
     counts = {"background": 0, "tumor": 1, "stroma": 2}

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,10 @@ def band(row, name: str, channels: int = 1) -> np.ndarray:
 
 
 def each_raster(df: DataFrame, work: Callable, added: str, keep: list[str], catch: bool = True) -> DataFrame:
-    """work(row) -> dict for every row; the columns `keep` go along and `error` is added (without catch, a failure ends the job)."""
+    """work(row) -> dict for every row; the columns `keep` go along and `error` is added (without catch, a failure ends the job).
+
+    A row that has an error already (df's own column `error`) keeps it and is not worked on.
+    """
     ship(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(added).fields, T.StructField("error", T.StringType())])
     names = [f.name for f in T._parse_datatype_string(added).fields]
@@ -40,6 +43,9 @@ def each_raster(df: DataFrame, work: Callable, added: str, keep: list[str], catc
             out = []
             for row in frame.to_dict("records"):
                 kept = {c: row[c] for c in keep}
+                if isinstance(row.get("error"), str):
+                    out.append(kept | dict.fromkeys(names) | {"error": row["error"]})
+                    continue
                 try:
                     out.append(kept | work(row) | {"error": None})
                 except Exception as failure:  # the row's own failure is its result
@@ -54,31 +60,41 @@ def each_raster(df: DataFrame, work: Callable, added: str, keep: list[str], catc
 def from_pixels(px: DataFrame, key: list[str], bands: dict[str, list[str]]) -> DataFrame:
     """Raster rows from pixel rows on a dense grid; bands names each raster's columns. A raster must fit into one row.
 
-    Pixels may come in any order. A null place or value, or a value that is no byte, ends the job.
+    Pixels may come in any order. A raster with a null place or value, with a value that is no byte, or with pixels that
+    are missing or there twice has an `error` and no bands; the others have none.
     """
     ship(px.sparkSession)
     columns = [c for own in bands.values() for c in own]
-    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).cast("short").alias(c) for c in columns))
+    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).try_cast("short").alias(c) for c in columns))
     grouped = px.groupBy(*key).agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.collect_list(pixel).alias("px"))
     kept = grouped.drop("px").columns
-    schema = T.StructType([*(grouped.schema[c] for c in kept), *(T.StructField(b, T.BinaryType()) for b in bands)])
+    schema = T.StructType([*(grouped.schema[c] for c in kept), *(T.StructField(b, T.BinaryType()) for b in bands), T.StructField("error", T.StringType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("px")
             flat = dict(zip(("y", "x", *columns), lists.flatten().flatten()))
-            if any(v.null_count for v in flat.values()):
-                raise ValueError("a pixel has a null place or value")
-            place = flat["y"].to_numpy().astype(np.int64), flat["x"].to_numpy()
-            values = {name: np.stack([flat[c].cast(pa.uint8()).to_numpy() for c in own], axis=-1) for name, own in bands.items()}
-            out: dict[str, list[bytes]] = {name: [] for name in bands}
+            lost = {c: v.is_null().to_numpy(zero_copy_only=False) for c, v in flat.items()}
+            flat = {c: v.fill_null(0).to_numpy() for c, v in flat.items()}
+            bad = np.logical_or.reduce([*lost.values(), *((flat[c] < 0) | (flat[c] > 255) for c in columns)])
+            values = {name: np.stack([flat[c].astype(np.uint8) for c in own], axis=-1) for name, own in bands.items()}
+            out: dict[str, list[bytes | None]] = {name: [] for name in (*bands, "error")}
             stop = 0
-            for size, width in zip(lists.value_lengths().to_pylist(), batch.column("width").to_pylist()):
+            for size, height, width in zip(lists.value_lengths().to_pylist(), *(batch.column(c).fill_null(0).to_pylist() for c in ("height", "width"))):
                 own = slice(stop, stop := stop + size)
-                order = np.argsort(place[0][own] * width + place[1][own], kind="stable")
+                place = flat["y"][own].astype(np.int64) * width + flat["x"][own]
+                order = np.argsort(place, kind="stable")
+                if bad[own].any():
+                    error = "a pixel has a null place, or a value that is no byte"
+                elif not np.array_equal(place[order], np.arange(height * width)):
+                    error = "pixels are missing, or there twice"
+                else:
+                    error = None
+                out["error"].append(error)
                 for name, value in values.items():
-                    out[name].append(value[own][order].tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, pa.binary()) for v in out.values())], names=[*kept, *bands])
+                    out[name].append(None if error else value[own][order].tobytes())
+            error = pa.array(out.pop("error"), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, pa.binary()) for v in out.values()), error], names=[*kept, *bands, "error"])
 
     return grouped.mapInArrow(pack, schema)
 
@@ -121,39 +137,49 @@ def _bytes_of(column: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, missing
 
 
+def _tissue(row, p: Params) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(threshold, mask, eroded mask, saturation, value) of a thumbnail's rgb."""
+    s, v = raster.saturation_value(band(row, "rgb", 3))
+    threshold = max(20, int(0.8 * raster.otsu(np.bincount(s.reshape(-1), minlength=256))))
+    mask = ((s > threshold) & (v < 245)).astype(np.uint8)
+    mask = raster.closed(raster.opened(mask, p.open_close), p.open_close)
+    mask = raster.keep_components(mask, int(p.min_component_share * mask.shape[0] * mask.shape[1]))
+    eroded = mask
+    if p.use_eroded:
+        for _ in range(p.erosion_rounds):
+            eroded = raster.erode(eroded, p.erosion, outside=0)
+    return threshold, mask, eroded, s, v
+
+
 def tissue_masks(thumbnails: DataFrame, p: Params = PARAMS, key: list[str] = ("slide_key",)) -> DataFrame:
     """threshold, mask and eroded mask of each thumbnail (rgb)."""
 
     def work(row) -> dict:
-        s, v = raster.saturation_value(band(row, "rgb", 3))
-        threshold = max(20, int(0.8 * raster.otsu(np.bincount(s.reshape(-1), minlength=256))))
-        mask = ((s > threshold) & (v < 245)).astype(np.uint8)
-        mask = raster.closed(raster.opened(mask, p.open_close), p.open_close)
-        mask = raster.keep_components(mask, int(p.min_component_share * mask.shape[0] * mask.shape[1]))
-        eroded = mask
-        if p.use_eroded:
-            for _ in range(p.erosion_rounds):
-                eroded = raster.erode(eroded, p.erosion, outside=0)
-        return {"rgb": row["rgb"], "threshold": threshold, "mask": mask.tobytes(), "eroded": eroded.tobytes()}
+        threshold, mask, eroded, _, _ = _tissue(row, p)
+        return {"threshold": threshold, "mask": mask.tobytes(), "eroded": eroded.tobytes()}
 
-    return each_raster(thumbnails, work, "rgb binary, threshold int, mask binary, eroded binary", [*key, "height", "width"])
+    return each_raster(thumbnails, work, "threshold int, mask binary, eroded binary", [*key, "height", "width"])
 
 
 ZONAL = "filter_global_tissue_fraction double, filter_center_tissue_fraction double, filter_grid_pass_cells int, filter_min_grid_tissue_fraction double, filter_mean_saturation_tissue double, filter_mean_value_tissue double"
+_STATS = "stats array<struct<" + ", ".join(c.replace(" ", ": ", 1) for c in ZONAL.split(", ")) + ">>"
+RECT = ("mx0", "mx1", "my0", "my1")
 
 
-def zonal(masks: DataFrame, rects: DataFrame, p: Params = PARAMS, key: str = "slide_key") -> DataFrame:
-    """Statistics of the foreground in each window of a slide (rects: slide, grid_x, grid_y, mx0, mx1, my0, my1).
+def window_stats(thumbnails: DataFrame, rects: Column, keep: list[str], p: Params = PARAMS) -> DataFrame:
+    """(keep, error, stats): the foreground of each thumbnail, found once, in each of its windows.
 
-    A slide's windows travel to its mask, one row a slide, and running sums make every window cost the same.
+    rects: an array of structs with mx0, mx1, my0, my1 made of columns of the thumbnail's own row, so that neither rasters nor
+    windows are shuffled; stats has one entry for each, in order. Running sums make every window cost the same.
     """
-    per_slide = rects.groupBy(key).agg(F.collect_list(F.struct("grid_x", "grid_y", "mx0", "mx1", "my0", "my1")).alias("rects"))
+    schema = "array<struct<" + ", ".join(f"{c}:bigint" for c in RECT) + ">>"
+    given = thumbnails.withColumn("_rects", F.transform(rects, lambda w: F.struct(*(w[c].cast("long").alias(c) for c in RECT))).cast(schema))
+    names = [c.split()[0] for c in ZONAL.split(", ")]
 
     def work(row) -> dict:
-        r = {c: np.array([x[c] for x in row["rects"]], np.int64) for c in ("mx0", "mx1", "my0", "my1")}
-        mask = band(row, "mask")
-        inside = band(row, "eroded") if p.use_eroded else mask
-        s, v = raster.saturation_value(band(row, "rgb", 3))
+        r = {c: np.array([x[c] for x in row["_rects"]], np.int64) for c in RECT}
+        _, mask, eroded, s, v = _tissue(row, p)
+        inside = eroded if p.use_eroded else mask
         count = raster.window_sums(inside > 0)
         height, width = r["my1"] - r["my0"], r["mx1"] - r["mx0"]
 
@@ -169,11 +195,9 @@ def zonal(masks: DataFrame, rects: DataFrame, p: Params = PARAMS, key: str = "sl
         n = raster.window_sums(mask > 0)(r["my0"], r["my1"], r["mx0"], r["mx1"])
         mean = lambda a, none: np.where(n > 0, raster.window_sums(np.where(mask > 0, a, 0))(r["my0"], r["my1"], r["mx0"], r["mx1"]) / np.maximum(n, 1), none)
         columns = (whole, center, (cells >= p.min_cell_tissue).sum(axis=0), cells.min(axis=0).astype(float), mean(s, 0.0), mean(v, 255.0))
-        return {"stats": [dict(zip(("grid_x", "grid_y", *(c.split()[0] for c in ZONAL.split(", "))), (x["grid_x"], x["grid_y"], *(y.item() for y in own)))) for x, own in zip(row["rects"], zip(*columns))]}
+        return {"stats": [dict(zip(names, own)) for own in zip(*(c.tolist() for c in columns))]}
 
-    struct = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in ("grid_x long", "grid_y long", *ZONAL.split(", ")))
-    joined = masks.where("error is null").drop("error").join(per_slide, key)
-    return each_raster(joined, work, f"stats array<struct<{struct}>>", [key]).select(key, "error", F.explode_outer("stats").alias("s")).select(key, "s.*", "error")
+    return each_raster(given, work, _STATS, keep)
 
 
 def tissue_reason(p: Params = PARAMS):

@@ -49,9 +49,9 @@ def batch_summary(skipped: DataFrame, processed: DataFrame, failed: DataFrame) -
 
 def stage_totals(times: DataFrame, key: str = "slide_id") -> DataFrame:
     """Seconds of each slide and stage, and each slide's total, also as text."""
-    stages = times.groupBy(key, "stage").agg(F.sum("seconds").alias("seconds"))
-    whole = stages.groupBy(key).agg(F.sum("seconds").alias("seconds")).select(key, F.lit(TOTAL).alias("stage"), "seconds")
-    return stages.unionByName(whole).withColumn("formatted", duration(F.col("seconds").cast("double")))
+    sums = times.groupingSets([[key, "stage"], [key]], key, "stage").agg(F.sum("seconds").alias("seconds"), F.grouping_id().alias("_set"))
+    stage = F.when(F.col("_set") == 0, F.col("stage")).otherwise(F.lit(TOTAL))
+    return sums.select(key, stage.alias("stage"), "seconds").withColumn("formatted", duration(F.col("seconds").cast("double")))
 
 
 def timing_lines(totals: DataFrame, key: str = "slide_id") -> DataFrame:

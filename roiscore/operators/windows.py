@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roiscore.config import PARAMS, Params
@@ -52,3 +52,34 @@ def thumbnail_rects(windows: DataFrame) -> DataFrame:
     mx0, mx1 = g.thumbnail_span(F.col("x0_level0"), F.col("w_level0"), F.col("slide_w0"), F.col("thumb_w"))
     my0, my1 = g.thumbnail_span(F.col("y0_level0"), F.col("h_level0"), F.col("slide_h0"), F.col("thumb_h"))
     return windows.withColumns({"mx0": mx0, "mx1": mx1, "my0": my0, "my1": my1})
+
+
+def with_window_array(slides: DataFrame, p: Params = PARAMS) -> DataFrame:
+    """slides (with thumb_w, thumb_h) with `windows`: those of candidate_windows and their thumbnail_rects, as one array a slide."""
+    size = {a: g.level0_px(p.roi_px, F.col(f"base_mpp_{a}"), p) for a in "xy"}
+    stride = {a: g.level0_px(p.stride_px, F.col(f"base_mpp_{a}"), p) for a in "xy"}
+    out = slides.withColumns({"w_level0": size["x"], "h_level0": size["y"]})
+    xs = g.start_positions(F.col("slide_w0") - F.col("w_level0"), stride["x"])
+    ys = g.start_positions(F.col("slide_h0") - F.col("h_level0"), stride["y"])
+
+    def window(x: Column, gx: Column, y: Column, gy: Column) -> Column:
+        mx = g.thumbnail_span(x, F.col("w_level0"), F.col("slide_w0"), F.col("thumb_w"))
+        my = g.thumbnail_span(y, F.col("h_level0"), F.col("slide_h0"), F.col("thumb_h"))
+        named = {"grid_x": gx, "grid_y": gy, "x0_level0": x, "y0_level0": y, "mx0": mx[0], "mx1": mx[1], "my0": my[0], "my1": my[1]}
+        return F.struct(*(v.cast("long").alias(k) for k, v in named.items()))
+
+    found = F.flatten(F.transform(ys, lambda y, gy: F.transform(xs, lambda x, gx: window(x, gx, y, gy))))
+    return out.withColumn("windows", found if p.max_windows is None else F.slice(found, 1, p.max_windows))
+
+
+def windows_of_pixels(px: DataFrame, windows: DataFrame, key: list[str], cell: int) -> DataFrame:
+    """px joined with every window that it lies in; windows (key, x0, x1, y0, y1, any more) are half open and may overlap.
+
+    A range join as an equi-join: the plane is cut into cells, a window goes to every cell that it touches, a pixel to
+    its own, and the bounds are checked within. Cells about as large as windows send each to four of them. Empty windows and
+    pixels in no window are left out.
+    """
+    cells = lambda a: F.sequence(F.floor(F.col(f"{a}0") / cell), F.floor((F.col(f"{a}1") - 1) / cell))
+    spread = windows.where("x1 > x0 and y1 > y0").withColumn("_cy", F.explode(cells("y"))).withColumn("_cx", F.explode(cells("x")))
+    own = px.withColumns({"_cy": F.floor(F.col("y") / cell), "_cx": F.floor(F.col("x") / cell)})
+    return own.join(spread, [*key, "_cy", "_cx"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").drop("_cy", "_cx")

@@ -15,7 +15,7 @@ from roiscore.functions.text import roi_name
 from roiscore.jobs import batch, export
 from roiscore.operators import pixels, rasters, scoring, selection, summary, windows
 from roiscore.session import new_path, stored
-from roiscore.sources import catalogue, fixtures as fx
+from roiscore.sources import catalogue, fixtures as fx, strips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -367,6 +367,53 @@ def tissue_eroded(spark, sf_dir):
     return rasters.to_pixels(_masks(spark, sf_dir), ["slide_key"], ["eroded"])
 
 
+@query(f"select slide_key, y, x, tissue as mask from ({_CLEAN})")
+def tissue_frames(spark, sf_dir):
+    """The same opening and closing on pixel rows, as frames of windows."""
+    return pixels.opened_closed(tissue_px(spark, sf_dir), "tissue", ["slide_key"], 5).withColumnRenamed("tissue", "mask")
+
+
+@query(f"select slide_key, y, x, eroded from ({_ERODED})")
+def eroded_frames(spark, sf_dir):
+    """The erosion in which pixels beyond the border count as background, as frames of windows."""
+    cleaned = pixels.opened_closed(tissue_px(spark, sf_dir), "tissue", ["slide_key"], 5)
+    return pixels.sliding(cleaned, "tissue", ["slide_key"], 5, outside=0).withColumnRenamed("tissue", "eroded")
+
+
+_LAID = "(values (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)) w(gx, gy)"
+
+
+@query(f"""
+    select slide_key, gx as window_x, gy as window_y, count(*) as n, cast(sum(s) as bigint) as saturation, cast(max(v) as int) as brightest
+    from ({_HSV}) join {_LAID} on x >= gx * 8 and x < gx * 8 + 24 and y >= gy * 20 and y < gy * 20 + 24 group by 1, 2, 3""")
+def window_statistics(spark, sf_dir):
+    """Statistics of pixel rows by windows that overlap, three deep along x."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")
+    laid = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("slide_key"), k).selectExpr("slide_key", "k % 6 as window_x", "cast(k div 6 as int) as window_y")
+    laid = laid.selectExpr("*", "window_x * 8 as x0", "window_x * 8 + 24 as x1", "window_y * 20 as y0", "window_y * 20 + 24 as y1")
+    found = windows.windows_of_pixels(_hsv(spark, sf_dir), laid, ["slide_key"], 24)
+    return found.groupBy("slide_key", "window_x", "window_y").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("saturation"), F.max("v").alias("brightest"))
+
+
+_SPOILT = f"""
+    select slide_key, y, x, case when slide_key % 5 = 1 and y = 3 and x = 4 then null when slide_key % 5 = 2 and y = 0 and x = 63 then 300 else r end as r, g, b
+    from ({fx.THUMB_PX}) where slide_key % 5 <> 3 or y <> 10 or x <> 7"""
+
+
+@query(f"""
+    select slide_key, any_value(case when slide_key % 5 in (1, 2) then 'a pixel has a null place, or a value that is no byte' when slide_key % 5 = 3 then 'pixels are missing, or there twice' end) as error,
+        case when any_value(slide_key % 5) in (0, 4) then count(*) filter (where b >= r and b >= g) end as blue
+    from ({_SPOILT}) group by slide_key""")
+def failed_pixels(spark, sf_dir):
+    """Thumbnails of which some have a null, an over-range or a missing pixel: each fails alone, and the others are segmented."""
+    px = fx.thumb_px(spark, sf_dir)
+    at = lambda rest, y, x: (F.col("slide_key") % 5 == rest) & (F.col("y") == y) & (F.col("x") == x)
+    px = px.where(~at(3, 10, 7)).withColumn("r", F.when(at(1, 3, 4), None).when(at(2, 0, 63), 300).otherwise(F.col("r")))
+    labels = rasters.segmented(rasters.from_pixels(px, ["slide_key"], {"rgb": ["r", "g", "b"]}), toy_model, ["slide_key", "height", "width"], _INFER)
+    counts = rasters.to_pixels(labels.where("error is null"), ["slide_key"], ["mask"]).groupBy("slide_key").agg(F.count_if(F.col("mask") == 0).alias("blue"))
+    return labels.select("slide_key", "error").join(counts, "slide_key", "left")
+
+
 _STATS = ("filter_global_tissue_fraction", "filter_center_tissue_fraction", "filter_grid_pass_cells", "filter_min_grid_tissue_fraction", "filter_mean_saturation_tissue", "filter_mean_value_tissue")
 _ZONAL = f"""
     with p as (select slide_key, x // 16 as grid_x, y // 16 as grid_y, x % 16 as i, y % 16 as j, eroded, tissue, s, v from ({_ERODED}) join ({_CLEAN}) using (slide_key, y, x) join (select slide_key, y, x, s, v from ({_HSV})) using (slide_key, y, x)),
@@ -382,10 +429,11 @@ _REASON = """case when filter_global_tissue_fraction < 0.6e0 then 'low_global_ti
 
 
 def _zonal(spark, sf_dir):
-    grid = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")
-    rects = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("slide_key"), grid).selectExpr("slide_key", "cast(k % 4 as long) as grid_x", "cast(k div 4 as long) as grid_y")
-    rects = rects.selectExpr("*", "grid_x * 16 as mx0", "grid_x * 16 + 16 as mx1", "grid_y * 16 as my0", "grid_y * 16 + 16 as my1")
-    return rasters.zonal(_masks(spark, sf_dir), rects)
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    at = lambda k: {"grid_x": k % 4, "grid_y": F.floor(k / 4), "mx0": k % 4 * 16, "mx1": k % 4 * 16 + 16, "my0": F.floor(k / 4) * 16, "my1": F.floor(k / 4) * 16 + 16}
+    grid = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct(*(v.cast("long").alias(c) for c, v in at(k).items())))
+    found = rasters.window_stats(thumbs, grid, ["slide_key"]).withColumn("windows", grid)
+    return found.select("slide_key", F.explode(F.arrays_zip("windows", "stats")).alias("w")).select("slide_key", "w.windows.grid_x", "w.windows.grid_y", "w.stats.*")
 
 
 @query(f"select slide_key, grid_x, grid_y, {', '.join(_STATS)} from ({_ZONAL})")
@@ -423,6 +471,47 @@ def infer_tils(spark, sf_dir):
     return rasters.to_pixels(rasters.segmented(thumbs, toy_model, ["slide_key", "height", "width"], _INFER, objects=True), ["slide_key"], ["mask"])
 
 
+def placed_model():
+    """Answers with the colour of each pixel and its place in the tile, so that a tile that is a pixel off changes the answer."""
+
+    def model(tiles):
+        px = np.rint(tiles * 255).astype(np.int64)
+        y, x = np.arange(px.shape[1])[:, None], np.arange(px.shape[2])
+        return np.stack([((px[..., k] + a * y + b * x) % 61 / 64).astype(np.float32) for k, (a, b) in enumerate(((3, 5), (7, 2), (1, 11)))], axis=-1)
+
+    return model
+
+
+_PLACED = ", ".join(f"max((({c} + {a} * (y - ty) + {b} * (x - tx)) % 61) / 64e0) as p{k}" for k, (c, a, b) in enumerate((("r", 3, 5), ("g", 7, 2), ("b", 1, 11))))
+
+
+@query(f"""
+    select slide_key, y, x, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as mask
+    from (select slide_key, y, x, {_PLACED} from ({fx.THUMB_PX}) join (values (0), (16)) a(ty) on y >= ty and y < ty + 32 join (values (0), (24), (32)) b(tx) on x >= tx and x < tx + 32 group by 1, 2, 3)""")
+def infer_placed(spark, sf_dir):
+    """Segmentation by a model that depends on where in a tile a pixel is: the best of all tiles over each pixel."""
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    return rasters.to_pixels(rasters.segmented(thumbs, placed_model, ["slide_key", "height", "width"], _INFER), ["slide_key"], ["mask"])
+
+
+def _weights(n: int, of: int, axis: str) -> str:
+    """SQL rows of a target place, its two source places and the share of the second."""
+    return f"select {axis}, least(greatest(cast(floor(pt) as bigint), 0), {of - 1}) as {axis}a, least(greatest(cast(floor(pt) as bigint) + 1, 0), {of - 1}) as {axis}b, pt - floor(pt) as {axis}s from (select {axis}, ({axis} + 0.5e0) * {of} / {n} - 0.5e0 as pt from range({n}) t({axis}))"
+
+
+@query(f"""
+    select p.slide_key, h.y, w.x, {', '.join(f"cast(least(greatest(floor((p.{c} * (1 - ys) + q.{c} * ys) * (1 - xs) + (u.{c} * (1 - ys) + v.{c} * ys) * xs + 0.5e0), 0), 255) as int) as {c}" for c in 'rgb')}
+    from ({_weights(31, 48, 'y')}) h, ({_weights(45, 64, 'x')}) w
+    join px p on p.y = ya and p.x = xa join px q on q.slide_key = p.slide_key and q.y = yb and q.x = xa
+    join px u on u.slide_key = p.slide_key and u.y = ya and u.x = xb join px v on v.slide_key = p.slide_key and v.y = yb and v.x = xb""".replace("select p.slide_key", f"with px as ({fx.THUMB_PX}) select p.slide_key", 1))
+def resize_odd(spark, sf_dir):
+    """Bilinear resizing of 64 x 48 to 45 x 31."""
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"rgb": ["r", "g", "b"]})
+    small = rasters.resized(thumbs, 31, 45, ["slide_key"]).withColumns({"height": F.lit(31), "width": F.lit(45)})
+    px = rasters.to_pixels(small, ["slide_key"], ["rgb"], channels=3)
+    return px.select("slide_key", "y", "x", *(F.get("rgb", F.lit(k)).alias(c) for k, c in enumerate("rgb")))
+
+
 @query(f"""
     select slide_key, y // 2 as y, x // 2 as x, cast(floor(sum(r) / 4e0 + 0.5e0) as int) as r, cast(floor(sum(g) / 4e0 + 0.5e0) as int) as g, cast(floor(sum(b) / 4e0 + 0.5e0) as int) as b
     from ({fx.THUMB_PX}) group by 1, 2, 3""")
@@ -628,6 +717,37 @@ def geojson_files(spark, sf_dir):
     return found.select("slide_key", F.size("c.features").cast("long").alias("n_features"), "c.type", F.length(F.array_max(F.transform("c.features", lambda f: f["properties"]["rank"])).cast("string")).cast("long").alias("longest"), F.aggregate("c.features", F.lit(0.0), lambda a, f: a + edge(f)).alias("right_edges"))
 
 
+def _strips(spark, sf_dir) -> str:
+    """Thumbnails as files of strips of ten lines."""
+    thumbs = rasters.from_pixels(fx.thumb_px(spark, sf_dir), ["slide_key"], {"data": ["r", "g", "b"]})
+    path = new_path(spark, "strips")
+    strips.write_strips(thumbs.select(F.concat(F.lit("S"), F.col("slide_key").cast("string")).alias("name"), "height", "width", F.lit(3).alias("channels"), "data"), path, rows=10)
+    return path
+
+
+@query(f"""
+    select 'S' || slide_key as name, y // 10 * 10 as y0, count(*) // 64 as rows, cast(sum(r * ((y % 10 * 64 + x) % 7 + 1)) as bigint) as red
+    from ({fx.THUMB_PX}) where y >= 20 group by 1, 2""")
+def strip_files(spark, sf_dir):
+    """Files of strips written and read back from their third strip on."""
+    found = strips.read_strips(spark, _strips(spark, sf_dir)).where("y0 >= 20")
+    px = rasters.to_pixels(found.selectExpr("name", "y0", "rows", "rows as height", "width", "data"), ["name", "y0", "rows"], ["data"], channels=3)
+    return px.groupBy("name", F.col("y0").cast("long").alias("y0"), F.col("rows").cast("long").alias("rows")).agg(F.sum(F.get("data", F.lit(0)) * ((F.col("y") * 64 + F.col("x")) % 7 + 1)).alias("red"))
+
+
+@query(f"""
+    select slide_key, k as nth, cast(sum(r * (y - y0) + g * (x - x0) + b) as bigint) as checksum
+    from ({fx.THUMB_PX}), (values (0, 0, 0), (1, 30, 11), (2, 50, 40)) w(k, x0, y0) where x >= x0 and x < x0 + 20 and y >= y0 and y < y0 + 15 group by 1, 2""")
+def window_files(spark, sf_dir):
+    """Windows read by themselves from files of strips; the last reaches over the edge."""
+    laid = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("slide_key"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("nth"))
+    laid = laid.selectExpr("slide_key", "nth", "'S' || slide_key as name", "array(0, 30, 50)[nth] as x0", "array(0, 11, 40)[nth] as y0", "20 as w", "15 as h")
+    found = strips.read_windows(laid, _strips(spark, sf_dir), ["slide_key", "nth"]).where("error is null").drop("error")
+    px = rasters.to_pixels(found, ["slide_key", "nth"], ["rgb"], channels=3)
+    part = lambda k: F.get("rgb", F.lit(k))
+    return px.groupBy("slide_key", "nth").agg(F.sum(part(0) * F.col("y") + part(1) * F.col("x") + part(2)).alias("checksum"))
+
+
 # Whole jobs
 
 _BATCH = replace(PARAMS, roi_px=16, stride_px=16, patch=32, patch_stride=24, batch_tiles=4, split_touching=False, object_diameter_um=1.0)

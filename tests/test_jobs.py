@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from roiscore.config import PARAMS
 from roiscore.functions.text import duration
 from roiscore.jobs import batch, export
-from roiscore.operators import rasters, selection, summary, windows
-from roiscore.sources import catalogue, images
+from roiscore.functions import raster
+from roiscore.operators import pixels, rasters, selection, summary, windows
+from roiscore.sources import catalogue, images, strips
 from roiscore.streaming.incremental import upsert_stream
 
 P = replace(PARAMS, roi_px=64, stride_px=64, patch=32, patch_stride=24, radius_um=4.0, thumbnail_max=64)
@@ -203,7 +204,7 @@ def test_stream_of_summaries(spark, tmp_path):
 def test_pixels_to_rasters_and_back(spark):
     px = spark.createDataFrame([(k, y, x, (40 * (k or 0) + 7 * y + x) % 256, 255 - x, y) for k in (1, 2, None) for y in range(3) for x in range(4 if k == 1 else 2)], "k long, y long, x long, r int, g int, b int").orderBy(F.rand(1))
     packed = rasters.from_pixels(px, ["k"], {"rgb": ["r", "g", "b"], "blue": ["b"]})
-    assert packed.columns == ["k", "height", "width", "rgb", "blue"]
+    assert packed.columns == ["k", "height", "width", "rgb", "blue", "error"] and packed.where("error is not null").count() == 0
     rgb = rasters.to_pixels(packed, ["k"], ["rgb"], channels=3, most=5).select("k", "y", "x", *(F.col("rgb")[i].alias(c) for i, c in enumerate("rgb")))
     assert sorted(map(str, rgb.collect())) == sorted(map(str, px.collect()))
     assert sorted(map(str, rasters.to_pixels(packed, ["k"], ["blue"]).collect())) == sorted(map(str, px.selectExpr("k", "y", "x", "b as blue").collect()))
@@ -216,8 +217,139 @@ def test_pixels_of_null_and_short_rasters_are_null(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", 0, 0, 9), ("a", 0, 1, 250), ("b", 0, 0, None), ("b", 1, 0, None), ("c", 0, 0, 7), ("c", 0, 1, None)], key=str)
 
 
-@pytest.mark.parametrize("bad", [None, 256, -1])
-def test_values_that_are_no_bytes_end_the_job(spark, bad):
-    px = spark.createDataFrame([(1, 0, 0, bad)], "k long, y long, x long, v int")
-    with pytest.raises(Exception, match="null place or value|not in range"):
-        rasters.from_pixels(px, ["k"], {"v": ["v"]}).collect()
+@pytest.mark.parametrize("bad", [None, 256, -1, 70000])
+def test_values_that_are_no_bytes_fail_their_raster(spark, bad):
+    px = spark.createDataFrame([(k, y, 0, bad if (k, y) == (1, 1) else 7) for k in (1, 2) for y in (0, 1)], "k long, y long, x long, v int")
+    got = {r.k: (r.v, r.error) for r in rasters.from_pixels(px, ["k"], {"v": ["v"]}).collect()}
+    assert got == {1: (None, "a pixel has a null place, or a value that is no byte"), 2: (b"\x07\x07", None)}
+    masked = {r.k: r.error for r in rasters.segmented(rasters.from_pixels(px, ["k"], {"rgb": ["v"] * 3}), lambda: lambda t: t, ["k"]).collect()}
+    assert masked == {1: got[1][1], 2: None}
+
+
+def test_missing_and_doubled_pixels_fail_their_raster(spark):
+    px = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 1, 1), (2, 0, 0, 1), (2, 0, 0, 2), (3, 0, None, 1), (4, 0, 0, 9)], "k long, y long, x long, v int")
+    got = {r.k: r.error for r in rasters.from_pixels(px, ["k"], {"v": ["v"]}).collect()}
+    assert all(got[k] for k in (1, 2, 3)) and got[4] is None
+
+
+def test_every_raster_is_worked_on_once(spark, tables, tmp_path):
+    """Each step on rasters is stored before anything reads it, so that none is in the plan of another or of the results."""
+    python = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
+    steps, asked = [], str(tmp_path / "asked")
+
+    def keep(df):
+        steps.append(python(df))
+        path = str(tmp_path / f"kept{len(steps)}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def model():
+        def answer(tiles):
+            with open(asked, "a") as f:
+                f.write("x" * len(tiles))
+            return tiles[..., [2, 0, 1]]
+
+        return answer
+
+    whole, failed = batch.run_batch(*tables, None, model, lambda: lambda t: t[..., [2, 0, 1]], keep, P)
+    assert python(whole) == python(failed) == 0 and max(steps) == 1 and sum(steps) == 5  # masks, labels, features, objects, counts
+    assert {r.slide_id: r.status for r in whole.collect()}["broken"] == "FAILED"
+    assert len(open(asked).read()) == 9 * 10  # nine tiles of each passing region that can be read: four of good, four of old, two of broken
+
+
+def test_windows_of_thumbnails_stay_where_they_are(spark, tables):
+    """No exchange has a raster among its columns."""
+    slides = catalogue.with_resolution(catalogue.with_ids(tables[0], P), P)
+    plan = batch.screened_slides(slides, tables[1], P)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hash" in line]
+    assert "BroadcastHashJoin" in plan and not any("rgb" in line for line in exchanges)
+    rows = batch.screened_windows(batch.screened_slides(slides, tables[1], P), P)
+    one = {(r.grid_x, r.grid_y): (r.x0_level0, r.mx0, r.mx1, r.filter_reason) for r in rows.where("slide_id = 'good'").collect()}
+    assert one[1, 0] == (64, 32, 64, "pass") and len(one) == 4
+    arrays = windows.with_window_array(slides.withColumns({"thumb_w": F.lit(64).cast("long"), "thumb_h": F.lit(64).cast("long")}), P).select("slide_id", F.explode("windows").alias("w")).select("slide_id", "w.*")
+    plain = windows.thumbnail_rects(windows.candidate_windows(slides.withColumns({"thumb_w": F.lit(64).cast("long"), "thumb_h": F.lit(64).cast("long")}), P)).select(arrays.columns)
+    assert sorted(arrays.collect()) == sorted(plain.collect())
+
+
+def test_pixels_in_overlapping_windows(spark):
+    px = spark.createDataFrame([(k, y, x) for k in (1, 2) for y in range(9) for x in range(11)], "k long, y long, x long")
+    laid = [(1, 0, 0, 5, 0, 5), (1, 1, 2, 9, 3, 20), (2, 2, 4, 4, 0, 9), (2, 3, -3, 2, -5, 1), (2, 3, -3, 2, -5, 1)]
+    df = windows.windows_of_pixels(px, spark.createDataFrame(laid, "k long, name int, x0 long, x1 long, y0 long, y1 long"), ["k"], 4)
+    expected = sorted((k, y, x, n) for k, n, x0, x1, y0, y1 in laid for y in range(9) for x in range(11) if x0 <= x < x1 and y0 <= y < y1)
+    assert sorted((r.k, r.y, r.x, r.name) for r in df.collect()) == expected
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_totals_of_stages_are_one_aggregate(spark):
+    times = spark.createDataFrame([("a", "x", 1.0), ("a", None, 2.0), ("b", "x", 4.0)], "slide_id string, stage string, seconds double")
+    df = summary.stage_totals(times)
+    assert sorted((r.slide_id, r.stage or "", r.seconds) for r in df.collect()) == [("a", "", 2.0), ("a", "total_pipeline_time", 3.0), ("a", "x", 1.0), ("b", "total_pipeline_time", 4.0), ("b", "x", 4.0)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("k", [2, 3, 5, 8, 31])
+def test_frames_equal_the_helper(spark, k):
+    rng = np.random.default_rng(k)
+    mask = (rng.random((13, 17)) < 0.6).astype(np.uint8)
+    px = spark.createDataFrame([(0, y, x, int(mask[y, x])) for y in range(13) for x in range(17)], "k long, y long, x long, v int")
+    for least, outside, helper in ((True, None, raster.erode(mask, k)), (True, 0, raster.erode(mask, k, 0)), (False, None, raster.dilate(mask, k))):
+        got = np.zeros_like(mask)
+        for r in pixels.sliding(px, "v", ["k"], k, least, outside).collect():
+            got[r.y, r.x] = r.v
+        assert (got == helper).all()
+
+
+def test_strips_that_filters_leave_are_read_alone(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = {name: rng.integers(0, 256, (height, 6, 2), dtype=np.uint8) for name, height in (("a", 25), ("b", 10), ("c", 3))}
+    df = spark.createDataFrame([(n, *v.shape, bytearray(v.tobytes())) for n, v in rows.items()], "name string, height int, width int, channels int, data binary")
+    strips.write_strips(df, str(tmp_path / "s"), rows=4)
+    read = strips.read_strips(spark, str(tmp_path / "s"), split=100)
+    found = {(r.name, r.y0): bytes(r.data) for r in read.collect()}
+    assert found == {(n, y): v[y : y + 4].tobytes() for n, v in rows.items() for y in range(0, len(v), 4)}
+    some = read.where("name in ('a', 'c') and y0 > 3 and y0 <= 12 and rows = 4")
+    assert sorted((r.name, r.y0) for r in some.collect()) == [("a", 4), ("a", 8), ("a", 12)]
+
+    opened = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+            opened.append(0)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            opened[-1] += n
+            return self.file.read(n)
+
+    plain = strips._open
+    monkeypatch.setattr(strips, "_open", lambda system, path: Counted(plain(system, path)))
+    reader = strips.StripReader(str(tmp_path / "s"), 1 << 20)
+    assert list(reader.pushFilters([strips.EqualTo(("name",), "a"), strips.GreaterThanOrEqual(("y0",), 8), strips.LessThan(("y0",), 16), strips.EqualTo(("rows",), 4)])) == [strips.EqualTo(("rows",), 4)]
+    batches = [b for s in reader.partitions() for b in reader.read(s)]
+    assert [b["y0"][0].as_py() for b in batches] == [8, 12] and opened == [20 + 2 * 4 * 12]
+    opened.clear()
+    window = strips.window_of(str(tmp_path / "s" / "a.rst"), 4, 20, 5, 9)
+    assert opened == [20 + 5 * 12] and (window[:5, :2] == rows["a"][20:, 4:]).all() and window[5:].sum() == window[:, 2:].sum() == 0
+
+
+def test_windows_of_files(spark, tmp_path):
+    px = np.arange(60, dtype=np.uint8).reshape(5, 4, 3)
+    strips.write_strips(spark.createDataFrame([("a", 5, 4, 3, bytearray(px.tobytes()))], "name string, height int, width int, channels int, data binary"), str(tmp_path / "s"), rows=2)
+    (tmp_path / "s" / "bad.rst").write_bytes(b"no strips, but long enough")
+    laid = spark.createDataFrame([(1, "a", 1, 1, 2, 3), (2, "bad", 0, 0, 1, 1), (3, "none", 0, 0, 1, 1), (4, "a", -9, -9, 2, 2)], "k int, name string, x0 int, y0 int, w int, h int")
+    got = {r.k: r for r in strips.read_windows(laid, str(tmp_path / "s"), ["k"]).collect()}
+    assert bytes(got[1].rgb) == px[1:4, 1:3].tobytes() and (got[1].height, got[1].width) == (3, 2) and bytes(got[4].rgb) == bytes(12)
+    assert "not a file of strips" in got[2].error and got[3].error and got[2].rgb is None
+    wrong = spark.createDataFrame([("b", 5, 4, 3, bytearray(7))], "name string, height int, width int, channels int, data binary")
+    with pytest.raises(Exception, match="7 bytes"):
+        strips.write_strips(wrong, str(tmp_path / "s"))

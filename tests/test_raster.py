@@ -221,3 +221,15 @@ def test_objects_are_set_apart_as_by_a_plain_flooding(seed):
         mask |= ((y - cy) ** 2 + (x - cx) ** 2 <= r * r).astype(np.uint8)
     share, rounds = (0.35, 2) if seed % 2 else (0.6, 1)
     assert (raster.split_touching(mask, share, rounds) == plain_split(mask, share, rounds)).all()
+
+
+@pytest.mark.parametrize("k", range(2, 32))
+def test_sliding_extremes_against_all_shifts(k):
+    """Also where the square is larger than the raster."""
+    rng = np.random.default_rng(k)
+    for shape in ((1, 1), (7, 40), (40, 33)):
+        values = rng.integers(0, 256, shape, dtype=np.uint8)
+        for first, outside, pick, helper in ((k // 2, 1, np.minimum, raster.erode(values, k)), (k - 1 - k // 2, 0, np.maximum, raster.dilate(values, k))):
+            wide = np.pad(values, ((first, k - 1 - first),) * 2, constant_values=outside)
+            plain = pick.reduce([wide[i : i + shape[0], j : j + shape[1]] for i in range(k) for j in range(k)])
+            assert (helper == plain).all()
