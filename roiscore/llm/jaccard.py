@@ -20,6 +20,8 @@ from roiscore.llm.sums import COLUMNS, added, parts
 LEAST_BITS, MOST_BITS, BUCKET_BYTES = 20, 24, 1024
 #: Parts of the hash range in a set's sketch, which holds the number of shingles in each (up to 255).
 SKETCH = 128
+#: Cuts of the suffix filter, one inside another.
+SUFFIX_DEPTH = 4
 #: Class ids that may be broadcast (8 bytes each); above it, the same join shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -133,7 +135,9 @@ def _listed(index: DataFrame, salted: bool) -> DataFrame:
         return alone
     dealt = rows.where("salt > 0 and (last is null or cls <> last)").select("v", "cls", "info", "hub_cls", "hub_info")
     first = dealt.groupBy("v").agg(F.min(F.struct(F.col("hub_info").alias("i"), F.col("hub_cls").alias("c"))).alias("hub"))
-    joined = dealt.select("v", "cls", "info").join(first, "v").select("v", "cls", "info", F.col("hub.c").alias("hub_cls"), F.col("hub.i").alias("hub_info"))
+    counts = cut(dealt.groupBy("v").count())
+    hot = hot_keys(counts, counts.agg(F.sum("count")).first()[0] or 0)
+    joined = dealt_join(dealt.select("v", "cls", "info"), first, "v", hot, "cls").select("v", "cls", "info", F.col("hub.c").alias("hub_cls"), F.col("hub.i").alias("hub_info"))
     return rows.where("salt = 0 and cls <> hub_cls and cls <> last").select(*columns).unionAll(joined.where("cls <> hub_cls"))
 
 
@@ -149,8 +153,25 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _apart(a: np.ndarray, b: np.ndarray, depth: int = SUFFIX_DEPTH) -> int:
+    """A lower bound of the number of values that only one of two sorted sets has: the suffix filter.
+
+    The middle value of one set cuts both; whatever lies on one side can only be shared with that side, so each side differs by
+    its difference in size at least. Both sides are cut again, down to `depth`.
+    """
+    if depth == 0 or not len(a) or not len(b):
+        return abs(len(a) - len(b))
+    middle = b[len(b) // 2]
+    at, inside = int(np.searchsorted(a, middle)), False
+    inside = at < len(a) and a[at] == middle
+    half = len(b) // 2
+    return _apart(a[:at], b[:half], depth - 1) + _apart(a[at + inside :], b[half + 1 :], depth - 1) + (not inside)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets link."""
+    """Whether two sets link; the suffix filter spares most of those that do not the whole comparison."""
+    if _apart(a, b) > len(a) + len(b) - 2 * -(-(len(a) + len(b)) * percent // (100 + percent)):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -174,8 +195,8 @@ class _Join:
     def plausible(self, pairs: DataFrame, hot: list[tuple]) -> DataFrame:
         """The pairs whose sketches do not differ by more than linked sets may.
 
-        In place of a suffix filter: a sketch cuts both sets, rare prefix and suffix alike, at the same places; what their
-        counts differ by in every part is a lower bound of what the sets differ by. No pair that links is lost.
+        A first, coarse suffix filter that needs no set at hand: a sketch cuts both sets, rare prefix and suffix alike, at the same places; what
+        their counts differ by in every part is a lower bound of what the sets differ by. No pair that links is lost.
         """
         percent = self.percent
         side = {s: self.classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"}
@@ -191,7 +212,7 @@ class _Join:
         return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
     def verified(self, pairs: DataFrame, few: bool, hot: list[tuple]) -> DataFrame:
-        """The pairs that link. Only the texts of one document for each class concerned are read again."""
+        """The pairs that link, by the suffix filter and then the whole sets. Only the texts of one document for each class concerned are read again."""
         n, percent = self.n, self.percent
         asked = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct().join(self.classes, "cls").select("key")
         chosen = self.docs.join(F.broadcast(asked) if few else asked, "key", "left_semi")
@@ -257,7 +278,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
        rare shingles of its own, as a rule the original. Each class is compared with the hubs of its lists; this is
        linear in the list.
     4. All other pairs of classes in a list whose components still differ follow, so no link that could join two components
-       is left out. Length, positional and sketch filters come first, and a pair is verified once, on the whole sets.
+       is left out. Length, positional, sketch and suffix filters come first, and a pair is verified once, on the whole sets.
 
     Nothing is capped. Hot keys (a class with many copies, a hub with many pairs, a list longer than `longest`, by default
     a 256th of all documents and 100,000 at least) are dealt out over several tasks. Classes and shingles are told apart

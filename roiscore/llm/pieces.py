@@ -22,7 +22,7 @@ class PieceTokenizer:
 
     The library gives the vocabulary, the normalisation and the decoder; the merges are done here. Symbols of all words
     lie in one flat array. A round finds the best pair of every word (segmented minimum of the pairs' ranks), merges its
-    leftmost occurrence, with it every pair that is settled, and drops the merged symbols; words without a pair leave the array.
+    leftmost occurrences, as many as the library would merge one after another, with them every pair that is settled, and drops the merged symbols; words without a pair leave the array.
 
     A pair is settled where neither neighbour, however it grows, can take one of its symbols first, nor join the merged
     piece at a better rank than the pair's own. So what it merges into does not depend on when, and the result is always the
@@ -123,6 +123,29 @@ class PieceTokenizer:
         bad = np.maximum.accumulate(np.where(good, -1, place))
         return at[(bad < start) & ((place - start) % 2 == 0)]
 
+    def leftmost(self, flat: np.ndarray, merged: np.ndarray, owner: np.ndarray, hits: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Of the places of every word's best pair those that the library merges one after another, from the left, before any other pair.
+
+        It goes on to the next of them as long as a merged piece makes no pair, with the symbol before or behind it, that is as good. So
+        each word's places are taken up to the first that makes one; of places side by side every second one is.
+        """
+        place = np.arange(len(hits))
+        start = np.maximum.accumulate(np.where(np.append(True, np.diff(hits) > 1), place, 0)) if len(hits) else place
+        at = hits[(place - start) % 2 == 0]
+        word, new = owner[at], merged[at]
+        wide = np.append(flat, -1)
+        before = np.where((at > 0) & (owner[at - 1] == word), flat[at - 1], -1)
+        beside = np.flatnonzero(np.append(False, np.diff(at) == 2) & np.append(False, word[1:] == word[:-1]))
+        before[beside] = new[beside - 1]
+        behind = np.where((at + 2 < len(flat)) & (np.append(owner, -1)[np.minimum(at + 2, len(flat))] == word), wide[np.minimum(at + 2, len(flat))], -1)
+        as_good = np.zeros(len(at), bool)
+        for left, right, other in ((before, new, before), (new, behind, behind)):
+            k = np.flatnonzero((other >= 0) & (other < self.width))
+            as_good[k] |= self.pair(left[k], right[k])[0] <= best[word[k]]
+        seen = np.cumsum(as_good) - as_good
+        first = np.append(True, word[1:] != word[:-1])[: len(at)]
+        return at[seen == np.maximum.accumulate(np.where(first, seen, 0))] if len(at) else at
+
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of non-empty words."""
         size, more = int(self.width), {}
@@ -148,9 +171,8 @@ class PieceTokenizer:
                     break
                 first = np.cumsum(count) - count
             owner = np.repeat(np.arange(len(word)), count)
-            hits = np.flatnonzero(rank == best[owner])
             chosen = np.zeros(len(flat), bool)
-            chosen[hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])]] = True
+            chosen[self.leftmost(flat, merged, owner, np.flatnonzero(rank == best[owner]), best)] = True
             chosen[self.settled(flat, rank, merged, first)] = True
             hits = np.flatnonzero(chosen)
             flat[hits] = merged[hits]

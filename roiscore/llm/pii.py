@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -20,36 +21,42 @@ MOST_BROADCAST = 100_000
 _NULL_ID = (1 << 63) - 1
 
 # Titles before names, by gender.
-MALE_TITLES = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr")
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta")
+MALE_TITLES = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "Κυρία")
 OTHER_TITLES = ("Dr", "Prof", "Professor", "Professeur", "Doctor")
 
+# Words in capitals that end a name in capitals.
+CAPITAL_STOPS = frozenset("A AM AN AND ARE AS AT BE BUT BY DE DER DIE DU EL EN EST ET FOR FROM HAD HAS HAVE HE I IN IS IT LA LE NOT O OF ON OR OU SAID SHE THAT THE THEY TO UND WAS WE WHO WILL WITH Y YOU".split())
+# How given names end in scripts beside Latin.
+ENDINGS = {"CYRILLIC": {"m": "нрт", "f": "ая"}, "GREEK": {"m": "ς", "f": "αη"}}
+
 # Country calling codes of one and of two digits; all others have three.
 SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DIGITS = re.compile(
     rf"(?P<IP>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w))"
-    r"|(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<PHONE>(?<![\w.+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?:(?<=SSN )|(?<=SSN: )|(?<=SSN:)|(?<=SSN# )|(?<=Social Security Number )|(?<=social security number ))\d{9}(?!\w))"
+    r"|(?P<PHONE>(?<![\w.+(])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.,+/-])0[1-9]\d{1,3}[ /-](?:\d{6,8}|\d{2,4}(?:[ -]\d{2,4}){1,3})(?![\w-]))"
 )
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w)")
 _GROUP = re.compile(r"\d+")
 _GROUPS = re.compile(r"(?<![\w-])\d+(?:[ -]\d+)*(?![\w-])")  # of digits; a card may stand among others
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DOMAIN = re.compile(r"@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 _LOCAL = re.compile(r"[\w.%+'-]")
 _RUN = re.compile(r"\w+")
-_TITLES = frozenset(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
-_TITLE = re.compile(r"\b(" + "|".join(sorted(_TITLES)) + r")\b\.?(?= +[^\W\d_])")
-# A name word follows blanks, or the stop of an initial.
-_NAME = re.compile(r"(?: +|(?<=\b[^\W\d_]\.))([^\W\d_](?:[\w'’-]*\w)?)(?!\w)")
+_TITLES = frozenset(f(t) for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES for f in (str, str.upper))
+_TITLE = re.compile(r"\b(" + "|".join(sorted(_TITLES)) + r")\b(?:\.(?=[^\W\d_])|\.?(?= +[^\W\d_]))")
+# A name word follows blanks, or the stop of a title or an initial.
+_NAME = re.compile(r"(?: +|(?<=[^\W\d_]\.))([^\W\d_](?:[\w'’-]*\w)?)(?!\w)")
 _PREFIXED = re.compile(r"[^\W\d_]{1,5}['’-][^\W\d_]")  # d'Artagnan, al-Rashid
 # Particles within names; articles and contractions that prose has before nouns, too, only after another particle or right after the title.
 _PARTICLE = r"von|van|de|del|della|dello|degli|dei|di|da|dal|do|dos|du|af|av|zu|bin|bint|ibn|ben|abu|al|el|la|le|lo|ter|ten|te|y|e|i"
 _ARTICLE = r"der|den|dem|des|das|die|het|las|los|les|und|vom|zum|zur|['’]t"
 _PARTICLES = re.compile(rf"(?: +(?:{_PARTICLE})(?: +(?:{_PARTICLE}|{_ARTICLE}))*)(?= )")
 _FIRST_PARTICLES = re.compile(rf"(?: +(?:{_PARTICLE}|{_ARTICLE}))+(?= )")
-_GENDER = {t: g for g, titles in (("m", MALE_TITLES), ("f", FEMALE_TITLES)) for t in titles}
+_GENDER = {t: g for g, titles in (("m", MALE_TITLES), ("f", FEMALE_TITLES)) for title in titles for t in (title, title.upper())}
 
 Span = tuple[int, int, str, str, str]  # start, end, kind, canonical form, style (of names: s surname, or m, f, n given name)
 
@@ -63,10 +70,11 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
-def _name_words(text: str, at: int) -> list[tuple[re.Match, bool]]:
+def _name_words(text: str, at: int, capitals: bool = False) -> list[tuple[re.Match, bool]]:
     """The name words from here on to their end, and whether each is a surname wherever it stands: after a particle, or the third or later.
 
-    Scripts without case do not show where a name ends, so there no word after the third is taken.
+    Scripts without case do not show where a name ends, nor do texts in capitals; so there no word after the third is taken, and
+    in capitals none from a common word on.
     """
     tokens: list[tuple[re.Match, bool]] = []
     while True:
@@ -74,6 +82,8 @@ def _name_words(text: str, at: int) -> list[tuple[re.Match, bool]]:
         t = _NAME.match(text, particles.end() if particles else at)
         if not t or t[1] in _TITLES or not (t[1][0].isupper() or len(tokens) < 3 and unicodedata.category(t[1][0]) == "Lo" or (p := _PREFIXED.match(t[1])) and p[0][-1].isupper()):
             return tokens
+        if capitals and t[1].isupper() and (len(tokens) == 3 or t[1] in CAPITAL_STOPS):
+            return tokens
         at = t.end()
         initial = len(t[1]) == 1 and t[1].isupper() and text[at : at + 1] == "."
         at += initial
@@ -119,6 +129,17 @@ def _iban(text: str) -> str:
     return ""
 
 
+def _address(text: str) -> str:
+    """The canonical form of an IPv6 address of three groups or more, or of two of which the first has four digits; empty for anything else, such as a time of day or a scope in code."""
+    groups = [g for g in text.split(":") if g]
+    if len(groups) < 2 or len(groups) == 2 and not (len(groups[0]) == 4 and any(map(str.isdigit, groups[0]))):
+        return ""
+    try:
+        return ipaddress.IPv6Address(text).compressed
+    except ValueError:
+        return ""
+
+
 def _national(number: str) -> str:
     """The digits of a phone number without country code and trunk zero, which are one in all its forms."""
     digits = re.sub(r"\D", "", number)
@@ -184,10 +205,12 @@ def detect(text: str) -> list[Span]:
             numbers.append((*m.span(), kind, m[0] if kind == "IP" else _national(m[0]) if kind == "PHONE" else re.sub(r"\D", "", m[0]), ""))
         kept = _with(kept, numbers)
         kept = _with(kept, [(a, b, "CARD", digits, "") for m in _GROUPS.finditer(text) for a, b, digits in _cards(text, *m.span())])
+    if text.count(":") > 1:
+        kept = _with(kept, [(*m.span(), "IP6", own, "") for m in _IP6.finditer(text) if (own := _address(m[0]))])
     titled: list[Span] = []
     names: dict[str, tuple[str, str]] = {}
     for m in _TITLE.finditer(text):
-        tokens = _name_words(text, m.end())
+        tokens = _name_words(text, m.end(), len(m[1]) > 1 and m[1].isupper())
         for k, (t, family) in enumerate(tokens):
             style = "s" if family or k == len(tokens) - 1 else _GENDER.get(m[1], "n")
             titled.append((*t.span(1), "NAME", t[1].casefold(), style))
@@ -231,51 +254,65 @@ def _shaped(text: str, draw: _Digits) -> str:
     return "".join(str(draw.below(10)) if c.isdigit() else _letter(c, draw) if c.isalpha() else c for c in text)
 
 
-#: Attempts after which a kind's own range counts as full, and a wider one is drawn from.
-NARROW_TRIES = 8
+#: Attempts after which a kind's own range counts as full, and a wider one is drawn from; a number of few digits has few others, and is widened sooner.
+NARROW_TRIES, FEW_TRIES, FEW_DIGITS = 8, 2, 7
+
+
+def _more(kind: str, canonical: str, attempt: int) -> int:
+    """Digits by which a replacement is longer than its range: none at first, then one more with every attempt, so that no number of entities fills all of them."""
+    return max(0, attempt + 1 - (FEW_TRIES if kind == "PHONE" and len(canonical) < FEW_DIGITS else NARROW_TRIES * (2 if kind == "IP" else 1)))
 
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0, style: str = "s") -> str:
     """The canonical form of an entity's replacement; a later attempt gives another one. style: that of a name."""
     draw = _Digits(key, kind, canonical, str(attempt))
+    more = _more(kind, canonical, attempt)
     if kind == "EMAIL":
         local, _, domain = canonical.rpartition("@")
         labels = domain.split(".")[:-1]
         own = [_shaped(x, _Digits(key, "DOMAIN", domain, str(i))) for i, x in enumerate(labels)]
-        return f"{_shaped(local, draw)}{draw.below(10) if attempt else ''}@{'.'.join(own)}.example"
+        return f"{_shaped(local, draw)}{draw.below(10) if attempt else ''}{_tail(draw, more)}@{'.'.join(own)}.example"
     if kind == "IP":  # reserved addresses; private ones stay in their private range
         first, second = canonical.split(".")[:2]
         fixed = [first] if first in ("10", "127") else ["192", "168"] if (first, second) == ("192", "168") else ["172", str(16 + draw.below(16))] if first == "172" and 16 <= int(second) < 32 else []
         if not fixed or attempt >= NARROW_TRIES:
             fixed = [str(240 + draw.below(16))]
-        return ".".join(fixed + [str(draw.below(256)) for _ in range(4 - len(fixed))])
+        return ".".join(fixed + [str(draw.below(256)) for _ in range(4 - len(fixed))]) + ("." + _tail(draw, more) if more else "")
+    if kind == "IP6":  # the range of documentation
+        return ipaddress.IPv6Address((0x20010DB8 << 96) + draw.below(1 << 96)).compressed + _tail(draw, more)
     if kind == "SSN":  # area numbers from 900 on are never given out
-        return f"9{draw.below(100):02d}{draw.below(10**6):06d}"
+        return f"9{draw.below(100):02d}{draw.below(10**6):06d}{_tail(draw, more)}"
     if kind == "PHONE":
-        return "".join(str(draw.below(10) if c == "0" else 1 + draw.below(9)) for c in canonical)
+        return "".join(str(draw.below(10) if c == "0" else 1 + draw.below(9)) for c in canonical) + _tail(draw, more)
     if kind == "CARD":  # five zeros after the network's digit: numbers as in documentation, not given out
         zeros = 5 if attempt < NARROW_TRIES else 2
-        body = canonical[0] + "0" * zeros + "".join(str(draw.below(10)) for _ in canonical[2 + zeros :])
+        body = canonical[0] + "0" * zeros + "".join(str(draw.below(10)) for _ in canonical[2 + zeros :]) + _tail(draw, more)
         return body + str(-_luhn(body + "0") % 10)
     if kind == "IBAN":
-        body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in canonical[4:])
+        body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in canonical[4:]) + _tail(draw, more)
         return f"{canonical[:2]}{98 - _iban_rest(canonical[:2] + '00' + body):02d}{body}"
     if canonical.isalpha() and not all(unicodedata.name(c, "").startswith("LATIN") for c in canonical):
-        return _shaped(canonical, draw) + "".join(_letter(canonical[-1], draw) for _ in range(attempt))
+        new = _shaped(canonical, draw) + "".join(_letter(canonical[-1], draw) for _ in range(attempt))
+        ending = ENDINGS.get(unicodedata.name(canonical[-1], "").partition(" ")[0], {}).get(style)
+        return new[:-1] + ending[draw.below(len(ending))] if ending and len(new) > 1 else new
     name = "".join(_CONSONANTS[draw.below(18)] + _VOWELS[draw.below(5)] for _ in range(2 + (style == "s") + attempt))
     ending = {"m": ("n", "rt", "s", "k"), "f": ("na", "la", "ria", "sa"), "n": ("l", "m", "r", "n")}.get(style, ("ng", "rs", "lt", "nd", "ck", "ller", "tov", "mann"))
     return name + ending[draw.below(len(ending))]
 
 
-def _laid(surface: str, kind: str, new: str) -> str:
-    """The replacement in the format of this mention: its separators, and its case for names."""
+def _tail(draw: _Digits, n: int) -> str:
+    return "".join(str(draw.below(10)) for _ in range(n))
+
+
+def _laid(surface: str, kind: str, canonical: str, new: str) -> str:
+    """The replacement in the format of this mention: its separators, and its case for names; what it is longer than the entity comes last."""
     if kind in ("PHONE", "CARD", "SSN", "IBAN"):
-        before = sum(map(str.isalnum, surface)) - len(new)  # a phone number's country code and trunk zero stay
+        before = sum(map(str.isalnum, surface)) - len(canonical)  # a phone number's country code and trunk zero stay
         rest = iter([c for c in surface if c.isalnum()][:before] + [*new])
-        return "".join(next(rest) if c.isalnum() else c for c in surface)
+        return "".join([next(rest) if c.isalnum() else c for c in surface] + [*rest])
     if kind == "NAME":
         return new.upper() if len(surface) > 1 and surface.isupper() else new[:1].upper() + new[1:] if surface[:1].isupper() else new
-    return new.upper() if kind == "EMAIL" and surface.isupper() else new
+    return new.upper() if kind in ("EMAIL", "IP6") and surface.isupper() else new
 
 
 @dataclass(frozen=True)
@@ -288,7 +325,7 @@ class Policy:
 def _rewrite(text: str, policy: Policy, tries: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[dict]]:
     out, at, spans = [], 0, []
     for start, end, kind, canonical, _ in detect(text):
-        new = _laid(text[start:end], kind, surrogate(policy.key, kind, canonical, *tries.get((kind, canonical), (0, "s"))))
+        new = _laid(text[start:end], kind, canonical, surrogate(policy.key, kind, canonical, *tries.get((kind, canonical), (0, "s"))))
         out += [text[at:start], new]
         spans.append({"start": start, "end": end, "kind": kind, "surrogate": new})
         at = end
@@ -307,7 +344,8 @@ def _tries(entities: DataFrame, policy: Policy) -> DataFrame:
     replacement is another entity's, or is an entity itself.
 
     Of entities with one replacement the smallest keeps it; the others, and those whose replacement stands in the corpus,
-    draw again until every replacement is its entity's own.
+    draw again until every replacement is its entity's own. That ends whatever the entities are: where a kind's range is
+    full, replacements get longer with every attempt.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +369,7 @@ def _tries(entities: DataFrame, policy: Policy) -> DataFrame:
 def replace_entities(docs: DataFrame, policy: Policy, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, text, entities): texts with their personal data replaced, and where it stood (characters), its kind and its replacement.
 
-    Kinds: e-mail addresses, phone numbers, IPv4 addresses, payment cards (valid check digit), IBANs (valid), social
+    Kinds: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards (valid check digit), IBANs (valid), social
     security numbers, and names after a title. Replacements depend on the key, the kind and the canonical form (and a name's style in the
     corpus), so one entity has one replacement in all documents and formats: a phone number with and without its country
     code, a name under any title and, in a text that has it with one, without. They keep separators, case, script, country codes, length
