@@ -175,6 +175,10 @@ def chamfer(mask: np.ndarray) -> np.ndarray:
     return np.minimum(from_above(down[::-1, ::-1].copy())[::-1, ::-1], big) / 65536.0
 
 
+#: Open pixels of a region from which on it is flooded by itself: it has more steps than all small ones together.
+LARGE_REGION = 20_000
+
+
 def split_touching(mask: np.ndarray, share: float, rounds: int) -> np.ndarray:
     """Touching objects set apart: pixels deeper than a share of the deepest are seeds, which flood the rest of the objects.
 
@@ -195,22 +199,113 @@ def split_touching(mask: np.ndarray, share: float, rounds: int) -> np.ndarray:
     unknown = (around > 0) & ~sure
     marker = np.where(sure, seeds + 1, np.where(unknown, 0, 1))  # 1 is the background
     marker[0, :] = marker[-1, :] = marker[:, 0] = marker[:, -1] = -1
-    height, width = mask.shape
-    marks, shade = marker.reshape(-1).tolist(), (mask.reshape(-1) * 255).tolist()
+    region, sizes = components(marker == 0)
+    large = np.flatnonzero(sizes >= LARGE_REGION) + 1
+    marks = flooded(marker, mask, np.where(np.isin(region, large), 0, region) if len(large) else region)
+    for r in large.tolist():
+        marks = flooded_in_turn(marks, mask, region == r)
+    return (marks > 1).astype(np.uint8)
+
+
+def _first_queue(marks: np.ndarray, shade: np.ndarray, open_px: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the open pixels beside a marked one, whether none of these has their shade)."""
+    near = open_px[:, None] + steps
+    marked = marks[near] > 0
+    beside = marked.any(axis=1)
+    same = (marked & (shade[near] == shade[open_px][:, None])).any(axis=1)
+    return open_px[beside], ~same[beside]
+
+
+def flooded(marker: np.ndarray, mask: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """marker with its zeros flooded where region (from 1) is not 0, in ranked wavefronts over all regions at once.
+
+    Regions do not touch, so each has queues of its own: one of pixels that came from a pixel of their shade, and one of the
+    others, of which the next is taken only when the first is empty. A step takes from every region all pixels that wait in its first
+    queue, or else one of its second. Pixels of a step are ranked by their places in the queue: one whose neighbours have
+    two labels is off, as is one beside a pixel of lower rank that gets another label; a pixel that several could
+    push is pushed by the first of them. So every region comes out as if its pixels were taken one by one.
+    """
+    height, width = marker.shape
+    marks, shade, own = marker.reshape(-1).copy(), mask.reshape(-1), region.reshape(-1)
+    steps = np.array((-1, 1, -width, width))
+    n = int(own.max(initial=0)) + 1
+    following = np.full(height * width, -1, np.int64)  # in the second queue of its region
+    head, tail = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    rank_of = np.full(height * width, -1, np.int64)
+    queued = np.zeros(height * width, bool)
+
+    def wait(px: np.ndarray) -> None:
+        """px go to the end of the second queues, in order."""
+        order = np.argsort(own[px], kind="stable")
+        px, r = px[order], own[px[order]]
+        same = r[1:] == r[:-1]
+        following[px[:-1][same]] = px[1:][same]
+        first, last = px[np.append(True, ~same)], px[np.append(~same, True)]
+        r = own[first]
+        old = head[r] >= 0
+        following[tail[r[old]]] = first[old]
+        head[r[~old]] = first[~old]
+        tail[r] = last
+
+    px, other = _first_queue(marks, shade, np.flatnonzero((marks == 0) & (own > 0)), steps)
+    queued[px] = True
+    wave = px[~other]
+    if len(px[other]):
+        wait(px[other])
+    regions = np.unique(own[px])
+    while True:
+        resting = np.setdiff1d(regions, own[wave], assume_unique=False) if len(wave) else regions
+        resting = resting[head[resting] >= 0]
+        taken = head[resting]
+        head[resting] = following[taken]
+        px = np.concatenate([wave, taken])
+        if not len(px):
+            return marks.reshape(marker.shape)
+        regions = np.unique(own[px])
+        near = px[:, None] + steps
+        found = marks[near]
+        high = found.max(axis=1)
+        low = np.where(found > 0, found, high[:, None]).min(axis=1)
+        kept = low == high
+        rank_of[px] = np.arange(len(px))
+        rank = rank_of[near]
+        rank_of[px] = -1
+        before = (rank >= 0) & (rank < np.arange(len(px))[:, None]) & kept[:, None]
+        before &= kept[rank] & (low[rank] != low[:, None])
+        open_rows = np.flatnonzero(before.any(axis=1))
+        known = np.ones(len(px), bool)
+        known[open_rows] = False
+        while len(open_rows):  # each round decides those whose rivals of lower rank are decided
+            rivals, r = before[open_rows], rank[open_rows]
+            lost = (rivals & known[r] & kept[r]).any(axis=1)
+            settled = lost | ~(rivals & ~known[r]).any(axis=1)
+            kept[open_rows[lost]] = False
+            known[open_rows[settled]] = True
+            open_rows = open_rows[~settled]
+        marks[px] = np.where(kept, low, -1)
+        pushed = near[kept].reshape(-1)
+        by = np.repeat(px[kept], 4)
+        free = np.flatnonzero((marks[pushed] == 0) & ~queued[pushed] & (own[pushed] > 0))
+        _, first = np.unique(pushed[free], return_index=True)
+        free = free[np.sort(first)]
+        pushed, by = pushed[free], by[free]
+        queued[pushed] = True
+        same = shade[pushed] == shade[by]
+        wave = pushed[same]
+        if not same.all():
+            wait(pushed[~same])
+
+
+def flooded_in_turn(marker: np.ndarray, mask: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """marker with its zeros inside flooded one pixel after another: one large region has few pixels in a step."""
+    width = marker.shape[1]
+    marks, shade = marker.reshape(-1).tolist(), mask.reshape(-1).tolist()
     queues: tuple[deque, deque] = (deque(), deque())
-    queued = bytearray(height * width)
+    queued = bytearray(len(marks))
     steps = (-1, 1, -width, width)
-
-    def push(p: int) -> None:
-        """p goes in line by the least change of shade to a marked neighbour."""
-        near = [abs(shade[p] - shade[q]) for q in (p + s for s in steps) if marks[q] > 0]
+    for p, other in zip(*(x.tolist() for x in _first_queue(marker.reshape(-1), mask.reshape(-1), np.flatnonzero(inside & (marker == 0)), np.array(steps)))):
         queued[p] = 1
-        queues[min(near) > 0].append(p)
-
-    open_px = np.flatnonzero(marker.reshape(-1) == 0).tolist()
-    for p in open_px:
-        if any(marks[p + s] > 0 for s in steps):
-            push(p)
+        queues[other].append(p)
     while queues[0] or queues[1]:
         p = queues[0].popleft() if queues[0] else queues[1].popleft()
         found = {marks[p + s] for s in steps if marks[p + s] > 0}
@@ -218,10 +313,11 @@ def split_touching(mask: np.ndarray, share: float, rounds: int) -> np.ndarray:
             marks[p] = -1
             continue
         marks[p] = found.pop()
-        for s in steps:
-            if marks[p + s] == 0 and not queued[p + s]:
-                push(p + s)
-    return (np.array(marks).reshape(mask.shape) > 1).astype(np.uint8)
+        for q in (p + s for s in steps):
+            if marks[q] == 0 and not queued[q]:
+                queued[q] = 1
+                queues[shade[q] != shade[p]].append(q)
+    return np.array(marks).reshape(marker.shape)
 
 
 def starts(length: int, patch: int, stride: int) -> list[int]:

@@ -13,7 +13,7 @@ from roiscore.config import PARAMS
 from roiscore.functions import raster
 from roiscore.functions.text import roi_name
 from roiscore.jobs import batch, export
-from roiscore.operators import pixels, rasters, scoring, selection, summary, windows
+from roiscore.operators import pixels, rasters, scoring, selection, summary, tiles, windows
 from roiscore.session import new_path, stored
 from roiscore.sources import catalogue, fixtures as fx, strips
 
@@ -611,6 +611,41 @@ def object_components(spark, sf_dir):
     return found.where("n_components > 0").drop("error")
 
 
+_SPECKS = f"select slide_key, y, x from ({fx.THUMB_PX}) where (x * x * 7 + y * y * 13 + slide_key * 5 + x * y) % 10 < 3"
+_SPECK_AREAS = f"""
+    select slide_key, label, count(*) as area, count(distinct (y // 16) * 4 + x // 16) as tiles
+    from (select slide_key, y, x, min(root) as label from r group by 1, 2, 3) group by 1, 2"""
+
+
+@query(f"""
+    with recursive m as ({_SPECKS}),
+    r as (select slide_key, y * 64 + x as root, y, x from m union select m.slide_key, r.root, m.y, m.x from r join m on m.slide_key = r.slide_key and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1)
+    select slide_key, label as first, area, tiles from ({_SPECK_AREAS})""")
+def seam_components(spark, sf_dir):
+    """Components of rasters that are cut into 16 x 16 tiles, with the number of tiles that each lies in."""
+    areas, parts = tiles.tiled_components(_speck_tiles(spark, sf_dir), ["slide_key"], stored)
+    spread = parts.select("slide_key", F.col("root").alias("first"), "y0", "x0").distinct().groupBy("slide_key", "first").agg(F.count(F.lit(1)).alias("tiles"))
+    return areas.join(spread, ["slide_key", "first"])
+
+
+@query(f"""
+    with recursive m as ({_SPECKS}),
+    r as (select slide_key, y * 64 + x as root, y, x from m union select m.slide_key, r.root, m.y, m.x from r join m on m.slide_key = r.slide_key and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1),
+    l as (select slide_key, y, x, min(root) as label from r group by 1, 2, 3),
+    a as (select slide_key, label from l group by 1, 2 having count(*) >= 8)
+    select slide_key, y, x from l join a using (slide_key, label)""")
+def seam_filter(spark, sf_dir):
+    """Pixels of the components of eight pixels or more, wherever these are cut; the others go."""
+    kept = tiles.tiled_keep_components(_speck_tiles(spark, sf_dir), ["slide_key"], 8, stored)
+    px = rasters.to_pixels(kept, ["slide_key", "y0", "x0"], ["mask"]).where("mask = 1")
+    return px.select("slide_key", (F.col("y0") + F.col("y")).alias("y"), (F.col("x0") + F.col("x")).alias("x"))
+
+
+def _speck_tiles(spark, sf_dir) -> DataFrame:
+    px = fx.thumb_px(spark, sf_dir).selectExpr("slide_key", "y div 16 * 16 as y0", "x div 16 * 16 as x0", "y % 16 as y", "x % 16 as x", "case when (x * x * 7 + y * y * 13 + slide_key * 5 + x * y) % 10 < 3 then 1 else 0 end as m")
+    return rasters.from_pixels(px, ["slide_key", "y0", "x0"], {"mask": ["m"]}).drop("error").withColumn("full_width", F.lit(64).cast("long"))
+
+
 @query()
 def watershed_split(spark, sf_dir):
     """Objects of the thumbnails' blobs set apart; flooding has no form in SQL, so tests hold it against hand-drawn rasters."""

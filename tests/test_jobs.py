@@ -10,7 +10,7 @@ from roiscore.config import PARAMS
 from roiscore.functions.text import duration
 from roiscore.jobs import batch, export
 from roiscore.functions import raster
-from roiscore.operators import pixels, rasters, selection, summary, windows
+from roiscore.operators import pixels, rasters, selection, summary, tiles, windows
 from roiscore.sources import catalogue, images, strips
 from roiscore.streaming.incremental import upsert_stream
 
@@ -353,3 +353,39 @@ def test_windows_of_files(spark, tmp_path):
     wrong = spark.createDataFrame([("b", 5, 4, 3, bytearray(7))], "name string, height int, width int, channels int, data binary")
     with pytest.raises(Exception, match="7 bytes"):
         strips.write_strips(wrong, str(tmp_path / "s"))
+
+
+def test_components_of_tiles_are_those_of_the_whole(spark, tmp_path):
+    """Rasters cut at any place, with spirals and dense noise that cross seams many times."""
+    rng = np.random.default_rng(4)
+    spiral = np.zeros((24, 24), np.uint8)
+    for k in range(0, 12, 2):
+        spiral[k, k : 24 - k] = spiral[k : 24 - k, 23 - k] = spiral[23 - k, k : 24 - k] = 1
+        spiral[k + 2 : 24 - k, k] = 1
+    masks = [spiral, *((rng.random((int(rng.integers(5, 30)), int(rng.integers(5, 30)))) < d).astype(np.uint8) for d in (0.2, 0.35, 0.45, 0.6)), np.zeros((4, 4), np.uint8)]
+    rows, count = [], iter(range(1000))
+    for n, mask in enumerate(masks):
+        cut_y, cut_x = ([0, *sorted(rng.choice(np.arange(1, size), min(size - 1, 4), replace=False).tolist()), size] for size in mask.shape)
+        for y0, y1 in zip(cut_y, cut_y[1:]):
+            for x0, x1 in zip(cut_x, cut_x[1:]):
+                rows.append((n, y0, x0, y1 - y0, x1 - x0, mask.shape[1], bytearray(np.ascontiguousarray(mask[y0:y1, x0:x1]).tobytes())))
+
+    def keep(df):
+        path = str(tmp_path / f"kept{next(count)}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    df = spark.createDataFrame(rows, "k int, y0 long, x0 long, height int, width int, full_width long, mask binary")
+    got = sorted(map(tuple, tiles.tiled_components(df, ["k"], keep)[0].collect()))
+    expected = []
+    for n, mask in enumerate(masks):
+        label, area = raster.components(mask)
+        expected += [(n, int(np.flatnonzero(label.reshape(-1) == k + 1)[0]), int(a)) for k, a in enumerate(area)]
+    assert got == sorted(expected)
+    kept = tiles.tiled_keep_components(df, ["k"], 6, keep, 40).collect()
+    for n, mask in enumerate(masks):
+        whole = np.zeros_like(mask)
+        for r in kept:
+            if r.k == n:
+                whole[r.y0 : r.y0 + r.height, r.x0 : r.x0 + r.width] = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width)
+        assert (whole == raster.keep_components(mask, 6, 40)).all()

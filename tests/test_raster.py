@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import time
 from math import sqrt
 
 import numpy as np
@@ -233,3 +234,40 @@ def test_sliding_extremes_against_all_shifts(k):
             wide = np.pad(values, ((first, k - 1 - first),) * 2, constant_values=outside)
             plain = pick.reduce([wide[i : i + shape[0], j : j + shape[1]] for i in range(k) for j in range(k)])
             assert (helper == plain).all()
+
+
+def blobs(rng, size, n, most):
+    """Discs that touch and overlap."""
+    mask = np.zeros((size, size), np.uint8)
+    y, x = np.ogrid[:size, :size]
+    for _ in range(n):
+        cy, cx, r = rng.integers(0, size, 2).tolist() + [int(rng.integers(2, most))]
+        a, b, c, d = max(cy - r, 0), cy + r + 1, max(cx - r, 0), cx + r + 1
+        mask[a:b, c:d] |= ((y[a:b] - cy) ** 2 + (x[:, c:d] - cx) ** 2 <= r * r).astype(np.uint8)
+    return mask
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_wavefronts_equal_a_plain_flooding(seed):
+    rng = np.random.default_rng(seed)
+    size = int(rng.integers(3, 60))
+    mask = (rng.random((size, size)) < rng.random()).astype(np.uint8) if seed % 2 else blobs(rng, size, int(rng.integers(1, 12)), 9)
+    mask[0, 0] = 0  # the plain form has no distance without a pixel off
+    share, rounds = float(rng.choice([0.2, 0.35, 0.6, 0.9])), int(rng.integers(0, 4))
+    assert (raster.split_touching(mask, share, rounds) == plain_split(mask, share, rounds)).all()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_large_regions_are_flooded_in_turn(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    mask = blobs(rng, 70, 25, 9)
+    expected = plain_split(mask, 0.35, 2)
+    monkeypatch.setattr(raster, "LARGE_REGION", int(rng.integers(1, 400)))
+    assert (raster.split_touching(mask, 0.35, 2) == expected).all()
+
+
+def test_a_full_region_of_many_objects_is_fast():
+    mask = blobs(np.random.default_rng(0), 2048, 6000, 9)
+    began = time.perf_counter()
+    raster.split_touching(mask, 0.35, 2)
+    assert time.perf_counter() - began < 6  # about 2 s on a machine at rest
