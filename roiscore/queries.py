@@ -646,6 +646,37 @@ def _speck_tiles(spark, sf_dir) -> DataFrame:
     return rasters.from_pixels(px, ["slide_key", "y0", "x0"], {"mask": ["m"]}).drop("error").withColumn("full_width", F.lit(64).cast("long"))
 
 
+_COST = "case when 2 * v <= u then (u - 2 * v) * 65536 + v * 143976 else (2 * v - u) * 91750 + (u - v) * 143976 end"
+_SAME = " or ".join(f"(marks[p + {k}] > 0 and shade[p + {k}] = shade[p + 1])" for k in (0, 2, -7, 9))
+
+
+@query(f"""
+    with recursive o as (select roi_id, cast(y * 8 + x as bigint) as p, y, x, obj from ({fx.LABEL_PX})),
+    d as (select roi_id, p, min({_COST}) as c from (select a.roi_id, a.p, greatest(abs(a.y - b.y), abs(a.x - b.x)) as u, least(abs(a.y - b.y), abs(a.x - b.x)) as v from o a join o b on a.roi_id = b.roi_id where a.obj = 1 and b.obj = 0) group by 1, 2),
+    e as (select o.roi_id, o.p, cast(coalesce(c, 1099511627776) / 65536e0 as float) as depth from o left join d using (roi_id, p) where obj = 1),
+    t as (select roi_id, max(depth) as most from e group by 1),
+    s as (select roi_id, p from e join t using (roi_id) where depth > cast(0.35e0 as float) * most),
+    r as (select roi_id, p as root, p from s union select s.roi_id, r.root, s.p from r join s on s.roi_id = r.roi_id and abs(s.p // 8 - r.p // 8) <= 1 and abs(s.p % 8 - r.p % 8) <= 1),
+    l as (select roi_id, p, min(root) + 2 as label from r group by 1, 2),
+    n as (select distinct a.roi_id, a.p from o a join o b on a.roi_id = b.roi_id and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 where b.obj = 1),
+    i as (select o.roi_id, list(case when o.y in (0, 7) or o.x in (0, 7) then -1 when label is not null then label when n.p is not null then 0 else 1 end order by o.p) as marks, list(o.obj order by o.p) as shade
+          from o join t on t.roi_id = o.roi_id left join l on l.roi_id = o.roi_id and l.p = o.p left join n on n.roi_id = o.roi_id and n.p = o.p group by 1),
+    w as (select *, list_filter(range(9, 55), lambda p: marks[p + 1] = 0 and (marks[p] > 0 or marks[p + 2] > 0 or marks[p - 7] > 0 or marks[p + 9] > 0)) as waiting from i),
+    f as (select roi_id, shade, list_transform(marks, lambda m, k: case when list_contains(waiting, k - 1) then -2 else m end) as marks, list_filter(waiting, lambda p: {_SAME}) as a, list_filter(waiting, lambda p: not ({_SAME})) as b from w
+          union all
+          select roi_id, shade, list_transform(marks, lambda m, k: case when k - 1 = p then given when list_contains(pushed, k - 1) then -2 else m end),
+              list_concat(a, list_filter(pushed, lambda q: shade[q + 1] = shade[p + 1])), list_concat(b, list_filter(pushed, lambda q: shade[q + 1] <> shade[p + 1]))
+          from (select *, case when given > 0 then list_filter([p - 1, p + 1, p - 8, p + 8], lambda q: marks[q + 1] = 0) else cast([] as bigint[]) end as pushed
+                from (select *, case when list_min(near) = list_max(near) then list_min(near) else -1 end as given
+                      from (select *, list_filter([marks[p], marks[p + 2], marks[p - 7], marks[p + 9]], lambda m: m > 0) as near
+                            from (select roi_id, shade, marks, case when len(a) > 0 then a[1] else b[1] end as p, case when len(a) > 0 then a[2:] else a end as a, case when len(a) > 0 then b else b[2:] end as b from f where len(a) + len(b) > 0)))))
+    select roi_id, k // 8 as y, k % 8 as x from (select roi_id, marks, unnest(range(64)) as k from f where len(a) + len(b) = 0) where marks[k + 1] > 1""")
+def watershed_px(spark, sf_dir):
+    """The pixels that are left on where touching objects are set apart; the SQL takes one pixel at a time from its queues."""
+    out = rasters.objects_in_class(_label_rasters(spark, sf_dir), ["roi_id", "height", "width"])
+    return rasters.to_pixels(out, ["roi_id"], ["split"]).where("split = 1").select("roi_id", "y", "x")
+
+
 @query()
 def watershed_split(spark, sf_dir):
     """Objects of the thumbnails' blobs set apart; flooding has no form in SQL, so tests hold it against hand-drawn rasters."""
@@ -702,6 +733,12 @@ def file_listing(spark, sf_dir):
     return catalogue.list_slides(spark, sf_dir, replace(PARAMS, extensions=(".parquet",))).select("slide_id", (F.col("length") > 0).alias("has_bytes"))
 
 
+@query(f"select distinct 'S' || slide_key as slide_id, cast(20 + 64 * 48 * 3 as bigint) as length from ({fx.THUMB_PX})")
+def listed_files(spark, sf_dir):
+    """The files of a folder of images, which were written from the tables, with their sizes."""
+    return catalogue.list_slides(spark, _strips(spark, sf_dir), replace(PARAMS, extensions=(".rst",))).select("slide_id", "length")
+
+
 @query(f"select slide_id, status, score_mean_percent, event_id, kind from ({_UPSERT}), (values ('csv'), ('parquet')) k(kind)")
 def table_files(spark, sf_dir):
     """The upserted summary in folders by slide, as both kinds of files."""
