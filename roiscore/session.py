@@ -25,6 +25,12 @@ def ship(spark: SparkSession) -> None:
     context._roiscore_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores where its files give fewer partitions than there are, as one large row group does: work on its rows outweighs moving so few. A table of many partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it; in local mode a local one where it names none."""
     if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from roiscore.operators.rasters import from_pixels
 from roiscore.operators.summary import latest
+from roiscore.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +128,7 @@ NEW_ROWS = """
 
 def label_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 rasters of three classes (0, 1, 2) and of objects; every fiftieth has no class 1."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("roi_id"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
+    e = spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").cast("long").alias("roi_id"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
     v, other = F.element_at("embedding", F.col("i")), F.element_at("embedding", (F.col("i") + 30) % 64 + 1)
     cls = F.when(v > 0.0557, F.when(F.col("roi_id") % 50 == 0, 2).otherwise(1)).when(v < -0.0555, 0).otherwise(2)
     return e.select("roi_id", F.floor((F.col("i") - 1) / 8).alias("y"), ((F.col("i") - 1) % 8).cast("long").alias("x"), cls.alias("cls"), (other > 0.02).cast("int").alias("obj"))
@@ -142,7 +143,7 @@ LABEL_PX = """
 
 def thumb_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 x 48 thumbnails with one coloured blob each."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).select("k", (16 + (F.col("k") * 7) % 24).alias("cx"), (14 + (F.col("k") * 5) % 16).alias("cy"), (12 + (F.col("k") * 3) % 14).alias("rad"))
+    s = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").cast("long").alias("k")).select("k", (16 + (F.col("k") * 7) % 24).alias("cx"), (14 + (F.col("k") * 5) % 16).alias("cy"), (12 + (F.col("k") * 3) % 14).alias("rad"))
     grid = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(47).cast("long"))).alias("y")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("x"))
     d = grid.selectExpr("k", "x", "y", "rad * rad as r2", "(x - cx) * (x - cx) + (y - cy) * (y - cy) as d2", "(x * 31 + y * 17 + k * 13) % 23 as n")
     return d.selectExpr("k as slide_key", "y", "x", "case when d2 < r2 then 170 + n else 225 + n end as r", "case when d2 < r2 then 60 + (90 * d2) div r2 + n else 222 + n end as g", "case when d2 < r2 then 140 + n else 228 + n % 20 end as b")
@@ -157,7 +158,7 @@ THUMB_PX = """
 
 def tile_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of three classes from nine overlapping 8 x 8 tiles (step 6) for each 20 x 20 raster; the last raster may have fewer."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"))
     e = e.select(F.col("vec_id").cast("long").alias("v"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
     z = lambda step: F.least(F.greatest(F.rint((F.element_at("embedding", (F.col("i") + step) % 64 + 1 if step else F.col("i")).cast("double") + 0.5) * 1024), F.lit(0.0)), F.lit(1024.0)) / 1024.0
     return e.select(F.floor(F.col("v") / 9).alias("roi_id"), (F.col("v") % 9).alias("tile"), (F.floor((F.col("v") % 9) / 3) * 6 + F.floor((F.col("i") - 1) / 8)).alias("y"), ((F.col("v") % 9) % 3 * 6 + (F.col("i") - 1) % 8).alias("x"), F.array(z(0), z(20), z(41)).alias("p"))
@@ -172,7 +173,7 @@ TILE_PROBS = """
 
 def eval_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth (one class a pixel) and predicted probabilities, by sample, pixel and class."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("sample_id"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
+    e = spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").cast("long").alias("sample_id"), "embedding", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"))
     v = F.element_at("embedding", F.col("i"))
     cls = F.when(v > 0.0557, 1).when(v < -0.0555, 0).otherwise(2)
     z = lambda step: F.least(F.greatest(F.rint((F.element_at("embedding", (F.col("i") + step) % 64 + 1 if step else F.col("i")).cast("double") + 0.5) * 1024), F.lit(1.0)), F.lit(1024.0)) / 1024.0
