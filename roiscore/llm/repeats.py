@@ -130,11 +130,11 @@ def _stretches(row: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[n
     return first, np.diff(first, append=len(row))
 
 
-def _earliest(value: np.ndarray, key: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first, late): windows by hash, id, row and start; whether each is the first of equal ones there, and whether another starts earlier."""
-    order = np.lexsort((start, row, key, value))
+def _earliest(value: np.ndarray, least: np.ndarray, key: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, late): windows by their two hashes, id, row and start; whether each is the first of equal ones there, and whether another starts earlier."""
+    order = np.lexsort((start, row, key, least, value))
     first = np.ones(len(order), bool)
-    first[1:] = value[order][1:] != value[order][:-1]
+    first[1:] = (value[order][1:] != value[order][:-1]) | (least[order][1:] != least[order][:-1])
     head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
     return order, first, (row[order] != row[head]) | (start[order] != start[head])
 
@@ -147,7 +147,7 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
 
     def send(parts: list) -> pa.RecordBatch:
         value, key, row, start, least = (np.concatenate(x) for x in zip(*parts))
-        order, foremost, late = _earliest(value, key, row, start)
+        order, foremost, late = _earliest(value, least, key, row, start)
         sure, kept = np.sort(order[late]), np.sort(order[foremost])
         s_first, s_len = _stretches(row[sure], start[sure])
         s_row, s_start, s_len = row[sure][s_first], start[sure][s_first], s_len.astype(np.int32)
@@ -159,7 +159,7 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
         held = np.unique(of)
         at, even = _bounds(of, held), _dealt(len(s_row), len(held))
         window_at = np.append(0, np.cumsum(length))[at]
-        return _rows(held, hashes=(value[kept][pos], window_at), keys=(key[kept][first], at), docs=(row[kept][first], at), starts=(start[kept][first], at), lengths=(length.astype(np.int32), at), sure_docs=(s_row, even), sure_starts=(s_start, even), sure_lengths=(s_len, even))
+        return _rows(held, hashes=(value[kept][pos], window_at), leasts=(least[kept][first], at), keys=(key[kept][first], at), docs=(row[kept][first], at), starts=(start[kept][first], at), lengths=(length.astype(np.int32), at), sure_docs=(s_row, even), sure_starts=(s_start, even), sure_lengths=(s_len, even))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -190,7 +190,7 @@ def _candidates(hits: DataFrame, block: int, window: int, ranges: int) -> DataFr
         if n:
             yield send(parts)
 
-    return hits.mapInArrow(scan, "range int, hashes binary, keys binary, docs binary, starts binary, lengths binary, sure_docs binary, sure_starts binary, sure_lengths binary")
+    return hits.mapInArrow(scan, "range int, hashes binary, leasts binary, keys binary, docs binary, starts binary, lengths binary, sure_docs binary, sure_starts binary, sure_lengths binary")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -198,7 +198,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     length = _joined(table["lengths"], np.int32).astype(np.int64)
     key, row = (np.repeat(_joined(table[c], np.int64), length) for c in ("keys", "docs"))
     start = np.repeat(_joined(table["starts"], np.int32) - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    order, _, late = _earliest(_joined(table["hashes"], np.uint64), key, row, start)
+    order, _, late = _earliest(_joined(table["hashes"], np.uint64), np.repeat(_joined(table["leasts"], np.uint64), length), key, row, start)
     row, start = row[order][late], start[order][late]
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
@@ -219,7 +219,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     Hashes travel in packed arrays, one for each flush of a task and range that it holds. Within a task equal ones are sent once, so neither a
     passage nor a block of any frequency fills a range; the number of ranges follows the size of the text. Blocks are
-    found by about 40 bits of hash, which only adds candidates; windows are compared by 64.
+    found by about 40 bits of hash, which only adds candidates; windows are compared by 128: their own hash, and that of their
+    smallest run, which is sent once for a stretch.
 
     Null or empty texts have no words and keep an empty text. Rows that share an id are documents that follow one another in
     the order of a hash of their texts (null ids come last); rows equal in id and text are one document and
