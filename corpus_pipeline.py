@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roiscore.llm.common import cut_counted, read_table, shared_dir, staged
+from roiscore.llm.common import cut_counted, read_table, remove, scope, shared_dir, staged
 from roiscore.llm.jaccard import similar_documents
 from roiscore.llm.packing import pack_documents
 from roiscore.llm.pii import replace_entities
@@ -70,8 +70,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word windows that occur earlier; a text that loses words has the others joined by spaces, all others stay as they are.
 
-    A null text comes back empty; rows that share an id count as one document, and null ids as one that comes
-    last; columns of any name come back untouched (but `n_chars`, which follows the text); an empty table gives no rows.
+    A null text comes back empty; rows that share an id, or have none, are documents of their own, in the order of a hash of id and text; rows equal
+    in both keep or lose the same words; columns of any name come back untouched (but `n_chars`, which follows the text); an empty table gives no rows.
     """
     changed = F.col("n_removed") > 0
     return _documents(remove_repeats(docs, carry=_others(docs)), docs, F.when(changed, F.col("kept")).otherwise(F.col("text")), changed)
@@ -105,10 +105,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's result is written to the shared folder and read back."""
+    """All stages over `documents`; each stage's result is written to the shared folder and read back. What a stage has staged, and the result before it, are removed once it is written."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
