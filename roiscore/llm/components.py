@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roiscore.llm.common import cut, cut_counted
+from roiscore.llm.common import cut, cut_counted, dealt_join, hot_keys
 
 #: Edges (16 bytes each) that one task takes at a time: rounds go on while more are left.
 TASK_EDGES = 200_000
@@ -39,8 +39,7 @@ def connected(edges: DataFrame) -> DataFrame:
     constant factor a round, whatever the graph's shape, and only edges that are left are written. Once no more than
     TASK_EDGES are left, one task follows these. The moves are then followed from round to round.
 
-    Minima are partial aggregates, so a hub's neighbours never meet in one task, and joins on a hub are left to the session's
-    splitting of skewed partitions. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
+    Minima are partial aggregates, and joins deal the edges of a hub out, so its neighbours never meet in one task. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
     """
     now, left = cut_counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     moves = []
@@ -49,8 +48,9 @@ def connected(edges: DataFrame) -> DataFrame:
         both = now.unionAll(now.select("v", "u"))
         move = both.groupBy("u").agg(F.min(F.col("v").bitwiseXOR(turn)).alias("m")).select(F.col("u").alias("node"), F.least("m", F.col("u").bitwiseXOR(turn)).bitwiseXOR(turn).alias("to"))
         moves.append(move)
-        for end in "uv":
-            now = now.join(move, F.col(end) == F.col("node")).withColumn(end, F.col("to")).drop("node", "to")
+        for end, other in ("uv", "vu"):
+            hubs = hot_keys(now.groupBy(end).count(), left)
+            now = dealt_join(now.withColumnRenamed(end, "node"), move, "node", hubs, other).select(F.col("to").alias(end), other)
         now, left = cut_counted(now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     found = now.coalesce(1).mapInArrow(_joined, "node long, to long")
     if not moves:
@@ -60,4 +60,6 @@ def connected(edges: DataFrame) -> DataFrame:
     for move in [*moves[1:], last]:
         found = found.join(move.withColumnRenamed("node", "end"), "end", "left").select("node", F.coalesce("to", "end").alias("end"))
     found = cut(found)
-    return found.join(found.groupBy("end").agg(F.min("node").alias("root")), "end").select("node", "root")
+    roots = cut(found.groupBy("end").agg(F.min("node").alias("root"), F.count("*").alias("n")))
+    large = hot_keys(roots.select("end", "n"), roots.agg(F.sum("n")).first()[0] or 0)
+    return dealt_join(found, roots.select("end", "root"), "end", large, "node").select("node", "root")
