@@ -90,7 +90,7 @@ def hot_keys(counts: DataFrame, total: int, least: int = HOT_ROWS) -> list[tuple
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple], by: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row for each key; a hot key's rows are dealt out by the column `by` over several tasks, and its row on the right goes to each."""
+    """left joined with right; a hot key's rows are dealt out by the column `by` over several tasks, and its rows on the right (mostly one) go to each."""
     if not hot:
         return left.join(right, key, how)
     kind = next(t for c, t in right.dtypes if c == key)

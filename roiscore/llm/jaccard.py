@@ -294,9 +294,11 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
     links = cut(p.links(tried))
     roots = cut(connected(links))
     placed = p.listed.select("v", F.col("cls").alias("x"), F.col("info").alias("x_info")).join(roots.select(F.col("node").alias("x"), "root"), "x", "left").select("v", "x", "x_info", F.coalesce("root", "x").alias("x_root"))
-    mixed = placed.join(placed.groupBy("v").agg(F.min("x_root").alias("lo"), F.max("x_root").alias("hi")).where("lo <> hi").select("v"), "v", "left_semi")
-    mixed = staged(mixed)
-    others = mixed.join(mixed.select("v", F.col("x").alias("y"), F.col("x_info").alias("y_info"), F.col("x_root").alias("y_root")), "v").where((F.col("x_root") < F.col("y_root")) & could)
+    of_several = cut(placed.groupBy("v").agg(F.min("x_root").alias("lo"), F.max("x_root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("v", "n"))
+    hot = hot_keys(of_several, p.documents)
+    mixed = staged(dealt_join(placed, of_several.select("v"), "v", hot, "x", "left_semi"))
+    # the rows of a long list are dealt out, and each meets the whole list
+    others = dealt_join(mixed, mixed.select("v", F.col("x").alias("y"), F.col("x_info").alias("y_info"), F.col("x_root").alias("y_root")), "v", hot, "x").where((F.col("x_root") < F.col("y_root")) & could)
     more, found = cut_counted(p.links(_pairs(others).join(tried, ["a", "b"], "left_anti")))
     if found:
         roots = cut(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)))
