@@ -83,9 +83,9 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 HOT_SHARE, HOT_ROWS = 1000, 100_000
 
 
-def hot_keys(counts: DataFrame, total: int, least: int = HOT_ROWS) -> list[tuple]:
-    """[(key, parts)] of the hot keys among (key, rows), which have more than `least` rows; there are HOT_SHARE at most."""
-    most = max(least, -(-total // HOT_SHARE))
+def hot_keys(counts: DataFrame, total: int, least: int | None = None) -> list[tuple]:
+    """[(key, parts)] of the hot keys among (key, rows), which have more than `least` rows (by default HOT_ROWS); there are HOT_SHARE at most."""
+    most = max(HOT_ROWS if least is None else least, -(-total // HOT_SHARE))
     return [(key, -(-rows // most)) for key, rows in counts.toDF("key", "rows").where(F.col("rows") > most).toLocalIterator()]
 
 
