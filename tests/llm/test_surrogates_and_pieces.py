@@ -41,7 +41,7 @@ def test_given_names_keep_their_gender_in_other_scripts():
 
 PLANTED = {
     "NAME": ["Mr Smith", "Mrs. Jane Roe", "MR SMITH", "DR. JONES", "Dr.Smith", "Herr Müller", "Señora García", "Госпожа Иванова", "Κύριος Παππάς", "Prof. van der Berg"],
-    "PHONE": ["+44 20 7946 0958", "(555) 123-4567", "555-123-4567", "0171 2345678", "030 / 1234567"[:3] + " 1234567", "+1 (212) 555-0100", "0621 45 67 89"],
+    "PHONE": ["+44 20 7946 0958", "(555) 123-4567", "555-123-4567", "0171 2345678", "030 1234567", "+1 (212) 555-0100", "0621 45 67 89"],
     "SSN": ["123-45-6789", "SSN 123456789", "SSN: 987654321"],
     "IP": ["8.8.4.4", "192.168.0.1"],
     "IP6": ["2001:db8::ff00:42:8329", "fe80::1", "2001:0db8:0000:0000:0000:ff00:0042:8329"],
