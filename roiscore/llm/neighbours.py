@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from roiscore.llm.common import small_batches
 from roiscore.session import ship
 
 
@@ -17,7 +19,8 @@ from roiscore.session import ship
 class Params:
     """projections: sorted arrays of a block. threshold: share of them in which a vector must fall into the query's window
     to be verified. share: of a block's vectors that must reach it before the windows stop widening (and k more).
-    start, step: half of the first windows, in interquartile ranges of the projections, and by which a round widens them. block, queries: vectors and queries that meet in one task."""
+    start, step: half of the first windows, in interquartile ranges of the projections, and by which a round widens them. block, queries: vectors and queries
+    that meet in one task; the vectors are held, the queries stream past them."""
 
     projections: int = 128
     threshold: float = 0.7
@@ -25,7 +28,7 @@ class Params:
     start: float = 0.75
     step: float = 1.12
     block: int = 8192
-    queries: int = 8192
+    queries: int = 65536
     seed: int = 7
 
 
@@ -95,10 +98,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
     """(query_id, rank, vec_id, score): for each row that `queries` (a condition on the column vec_id) chooses, the k nearest
     found among all other rows, by inner product in double precision, ties to the smaller id.
 
-    Rows are dealt out by hash into blocks, and each block meets each block of queries in one task, which builds the block's
-    sorted projections, widens windows, verifies what has collided often enough and sends k rows a query. So work is
-    queries times rows over the projections, memory is one block and one group of queries, and no row is left out. Rows are
-    copied once for every group of queries, and queries once for every block: both are large, so that copies are few.
+    Rows are dealt out by hash into blocks, and each block meets each group of queries in one task. The task holds the block alone: it builds the
+    sorted projections once, and the group's queries stream past them, a batch at a time; for each, windows are widened, what has collided
+    often enough is verified, and k rows are sent. So work is queries times rows over the projections, and no row is left out.
+    Rows are copied once for every group of queries, and queries once for every block: both are large, so that copies are few, and
+    groups are bounded, so that a lost task is soon done again.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids and vectors
     of another length than most. Rows with the query's id are its own; of rows that share an id the one with the smallest
@@ -106,6 +110,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
     results; an empty table gives none; extra columns are not read.
     """
     ship(vectors.sparkSession)
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.count_if(queries).alias("asked")).orderBy(F.desc("n"), "dim").first()
@@ -113,32 +118,53 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, params: Params = P
     rows = rows.where(F.size("vector") == dim)
     blocks, groups = max(1, -(-n // params.block)), max(1, -(-asked // params.queries))
 
-    def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        return df.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+    def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int, asks: bool) -> DataFrame:
+        number = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)).cast("int")
+        return df.select(number.alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other), F.lit(asks).alias("asks"), "vec_id", "vector").select("block", "group", "asks", "vec_id", "vector")
 
-    data = dealt(rows, "block", blocks, "group", groups)
-    asking = dealt(rows.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "group", groups, "block", blocks)
+    data = dealt(rows, "block", blocks, "group", groups, False)
+    asking = dealt(rows.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "group", groups, "block", blocks, True)
 
-    def search(block: pa.Table, group: pa.Table) -> pa.Table:
+    def answers(index: SortedProjections, ids: np.ndarray, own: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         out: list[list] = [[], [], []]
-        if block.num_rows and group.num_rows:
-            ids, own = block["vec_id"].to_numpy(), group["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x, q = ids[order], _matrix(block["vector"], dim)[order], _matrix(group["vector"], dim)
-            index = SortedProjections(x, longest, params)
-            for first in range(0, len(q), 64):
-                for i, found in index.candidates(q[first : first + 64], k + 1):
-                    found = found[ids[found] != own[first + i]]
-                    if len(found) > k:  # what can't be among the best by more than rounding goes before scores are added up in one order
-                        near = x[found] @ q[first + i]
-                        found = found[near >= np.partition(near, -k)[-k] - 1e-9 * longest**2]
-                    score = (x[found] * q[first + i]).sum(axis=1)
-                    best = np.lexsort((ids[found], -score))[:k]
-                    for column, v in zip(out, (np.full(len(best), own[first + i]), ids[found][best], score[best])):
-                        column.append(v)
+        x = index.vectors
+        for first in range(0, len(q), 64):
+            for i, found in index.candidates(q[first : first + 64], k + 1):
+                found = found[ids[found] != own[first + i]]
+                if len(found) > k:  # what can't be among the best by more than rounding goes before scores are added up in one order
+                    near = x[found] @ q[first + i]
+                    found = found[near >= np.partition(near, -k)[-k] - 1e-9 * longest**2]
+                score = (x[found] * q[first + i]).sum(axis=1)
+                best = np.lexsort((ids[found], -score))[:k]
+                for column, v in zip(out, (np.full(len(best), own[first + i]), ids[found][best], score[best])):
+                    column.append(v)
         kinds = (np.int64, np.int64, np.float64)
-        return pa.table({c: np.concatenate([np.empty(0, t), *v]) for c, t, v in zip(("query_id", "vec_id", "score"), kinds, out)})
-
-    found = data.groupBy("block", "group").cogroup(asking.groupBy("block", "group")).applyInArrow(search, "query_id long, vec_id long, score double")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, t), *v])) for t, v in zip(kinds, out)], names=["query_id", "vec_id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows: of every block and group first the vectors, then the queries."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, index, ids = None, None, None
+        for batch in batches:
+            block, group = (batch.column(c).to_numpy() for c in (0, 1))
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
+            vec_id, vector = batch.column(3).to_numpy(), _matrix(batch.column(4), dim)
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(group) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+                if a == b:
+                    continue
+                if now != (block[a], group[a]):
+                    now, held, index = (block[a], group[a]), [], None
+                if not asks[a]:
+                    held.append((vec_id[a:b], vector[a:b]))
+                elif held or index:
+                    if index is None:
+                        ids, x = (np.concatenate(v) for v in zip(*held))
+                        order = np.argsort(ids, kind="stable")
+                        ids, index, held = ids[order], SortedProjections(x[order], longest, params), []
+                    yield answers(index, ids, vec_id[a:b], vector[a:b])
+
+    met = data.unionByName(asking).repartition("block", "group").sortWithinPartitions("block", "group", "asks")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
