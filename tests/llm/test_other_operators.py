@@ -340,7 +340,7 @@ def test_registered_queries_match_their_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     from roiscore.llm.queries import ORACLE_SQL, QUERIES
 
@@ -352,4 +352,4 @@ def test_registered_queries_match_their_sql(spark):
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
