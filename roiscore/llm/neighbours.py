@@ -46,16 +46,19 @@ class SortedProjections:
         last = rng.normal(size=p.projections)
         rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
         values = (vectors @ self.directions + rest[:, None] * last).T
-        self.order = np.argsort(values, axis=1)
-        self.values = np.take_along_axis(values, self.order, 1)
+        order = np.argsort(values, axis=1)
+        self.values = np.take_along_axis(values, order, 1)
         n = len(vectors)
+        # where each vector stands in each sorted array: it collides where that lies in the window
+        self.place = np.empty(values.shape, np.int16 if n < 1 << 15 else np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None], 1)
         middle = np.median(self.values[:, 3 * n // 4] - self.values[:, n // 4]) * p.start
         self.width = float(middle) or float(np.abs(values).max()) or 1.0
 
     def candidates(self, queries: np.ndarray, k: int):
         """(query's place, places of vectors) as soon as enough vectors have collided with the query; all of them where k is no fewer.
 
-        A round widens every window around its query (virtual rehashing) and counts only what has come in.
+        A round widens every window around its query (virtual rehashing) and counts in how many of them each vector lies.
         """
         n, p = len(self.vectors), self.p
         need, want = int(np.ceil(p.threshold * p.projections)), k + int(p.share * n)
@@ -64,22 +67,23 @@ class SortedProjections:
                 yield q, np.arange(n)
             return
         at = queries @ self.directions
-        edges = [np.stack([np.searchsorted(v, at[:, j]) for j, v in enumerate(self.values)], 1)] * 2
-        counts = np.zeros((len(queries), n), np.int64)
         active, width = np.arange(len(queries)), self.width
+        kind = self.place.dtype
+        wide = np.dtype(f"u{kind.itemsize}")
+        off, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
         while len(active):
-            wider = [np.stack([np.searchsorted(v, at[active, j] + sign * width, side) for j, v in enumerate(self.values)], 1) for sign, side in ((-1, "left"), (1, "right"))]
+            low, high = (np.stack([np.searchsorted(v, at[active, j] + sign * width, side) for j, v in enumerate(self.values)], 1) for sign, side in ((-1, "left"), (1, "right")))
+            size = (high - low).astype(wide)[:, :, None]
+            low = low.astype(kind)[:, :, None]
             left = []
             for i, q in enumerate(active.tolist()):
-                a, b, c, d = wider[0][i].tolist(), edges[0][i].tolist(), edges[1][i].tolist(), wider[1][i].tolist()
-                new = np.concatenate([o[x:y] for o, x, y in zip(self.order, a, b)] + [o[x:y] for o, x, y in zip(self.order, c, d)])
-                counts[q] += np.bincount(new, minlength=n)
-                found = np.flatnonzero(counts[q] >= need)
+                np.subtract(self.place, low[i], out=off)
+                np.less(off.view(wide), size[i], out=inside)  # places before the window are large without a sign
+                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if p.projections < 256 else np.int32) >= need)
                 if len(found) >= want:
                     yield q, found
                 else:
                     left.append(i)
-            edges = [w[left] for w in wider]
             active, width = active[left], width * p.step
 
 
