@@ -175,8 +175,8 @@ def chamfer(mask: np.ndarray) -> np.ndarray:
     return np.minimum(from_above(down[::-1, ::-1].copy())[::-1, ::-1], big) / 65536.0
 
 
-#: Open pixels of a region from which on it is flooded by itself: it has more steps than all small ones together.
-LARGE_REGION = 20_000
+#: Pixels that are flooded in turn in the time of one step of all wavefronts, about.
+STEP_PIXELS = 50
 
 
 def split_touching(mask: np.ndarray, share: float, rounds: int) -> np.ndarray:
@@ -200,11 +200,17 @@ def split_touching(mask: np.ndarray, share: float, rounds: int) -> np.ndarray:
     marker = np.where(sure, seeds + 1, np.where(unknown, 0, 1))  # 1 is the background
     marker[0, :] = marker[-1, :] = marker[:, 0] = marker[:, -1] = -1
     region, sizes = components(marker == 0)
-    large = np.flatnonzero(sizes >= LARGE_REGION) + 1
-    marks = flooded(marker, mask, np.where(np.isin(region, large), 0, region) if len(large) else region)
-    for r in large.tolist():
-        marks = flooded_in_turn(marks, mask, region == r)
-    return (marks > 1).astype(np.uint8)
+    small = np.append(False, sizes <= _small_regions(sizes))[region]
+    marks = flooded(marker, mask, np.where(small, region, 0))
+    return (flooded_in_turn(marks, mask, (region > 0) & ~small) > 1).astype(np.uint8)
+
+
+def _small_regions(sizes: np.ndarray) -> int:
+    """The size up to which regions are flooded together, in as many steps as the largest of them has pixels at most; the others have so many that one after another is faster."""
+    ordered = np.sort(sizes)
+    cost = ordered.sum() - np.cumsum(ordered) + STEP_PIXELS * ordered
+    best = int(np.argmin(cost)) if len(cost) else 0
+    return int(ordered[best]) if len(cost) and cost[best] < ordered.sum() else 0
 
 
 def _first_queue(marks: np.ndarray, shade: np.ndarray, open_px: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +303,7 @@ def flooded(marker: np.ndarray, mask: np.ndarray, region: np.ndarray) -> np.ndar
 
 
 def flooded_in_turn(marker: np.ndarray, mask: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """marker with its zeros inside flooded one pixel after another: one large region has few pixels in a step."""
+    """marker with its zeros inside flooded one pixel after another, as a few large regions have few pixels in a step. Regions do not touch, so they may share the queues."""
     width = marker.shape[1]
     marks, shade = marker.reshape(-1).tolist(), mask.reshape(-1).tolist()
     queues: tuple[deque, deque] = (deque(), deque())

@@ -248,7 +248,8 @@ def blobs(rng, size, n, most):
 
 
 @pytest.mark.parametrize("seed", range(200))
-def test_wavefronts_equal_a_plain_flooding(seed):
+def test_wavefronts_equal_a_plain_flooding(seed, monkeypatch):
+    monkeypatch.setattr(raster, "STEP_PIXELS", (0, 5, 50)[seed % 3])
     rng = np.random.default_rng(seed)
     size = int(rng.integers(3, 60))
     mask = (rng.random((size, size)) < rng.random()).astype(np.uint8) if seed % 2 else blobs(rng, size, int(rng.integers(1, 12)), 9)
@@ -258,12 +259,13 @@ def test_wavefronts_equal_a_plain_flooding(seed):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_large_regions_are_flooded_in_turn(seed, monkeypatch):
+def test_regions_in_turn_and_in_wavefronts_agree(seed, monkeypatch):
     rng = np.random.default_rng(seed)
     mask = blobs(rng, 70, 25, 9)
     expected = plain_split(mask, 0.35, 2)
-    monkeypatch.setattr(raster, "LARGE_REGION", int(rng.integers(1, 400)))
-    assert (raster.split_touching(mask, 0.35, 2) == expected).all()
+    for least in (0, 10**9):
+        monkeypatch.setattr(raster, "_small_regions", lambda sizes, least=least: least or int(rng.integers(0, 400)))
+        assert (raster.split_touching(mask, 0.35, 2) == expected).all()
 
 
 def test_a_full_region_of_many_objects_is_fast():
