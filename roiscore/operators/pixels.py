@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Pixel rows that a task sorts at a time, about.
+TASK_PIXELS = 1 << 20
 #: The colours of the classes 1 and 2, and of objects.
 TUMOR_RGB, STROMA_RGB, OBJECT_RGB = (255, 0, 0), (0, 255, 0), (255, 255, 0)
 
@@ -36,6 +38,16 @@ def otsu_thresholds(histogram: DataFrame, slide: str = "slide_key") -> DataFrame
     return best.withColumn("threshold", F.greatest(F.lit(20), (F.lit(0.8) * F.col("otsu")).cast("int")))
 
 
+def with_thresholds(px: DataFrame, slide: str = "slide_key") -> DataFrame:
+    """Pixel rows (s) with their slide's threshold.
+
+    The join is a shuffle by slide that hashes the thresholds, one row a slide: Spark takes pixel rows that are made of few rows for as few
+    and would broadcast them.
+    """
+    limit = otsu_thresholds(saturation_histogram(px, slide), slide).select(slide, "threshold")
+    return px.join(limit.hint("shuffle_hash"), slide)
+
+
 def is_tissue(s: Column, v: Column, threshold: Column) -> Column:
     return (s > threshold) & (v < 245)
 
