@@ -52,14 +52,20 @@ def is_tissue(s: Column, v: Column, threshold: Column) -> Column:
     return (s > threshold) & (v < 245)
 
 
-def sliding(px: DataFrame, value: str, key: list[str], k: int, least: bool = True, outside: int | None = None) -> DataFrame:
+def by_raster(px: DataFrame, key: list[str]) -> DataFrame:
+    """px dealt out by raster, in as many partitions as let a task have about TASK_PIXELS of them (a larger raster is in one); they are counted. The frames of `sliding` are found where rows are then, without another shuffle."""
+    spark = px.sparkSession
+    return px.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-px.count() // TASK_PIXELS)), *key)
+
+
+def sliding(px: DataFrame, value: str, key: list[str], k: int, least: bool = True, outside: int | None = None, lines: tuple[str, str] = ("y", "x")) -> DataFrame:
     """px with the extreme of `value` over the k x k square around each pixel of a dense grid, as frames of rows and then of columns.
 
     What lies outside of the grid counts as `outside`, or is left out without it. An even square reaches one further up and left for the least,
-    and down and right for the greatest, as erosion and dilation do. A task holds the rows of one line.
+    and down and right for the greatest, as erosion and dilation do. `lines` says whose frames come first; the result is the same. A task holds the rows of one line.
     """
     before, after = (k // 2, k - 1 - k // 2) if least else (k - 1 - k // 2, k // 2)
-    for line, along in (("y", "x"), ("x", "y")):
+    for line, along in (lines, lines[::-1]):
         frame = Window.partitionBy(*key, line).orderBy(along).rowsBetween(-before, after)
         found = (F.min if least else F.max)(value).over(frame)
         if outside is not None:
@@ -70,9 +76,9 @@ def sliding(px: DataFrame, value: str, key: list[str], k: int, least: bool = Tru
 
 
 def opened_closed(px: DataFrame, value: str, key: list[str], k: int) -> DataFrame:
-    """An opening and then a closing of a 0/1 value by a k x k square."""
-    for least in (True, False, False, True):
-        px = sliding(px, value, key, k, least)
+    """An opening and then a closing of a 0/1 value by a k x k square. Each step begins with the lines that the one before ended with, as rows lie in their order."""
+    for n, least in enumerate((True, False, False, True)):
+        px = sliding(px, value, key, k, least, lines=("x", "y") if n % 2 else ("y", "x"))
     return px
 
 
