@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roiscore.session import ship, spread
+from roiscore.session import ship, small_batches, spread
 
 #: Text handed to numpy at a time; a longer document is handed over alone.
 SLICE_BYTES = 1 << 19
@@ -101,16 +101,6 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, hot: list[tuple], by
     return number(left).withColumn("_salt", salt).drop("_parts").join(number(right).withColumn("_salt", copies).drop("_parts"), [key, "_salt"], how).drop("_salt")
 
 
-#: Arrow batches between Spark and its Python workers, for which Spark's own default is 64 MB. Spark's default is lowered,
-#: as every worker and task holds several of them; a size that the session has chosen stays.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
-
-
-def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_KEY, BATCH_BYTES)
-
-
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] | None = None) -> DataFrame:
     """Only the columns an operator needs, under names that no extra column can clash with; null text is empty.
 

@@ -7,6 +7,7 @@ the error in `error` instead of results, so that one raster does not stop the ot
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -60,43 +61,101 @@ def each_raster(df: DataFrame, work: Callable, added: str, keep: list[str], catc
 def from_pixels(px: DataFrame, key: list[str], bands: dict[str, list[str]]) -> DataFrame:
     """Raster rows from pixel rows on a dense grid; bands names each raster's columns. A raster must fit into one row.
 
-    Pixels may come in any order. A raster with a null place or value, with a value that is no byte, or with pixels that
+    Pixels of one raster that come near one another are put together as bytes before they are shuffled (some 11 bytes each), and
+    a task then goes through its rasters one after another. Pixels may come in any order. A raster with a null place or value, with a value that is no byte, or with pixels that
     are missing or there twice has an `error` and no bands; the others have none.
     """
     ship(px.sparkSession)
-    columns = [c for own in bands.values() for c in own]
-    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).try_cast("short").alias(c) for c in columns))
-    grouped = px.groupBy(*key).agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.collect_list(pixel).alias("px"))
-    kept = grouped.drop("px").columns
-    schema = T.StructType([*(grouped.schema[c] for c in kept), *(T.StructField(b, T.BinaryType()) for b in bands), T.StructField("error", T.StringType())])
+    columns = list(dict.fromkeys(c for own in bands.values() for c in own))
+    pixel = px.select(*key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).try_cast("short").alias(c) for c in columns))
+    fields = [pixel.schema[c] for c in key]
+    sizes = [T.StructField(c, T.LongType()) for c in ("height", "width")]
+    data = [T.StructField(c, T.BinaryType()) for c in ("_y", "_x", *(f"_v{n}" for n in range(len(columns))))]
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH_PIXELS:
+                yield _chunks(held, key, columns)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield _chunks(held, key, columns)
+
+    parts = pixel.mapInArrow(chunked, T.StructType([*fields, *sizes, T.StructField("bad", T.BooleanType()), *data]))
+    schema = T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in ("height", "width")), *(T.StructField(b, T.BinaryType()) for b in bands), T.StructField("error", T.StringType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("px")
-            flat = dict(zip(("y", "x", *columns), lists.flatten().flatten()))
-            lost = {c: v.is_null().to_numpy(zero_copy_only=False) for c, v in flat.items()}
-            flat = {c: v.fill_null(0).to_numpy() for c, v in flat.items()}
-            bad = np.logical_or.reduce([*lost.values(), *((flat[c] < 0) | (flat[c] > 255) for c in columns)])
-            values = {name: np.stack([flat[c].astype(np.uint8) for c in own], axis=-1) for name, own in bands.items()}
-            out: dict[str, list[bytes | None]] = {name: [] for name in (*bands, "error")}
-            stop = 0
-            for size, height, width in zip(lists.value_lengths().to_pylist(), *(batch.column(c).fill_null(0).to_pylist() for c in ("height", "width"))):
-                own = slice(stop, stop := stop + size)
-                place = flat["y"][own].astype(np.int64) * width + flat["x"][own]
-                order = np.argsort(place, kind="stable")
-                if bad[own].any():
-                    error = "a pixel has a null place, or a value that is no byte"
-                elif not np.array_equal(place[order], np.arange(height * width)):
-                    error = "pixels are missing, or there twice"
-                else:
-                    error = None
-                out["error"].append(error)
-                for name, value in values.items():
-                    out[name].append(None if error else value[own][order].tobytes())
-            error = pa.array(out.pop("error"), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, pa.binary()) for v in out.values()), error], names=[*kept, *bands, "error"])
-
-    return grouped.mapInArrow(pack, schema)
+        out, pixels, types = [], 0, []
+        for own, found in groupby(_rows(batches, key, types), lambda row: row[0]):
+            height, width, packed, error = _packed([row[1:] for row in found], [[columns.index(c) for c in own] for own in bands.values()])
+            out.append((*own, height, width, *packed, error))
+            pixels += (height or 0) * (width or 0)
+            if pixels >= BATCH_PIXELS:
+                yield _table(out, types)
+                out, pixels = [], 0
+        if out:
+            yield _table(out, types)
+
+    def _table(out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        kinds = [*types, pa.int32(), pa.int32(), *[pa.binary()] * len(bands), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=schema.names)
+
+    return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(pack, schema)
+
+
+def _chunks(batches: list[pa.RecordBatch], key: list[str], columns: list[str]) -> pa.RecordBatch:
+    """A row for each key in some batches of pixels: greatest height and width, whether a pixel is bad, and places and values as bytes."""
+    px = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    code = np.zeros(px.num_rows, np.int64)
+    for c in key:
+        found = px.column(c).dictionary_encode("encode")
+        code = np.unique(code * len(found.dictionary) + found.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    bad = np.zeros(px.num_rows, bool)
+    out = [px.column(c).take(pa.array(order[starts])) for c in key]
+    places, values = [], []
+    for c in ("y", "x"):
+        lost = px.column(c).is_null().to_numpy(zero_copy_only=False)
+        bad |= lost
+        place = px.column(c).fill_null(-1 << 31).to_numpy()[order]
+        most = np.maximum.reduceat(place, starts).astype(np.int64)
+        out.append(pa.array(most + 1, mask=most == -1 << 31))
+        places.append(place)
+    for c in columns:
+        value = px.column(c).fill_null(-1).to_numpy()
+        bad |= (value < 0) | (value > 255)
+        values.append(value.astype(np.uint8)[order])
+    out.append(pa.array(np.logical_or.reduceat(bad[order], starts)))
+    ends = np.append(starts, px.num_rows)
+    for a in (*places, *values):
+        out.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * a.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))]))
+    return pa.RecordBatch.from_arrays(out, names=[*key, "height", "width", "bad", "_y", "_x", *(f"_v{n}" for n in range(len(columns)))])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], key: list[str], types: list[pa.DataType]) -> Iterator[tuple]:
+    """(key, height, width, bad, data) of each row; the keys' types are put into `types`."""
+    for batch in batches:
+        types[:] = batch.schema.types[: len(key)]
+        keys = zip(*(batch.column(n).to_pylist() for n in range(len(key))))
+        plain = (batch.column(len(key) + n).to_pylist() for n in range(3))
+        for n, row in enumerate(zip(keys, *plain)):
+            yield (*row, [batch.column(c)[n].as_buffer() for c in range(len(key) + 3, batch.num_columns)])
+
+
+def _packed(parts: list[tuple], bands: list[list[int]]) -> tuple[int | None, int | None, list[bytes | None], str | None]:
+    """(height, width, rasters, error) of a raster's chunks; each of `bands` names its values by number."""
+    height, width = (max((p[n] for p in parts if p[n] is not None), default=None) for n in (0, 1))
+    if any(p[2] for p in parts):
+        return height, width, [None] * len(bands), "a pixel has a null place, or a value that is no byte"
+    y, x = (np.concatenate([np.frombuffer(p[3][n], np.int32) for p in parts]) for n in (0, 1))
+    place = y.astype(np.int64) * width + x
+    order = np.argsort(place, kind="stable")
+    if not np.array_equal(place[order], np.arange(height * width)):
+        return height, width, [None] * len(bands), "pixels are missing, or there twice"
+    values = [np.concatenate([np.frombuffer(p[3][n], np.uint8) for p in parts])[order] for n in range(2, len(parts[0][3]))]
+    return height, width, [np.stack([values[n] for n in own], axis=-1).tobytes() for own in bands], None
 
 
 def to_pixels(rasters: DataFrame, key: list[str], bands: list[str], channels: int = 1, most: int = BATCH_PIXELS) -> DataFrame:

@@ -12,8 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = Path(__file__).resolve().parent
 
 
+#: Arrow batches between Spark and its Python workers, for which Spark's own default is 64 MB. Spark's default is lowered,
+#: as every worker and task holds several of them; a size that the session has chosen stays.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once for each Spark context; they need no folder in common with the driver."""
+    """Send this package's source to the executors, once for each Spark context; they need no folder in common with the driver. Arrow batches are made small."""
+    small_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_roiscore_shipped", False) or not _ROOT.is_dir():
         return

@@ -11,6 +11,7 @@ from roiscore.functions.text import duration
 from roiscore.jobs import batch, export
 from roiscore.functions import raster
 from roiscore.operators import pixels, rasters, selection, summary, tiles, windows
+from roiscore.session import BATCH_BYTES, BATCH_DEFAULT, BATCH_KEY
 from roiscore.sources import catalogue, images, strips
 from roiscore.streaming.incremental import upsert_stream
 
@@ -300,6 +301,21 @@ def test_frames_equal_the_helper(spark, k):
         assert (got == helper).all()
 
 
+def test_pixels_are_shuffled_as_bytes_in_small_batches(spark):
+    kept = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, BATCH_DEFAULT)
+    try:
+        px = spark.range(0, 6000, 1, 3).selectExpr("if(id % 2 = 0, null, 'a') as k", "id div 2 div 50 as y", "id div 2 % 50 as x", "id % 251 as v")
+        packed = rasters.from_pixels(px, ["k"], {"v": ["v", "v"], "w": ["v"]})
+        assert spark.conf.get(BATCH_KEY) == BATCH_BYTES and "collect_list" not in packed._jdf.queryExecution().executedPlan().toString()
+        got = {r.k: r for r in packed.collect()}
+    finally:
+        spark.conf.set(BATCH_KEY, kept)
+    for k, first in ((None, 0), ("a", 1)):
+        v = (np.arange(first, 6000, 2) % 251).astype(np.uint8)
+        assert (got[k].height, got[k].width, got[k].error) == (60, 50, None) and bytes(got[k].w) == v.tobytes() and bytes(got[k].v) == np.repeat(v, 2).tobytes()
+
+
 def test_strips_that_filters_leave_are_read_alone(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(0)
     rows = {name: rng.integers(0, 256, (height, 6, 2), dtype=np.uint8) for name, height in (("a", 25), ("b", 10), ("c", 3))}
