@@ -2,6 +2,9 @@
 
 A tile row has a key, the place of its first pixel (y0, x0) in a raster `full_width` wide, height, width and a mask. A
 component goes by the number of its first pixel in the whole raster, y * full_width + x.
+
+Tables of labels and edges are small as files, but not in rows; so their joins sort and merge, whatever Spark makes of their size, and
+nothing of them is broadcast.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def seams(labels: DataFrame, key: list[str]) -> DataFrame:
     rim = labels.select(*key, F.explode("rim").alias("p")).select(*key, "p.*")
     around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)))))
     asking = rim.withColumn("d", around).select(*key, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("first").alias("other"))
-    met = asking.join(rim, [*key, "y", "x"]).where("first <> other")
+    met = asking.join(rim.hint("merge"), [*key, "y", "x"]).where("first <> other")
     return met.select(*key, F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b")).distinct()
 
 
@@ -63,9 +66,9 @@ def united(edges: DataFrame, key: list[str], keep: Callable[[DataFrame], DataFra
         seen = state
         both = now.select(*key, F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(*key, F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy(*key, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, [*key, "u"]).where("v > u").select(*key, F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = both.join(least.hint("merge"), [*key, "u"]).where("v > u").select(*key, F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         least = large.groupBy(*key, "b").agg(F.min("a").alias("m"))
-        small = large.join(least, [*key, "b"])
+        small = large.join(least.hint("merge"), [*key, "b"])
         now = keep(small.where("a <> m").select(*key, F.col("m").alias("a"), F.col("a").alias("b")).unionAll(least.select(*key, F.col("m").alias("a"), "b")).distinct())
 
 
@@ -77,7 +80,7 @@ def tiled_components(tiles: DataFrame, key: list[str], keep: Callable[[DataFrame
     labels = keep(labelled(tiles, key, mask)).where("error is null")
     roots = united(seams(labels, key), key, keep)
     parts = labels.select(*key, "y0", "x0", F.explode("parts").alias("p")).select(*key, "y0", "x0", "p.*")
-    parts = keep(parts.join(roots, [*key, "first"], "left").withColumn("root", F.coalesce("root", "first")))
+    parts = keep(parts.join(roots.hint("merge"), [*key, "first"], "left").withColumn("root", F.coalesce("root", "first")))
     areas = parts.groupBy(*key, F.col("root").alias("first")).agg(F.sum("area").alias("area"))
     return areas, parts.select(*key, "y0", "x0", "first", "root")
 
@@ -86,12 +89,12 @@ def tiled_keep_components(tiles: DataFrame, key: list[str], least: int, keep: Ca
     """(key, y0, x0, height, width, mask, error): the tiles with only those pixels whose component has least to most pixels over the whole raster."""
     areas, parts = tiled_components(tiles, key, keep, mask)
     good = areas.where(F.col("area").between(least, most if most is not None else 1 << 62)).select(*key, F.col("first").alias("root"))
-    good = parts.join(good, [*key, "root"], "left_semi").groupBy(*key, "y0", "x0").agg(F.collect_list("first").alias("good"))
+    good = parts.join(good.hint("merge"), [*key, "root"], "left_semi").groupBy(*key, "y0", "x0").agg(F.collect_list("first").alias("good"))
 
     def work(row) -> dict:
         label, _, first = _own_components(row, mask)
         good = np.isin(first, np.array(row["good"] if row["good"] is not None else [], np.int64))
         return {"mask": good[label].astype(np.uint8).tobytes()}
 
-    given = tiles.select(*key, "y0", "x0", "height", "width", "full_width", mask).join(good, [*key, "y0", "x0"], "left")
+    given = tiles.select(*key, "y0", "x0", "height", "width", "full_width", mask).join(good.hint("merge"), [*key, "y0", "x0"], "left")
     return each_raster(given, work, "mask binary", [*key, "y0", "x0", "height", "width"])
