@@ -18,6 +18,16 @@ def list_slides(spark: SparkSession, folder: str, p: Params = PARAMS) -> DataFra
     return with_ids(files, p)
 
 
+def list_tables(spark: SparkSession, folder: str, p: Params = PARAMS) -> DataFrame:
+    """Like list_slides, but what has a suffix that counts may be a folder, too, as Spark writes tables: it is one, as large as all files within."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/+", "/")
+    parent = F.regexp_replace(plain(F.lit(folder)), "/$", "")
+    first = F.substring_index(F.substr(plain(F.col("path")), F.length(parent) + 2), "/", 1)
+    own = files.groupBy(F.concat(parent, F.lit("/"), first).alias("wsi_path")).agg(F.sum("length").alias("length"))
+    return with_ids(own, p)
+
+
 def with_ids(catalogue: DataFrame, p: Params = PARAMS) -> DataFrame:
     """The catalogue's image files by suffix, each with its slide id."""
     return catalogue.where(suffix(F.col("wsi_path")).isin(*p.extensions)).withColumn("slide_id", slide_id(F.col("wsi_path")))

@@ -131,6 +131,18 @@ def test_catalogue_of_files(spark, tmp_path):
     assert sorted(r.slide_id for r in rows) == ["a", "b", "d_e"]
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_tables_may_be_folders(spark, tmp_path, scheme):
+    p = replace(PARAMS, extensions=(".parquet",))
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "in.parquet" / "a.parquet"))
+    spark.range(9).selectExpr("id", "id % 2 as part").write.partitionBy("part").parquet(str(tmp_path / "in.parquet" / "b.parquet"))
+    (tmp_path / "in.parquet" / "c.parquet").write_bytes(b"1234")
+    (tmp_path / "in.parquet" / "d.txt").write_bytes(b"1")
+    for folder in (f"{scheme}{tmp_path}/in.parquet", f"{scheme}{tmp_path}/in.parquet/"):
+        got = {r.slide_id: r.length for r in catalogue.list_tables(spark, folder, p).collect()}
+        assert sorted(got) == ["a", "b", "c"] and got["c"] == 4 and min(got.values()) > 0
+
+
 def test_sinks(spark, tmp_path):
     rois = spark.createDataFrame([(1, 0, 0, 0, 0, 10, 10, 0.5, "direct_accept", 0.7), (1, 1, 0, 10, 0, 10, 10, None, "neighbor_associated_stroma", 0.6)], "slide_key long, grid_x long, grid_y long, x0_level0 long, y0_level0 long, w_level0 long, h_level0 long, roi_tils_score_fraction double, final_decision string, roi_score double")
     export.write_geojson(rois, str(tmp_path / "json"))
