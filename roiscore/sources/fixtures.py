@@ -141,12 +141,12 @@ LABEL_PX = """
     from embeddings, range(1, 65) t(i)"""
 
 
-def thumb_px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 x 48 thumbnails with one coloured blob each."""
-    s = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").cast("long").alias("k")).select("k", (16 + (F.col("k") * 7) % 24).alias("cx"), (14 + (F.col("k") * 5) % 16).alias("cy"), (12 + (F.col("k") * 3) % 14).alias("rad"))
+def thumb_px(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """64 x 48 thumbnails with one coloured blob each; the supplier's columns `carry` go along."""
+    s = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").cast("long").alias("k"), *carry).select("k", *carry, (16 + (F.col("k") * 7) % 24).alias("cx"), (14 + (F.col("k") * 5) % 16).alias("cy"), (12 + (F.col("k") * 3) % 14).alias("rad"))
     grid = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(47).cast("long"))).alias("y")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("x"))
-    d = grid.selectExpr("k", "x", "y", "rad * rad as r2", "(x - cx) * (x - cx) + (y - cy) * (y - cy) as d2", "(x * 31 + y * 17 + k * 13) % 23 as n")
-    return d.selectExpr("k as slide_key", "y", "x", "case when d2 < r2 then 170 + n else 225 + n end as r", "case when d2 < r2 then 60 + (90 * d2) div r2 + n else 222 + n end as g", "case when d2 < r2 then 140 + n else 228 + n % 20 end as b")
+    d = grid.selectExpr("k", *carry, "x", "y", "rad * rad as r2", "(x - cx) * (x - cx) + (y - cy) * (y - cy) as d2", "(x * 31 + y * 17 + k * 13) % 23 as n")
+    return d.selectExpr("k as slide_key", "y", "x", "case when d2 < r2 then 170 + n else 225 + n end as r", "case when d2 < r2 then 60 + (90 * d2) div r2 + n else 222 + n end as g", "case when d2 < r2 then 140 + n else 228 + n % 20 end as b", *carry)
 
 
 THUMB_PX = """
@@ -198,7 +198,7 @@ def batch_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     key = F.concat(F.lit("S"), F.lpad(F.col("slide_key").cast("string"), 6, "0"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("slide_key"), "s_acctbal", "s_nationkey").withColumn("slide_id", key)
     slides = suppliers.select(F.concat(F.lit("/batch/"), "slide_id", F.lit(".svs")).alias("wsi_path"), F.lit(64).cast("long").alias("slide_w0"), F.lit(48).cast("long").alias("slide_h0"), F.lit(0.25).alias("mpp_x"), F.lit(0.25).alias("mpp_y"))
-    px = thumb_px(spark, sf_dir).join(suppliers, "slide_key")
+    px = thumb_px(spark, sf_dir, ("s_acctbal", "s_nationkey")).withColumn("slide_id", key)
     thumbs = from_pixels(px.where("s_acctbal >= 0"), ["slide_id"], {"rgb": ["r", "g", "b"]})
     tiles = px.selectExpr("slide_id", "s_nationkey", "x div 16 as grid_x", "y div 16 as grid_y", "x % 16 as x", "y % 16 as y", "r", "g", "b").where("s_nationkey <> 3 or grid_x <> 1 or grid_y <> 1")
     regions = from_pixels(tiles, ["slide_id", "grid_x", "grid_y"], {"rgb": ["r", "g", "b"]})

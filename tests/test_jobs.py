@@ -12,7 +12,7 @@ from roiscore.jobs import batch, export
 from roiscore.functions import raster
 from roiscore.operators import pixels, rasters, selection, summary, tiles, windows
 from roiscore.session import BATCH_BYTES, BATCH_DEFAULT, BATCH_KEY
-from roiscore.sources import catalogue, images, strips
+from roiscore.sources import catalogue, fixtures, images, strips
 from roiscore.streaming.incremental import upsert_stream
 
 P = replace(PARAMS, roi_px=64, stride_px=64, patch=32, patch_stride=24, radius_um=4.0, thumbnail_max=64)
@@ -328,6 +328,11 @@ def test_pixels_are_shuffled_as_bytes_in_small_batches(spark):
         assert (got[k].height, got[k].width, got[k].error) == (60, 50, None) and bytes(got[k].w) == v.tobytes() and bytes(got[k].v) == np.repeat(v, 2).tobytes()
 
 
+def test_batch_tables_join_no_pixels(spark):
+    _, thumbs, regions, _ = fixtures.batch_tables(spark, "/root/testdata/sf0.001")
+    assert not any("Join" in df._jdf.queryExecution().executedPlan().toString() for df in (thumbs, regions))
+
+
 def test_strips_that_filters_leave_are_read_alone(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(0)
     rows = {name: rng.integers(0, 256, (height, 6, 2), dtype=np.uint8) for name, height in (("a", 25), ("b", 10), ("c", 3))}
