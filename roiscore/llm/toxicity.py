@@ -206,14 +206,18 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     length 0. Rows with equal or null ids are kept; an empty table gives no rows; extra columns are not read, but those in
     `carry` go along as the struct column `carried`.
     """
+    own = list(carry).index(text_col) if carry and text_col in carry and dict(docs.dtypes)[text_col] == "string" else None
     docs = id_and_text(docs, id_col, text_col, carry)
+    if own is not None:  # the text goes to the Python workers once, as a carried field
+        docs = docs.drop("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("log_expected", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, rest = shared.value, 2 if own is None else 1
         for batch in batches:
-            for first, stop, data, bounds in text_slices(batch.column(1)):
+            text = batch.column(1) if own is None else batch.column(1).field(own).fill_null("")
+            for first, stop, data, bounds in text_slices(text):
                 word, stem, starts, ends, at = _tokens(data, bounds)
                 scores = model.token_scores(word, stem)
                 positive = np.concatenate([[0], np.cumsum(scores > 0)])[at]
@@ -224,7 +228,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                     features.append(model.features(found, n))
                     level = [(f, e, s, np.log(model.scale * n) - model.rate * s) for f, e, s in found]
                     passages.append([{"start": int(starts[a + f] - bounds[k]), "end": int(ends[a + e - 1] - bounds[k]), "score": s, "log_expected": float(x)} for f, e, s, x in level if x < np.log(EXPECTED)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(model.score(np.array(features).reshape(-1, 3)), pa.float64()), pa.array(passages, passage), *(c.slice(first, stop - first) for c in batch.columns[2:])], names=["doc_id", "score", "passages", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(model.score(np.array(features).reshape(-1, 3)), pa.float64()), pa.array(passages, passage), *(c.slice(first, stop - first) for c in batch.columns[rest:])], names=["doc_id", "score", "passages", *batch.schema.names[rest:]])
 
     return docs.mapInArrow(score, with_carried("doc_id long, score double, passages array<struct<start: long, end: long, score: double, log_expected: double>>", docs))
 

@@ -14,7 +14,7 @@ _ROOT = Path(__file__).resolve().parent
 
 #: Arrow batches between Spark and its Python workers, for which Spark's own default is 64 MB. Spark's default is lowered,
 #: as every worker and task holds several of them; a size that the session has chosen stays.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2097152b"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -68,3 +68,17 @@ def test_scores_against_plain_python(spark, seed):
         assert got[k].score == pytest.approx(expected, rel=1e-5, abs=1e-7)
         significant = [s for s in totals if math.log(model.scale * len(found)) - model.rate * s < math.log(toxicity.EXPECTED)]
         assert [p.score for p in got[k].passages] == pytest.approx(significant, rel=1e-5)
+
+
+def test_carried_texts_go_to_python_once(spark):
+    """Null texts and other columns come back as they are, and scores are those of texts that are not carried."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    rows = [(1, "vile words", 7), (2, "calm sea", None), (3, "vile vile", 1), (4, "", 2), (5, None, 3), (None, "calm vile \u00e9", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    model = toxicity.fit(docs, labels)
+    carried = toxicity.score_documents(docs, model, carry=docs.columns)
+    plain = toxicity.score_documents(docs, model, carry=["more"])
+    got = {r.carried.more: (r.doc_id, r.score, r.passages) for r in carried.collect()}
+    assert got == {r.carried.more: (r.doc_id, r.score, r.passages) for r in plain.collect()}
+    assert sorted(map(repr, (tuple(r.carried) for r in carried.collect()))) == sorted(map(repr, rows))
+    assert len(carried._jdf.queryExecution().analyzed().children().head().output().mkString(" ").split()) == 2
