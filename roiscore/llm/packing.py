@@ -23,25 +23,37 @@ _LATIN_END = "\u0250"
 
 
 class _Known(dict):
-    """Word bytes to id bytes; a word that is not there yet is encoded."""
+    """Word bytes to id bytes; a word that is neither there nor among the older ones is encoded."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merge, self.older = tokenizer, tokenizer.model.tokenize, {}
+        self.packed = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values()) + 1)]
+
+    def age(self) -> None:
+        """All words become older ones, in place of those that were; words that are met again come back from there."""
+        self.older = self.copy()
+        self.clear()
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_PUNCTUATION)
-        text = core.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < _LATIN_END and "\u0130" not in text:
-            lower = text.lower()
-            spelt = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_SPELT)
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelt)])
-            if len(core) < len(word):
-                found += self[word[len(core) :]]
-        else:
-            found = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = self.encoded(word)
         self[word] = found
         return found
 
+    def encoded(self, word: bytes) -> bytes:
+        core = word.rstrip(_PUNCTUATION)
+        if core.isalpha():  # ASCII letters only
+            spelt = core.lower().decode()
+        else:
+            text = core.decode("utf-8", "replace")
+            if not text.isalpha() or max(text) >= _LATIN_END or "\u0130" in text:
+                return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            spelt = text.lower().encode().decode("latin-1").translate(_SPELT)
+        packed = self.packed
+        found = b"".join([packed[t.id] for t in self.merge(spelt)])
+        return found + self[word[len(core) :]] if len(core) < len(word) else found
+
 
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, for a lower-case byte-level BPE file whose pieces end with words (as
@@ -52,7 +64,8 @@ class WordTokenizer:
     they are composed already and make one token and the punctuation another; all other words take the file's whole way.
     """
 
-    MOST_WORDS = 200_000
+    #: Words met since the cache last aged; as many older ones are kept.
+    MOST_WORDS = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,7 +75,7 @@ class WordTokenizer:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.MOST_WORDS:
-            self.known.clear()
+            self.known.age()
         get = self.known.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
 

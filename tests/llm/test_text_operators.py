@@ -95,6 +95,19 @@ def test_packing_round_trip(docs, rows):
         packing.pack_documents(docs, WORD, capacity=100)
 
 
+def test_frequent_words_stay_known_as_rare_ones_go(monkeypatch):
+    tokenizer, encoded = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(tokenizer, "MOST_WORDS", 3)
+    real = tokenizer.known.encoded
+    tokenizer.known.encoded = lambda word: encoded.append(word) or real(word)
+    texts = [f"the Caf\u00e9, rare{k} w\u00f6rd{k}... x{k}" for k in range(40)]
+    whole = tokenizer.known.tokenizer
+    for text in texts:
+        want = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tokenizer.ids([text.encode()]) == [want]
+    assert encoded.count(b"the") == 1 and len(tokenizer.known) + len(tokenizer.known.older) < 30
+
+
 def test_packing_prefers_the_least_sum_of_squares():
     p = packing.Packer(64, 8, 100, 0)
     ids = lambda n: b"\0" * 4 * n
