@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +60,28 @@ def write_geojson(rois: DataFrame, folder: str, slide: str = "slide_key", by_lin
 
 
 def write_tables(df: DataFrame, folder: str, slide: str = "slide_id", kind: str = "parquet") -> None:
-    """One folder for each slide; only the slides in df are replaced."""
-    df.repartition(slide).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", kind == "csv").partitionBy(slide).format(kind).save(folder)
+    """One folder for each slide; only the slides in df are replaced.
+
+    Slides are dealt out over a number of tasks, as what counts is files: by their few bytes Spark would put all into one task (and it does so, too,
+    where rows lie by slide already: hence by a hash of it). Where there is nothing to replace, all are written beside the place and moved there at once, so
+    that the driver does not look for each slide's old folder.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = df.repartition(tasks, F.xxhash64(slide)).write.format(kind).partitionBy(slide)
+    rows = rows.option("header", True) if kind == "csv" else rows
+    place, beside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (folder, f"{folder.rstrip('/')}-{uuid.uuid4().hex}"))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place):
+        rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(folder)
+        return
+    try:
+        rows.save(beside.toString())
+        files.mkdirs(place.getParent())
+        if not files.rename(beside, place):
+            raise OSError(f"{folder} could not be put in place")
+    finally:
+        files.delete(beside, True)
 
 
 def write_timings(totals: DataFrame, folder: str, slide: str = "slide_id") -> None:

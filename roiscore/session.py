@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -62,3 +62,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tasks that list the folders below a path, for which Spark's own default is one a folder, up to 10,000.
+LISTING_KEY = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def load_folders(spark: SparkSession, reader: DataFrameReader, path: str) -> DataFrame:
+    """reader.load(path), where path holds very many small folders: some tasks a core list them, whose number the session gets back."""
+    before = spark.conf.get(LISTING_KEY)
+    spark.conf.set(LISTING_KEY, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return reader.load(path)
+    finally:
+        spark.conf.set(LISTING_KEY, before)

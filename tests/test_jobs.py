@@ -11,7 +11,7 @@ from roiscore.functions.text import duration
 from roiscore.jobs import batch, export
 from roiscore.functions import raster
 from roiscore.operators import pixels, rasters, selection, summary, tiles, windows
-from roiscore.session import BATCH_BYTES, BATCH_DEFAULT, BATCH_KEY
+from roiscore.session import BATCH_BYTES, BATCH_DEFAULT, BATCH_KEY, LISTING_KEY, load_folders
 from roiscore.sources import catalogue, fixtures, images, strips
 from roiscore.streaming.incremental import upsert_stream
 
@@ -158,6 +158,23 @@ def test_sinks(spark, tmp_path):
         assert sorted((r.slide_id, int(r.n)) for r in back.collect()) == [("a", 9), ("b", 2)]
 
 
+def test_slides_are_written_and_listed_by_some_tasks(spark, tmp_path):
+    """Not by one task, though their bytes are few and they lie by slide already, and not by one task each."""
+    df = spark.range(64).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("slide_id"), F.col("id").alias("n")).repartition("slide_id")
+    for kind in ("parquet", "csv"):
+        export.write_tables(df, str(tmp_path / kind), kind=kind)
+        files = list((tmp_path / kind).glob("slide_id=*/part-*"))
+        assert len(files) == 64 and len({f.name.split("-")[1] for f in files}) > 4
+        before = spark.conf.get(LISTING_KEY)
+        spark.sparkContext.setJobGroup(f"list {kind}", "")
+        back = load_folders(spark, spark.read.schema("n long, slide_id string").option("header", kind == "csv").format(kind), str(tmp_path / kind))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = [spark.sparkContext.statusTracker().getJobInfo(j) for j in spark.sparkContext.statusTracker().getJobIdsForGroup(f"list {kind}")]
+        assert jobs and all(spark.sparkContext.statusTracker().getStageInfo(x).numTasks <= 16 for j in jobs for x in j.stageIds)
+        assert spark.conf.get(LISTING_KEY) == before and sorted((r.slide_id, r.n) for r in back.collect()) == sorted((f"S{n}", n) for n in range(64))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["csv", "parquet"]
+
+
 def test_image_files(spark, tmp_path):
     """A 24-bit bitmap of 2 x 2 pixels, lower row first, each row padded to four bytes."""
     rows = [[(0, 0, 255), (10, 20, 30)], [(255, 0, 0), (0, 255, 0)]]  # blue, green, red
