@@ -19,6 +19,8 @@ MOST_BROADCAST = 1_000_000
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "[#*$%&|<>]"
+#: The lower half of a hash, where a window's place stands while windows are sorted.
+_LOWER = (1 << 32) - 1
 
 
 def _words(text: Column) -> Column:
@@ -36,15 +38,23 @@ def _windows(words: Column) -> Column:
 
 
 def _repeated(windows: Column) -> Column:
-    """Words that lie in a window which the text holds twice or more; windows is a column that has been computed before."""
+    """Words that lie in a window which the text holds twice or more; windows is a column that has been computed before.
+
+    Places are sorted as plain numbers below the upper halves of their hashes; only those beside an equal half are sorted by whole hashes.
+    """
+
+    def candidates(keys: Column) -> Column:
+        alike = lambda k, i: F.shiftright(F.get(keys, i).bitwiseXOR(k), 32) == 0
+        return F.transform(F.filter(keys, lambda k, i: alike(k, i - 1) | alike(k, i + 1)), lambda k: k.bitwiseAND(F.lit(_LOWER)).cast("int"))
 
     def covered(pairs: Column) -> Column:
         same = F.filter(pairs, lambda p, i: (F.get(pairs, i - 1)["h"] == p["h"]) | (F.get(pairs, i + 1)["h"] == p["h"]))
-        places = F.array_sort(F.transform(same, lambda p: p["i"]))
+        places = F.sort_array(F.transform(same, lambda p: p["i"]))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
 
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    keys = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~_LOWER)).bitwiseOR(i.cast("long"))))
+    pairs = F.array_sort(F.transform(_let(keys, candidates), lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(pairs, covered)).otherwise(0)
 
 
@@ -62,22 +72,26 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select("doc_id", *(v.cast("long").alias(k) for k, v in counts.items()), *more)
 
 
-def _grams(of_place) -> Column:
-    """Of the column `text`: of_place(bucket of the unigram, bucket of the bigram) for every place of its words and runs of signs; the last bigram has its token alone."""
-    tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-    return _let(tokens, lambda t: F.transform(t, lambda x, i: of_place(bucket(x), bucket(x, F.get(t, i + 1)))))
+def _tokens() -> Column:
+    """Of the column `text`: its words and runs of signs."""
+    return F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
+
+
+def _bucket(*tokens) -> Column:
+    return F.pmod(F.xxhash64(*tokens), F.lit(BUCKETS)).cast("int")
 
 
 def _exploded(docs: DataFrame, keep: str) -> DataFrame:
-    """The column `keep` and the bucket of every n-gram. One function runs over the tokens and gives both buckets of a place as one number."""
-    both = docs.select(keep, F.explode(_grams(lambda one, two: one.cast("long") * BUCKETS + two)).alias("both"))
-    return both.select(keep, F.explode(F.array((F.col("both") / BUCKETS).cast("int"), (F.col("both") % BUCKETS).cast("int"))).alias("bucket"))
+    """The column `keep` and the bucket of every unigram and bigram; the last bigram has its token alone. Each token is a row with the next one, so that hashes are made in compiled code."""
+    tokens = docs.select(keep, _tokens().alias("one"))
+    after = F.slice("one", 2, F.greatest(F.size("one") - 1, F.lit(0))).alias("two")
+    places = tokens.select(keep, F.inline(F.arrays_zip("one", after)).alias("one", "two"))
+    return places.select(keep, F.explode(F.array(_bucket("one"), _bucket("one", "two"))).alias("bucket"))
 
 
 def _mean(ratios: Column) -> Column:
     """Of the column `text`: the mean of its n-grams' ratios, 0 without any."""
-    of_places = _grams(lambda one, two: F.get(ratios, one) + F.get(ratios, two))
+    of_places = _let(_tokens(), lambda t: F.transform(t, lambda x, i: F.get(ratios, _bucket(x)) + F.get(ratios, _bucket(x, F.get(t, i + 1)))))
     return _let(of_places, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, r: a + r) / (2 * F.size(x))).otherwise(0.0))
 
 

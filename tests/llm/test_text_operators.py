@@ -403,6 +403,16 @@ def test_quality_ratio_against_brute_force(spark, docs, rows):
     assert sorted((str(r.doc_id), round(r.ratio, 9)) for r in got) == sorted(expected)
 
 
+def test_quality_hashes_are_compiled_and_windows_compared_whole(spark, docs):
+    """No function is called for each token where n-grams are counted; windows that share half a hash only are not the same."""
+    plan = quality._exploded(docs.selectExpr("1 as trusted", "text"), "trusted")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    h = (-5 << 32) + 7
+    given = [([h, h + 1, h + 2], 0), ([h, h + 1, 9, h], 6), ([h + 1, h, h + 1, h + 2, h + 1], 7), ([3, 3 + (1 << 32), 3], 5), ([], 0), ([h], 0)]
+    rows = spark.createDataFrame([(n, w) for n, (w, _) in enumerate(given)], "n int, windows array<long>")
+    assert {r.n: r.found for r in rows.select("n", quality._repeated(F.col("windows")).alias("found")).collect()} == {n: x for n, (_, x) in enumerate(given)}
+
+
 def test_quality_ratio_tells_junk(spark):
     rnd = random.Random(2)
     plain = [" ".join(rnd.choice(["the", "of", "and", "river", "house", "green"]) + f"{rnd.randrange(300)}" for _ in range(80)) for _ in range(60)]
