@@ -87,7 +87,7 @@ def write_tables(df: DataFrame, folder: str, slide: str = "slide_id", kind: str
 def write_timings(totals: DataFrame, folder: str, slide: str = "slide_id") -> None:
     """Stage totals as a table and as lines of text, one folder for each slide."""
     write_tables(totals, f"{folder}/csv", slide, "csv")
-    timing_lines(totals, slide).repartition(slide).write.mode("overwrite").partitionBy(slide).text(f"{folder}/text")
+    write_tables(timing_lines(totals, slide), f"{folder}/text", slide, "text")
 
 
 def raster_rows(rois: DataFrame, p: Params = PARAMS, slide: str = "slide_key") -> DataFrame:

@@ -205,6 +205,17 @@ def test_timings_and_summaries_are_written_and_read(spark, tmp_path):
     assert catalogue.read_summary(spark, str(tmp_path / "s")).collect() == one.collect()
 
 
+def test_timings_of_other_slides_stay(spark, tmp_path):
+    times = spark.createDataFrame([(f"S{n}", "open", float(n)) for n in range(40)], "slide_id string, stage string, seconds double")
+    for rows in (times, times.where("slide_id = 'S7'").withColumn("seconds", F.lit(50.0))):
+        export.write_timings(summary.stage_totals(rows), str(tmp_path / "t"))
+        if rows is times:
+            files = list((tmp_path / "t/text").glob("slide_id=*/part-*"))
+            assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 4
+    lines = {r.slide_id: r.value.split()[1] for r in spark.read.text(str(tmp_path / "t/text")).where("value like 'open%'").collect()}
+    assert lines == {f"S{n}": "50.00" if n == 7 else f"{n}.00" for n in range(40)}
+
+
 def test_raster_rows(spark):
     px = np.zeros((4, 4), np.uint8)
     row = [("s", 0, 1, 1, "direct_accept", 4, 4, *(bytearray(x.tobytes()) for x in (np.full((4, 4, 3), 100, np.uint8), px + 2, px, px, px)))]
