@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roiscore.config import PARAMS, Params
 from roiscore.functions import raster
@@ -15,6 +16,8 @@ from roiscore.functions.text import roi_name
 from roiscore.operators import pixels, rasters
 from roiscore.operators.selection import ranked
 from roiscore.operators.summary import timing_lines
+from roiscore.session import load_folders
+from roiscore.sources import folders
 
 MEASURES = ("roi_score", "tumor_fraction", "stroma_fraction", "interface_density", "stroma_area_px", "num_tils_inside_stroma", "roi_tils_score_fraction", "roi_tils_score_percent", "effective_mpp_x_for_scoring", "effective_mpp_y_for_scoring")
 
@@ -63,12 +66,14 @@ def write_tables(df: DataFrame, folder: str, slide: str = "slide_id", kind: str
     """One folder for each slide; only the slides in df are replaced.
 
     Slides are dealt out over a number of tasks, as what counts is files: by their few bytes Spark would put all into one task (and it does so, too,
-    where rows lie by slide already: hence by a hash of it). Where there is nothing to replace, all are written beside the place and moved there at once, so
-    that the driver does not look for each slide's old folder.
+    where rows lie by slide already: hence by a hash of it). On a local file system tasks make the files themselves (`folders.py`). On others, where there is
+    nothing to replace, all are written beside the place and moved there at once, so that the driver does not look for each slide's old folder.
     """
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    rows = df.repartition(tasks, F.xxhash64(slide)).write.format(kind).partitionBy(slide)
+    if kind in folders.SUFFIX and (local := folders.local_path(spark, folder)):
+        folders.write_folders(df, local, slide, kind, _tasks(spark))
+        return
+    rows = df.repartition(_tasks(spark), F.xxhash64(slide)).write.format(kind).partitionBy(slide)
     rows = rows.option("header", True) if kind == "csv" else rows
     place, beside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (folder, f"{folder.rstrip('/')}-{uuid.uuid4().hex}"))
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -84,6 +89,18 @@ def write_tables(df: DataFrame, folder: str, slide: str = "slide_id", kind: str
         files.delete(beside, True)
 
 
+def read_tables(spark: SparkSession, folder: str, schema: T.StructType, slide: str = "slide_id", kind: str = "parquet") -> DataFrame:
+    """What write_tables has written, as the columns of schema. On a local file system tasks list and read the folders, so that the driver holds no list of the files."""
+    if kind in folders.SUFFIX and (local := folders.local_path(spark, folder)):
+        return folders.read_folders(spark, local, schema, slide, kind, _tasks(spark))
+    return load_folders(spark, spark.read.schema(schema).option("header", kind == "csv").format(kind), folder).select(*(f"`{c}`" for c in schema.names))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that write or read folders."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def write_timings(totals: DataFrame, folder: str, slide: str = "slide_id") -> None:
     """Stage totals as a table and as lines of text, one folder for each slide."""
     write_tables(totals, f"{folder}/csv", slide, "csv")

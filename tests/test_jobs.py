@@ -5,6 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roiscore.config import PARAMS
 from roiscore.functions.text import duration
@@ -175,6 +176,81 @@ def test_slides_are_written_and_listed_by_some_tasks(spark, tmp_path):
     assert sorted(x.name for x in tmp_path.iterdir()) == ["csv", "parquet"]
 
 
+def test_slide_folders_are_made_and_listed_by_tasks(spark, tmp_path):
+    """Hadoop, which starts a process for every local file and folder (and leaves its checksums), makes none of them, and the driver lists none."""
+    df = spark.range(50).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("slide_id"), F.col("id").alias("n"))
+    for kind in ("parquet", "csv"):
+        export.write_tables(df, f"file://{tmp_path}/deep/{kind}", kind=kind)
+        assert not list(tmp_path.rglob("*.crc")) and [x.name for x in (tmp_path / "deep" / kind).iterdir() if "=" not in x.name] == ["_SUCCESS"]
+        back = export.read_tables(spark, f"file://{tmp_path}/deep/{kind}", df.schema, kind=kind)
+        assert "FileScan" not in back._jdf.queryExecution().executedPlan().toString() and back.columns == df.columns
+        assert sorted((r.slide_id, r.n) for r in back.collect()) == sorted((f"S{n}", n) for n in range(50))
+        # an exchange of some slides' folders, among them one that Spark has written
+        df.where("n = 8").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("slide_id").format(kind).save(f"{tmp_path}/deep/{kind}")
+        export.write_tables(df.where("n in (7, 8)").withColumn("n", F.col("n") + 100), f"file://{tmp_path}/deep/{kind}", kind=kind)
+        assert not list((tmp_path / "deep" / kind).glob("slide_id=*/*.crc")) and len(list((tmp_path / "deep" / kind).glob("slide_id=*/*"))) == 50
+        assert sorted((r.slide_id, r.n) for r in back.collect()) == sorted((f"S{n}", n + 100 * (n in (7, 8))) for n in range(50))
+        # one that fails midway leaves what was there
+        with pytest.raises(Exception, match="broken"):
+            export.write_tables(df.select("slide_id", F.when(F.col("n") == 49, F.raise_error(F.lit("broken"))).otherwise(-1).alias("n")), f"{tmp_path}/deep/{kind}", kind=kind)
+        assert back.where("n >= 0").count() == 50
+    assert sorted(x.name for x in (tmp_path / "deep").iterdir()) == ["csv", "parquet"]
+
+
+def test_slide_folders_are_as_spark_makes_them(spark, tmp_path):
+    """Odd slides, values, columns and types: the same folders and lines, and either side reads what the other has written."""
+    slides = [None, "", "S:1", "a/b\\c", "50%", "%41", "x=y", " lead", "\u00e4\u6f22\U0001f600", ".hidden", *("c" + "".join(map(chr, range(n, min(n + 32, 128)))) for n in (1, 33, 65, 97))]
+    words = [None, "", " lead and trail ", 'say "so"', "a,b", "back\\slash", "#", "'", "\u6f22\U0001f600", "tab\there", '"', "\\"]
+    numbers = [None, 0.0, -0.0, 1e300, 1e-7, float("inf"), float("nan"), 123456789.125]
+    rows = [(s, words[k % len(words)], numbers[k % len(numbers)], k) for k, s in enumerate(slides * 3)]
+    df = spark.createDataFrame(rows, "slide_id string, `odd, \"name` string, `a b` double, k long").withColumns({"d": F.expr("cast(k as decimal(20, 4))"), "day": F.expr("date_add(date'2024-02-28', int(k))"), "at": F.expr("timestamp'2024-01-01 00:00:00.123456' + make_interval(0, 0, 0, 0, int(k))"), "plain": F.expr("timestamp_ntz'2024-01-01 00:00:00.5'")})
+    key = lambda df: sorted(map(repr, df.select(*(F.col(f"`{c}`") for c in sorted(df.columns))).collect()))
+    for kind, given in (("csv", df), ("parquet", df), ("text", df.select("slide_id", F.col("`odd, \"name`").alias("value")))):
+        export.write_tables(given, str(tmp_path / kind), kind=kind)
+        theirs = tmp_path / f"spark {kind}"
+        given.coalesce(1).write.option("header", kind == "csv").partitionBy("slide_id").format(kind).save(str(theirs))
+        lists = [{x.name: sorted(y.suffix for y in x.glob("part-*")) for x in f.iterdir() if x.is_dir()} for f in (tmp_path / kind, theirs)]
+        assert lists[0] == lists[1] and len(lists[0]) == len(set(slides)) - 1
+        if kind != "parquet":
+            text = [{x.name: sorted("".join(y.read_text() for y in x.glob("part-*")).split("\n")) for x in f.iterdir() if x.is_dir() and "HIVE" not in x.name} for f in (tmp_path / kind, theirs)]
+            assert text[0] == text[1]
+        read = [spark.read.schema(given.schema).option("header", kind == "csv").format(kind).load(str(f)) for f in (tmp_path / kind, theirs)]
+        read += [export.read_tables(spark, str(f), given.schema, kind=kind) for f in (tmp_path / kind, theirs)]
+        assert all(x.columns == given.columns and x.dtypes == given.dtypes for x in read[2:])
+        assert len(key(read[0])) == given.count() and key(read[0]) == key(read[1]) == key(read[2]) == key(read[3])
+
+
+def test_slide_folders_of_no_rows_many_rows_and_failures(spark, tmp_path):
+    df = spark.range(60000).select((F.col("id") % 2 * 7).alias("slide_id"), "id", F.repeat(F.lit("x"), 30).alias("words"))
+    broken = df.select("slide_id", F.when(F.col("id") == 59999, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    for kind in ("parquet", "csv"):
+        export.write_tables(df, str(tmp_path / kind), kind=kind)
+        assert len(list((tmp_path / kind).glob("slide_id=*/part-*"))) == 2
+        back = export.read_tables(spark, str(tmp_path / kind), df.schema, kind=kind)
+        assert back.dtypes == df.dtypes and back.exceptAll(df).count() == 0 and back.count() == 60000
+        export.write_tables(df.where("id < 0"), str(tmp_path / f"no {kind}"), kind=kind)
+        assert export.read_tables(spark, str(tmp_path / f"no {kind}"), df.schema, kind=kind).count() == 0
+        with pytest.raises(Exception, match="broken"):
+            export.write_tables(broken, str(tmp_path / f"broken {kind}"), kind=kind)
+        assert export.read_tables(spark, str(tmp_path / kind), T.StructType.fromDDL("slide_id long"), kind=kind).groupBy("slide_id").count().sort("slide_id").collect() == [(0, 30000), (7, 30000)]
+        # columns that files lack are null
+        wider = export.read_tables(spark, str(tmp_path / "parquet"), T.StructType.fromDDL("more double, slide_id long, id long"))
+        assert wider.where("more is null and slide_id = id % 2 * 7").count() == 60000
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["csv", "no csv", "no parquet", "parquet"]
+
+
+def test_slide_folders_elsewhere_are_spark_s_own(spark, tmp_path):
+    """On a file system that is not local (here one seen through a mount) Spark writes, replaces and lists."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./out", f"file://{tmp_path}")
+    df = spark.range(9).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("slide_id"), F.col("id").alias("n"))
+    for kind in ("parquet", "csv"):
+        export.write_tables(df, f"viewfs://store/out/{kind}", kind=kind)
+        export.write_tables(df.where("n = 7").withColumn("n", F.lit(70).cast("long")), f"viewfs://store/out/{kind}", kind=kind)
+        back = export.read_tables(spark, f"viewfs://store/out/{kind}", df.schema, kind=kind)
+        assert back.columns == df.columns and sorted((r.slide_id, r.n) for r in back.collect()) == sorted((f"S{n}", 70 if n == 7 else n) for n in range(9))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["csv", "parquet"] and list(tmp_path.rglob("*.crc"))
+
+
 def test_image_files(spark, tmp_path):
     """A 24-bit bitmap of 2 x 2 pixels, lower row first, each row padded to four bytes."""
     rows = [[(0, 0, 255), (10, 20, 30)], [(255, 0, 0), (0, 255, 0)]]  # blue, green, red
