@@ -217,7 +217,10 @@ def _read_parquet(path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def read_folders(spark: SparkSession, path: str, schema: T.StructType, column: str, kind: str, tasks: int) -> DataFrame:
-    """The rows of all files, with the value of their folder, as the columns of schema; csv files have a header."""
+    """The rows of all files, with the value of their folder, as the columns of schema; csv files have a header.
+
+    Spark takes them for as few as the shares that they are read from, so joins are told to sort and merge: it would broadcast them.
+    """
     ship(spark)
     others = [T.StructField(f.name, f.dataType) for f in schema if f.name != column]
     lines = kind != "parquet"
@@ -246,7 +249,7 @@ def read_folders(spark: SparkSession, path: str, schema: T.StructType, column: s
         ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in others)
         found = found.select(F.from_csv("_line", ddl).alias("_line"), f"`{column}`")
     read = {f.name: F.col("_line").getField(f.name) if kind == "csv" else F.col("_line" if lines else f"`{f.name}`") for f in others}
-    return found.select(*(read.get(f.name, F.col(f"`{column}`")).cast(f.dataType).alias(f.name) for f in schema))
+    return found.select(*(read.get(f.name, F.col(f"`{column}`")).cast(f.dataType).alias(f.name) for f in schema)).hint("merge")
 
 
 def _together(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
